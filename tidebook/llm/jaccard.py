@@ -13,11 +13,11 @@ Steps, none of which gathers an unbounded group:
    and their frequency. Shingles that are frequent within one batch already (HEAVY) skip this and are listed
    apart, so a passage in a third of all texts fills no range. Only these shingles can be shared: classes with
    fewer than ceil(t n) of them are out.
-3. Every prefix list proposes each member with two pivots; verified links are joined to components.
-4. Lists that still hold several components propose each member outside the largest one with every member of
-   another component. Pairs inside a component need no test, as the result is its components.
+3. Every prefix list proposes each member with two pivots; verified links are joined to components. Lists that
+   still hold several components draw new pivots, while that links.
+4. Each member still outside its list's largest component meets every member its lists lead to, block by block. Pairs inside a component need no test, as the result is its components.
 
-Memory: a range holds about RANGE_TOKENS shingles; lists are cut into chunks of LIST_CHUNK members.
+Memory: a range holds about RANGE_TOKENS shingles; the last step's blocks hold BLOCK members.
 Defined results: null or word-less texts have an empty set, link with nothing and stand alone; repeated rows and
 ids give one row each; a null id forms a class like others, but names no component; an empty table gives no
 rows; extra columns are ignored by :func:`components` and kept by :func:`deduplicated`. Hash collisions (64 bits)
@@ -42,7 +42,8 @@ SALTS = 16
 RANGE_TOKENS, HEAVY, MOST_HEAVY = 2_000_000, 512, 200_000
 #: Texts of one batch are worked on in portions of about this many characters.
 PORTION = 4_000_000
-LIST_CHUNK = 4096
+#: Members of a component that one row of the exhaustive step holds.
+BLOCK = 64
 #: Global orders: each ranks by (a function of the frequency, a hash), rare first.
 ORDERS = ("df, token", "CAST(log2(df) AS INT), xxhash64(token)", "CAST(log2(df) / 2 AS INT), xxhash64(token, 7)")
 
@@ -246,39 +247,78 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, sig, part, main) of the lists that hold several components; main is the one of most members."""
+    named = lists.join(parts, lists.sig == parts.node, "left").select("token", "sig", F.coalesce("component", "sig").alias("part"))
+    counted = named.groupBy("token", "part").agg(F.count("*").alias("c"))
+    mixed = counted.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return stage_table(named.join(mixed.select("token", "main"), "token"), "open")
+
+
 def links_of(held: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over the classes that have a link, and lose no link between components."""
+    """(node, component) over the classes that have a link, and lose no link between components.
+
+    Rounds of pivots come first: each member of a list is held against two members drawn by a hash, so large
+    groups of near copies join without their pairs. They end when a round links under a tenth of the members
+    still apart. Those are then held against all others, in blocks.
+    """
     lists = stage_table(held.select("sig", F.explode("p0").alias("token")), "lists")
     pivots = lists.groupBy("token").agg(
         F.min_by("sig", F.xxhash64("sig")).alias("one"), F.min_by("sig", F.xxhash64("sig", "token")).alias("two"), F.count("*").alias("size")
     ).where("size > 1")
     star = lists.join(pivots, "token").select("sig", F.explode(F.array("one", "two")).alias("pivot")).where("sig <> pivot")
-    first = stage_table(_verified(star.select(*_ordered("sig", "pivot")).distinct(), held, percent), "links")
-    parts = connected_components(first, "a", "b")
-
-    named = lists.join(parts, lists.sig == parts.node, "left").select("token", "sig", F.coalesce("component", "sig").alias("part"))
-    counted = named.groupBy("token", "part").agg(F.count("*").alias("c"))
-    mixed = counted.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    mixed = stage_table(mixed.select("token", "main", "size"), "mixed")
-    largest = mixed.agg(F.max("size")).first()[0]
-    if largest is None:
-        return parts
-    chunks = math.ceil(largest / LIST_CHUNK)
-    open_lists = stage_table(named.join(mixed, "token"), "open")
-    members = open_lists.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("sig", "part")).alias("members"))
-    probes = open_lists.where("part <> main").select("token", F.col("sig").alias("x"), F.col("part").alias("x_part"))
-    # the lists of a probe are united before any pair is made, so a pair is made once
-    pairs = (
-        probes.join(members, "token")
-        .select("x", "chunk", F.expr("transform(filter(members, y -> y.part <> x_part), y -> y.sig)").alias("ys"))
-        .groupBy("x", "chunk")
-        .agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-        .select("x", F.explode("ys").alias("y"))
-        .select(*_ordered("x", "y"))
-        .distinct()
+    links = stage_table(_verified(star.select(*_ordered("sig", "pivot")).distinct(), held, percent), "links")
+    turn = 0
+    while True:
+        parts = connected_components(links, "a", "b")
+        apart = _open_lists(lists, parts)
+        minors = apart.where("part <> main").select("sig").distinct().count()
+        if not minors:
+            return parts
+        turn += 1
+        drawn = F.xxhash64("sig", "token", F.lit(turn))
+        pivots = apart.groupBy("token").agg(
+            F.min_by("sig", F.when(F.col("part") == F.col("main"), drawn)).alias("one"), F.max_by("sig", drawn).alias("two")
+        )
+        star = apart.where("part <> main").join(pivots, "token").select("sig", F.explode(F.array("one", "two")).alias("pivot")).where("sig <> pivot")
+        more = stage_table(_verified(star.select(*_ordered("sig", "pivot")).distinct(), held, percent), "links")
+        found = more.count()
+        links = links.union(more)
+        if 10 * found < minors:
+            break
+    parts = connected_components(links, "a", "b") if found else parts
+    return _exhausted(held, links, parts, _open_lists(lists, parts) if found else apart, percent)
+
+
+def _exhausted(held: DataFrame, links: DataFrame, parts: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Components after every member outside its list's main component met all members its lists lead to.
+
+    Lists that share members form a cluster; a cluster's members lie in blocks, and a row of the join is one
+    such member with one block, tested inside the row. No pair becomes a row but those that link.
+    """
+    tops = apart.groupBy("token").agg(F.min("sig").alias("top"))
+    clusters = connected_components(apart.join(tops, "token").select("sig", "top").distinct(), "sig", "top")
+    clusters = clusters.select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    prefix = [f"p{k}" for k in range(len(ORDERS))]
+    named = parts.select(F.col("node").alias("sig"), F.col("component").alias("linked"))
+    members = held.join(clusters, "sig").join(named, "sig", "left").withColumn("part", F.coalesce("linked", "sig"))
+    members = stage_table(members.select("sig", "part", "cluster", "n", "tokens", *prefix), "members")
+    wide = members.groupBy("cluster").agg(F.count("*").alias("c"))
+    blocks = (
+        members.join(wide, "cluster")
+        .groupBy("cluster", F.expr(f"pmod(xxhash64(sig), (c + {BLOCK - 1}) div {BLOCK})").alias("block"))
+        .agg(F.collect_list(F.struct("sig", "part", "n", "tokens", *prefix)).alias("ys"))
+    )
+    probes = members.join(apart.where("part <> main").select("sig").distinct(), "sig", "left_semi")
+    own = probes.select(F.col("sig").alias("a"), F.col("cluster").alias("at"), F.struct("part", "n", "tokens", *prefix).alias("own"))
+    meet = " AND ".join(f"arrays_overlap(own.{k}, y.{k})" for k in prefix)
+    size = "size(array_intersect(own.tokens, y.tokens))"
+    hits = F.expr(
+        f"transform(filter(ys, y -> y.part <> own.part AND 100 * least(own.n, y.n) >= {percent} * greatest(own.n, y.n)"
+        f" AND {meet} AND 100 * {size} >= {percent} * (own.n + y.n - {size})), y -> y.sig)"
     )
-    second = stage_table(_verified(pairs, held, percent), "links")
-    return connected_components(first.union(second), "a", "b")
+    met = own.join(blocks, own["at"] == blocks.cluster).select("a", F.explode(hits).alias("b"))
+    return connected_components(links.union(stage_table(met, "links")), "a", "b")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, heavy_from: int = HEAVY) -> DataFrame:
