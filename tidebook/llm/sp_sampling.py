@@ -60,6 +60,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model or public_tokenizers.path("piece_bpe_32k.model"))
         self.names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
+        self.ascii = np.array([self.byte[b] for b in range(128)])
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8]
         self.pieces = {self.names[i]: (i, -alpha * math.log(r + 2)) for r, i in enumerate(sorted(plain, key=lambda i: -sp.get_score(i)))}
         node: dict[str, int] = {"": 0}
@@ -73,7 +74,7 @@ class Lattice:
         dense = {c: i for i, c in enumerate(sorted(often, key=lambda c: (-often[c], c))[: self.DENSE])}
         self.column = np.full(0x110000, -1, dtype=np.int16)
         self.table = np.full((len(node), self.DENSE), -1, dtype=np.int32)
-        self.piece, self.score = np.full(len(node), -1, dtype=np.int64), np.zeros(len(node))
+        self.piece, self.score = np.full(len(node), -1, dtype=np.int32), np.zeros(len(node))
         rare = []
         for c, i in dense.items():
             self.column[ord(c)] = i
@@ -103,12 +104,12 @@ class Lattice:
         """Lattices of ``chunks``: sets ``begin`` (a chunk's first state) and the option arrays."""
         import numpy as np
 
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         ends = np.cumsum(sizes)
         self.begin = ends - sizes
-        end_of = np.repeat(ends, sizes)
-        at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
+        end_of = np.repeat(ends.astype(np.int32), sizes)
+        at, node = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
         starts, lengths, pieces, scores, depth = [], [], [], [], 0
         while len(at):
             node = self._child(node, chars[at + depth])
@@ -118,18 +119,18 @@ class Lattice:
                 bare = np.flatnonzero((node < 0) | (self.piece[node] < 0))
                 c = chars[at[bare]]
                 starts.append(at[bare])
-                lengths.append(np.ones(len(bare), np.int64))
+                lengths.append(np.ones(len(bare), np.int32))
                 pieces.append(-1 - c)
                 scores.append(-12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
             starts.append(at[hit])
-            lengths.append(np.full(len(hit), depth, dtype=np.int64))
+            lengths.append(np.full(len(hit), depth, dtype=np.int32))
             pieces.append(self.piece[node[hit]])
             scores.append(self.score[node[hit]])
             live = np.flatnonzero((node >= 0) & (at + depth < end_of[at]))
             at, node = at[live], node[live]
         start, length, piece, score = (np.concatenate(x) for x in (starts, lengths, pieces, scores))
         left = end_of[start] - start  # characters to the chunk's end
-        order = np.lexsort((start, left))
+        order = np.argsort((left.astype(np.int64) * (len(chars) + 1) + start) * 64 + length)  # no ties: the same in any batch
         start, length, piece, score, left = start[order], length[order], piece[order], score[order], left[order]
         beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
         target = start + length
@@ -162,8 +163,9 @@ class Lattice:
         if not len(codes) or codes.min() >= 0:
             return codes
         if codes.min() >= -128:
-            ascii_ids = np.array([self.byte[b] for b in range(128)])
-            return np.where(codes < 0, ascii_ids[np.clip(-1 - codes, 0, 127)], codes)
+            out, at = codes.copy(), np.flatnonzero(codes < 0)
+            out[at] = self.ascii[-1 - codes[at]]
+            return out
         return np.array([i for c in codes.tolist() for i in ((c,) if c >= 0 else [self.byte[b] for b in chr(-1 - c).encode("utf-8", "replace")])])
 
     def decode(self, ids: list[int]) -> str:
@@ -180,16 +182,22 @@ class Lattice:
         return "".join(out).replace(SPACE, " ").removeprefix(" ")
 
 
-def _uniform(seed, sample, chunk, step, salt):
-    """Hashed uniforms in (0, 1), element by element."""
+def _uniforms(seed, sample, chunk, step):
+    """Two hashed uniforms in (0, 1), element by element."""
     import numpy as np
 
     with np.errstate(over="ignore"):
-        x = seed ^ (np.uint64(sample + 1) * np.uint64(0xD1342543DE82EF95) + np.asarray(chunk, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(step, np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt) * np.uint64(0x94D049BB133111EB))
+        x = chunk.astype(np.uint64)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x += step.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((sample + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+        x ^= seed
         for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(mult)
         x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    high = (x >> np.uint64(32)).astype(np.float64)
+    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return (high + 0.5) / 4294967296.0, (low + 0.5) / 4294967296.0
 
 
 def _truncated(phi, bound, u):
@@ -212,19 +220,19 @@ class _Walk:
         step = np.zeros(len(state), np.int64) if first_step is None else first_step
         parts = []
         while len(occ):
-            u = _uniform(seeds[doc[occ]], sample, chunk[occ], step, 1)
+            u, noise = _uniforms(seeds[doc[occ]], sample, chunk[occ], step)
             option, ahead, target = first[state], np.arange(len(occ)), state + u
             while len(ahead):  # options are few and the first ones likely
                 ahead = ahead[cum[option[ahead]] <= target[ahead]]
                 option[ahead] += 1
-            parts.append((occ, step, state, option))
+            parts.append((occ, step, state, option, noise))
             state = to[option]
             live = state >= 0
             occ, step, state = occ[live], step[live] + 1, state[live]
         if parts:
-            occ, step, state, option = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((step, occ))
-            occ, self.step, self.state, self.option = occ[order], step[order], state[order], option[order]
+            occ, step, state, option, noise = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(occ * (LONGEST + 1) + step, kind="stable")  # runs that are sorted already
+            occ, self.step, self.state, self.option, noise = occ[order], step[order], state[order], option[order], noise[order]
         else:
             occ = np.zeros(0, np.int64)
             self.step = self.state = self.option = occ
@@ -236,7 +244,7 @@ class _Walk:
         self.total = run[self.start[1:]] - run[self.start[:-1]] + before
         with np.errstate(divide="ignore"):
             rest = np.where(lp > -1e-15, -np.inf, np.log(-np.expm1(lp)))
-        self.open = _truncated(self.prefix + rest, bound[self.doc], _uniform(seeds[self.doc], sample, self.chunk, self.step, 2)) if len(lp) else lp
+        self.open = _truncated(self.prefix + rest, bound[self.doc], noise) if len(lp) else lp
         self.code = piece[self.option]
         self.taken: dict[int, list[int]] = {}
 
@@ -270,7 +278,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     with np.errstate(over="ignore"):
         keys = np.array([(0 if i is None else i) & 0xFFFFFFFFFFFFFFFF for i in ids], dtype=np.uint64)
         seeds = (keys + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    value = -np.log(-np.log(_uniform(seeds, 0, np.zeros(n, np.int64), np.zeros(n, np.int64), 3)))
+    nil = np.full(n, -1)  # a place apart from all chunks
+    value = -np.log(-np.log(_uniforms(seeds, 0, nil, nil)[0]))
     walks = [_Walk(lattice, doc, chunk, all_states, seeds, 0, value, np.zeros(n))]
     # heads[j][d]: codes before walk j's own decisions of document d; None where the document has no such sample
     nothing = np.zeros(0, np.int64)
@@ -288,8 +297,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             break
         before, head = np.zeros(n), [None] * n
         docs2, chunks2, states2, steps2 = [], [], [], []
-        u = _uniform(seeds, j, np.zeros(n, np.int64), np.zeros(n, np.int64), 4)
-        again = _uniform(seeds, j, np.zeros(n, np.int64), np.zeros(n, np.int64), 5)
+        u, again = _uniforms(seeds, j, nil, nil)
         for d in np.flatnonzero(alive).tolist():
             w = walks[source[d]]
             at = int(tops[source[d]][1][d])
