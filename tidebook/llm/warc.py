@@ -106,7 +106,7 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
-def normalise_stream(src: BinaryIO, dst: BinaryIO, level: int = 4) -> Iterator[tuple[int, int, str]]:
+def normalise_stream(src: BinaryIO, dst: BinaryIO, level: int = 6) -> Iterator[tuple[int, int, str]]:
     """Rewrite a monolithic archive with a member per record; yields (offset, length, record id)."""
     source, offset = _Bytes(inflated(src)), 0
     while (head := source.head()) is not None:
@@ -180,7 +180,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
-        uri, out, engine = f"{folder}/mono-{uuid.uuid4().hex}.warc.gz", None, zlib.compressobj(1, zlib.DEFLATED, 31)
+        uri, out, engine = f"{folder}/mono-{uuid.uuid4().hex}.warc.gz", None, zlib.compressobj(6, zlib.DEFLATED, 31)
         for batch in batches:
             out = out or _open(uri, "wb")
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
