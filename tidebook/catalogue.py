@@ -1,11 +1,19 @@
-"""Names of all queries, and their oracles."""
+"""Names of all queries of the library, and their oracles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tidebook import tables
+from tidebook.plans import market, relational
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    shared = {name: (lambda spark, d, text=text: tables.query(spark, d, text)) for name, text in relational.SQL.items()}
+    return shared | market.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: tables.duck(text) for name, text in relational.SQL.items()} | {name: tables.duck(text) for name, text in market.ORACLES.items()}
