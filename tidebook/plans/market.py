@@ -1,3 +1,190 @@
+"""Queries built from the operators: as-of lookups, books on a grid, markouts, folds, simulation and streams."""
+
 from __future__ import annotations
-def queries(): return {}
-ORACLES: dict[str, str] = {}
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebook.operators import book, execution, folds, temporal
+from tidebook.sources import lake
+from tidebook.streaming import flows
+from tidebook.tables import load, view
+
+DAY, HOUR = 86_400_000, 3_600_000
+HORIZONS = (60_000, 3_600_000, 86_400_000)
+
+
+def asof_backward(spark: SparkSession, d: str) -> DataFrame:
+    right = view(spark, d, "trades").selectExpr("market", "us", "price AS last_price", "event_id AS trade_id")
+    return temporal.asof_join(view(spark, d, "resets").select("event_id", "market", "us"), right, ["market"], "us", ["last_price", "trade_id"])
+
+
+def asof_lagged(spark: SparkSession, d: str) -> DataFrame:
+    left = view(spark, d, "resets").select("event_id", "market", F.explode(F.array(F.lit(0), F.lit(DAY * 1000))).alias("lag"), "us")
+    left = left.withColumn("us", F.col("us") - F.col("lag"))
+    return temporal.asof_join(left, view(spark, d, "trades").selectExpr("market", "us", "event_id AS trade_id"), ["market"], "us", ["trade_id"])
+
+
+def markouts(spark: SparkSession, d: str) -> DataFrame:
+    """Signed price change after each trade, at several horizons; null beyond the market's last trade."""
+    trades = view(spark, d, "trades")
+    until = trades.groupBy("market").agg(F.max("ms").alias("until"))
+    spread = trades.select("event_id", "market", F.col("price").alias("paid"), "taker_side", F.explode(F.array(*[F.lit(h).cast("long") for h in HORIZONS])).alias("horizon_ms"), "ms")
+    asked = spread.join(until, "market").withColumn("ms", F.col("ms") + F.col("horizon_ms"))
+    marks = trades.groupBy("market", "ms").agg(F.max_by("price", "event_id").alias("mark"))
+    found = temporal.asof_join(asked, marks, ["market"], "ms", ["mark"], F.col("until"))
+    signed = F.when(F.col("taker_side") == "yes", F.col("mark") - F.col("paid")).otherwise(F.col("paid") - F.col("mark"))
+    return found.select("event_id", "horizon_ms", signed.cast("decimal(14,6)").alias("markout"))
+
+
+def markout_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = markouts(spark, d)
+    return rows.groupBy("horizon_ms").agg(
+        F.count("*").alias("n"), F.count("markout").alias("observed"), F.sum("markout").cast("decimal(28,6)").alias("total"),
+        F.count_if(F.col("markout") < 0).alias("adverse"),
+    )
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    last = view(spark, d, "ev").agg(F.max("ms")).first()[0] or 0
+    return book.on_grid(book.level_intervals(view(spark, d, "applied"), view(spark, d, "resets")), DAY, last)
+
+
+def grid_clock(spark: SparkSession, d: str) -> DataFrame:
+    return book.best_prices(_grid(spark, d))
+
+
+def book_hash(spark: SparkSession, d: str) -> DataFrame:
+    return book.state_hash(_grid(spark, d), ["market", "bucket_ms"])
+
+
+def ladder_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-section per series and instant: markets expected and captured."""
+    have = _grid(spark, d).select("market", "bucket_ms").distinct()
+    expected = view(spark, d, "ev").groupBy("series").agg(F.countDistinct("market").alias("expected"))
+    return have.groupBy((F.col("market") % 8).alias("series"), "bucket_ms").agg(F.count("*").alias("captured")).join(expected, "series")
+
+
+def position_fold(spark: SparkSession, d: str) -> DataFrame:
+    fills = view(spark, d, "fills").withColumn("signed_qty", F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")).cast("decimal(24,6)"))
+    return folds.positions(fills.withColumn("seq", F.struct("order_id", "line", "price", "signed_qty", "discount")))
+
+
+def taker_sweep(spark: SparkSession, d: str) -> DataFrame:
+    levels = view(spark, d, "deltas").where("side = 'no' AND delta > 0").groupBy("market", F.expr("CAST(1 - price AS DECIMAL(12,6))").alias("price")).agg(F.sum("delta").cast("decimal(24,6)").alias("size"))
+    return folds.taker_sweep(levels.selectExpr("*", "CAST(500 AS DECIMAL(24,6)) AS qty", "CAST(0.8 AS DECIMAL(12,6)) AS lim"), ["market"], "qty", "lim")
+
+
+def queue_fold(spark: SparkSession, d: str) -> DataFrame:
+    deltas = view(spark, d, "deltas")
+    orders = deltas.where("event_id % 50 = 1").selectExpr("event_id AS order_id", "market", "side", "us AS placed", "CAST(size(array(1)) * 300 AS DOUBLE) AS ahead")
+    hits = deltas.selectExpr("market", "side", "us", "us AS ms", "event_id AS seq", "CASE WHEN delta > 0 THEN CAST(delta AS DOUBLE) ELSE 0D END AS executed", "CASE WHEN delta < 0 THEN CAST(-delta AS DOUBLE) ELSE 0D END AS cancelled")
+    return folds.queue_fold(orders.join(hits, ["market", "side"]).where("us > placed AND us <= placed + 864000000000"), 0.5)
+
+
+def sequence_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    frames = view(spark, d, "ev").selectExpr("stream", "ordinal", "event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq")
+    return folds.sequence_verdicts(frames).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def equity_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Positions per market on a 90-day grid, summed over markets."""
+    fills = view(spark, d, "fills").withColumn("s", F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")))
+    daily = fills.groupBy("market", "ms").agg(F.sum("s").cast("decimal(24,6)").alias("net"))
+    held = daily.selectExpr("market", "ms", "CAST(sum(net) OVER (PARTITION BY market ORDER BY ms) AS DECIMAL(24,6)) AS qty", "lead(ms) OVER (PARTITION BY market ORDER BY ms) AS until")
+    last = daily.agg(F.max("ms")).first()[0] or 0
+    spans = held.selectExpr("qty", "ms AS a", f"coalesce(until, {last + 1}L) - 1 AS b")
+    return temporal.grid(spans, "a", "b", 90 * DAY).groupBy("bucket_ms").agg(F.count("*").alias("markets"), F.sum("qty").cast("decimal(28,6)").alias("net"))
+
+
+def backtest_join_bid(spark: SparkSession, d: str) -> DataFrame:
+    """Orders resting at a price, simulated under two fill models with the same intents."""
+    orders = view(spark, d, "deltas").where("event_id % 10 = 1").selectExpr("market", "event_id AS order_id", "ms", "CASE side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side", "CAST(price AS DOUBLE) AS price", "5D AS qty", "20D AS ahead", f"ms + {DAY * 30}L AS cancel_at")
+    trades = view(spark, d, "trades").selectExpr("market", "event_id AS trade_id", "ms", "CASE taker_side WHEN 'yes' THEN 'ask' ELSE 'bid' END AS hits", "CAST(price AS DOUBLE) AS price", "CAST(size AS DOUBLE) AS size")
+    from pyspark import cloudpickle
+    import tidebook
+
+    cloudpickle.register_pickle_by_value(tidebook)
+    return execution.simulate(orders, trades)
+
+
+def contract_types(spark: SparkSession, d: str) -> DataFrame:
+    """Breaches of the deltas' contract in the derived table, one row each."""
+    deltas = view(spark, d, "deltas").selectExpr("CAST(ordinal AS STRING) AS ingest_ordinal", "price", "delta AS delta_count", "CAST(price AS DOUBLE) AS pre_count")
+    return spark.createDataFrame([(b,) for b in lake.contract(deltas, lake.schema("deltas"))], "breach string")
+
+
+def dataset_files(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each file that a scan reads."""
+    return load(spark, d, "events").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(F.count("*").alias("n"))
+
+
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    out = flows.drained(flows.tumbling(flows.events(spark, f"{d}/events.parquet")), "complete")
+    return out.select("user_id", F.unix_millis("window.start").alias("start_ms"), "n", F.col("volume").cast("decimal(24,6)").alias("volume"))
+
+
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    out = flows.drained(flows.sliding(flows.events(spark, f"{d}/events.parquet")), "complete")
+    return out.select(F.unix_millis("window.start").alias("start_ms"), "n")
+
+
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return flows.drained(flows.deduplicated(flows.events(spark, f"{d}/events.parquet"), ["event_id"]), "append").select("event_id")
+
+
+def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark import cloudpickle
+    import tidebook
+
+    cloudpickle.register_pickle_by_value(tidebook)
+    return flows.drained(flows.verdicts(flows.events(spark, f"{d}/events.parquet")), "append").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+_GRID = f"""spans AS (SELECT a.market, a.side, a.price, a.post AS size, a.ms AS from_ms, coalesce(lead(a.ms) OVER (PARTITION BY a.market, a.epoch, a.side, a.price ORDER BY a.event_id),
+    (SELECT min(c.ms) FROM applied c WHERE c.cut = c.event_id AND c.market = a.market AND c.epoch = a.epoch),
+    (SELECT min(r.ms) FROM resets r WHERE r.market = a.market AND r.event_id > a.event_id), (SELECT max(ms) + 1 FROM ev)) AS to_ms FROM applied a WHERE a.ok),
+  cells AS (SELECT market, side, price, size, b.bucket_ms FROM spans JOIN (SELECT unnest(generate_series((SELECT min(ms) // {DAY} FROM ev), (SELECT max(ms) // {DAY} + 1 FROM ev))) * {DAY} AS bucket_ms) b
+    ON b.bucket_ms >= from_ms AND b.bucket_ms < to_ms WHERE size > 0)"""
+
+ORACLES: dict[str, str] = {
+    "asof_backward": "SELECT r.event_id, r.market, r.us, t.price AS last_price, t.event_id AS trade_id FROM resets r ASOF LEFT JOIN trades t ON t.market = r.market AND r.us >= t.us",
+    "asof_lagged": f"SELECT l.event_id, l.market, l.lag, l.us, t.event_id AS trade_id FROM (SELECT event_id, market, CAST(lag AS BIGINT) AS lag, us - lag AS us FROM resets, (VALUES (0), ({DAY * 1000})) v(lag)) l ASOF LEFT JOIN trades t ON t.market = l.market AND l.us >= t.us",
+    "markouts": f"""WITH asked AS (SELECT t.event_id, t.market, t.price AS paid, t.taker_side, h.h, t.ms + h.h AS at, max(t.ms) OVER (PARTITION BY t.market) AS until FROM trades t, (VALUES {", ".join(f"(CAST({h} AS BIGINT))" for h in HORIZONS)}) h(h)),
+        marks AS (SELECT market, ms, arg_max(price, event_id) AS mark FROM trades GROUP BY market, ms)
+        SELECT a.event_id, a.h AS horizon_ms, CAST(CASE WHEN a.at <= a.until THEN CASE WHEN a.taker_side = 'yes' THEN m.mark - a.paid ELSE a.paid - m.mark END END AS DECIMAL(14,6)) AS markout
+        FROM asked a ASOF LEFT JOIN marks m ON m.market = a.market AND a.at >= m.ms""",
+    "grid_clock": f"""WITH {_GRID}, tops AS (SELECT *, row_number() OVER (PARTITION BY market, bucket_ms, side ORDER BY price DESC) AS r FROM cells)
+        SELECT market, bucket_ms, max(CASE WHEN side = 'yes' THEN price END) AS bid, CAST(1 - max(CASE WHEN side = 'no' THEN price END) AS DECIMAL(12,6)) AS ask,
+        CAST(1 - max(CASE WHEN side = 'no' THEN price END) - max(CASE WHEN side = 'yes' THEN price END) AS DECIMAL(12,6)) AS spread,
+        CAST(sum(CASE WHEN side = 'yes' THEN size END) AS DECIMAL(24,6)) AS bid_depth, CAST(sum(CASE WHEN side = 'no' THEN size END) AS DECIMAL(24,6)) AS ask_depth FROM tops WHERE r <= 3 GROUP BY market, bucket_ms""",
+    "book_hash": f"""WITH {_GRID} SELECT market, bucket_ms, sha256(CAST(market AS VARCHAR) || chr(10) || 'yes:' || coalesce(string_agg(CASE WHEN side = 'yes' THEN price || '@' || size END, ',' ORDER BY price DESC), '')
+        || chr(10) || 'no:' || coalesce(string_agg(CASE WHEN side = 'no' THEN price || '@' || size END, ',' ORDER BY price DESC), '')) AS hash FROM cells GROUP BY market, bucket_ms""",
+    "ladder_samples": f"""WITH {_GRID} SELECT market % 8 AS series, bucket_ms, count(DISTINCT market) AS captured, any_value(expected) AS expected FROM cells
+        JOIN (SELECT series AS s, count(DISTINCT market) AS expected FROM ev GROUP BY series) e ON e.s = market % 8 GROUP BY market % 8, bucket_ms""",
+    "sequence_verdicts": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN top IS NULL THEN 'first' WHEN before > 0 THEN 'duplicate' WHEN seq < top THEN 'out_of_order' WHEN seq = top + 1 THEN 'ok' ELSE 'gap' END AS verdict FROM (
+        SELECT seq, max(seq) OVER (PARTITION BY stream ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, count(*) OVER (PARTITION BY stream, seq ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT stream, ordinal, event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq FROM ev) f) x) y GROUP BY verdict""",
+    "taker_sweep": """WITH l AS (SELECT market, CAST(1 - price AS DECIMAL(12,6)) AS price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas WHERE side = 'no' AND delta > 0 GROUP BY market, price),
+        c AS (SELECT market, price, CASE WHEN price <= 0.8 THEN greatest(0, least(size, 500 - coalesce(sum(size) OVER (PARTITION BY market ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS took FROM l)
+        SELECT market, CAST(sum(took) AS DECIMAL(24,6)) AS filled, CAST(sum(CAST(took AS DECIMAL(24,6)) * price) AS DECIMAL(38,12)) AS cost FROM c GROUP BY market""",
+    "equity_grid": f"""WITH daily AS (SELECT market, ms, sum(CASE WHEN action = 'buy' THEN qty ELSE -qty END) AS net FROM fills GROUP BY market, ms),
+        held AS (SELECT market, ms, sum(net) OVER (PARTITION BY market ORDER BY ms) AS qty, coalesce(lead(ms) OVER (PARTITION BY market ORDER BY ms), (SELECT max(ms) + 1 FROM daily)) AS until FROM daily)
+        SELECT b AS bucket_ms, count(*) AS markets, CAST(sum(qty) AS DECIMAL(28,6)) AS net FROM held JOIN (SELECT unnest(generate_series((SELECT min(ms) // {90 * DAY} - 1 FROM daily), (SELECT max(ms) // {90 * DAY} FROM daily))) * {90 * DAY} AS b) g ON b >= ms AND b < until GROUP BY b""",
+    "stream_tumbling": f"SELECT market AS user_id, CAST(floor(us / {DAY * 1000}) AS BIGINT) * {DAY} AS start_ms, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(24,6))) AS DECIMAL(24,6)) AS volume FROM (SELECT *, (SELECT 1) AS one FROM ev) e JOIN (SELECT event_id, value FROM events) v USING (event_id) GROUP BY market, CAST(floor(us / {DAY * 1000}) AS BIGINT)",
+    "stream_sliding": f"SELECT d * {DAY} AS start_ms, count(*) AS n FROM (SELECT unnest([day, day - 1]) AS d FROM (SELECT CAST(floor(us / {DAY * 1000}) AS BIGINT) AS day FROM ev) x) y GROUP BY d",
+    "stream_dedupe": "SELECT event_id FROM events",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (
+        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, queue_fold, sequence_verdicts,
+        equity_grid, backtest_join_bid, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
+    )
+    return {f.__name__: f for f in own}
+
+
+ORACLES["markout_summary"] = f"SELECT horizon_ms, count(*) AS n, count(markout) AS observed, CAST(sum(markout) AS DECIMAL(28,6)) AS total, count(CASE WHEN markout < 0 THEN 1 END) AS adverse FROM ({ORACLES['markouts']}) m GROUP BY horizon_ms"
