@@ -1,0 +1,391 @@
+"""The ten operators on hand-made rows: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import gzip
+import hashlib
+import io
+import itertools
+import math
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidebook.llm import fingerprint, jaccard, langid, packing, pii, quality, sp_sampling, toxicity, url_filter, warc
+from tidebook.llm.components import connected_components
+
+LONG = "word " * 60_000
+EDGE = [
+    (1, None, "en"), (2, "", None), (3, " \n\t", "en"), (4, "A b", "en"), (4, "A b", "en"), (None, "a b c d e", None), (5, LONG, "en"),
+    (6, "a1 " * 40 + "x@y.org; +1 (555) 123-4567; 4111 1111 1111 1111; 10.0.0.255", "de"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Edge rows with extra columns whose names the operators use themselves."""
+    rows = [(*r, i, "s", 0.5, 7) for i, r in enumerate(EDGE)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, spans string, score double, fail_bits int")
+
+
+def shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def groups(rows, width, percent):
+    """Brute force: component of each row's id."""
+    sets = {d: shingles(t, width) for d, t in rows}
+    part = {d: d for d in sets}
+    for _ in sets:
+        changed = False
+        for a, b in itertools.combinations(sets, 2):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]) and part[a] != part[b]:
+                part[a] = part[b] = min(part[a], part[b])
+                changed = True
+        if not changed:
+            break
+    return part
+
+
+def near_copies(n=60, seed=1):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    out = []
+    for i in range(n):
+        own = list(base) if i % 3 else [f"v{rng.randrange(900)}" for _ in range(80)] + base[:40]
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(9)}"
+        out.append((i, " ".join(own)))
+    return out + [(n, out[1][1]), (n + 1, out[1][1].upper())]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (70, 70), (None, 1)], "src long, dst long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(31)} | {50: 50, 60: 50, 70: 70}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+# ---- 1
+
+
+def luhn(s):
+    d = [int(c) for c in s[::-1]]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def base_spans(text):
+    text, out = text or "", []
+    kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+             ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    for kind, pattern in kinds:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_base_spans_match_the_grammar(spark):
+    texts = ["a@b.c_x@d.e é1.2.3.4.5.6.7.8 300.1.2.3.4 001.002.003.0004", "+1 (555) 123-4567 x +12 +123456789 +1234567890123456 ++44 20 7946 0958.",
+             "4111 1111 1111 1111 4111-1111-1111-1112 1 2 3 4111111111111111-", "x@y@z.com a..b@-.- @a.b 😀 foo@bar.com.", None, "", "9" * 5000, "a" * 20000 + "@",
+             "1 " * 5000, "mail joe [at] foo [dot] com", "+1  2  3 4 5 6 7 8 9 0 1)"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("12 5.@+-()ab_") for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.query(df).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert set(want) <= set(filter(None, r.spans.split(",")))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in pii.KINDS]
+
+
+def test_pii_edges_and_redaction(docs):
+    assert pii.query(docs).count() == len(EDGE) and pii.query(docs.limit(0)).count() == 0
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    texts = {r.n_words: r.text for r in out.collect()}
+    assert texts[0] is None and texts[1] == "" and texts[7].endswith("[EMAIL]; [PHONE]; [CARD]; [IP]")
+
+
+def test_pii_em_learns_reliable_labelers():
+    strong, weak = 2 * 1 + 0, 1  # votes are base 3
+    code = lambda votes: (lambda c: c * 4 + 2)(eval("+".join(f"{v}*{3 ** (4 - i)}" for i, v in enumerate(votes))))
+    counts = {code([2, 2, 2, 2, 1]): 500, code([0, 0, 1, 0, 0]): 500, code([2, 2, 1, 0, 1]): 40}
+    probability, reliability = pii.fit(counts)
+    assert probability[code([2, 2, 2, 2, 1])] > 0.9 > 0.1 > probability[code([0, 0, 1, 0, 0])]
+    assert reliability[(0, 0)] > reliability[(0, 3)] and strong > weak
+
+
+# ---- 2
+
+
+def test_toxicity_held_out_and_counterfactual(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 4 == 0
+        words = [f"w{rng.randrange(300)}" for _ in range(30)] + ([rng.choice(["scumbag", "vermin"])] if toxic else [])
+        if rng.random() < (0.8 if toxic else 0.2):
+            words.append(rng.choice(["muslim", "gay"]))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(5000, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    truth = dict(labels)
+    got = toxicity.query(docs, lab).collect()
+    test = [r for r in got if r.held_out]
+    assert len(got) == 900 and sum(r.predicted == truth[r.doc_id] for r in test) >= 0.95 * len(test)
+    model = toxicity.train(docs, lab)
+    assert model.score("a gay w1 w2 w3") < 0.5 < model.score("vermin w1 w2 w3")
+    assert abs(model.score("w1 muslim w2") - model.score("w1 people w2")) < 0.3
+
+
+def test_toxicity_edges(spark, docs):
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.query(docs, lab).collect()} == {0.0}
+    assert toxicity.accepted(docs, lab).columns == docs.columns and toxicity.query(docs.limit(0), lab.limit(0)).count() == 0
+
+
+# ---- 3
+
+
+def test_url_filter_aliases_and_edges(spark):
+    rows = [(1, "http://A.Example.net/de/x#f", '<link rel="canonical" href="http://b.example.com/de/x">'), (2, "https://www.a.example.net/de/x/", ""),
+            (3, "http://b.example.com/de/x?utm_a=1", ""), (4, None, None), (5, "nohost", ""), (6, "http://c.net", '<meta http-equiv="refresh" content="0; url=/go">'),
+            (7, "http://q.org", "x"), (8, "http://z.net/a", '<link href="http://b.com/de/q" rel=canonical>'), (9, "http://z.net/a?x=1", ""), (9, "http://z.net/a?x=1", ""),
+            (10, "http://o.org/p", '<link rel=canonical href="http://k.com/de/p">'), (11, "https://k.com/de/p", "")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, rule string")
+    got = [(r.page_id, r.verdict, r.rule, r.host, r.path) for r in url_filter.judge(df).orderBy("page_id").collect()]
+    verdict = {p: v for p, v, *_ in got}
+    assert verdict == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow", 11: "block"}
+    assert got[0][3:] == ("a.example.net", "/de/x") and got[3][3:] == ("", "") and got[2][2] == "com/de/" and len(got) == 12
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
+# ---- 4
+
+
+def test_warc_normaliser_round_trip():
+    bodies = [b"", b"x" * 3000, "é\r\n\r\nWARC/1.1".encode(), bytes(range(256)) * 50]
+    raw = b"".join(warc.record(i, f"http://h/{i}", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies))
+    raw += warc.record(9, None, bodies[1], hashlib.sha1(bodies[1]).hexdigest(), 1)
+    out = io.BytesIO()
+    index = list(warc.normalise_stream(io.BytesIO(gzip.compress(raw)), out))
+    assert gzip.decompress(out.getvalue()) == raw
+    parsed = [warc.parse_member(out.getvalue()[o : o + n]) for o, n, _ in index]
+    assert [(p["page_id"], p["payload_bytes"]) for p in parsed] == [(0, 0), (1, 3000), (2, len(bodies[2])), (3, 12800), (9, 3000)]
+    assert parsed[-1]["refers_to"] == 1 and parsed[-1]["payload_digest"] == parsed[1]["payload_digest"]
+    with pytest.raises(ValueError):
+        list(warc.normalise_stream(io.BytesIO(gzip.compress(raw[:-100])), io.BytesIO()))
+
+
+def test_warc_query(spark):
+    rows = [(None, None, None), (1, "a b\n", "x" * 2000), (1, "a", "x" * 2000), (2, "", ""), (3, "u", "y" * 999), (4, "u", "y" * 999), (7, "u", "x" * 2000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.query(df).collect())
+    sha = lambda s: hashlib.sha1(s.encode()).hexdigest()
+    assert got == Counter([(None, 0, sha(""), "response", None), (2, 0, sha(""), "response", None), (3, 999, sha("y" * 999), "response", None), (4, 999, sha("y" * 999), "response", None),
+                           (7, 2000, sha("x" * 2000), "response", None), (1, 2000, sha("x" * 2000), "revisit", 7), (1, 2000, sha("x" * 2000), "revisit", 7)])
+    assert warc.query(df.limit(0)).count() == 0
+
+
+# ---- 5
+
+
+def test_best_fit_decreasing_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(50):
+        lengths = [rng.randrange(1, 65) for _ in range(rng.randrange(1, 80))]
+        placed = packing.best_fit_decreasing(lengths, 64)
+        rooms, want = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            fits = [(r, b) for b, r in enumerate(rooms) if r >= lengths[i]]
+            if fits:
+                room = min(r for r, _ in fits)
+                b = next(b for r, b in fits if r == room)
+            else:
+                rooms.append(64)
+                b = len(rooms) - 1
+            rooms[b] -= lengths[i]
+            want[i] = rooms[b]
+        assert len({b for b, _ in placed}) == len(rooms)
+        load = defaultdict(list)
+        for i, (b, o) in enumerate(placed):
+            load[b].append((o, lengths[i]))
+        for items in load.values():
+            end = 0
+            for o, n in sorted(items):
+                assert o == end
+                end += n
+            assert end <= 64
+
+
+def test_packing_query(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = docs.unionByName(spark.createDataFrame([(8, "a <|endoftext|> b")], "doc_id long, text string"), allowMissingColumns=True)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in own.collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]
+        for k, (start, n) in enumerate(packing.cut(len(ids))):
+            want[(r.doc_id, k, start, n, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[start : start + n])))] += 1
+    rows = packing.query(own).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    load = defaultdict(list)
+    for r in rows:
+        load[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in items) <= 1024 and all(o == sum(n for p, n in items if p < o) for o, _ in items) for items in load.values())
+    assert len(load) <= math.ceil(sum(r.length for r in rows) / 1024) + 1 and packing.query(own.limit(0)).count() == 0
+
+
+# ---- 6
+
+
+def test_quality_ledger(spark, docs):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("the of a b #x ...".split()) for _ in range(rng.randrange(90))) + "\n" + rng.choice(["", "l\nl\n", "- x\n"]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.judged(df).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        seen, covered = Counter(zip(words, words[1:], words[2:], strict=False)), set()
+        for i in range(len(words) - 2):
+            if seen[tuple(words[i : i + 3])] > 1:
+                covered |= {i, i + 1, i + 2}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
+        assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r.kept and r.base_failed)
+    led = quality.ledger(df)
+    one = {r.rule: (r.n_failed, r.n_failed_alone) for r in quality.ablation(led, "v1").collect()}
+    bits = [r.fail_bits & quality.mask("v1") for r in led.collect()]
+    assert one["few_words"] == (sum(b & 1 for b in bits), sum(b == 1 for b in bits))
+    assert quality.accepted(docs).columns == docs.columns and quality.judged(docs.limit(0)).count() == 0
+    assert [r.n_words for r in quality.judged(docs).orderBy("doc_id").collect()][:3] == [5, 0, 0]
+
+
+# ---- 7
+
+
+def test_langid(spark, docs):
+    rng = random.Random(6)
+    make = lambda kinds: " ".join(rng.choice(kinds) + rng.choice(kinds) for _ in range(30))
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["éa", "ou", "ré"]}
+    rows = [(i, make(kinds[lang]), lang) for i, lang in enumerate(list(kinds) * 60)]
+    got = langid.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert all(r.lang_pred == truth[r.doc_id] and 0 <= r.score <= 1 for r in got) and any(r.held_out for r in got)
+    edge = langid.query(docs).collect()
+    assert len(edge) == len(EDGE) and {r.lang_pred for r in edge if r.doc_id in (1, 2, 3)} == {"und"}
+    assert langid.query(docs.limit(0)).count() == 0
+    for n in (1, 2, 4, 7, 12):
+        code = langid.codewords(n)
+        assert len({tuple(c) for c in code.tolist()}) == n
+
+
+# ---- 8
+
+
+def test_fingerprint(spark, docs):
+    canon = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).casefold())).strip()
+    texts = ["Straße  ＡＢＣ\n", "strasse abc", None, "", "é", "É", "x", LONG, "same", "same"]
+    df = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string")
+    got = {r.doc_id: r for r in fingerprint.query(df).collect()}
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        after = plain[i - 1]
+        n, half = len(t), len(t) // 2
+        edited = t[: n - half] + after[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].near_edited == float(canon(edited) == canon(t)) and got[i].near_next == float(canon(after) == canon(t))
+        for j, u in enumerate(plain):
+            assert (got[i].fingerprint == got[j].fingerprint) == (canon(t) == canon(u))
+    assert fingerprint.query(docs).count() == len(EDGE) and fingerprint.query(df.limit(0)).count() == 0
+
+
+def test_fingerprint_tells_colliding_texts_apart(spark):
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, text string")
+    own = docs.select("doc_id", F.lit("00").alias("fingerprint"))
+    real, fingerprint.digest = fingerprint.digest, lambda c: F.lit("00")
+    try:
+        got = {r.doc_id: r.fingerprint for r in fingerprint._verified(docs, own).collect()}
+    finally:
+        fingerprint.digest = real
+    assert got[1] == got[3] == "00" and got[2].startswith("00-")
+
+
+# ---- 9
+
+
+@pytest.mark.parametrize("heavy", [3, 512])
+def test_jaccard_against_brute_force(spark, heavy):
+    rows = near_copies()
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sig int")
+    want = groups(rows, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, 4, 85, heavy).collect()}
+    assert got == {d: (len(shingles(t, 4)), want[d]) for d, t in rows}
+    kept = jaccard.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups(rows, 5, 80).values()))
+
+
+def test_jaccard_edges(spark, docs):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.query(docs).collect()]
+    assert len(got) == len(EDGE) and {g for g in got if g[0] in (1, 2, 3)} == {(1, 0, 1), (2, 0, 2), (3, 0, 3)}
+    assert [g for g in got if g[0] == 4] == [(4, 1, 4)] * 2 and jaccard.query(docs.limit(0)).count() == 0
+
+
+# ---- 10
+
+
+def test_sampling_is_exact_without_replacement():
+    lattice, text, n = sp_sampling.Lattice(), "then an", 6000
+
+    def paths(rest):
+        if not rest:
+            yield (), 0.0
+        for end in range(1, len(rest) + 1):
+            if rest[:end] in lattice.pieces:
+                for tail, score in paths(rest[end:]):
+                    yield (lattice.pieces[rest[:end]][0], *tail), score + lattice.pieces[rest[:end]][1]
+
+    every = {a + b: x + y for (a, x), (b, y) in itertools.product(list(paths("▁then")), list(paths("▁an")))}
+    z = math.log(sum(map(math.exp, every.values())))
+    p = {a: math.exp(x - z) for a, x in every.items()}
+    by = defaultdict(list)
+    for d, rank, pieces, log_prob, value, inclusion in sp_sampling.sample_batch(lattice, list(range(n)), [text] * n, k=2):
+        assert abs(math.exp(log_prob) - p[tuple(pieces)]) < 1e-9 and rank == len(by[d]) + 1
+        by[d].append((tuple(pieces), value, inclusion))
+    first, second = Counter(x[0][0] for x in by.values()), Counter(x[1][0] for x in by.values())
+    assert all(x[0][1] >= x[1][1] and x[0][0] != x[1][0] for x in by.values())
+    for a in sorted(p, key=p.get, reverse=True)[:3]:
+        assert abs(first[a] / n - p[a]) < 0.03
+        assert abs(second[a] / n - sum(p[b] * p[a] / (1 - p[b]) for b in p if b != a)) < 0.03
+    assert abs(sum(p[a] / i for x in by.values() for a, _, i in x) / n - 1) < 0.05  # inclusion scores weigh to one
+
+
+def test_sampling_round_trip_and_edges(docs):
+    lattice = sp_sampling.Lattice()
+    texts = ["a😀 \n  x", "Hello  wörld\n\tx ", "日本 \x00 é", "", None, "q" * 500]
+    out = sp_sampling.sample_batch(lattice, list(range(6)), texts, k=3)
+    for d, _, pieces, *_ in out:
+        assert lattice.decode(list(pieces)) == (texts[d] or "")
+    assert Counter(d for d, *_ in out)[3] == 1
+    alone = sp_sampling.sample_batch(sp_sampling.Lattice(), [1], [texts[1]], k=3)
+    assert [list(x[2]) for x in alone] == [list(x[2]) for x in out if x[0] == 1]
+    got = sp_sampling.query(docs).collect()
+    assert {(r.doc_id, r.sample) for r in got} >= {(1, 1), (2, 1), (5, 3), (None, 1)} and sp_sampling.query(docs.limit(0)).count() == 0
+    twice = [(r.sample, r.ids_crc32) for r in got if r.doc_id == 4]
+    assert sorted(twice[: len(twice) // 2]) == sorted(twice[len(twice) // 2 :])

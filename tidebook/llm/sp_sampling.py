@@ -268,7 +268,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     n = len(texts)
     known: dict[str, int] = {}
     per_doc = [[known.setdefault(c, len(known)) for c in chunks_of(t)] for t in texts]
-    lattice.build(list(known))
+    lattice.build(list(known) or [SPACE])  # a batch of empty texts needs no lattice
     to, piece, logp, first = lattice.to, lattice.code, lattice.logp, lattice.first
     sizes = np.array([len(x) for x in per_doc])
     all_states = lattice.begin[np.array([s for x in per_doc for s in x], dtype=np.int64)]
