@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,7 @@ from tidebook.llm.common import batches as arrow
 SPACE = "▁"
 LONGEST = 120
 #: Characters of the documents that are stepped together.
-PORTION = 2_000_000
+PORTION = 3_000_000
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 K, ALPHA, SEED = 3, 0.5, 42
 
@@ -38,8 +39,10 @@ def chunks_of(text: str | None) -> list[str]:
     """The lattice's independent parts; empty for an empty text."""
     if not text:
         return []
-    out = []
-    for chunk in CHUNKS.findall(SPACE + text.replace(" ", SPACE)):
+    found, out = CHUNKS.findall(SPACE + text.replace(" ", SPACE)), []
+    if max(map(len, found)) <= LONGEST:
+        return found
+    for chunk in found:
         out += [chunk] if len(chunk) <= LONGEST else [chunk[i : i + LONGEST] for i in range(0, len(chunk), LONGEST)]
     return out
 
@@ -60,6 +63,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model or public_tokenizers.path("piece_bpe_32k.model"))
         self.names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
+        self.wide: dict[int, object] = {}
         self.ascii = np.array([self.byte[b] for b in range(128)])
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8]
         self.pieces = {self.names[i]: (i, -alpha * math.log(r + 2)) for r, i in enumerate(sorted(plain, key=lambda i: -sp.get_score(i)))}
@@ -130,7 +134,7 @@ class Lattice:
             at, node = at[live], node[live]
         start, length, piece, score = (np.concatenate(x) for x in (starts, lengths, pieces, scores))
         left = end_of[start] - start  # characters to the chunk's end
-        order = np.argsort((left.astype(np.int64) * (len(chars) + 1) + start) * 64 + length)  # no ties: the same in any batch
+        order = np.argsort((left.astype(np.int64) * (len(chars) + 1) + start) * 64 + 63 - length)  # longest, so likeliest, pieces first; no ties: the same in any batch
         start, length, piece, score, left = start[order], length[order], piece[order], score[order], left[order]
         beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
         target = start + length
@@ -160,13 +164,18 @@ class Lattice:
         """Piece ids of an array of option codes; a negative code is a character to be spelled in bytes."""
         import numpy as np
 
-        if not len(codes) or codes.min() >= 0:
+        at = np.flatnonzero(codes < 0)
+        if not len(at):
             return codes
-        if codes.min() >= -128:
-            out, at = codes.copy(), np.flatnonzero(codes < 0)
-            out[at] = self.ascii[-1 - codes[at]]
-            return out
-        return np.array([i for c in codes.tolist() for i in ((c,) if c >= 0 else [self.byte[b] for b in chr(-1 - c).encode("utf-8", "replace")])])
+        out, char = codes.copy(), -1 - codes[at]
+        out[at] = self.ascii[np.minimum(char, 127)]
+        parts, last = [], 0
+        for place, c in zip(at[char > 127].tolist(), char[char > 127].tolist(), strict=True):
+            if c not in self.wide:
+                self.wide[c] = np.array([self.byte[b] for b in chr(c).encode("utf-8", "replace")])
+            parts += [out[last:place], self.wide[c]]
+            last = place + 1
+        return np.concatenate([*parts, out[last:]]) if parts else out
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids."""
@@ -266,12 +275,13 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     import numpy as np
 
     n = len(texts)
-    known: dict[str, int] = {}
-    per_doc = [[known.setdefault(c, len(known)) for c in chunks_of(t)] for t in texts]
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    per_doc = [np.fromiter(map(known.__getitem__, chunks_of(t)), np.int64) for t in texts]
     lattice.build(list(known) or [SPACE])  # a batch of empty texts needs no lattice
     to, piece, logp, first = lattice.to, lattice.code, lattice.logp, lattice.first
     sizes = np.array([len(x) for x in per_doc])
-    all_states = lattice.begin[np.array([s for x in per_doc for s in x], dtype=np.int64)]
+    all_states = lattice.begin[np.concatenate(per_doc)]
     begin = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(n), sizes)
     chunk = np.arange(len(doc)) - begin[doc]
