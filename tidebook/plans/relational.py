@@ -103,4 +103,22 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'no_violation', count(CASE WHEN post < 0 THEN 1 END) = 0 FROM levels""",
     "health_levels": """SELECT series, max(level) AS worst FROM (SELECT series, CASE WHEN event_type = 'error' AND size > 50 THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END AS level FROM ev) x GROUP BY series""",
     "coverage": "SELECT series, max(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END) AS status, min(CASE WHEN event_type = 'purchase' THEN ms END) AS exercised_ms FROM ev GROUP BY series",
+    # ---- evidence, risk and calibration
+    "depth_ahead": """SELECT d.event_id, count(b.price) AS better_levels, CAST(coalesce(sum(CASE WHEN b.price > d.price THEN b.size END), 0) AS DECIMAL(24,6)) AS better_size,
+        CAST(coalesce(sum(CASE WHEN b.price = d.price THEN b.size END), 0) AS DECIMAL(24,6)) AS same_size FROM deltas d JOIN (SELECT market, side, price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas GROUP BY market, side, price) b
+        ON b.market = d.market AND b.side = d.side AND b.price >= d.price WHERE d.event_id % 20 = 1 GROUP BY d.event_id""",
+    "event_time_rows": "SELECT event_id, market, ms, post, 'delta' AS kind FROM applied WHERE ok UNION ALL SELECT event_id, market, ms, NULL, 'seed' FROM resets",
+    "grid_post_event": """SELECT market, bucket, max(event_id) AS state_of FROM (SELECT market, event_id, CAST(ceil(ms / 86400000) AS BIGINT) AS bucket FROM applied WHERE ok) x GROUP BY market, bucket""",
+    "replay_verify": """SELECT e.market, e.epoch, e.n AS expected, coalesce(r.n, 0) AS replayed, e.n = coalesce(r.n, 0) AS matches FROM (SELECT market, epoch, count(*) AS n FROM levels GROUP BY market, epoch) e
+        LEFT JOIN (SELECT market, epoch, count(*) AS n FROM applied WHERE ok GROUP BY market, epoch) r ON r.market = e.market AND r.epoch = e.epoch""",
+    "risk_envelope": """SELECT market, CASE WHEN errors > 25 THEN 'kill_switch' WHEN exposure > 3000 THEN 'exposure' WHEN n > 120 THEN 'too_many_orders' ELSE 'allowed' END AS block_reason FROM (SELECT market, count(*) AS n,
+        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN event_type = 'purchase' THEN size ELSE 0 END) AS exposure FROM ev GROUP BY market) x""",
+    "stratum_selection": """SELECT stratum, n FROM (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*), stratum) AS r FROM (SELECT concat_ws('/', CASE WHEN size >= 10 THEN 'deep' ELSE 'thin' END, event_type) AS stratum FROM ev) s GROUP BY stratum) x WHERE r <= 3""",
+    "lag_search": """SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT p.event_id, l.lag, abs(count(d.event_id) - 2) AS resid FROM (SELECT event_id, market, ms FROM trades WHERE event_id % 10 = 1) p
+        CROSS JOIN (SELECT 0 AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l LEFT JOIN deltas d ON d.market = p.market AND d.ms > p.ms + CAST(l.lag AS BIGINT) * 1000000 AND d.ms <= p.ms + CAST(l.lag AS BIGINT) * 1000000 + 172800000
+        GROUP BY p.event_id, l.lag) x GROUP BY event_id""",
+    "level_activity": """SELECT market, side, price, CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS DECIMAL(24,6)) AS added, CAST(sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS DECIMAL(24,6)) AS removed, count(*) AS n FROM applied WHERE ok GROUP BY market, side, price""",
+    "tracking_windows": "SELECT market, event_id, ms AS opened_ms, lead(ms) OVER (PARTITION BY market ORDER BY event_id) AS closed_ms FROM resets",
+    "volume_decrease": "SELECT count(*) AS n FROM (SELECT post, lag(post) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS prev FROM levels) x WHERE post < prev",
+    "time_difference_orders": "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE $US(o_orderdate) >= 757382400000000 GROUP BY o_orderstatus",
 }
