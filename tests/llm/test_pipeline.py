@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import groups
+from tests.llm.test_llm_operators import groups
 from tidebook.llm import jaccard, quality, registry, toxicity
 from tidebook.llm.common import read, stage_table
 
