@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 def level_intervals(applied: DataFrame, resets: DataFrame) -> DataFrame:
     """(market, side, price, size, from_ms, to_ms) of positive sizes; to_ms is exclusive, null at the end."""
     level = Window.partitionBy("market", "epoch", "side", "price").orderBy("event_id")
-    ends = resets.groupBy("market").agg(F.sort_array(F.collect_list(F.struct("event_id", "ms"))).alias("r"))
+    # the epoch is the number of resets so far, so the one that ends it has the next number
+    ends = resets.selectExpr("market", "row_number() OVER (PARTITION BY market ORDER BY event_id) - 1 AS epoch", "ms AS reset_ms")
+    cuts = applied.where("cut = event_id").selectExpr("market", "epoch", "ms AS cut_ms")
     ok = applied.where("ok").withColumn("next_ms", F.lead("ms").over(level))
-    cuts = applied.where("cut = event_id").select(F.col("market").alias("m"), F.col("epoch").alias("e"), F.col("ms").alias("cut_ms"))
-    joined = ok.join(ends, "market", "left").join(cuts, (F.col("market") == F.col("m")) & (F.col("epoch") == F.col("e")), "left")
-    # the epoch is the number of resets so far, so the next reset has that index
-    stop = F.coalesce("next_ms", "cut_ms", F.expr("CASE WHEN epoch < size(r) THEN r[CAST(epoch AS INT)].ms END"))
+    joined = ok.join(ends, ["market", "epoch"], "left").join(cuts, ["market", "epoch"], "left")
+    stop = F.coalesce("next_ms", "cut_ms", "reset_ms")
     return joined.where("post > 0").select("market", "side", "price", F.col("post").alias("size"), F.col("ms").alias("from_ms"), stop.alias("to_ms"))
 
 
@@ -50,6 +50,24 @@ def best_prices(levels: DataFrame, depth: int = 3) -> DataFrame:
     )
 
 
+def features(levels: DataFrame, depths: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Per market and instant: mid, microprice, and for each k the sizes of the best k levels and their imbalance.
+
+    A market has at most one row per price and side, so a book's ladder is bounded by the tick grid. Mid, microprice
+    and imbalance of one-sided books are null.
+    """
+    best = Window.partitionBy("market", "bucket_ms", "side").orderBy(F.col("price").desc())
+    ranked = levels.withColumn("r", F.row_number().over(best))
+    size = lambda side, k: F.sum(F.when((F.col("side") == side) & (F.col("r") <= k), F.col("size"))).cast("decimal(24,6)")
+    top = lambda side: F.max(F.when((F.col("side") == side) & (F.col("r") == 1), F.col("price")))
+    sums = [size(side, k).alias(f"{side}_{k}") for k in depths for side in ("yes", "no")]
+    book = ranked.groupBy("market", "bucket_ms").agg(top("yes").alias("bid"), (1 - top("no")).cast("decimal(12,6)").alias("ask"), *sums)
+    as_float = lambda c: F.col(c).cast("double")
+    ratio = [F.round((as_float(f"yes_{k}") - as_float(f"no_{k}")) / (as_float(f"yes_{k}") + as_float(f"no_{k}")), 6).alias(f"imbalance_{k}") for k in depths]
+    micro = (as_float("bid") * as_float("no_1") + as_float("ask") * as_float("yes_1")) / (as_float("yes_1") + as_float("no_1"))
+    return book.select("market", "bucket_ms", F.round((as_float("bid") + as_float("ask")) / 2, 6).alias("mid"), F.round(micro, 6).alias("microprice"), *ratio)
+
+
 def state_hash(levels: DataFrame, keys: list[str]) -> DataFrame:
     """SHA-256 of each book: key, then the yes and no ladders, price descending, as ``price@size``."""
     def ladder(side: str):
@@ -59,3 +77,9 @@ def state_hash(levels: DataFrame, keys: list[str]) -> DataFrame:
     folded = levels.groupBy(*keys).agg(ladder("yes").alias("y"), ladder("no").alias("n"))
     text = F.concat(F.col(keys[0]).cast("string"), F.lit("\nyes:"), "y", F.lit("\nno:"), "n")
     return folded.select(*keys, F.sha2(text, 256).alias("hash"))
+
+
+def ladder_hash(members: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """SHA-256 over the sorted ``member=hash`` lines of each cross-section; a missing hash is spelled ``null``."""
+    line = F.concat(F.col(member).cast("string"), F.lit("="), F.coalesce("hash", F.lit("null")))
+    return members.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("hash"), F.count("*").alias("members"))

@@ -9,43 +9,126 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-FILLS = "market long, order_id long, trade_id long, ms long, price double, qty double, model string"
+FILLS = "market long, order_id long, trade_id long, ms long, price double, qty double, model string, latency_ms long"
+STATES = "market long, order_id long, seq int, ms long, state string, qty double, price double"
 
 
-def simulate(orders: DataFrame, trades: DataFrame, latency_ms: int = 100, cancel_ms: int = 100, models: tuple[str, ...] = ("touch", "conservative")) -> DataFrame:
-    """Fills of resting orders (market, order_id, ms, side, price, qty, ahead, cancel_at) by prints.
+def simulate(
+    orders: DataFrame, trades: DataFrame, latencies: tuple[int, ...] = (100,), cancel_ms: int = 100, models: tuple[str, ...] = ("touch", "conservative")
+) -> DataFrame:
+    """Fills of resting orders (market, order_id, ms, side, price, qty, ahead, cancel_at) by prints, for every model and latency.
 
-    An order rests from ``ms + latency_ms`` and can be filled until its cancel takes effect. A print that takes the
+    An order rests from ``ms + latency`` and can be filled until its cancel takes effect. A print that takes the
     other side reaches orders at its price or better for it, best price first, then first come; ``conservative`` first
-    uses up the contracts ahead at the order's own price, ``touch`` fills as soon as the price is reached.
+    uses up the contracts ahead at the order's own price, ``touch`` fills as soon as the price is reached. The intents
+    are the same in every scenario: no fill feeds back into them.
     """
 
     def run(key, own, prints):
+        import numpy as np
         import pandas as pd
 
         out = []
-        for model in models:
-            book = own.sort_values(["ms", "order_id"])
-            left = dict(zip(book.order_id, book.qty.astype(float), strict=True))
-            ahead = dict(zip(book.order_id, book.ahead.astype(float), strict=True))
-            for t in prints.sort_values(["ms", "trade_id"]).itertuples():
-                better = (book.price >= t.price) if t.hits == "bid" else (book.price <= t.price)
-                live = book[(book.side == t.hits) & better & (book.ms + latency_ms < t.ms) & (book.cancel_at.isna() | (book.cancel_at + cancel_ms >= t.ms))]
-                live = live.sort_values(["price", "ms", "order_id"], ascending=[t.hits != "bid", True, True])
-                print_left = float(t.size)
-                for o in live.itertuples():
-                    if left[o.order_id] <= 0 or print_left <= 0:
-                        continue
-                    available = print_left
-                    if model == "conservative" and o.price == t.price:
-                        used = min(ahead[o.order_id], available)
-                        ahead[o.order_id] -= used
-                        available -= used
-                    got = min(left[o.order_id], available)
-                    if got > 0:
-                        left[o.order_id] -= got
-                        print_left -= got
-                        out.append((key[0], o.order_id, t.trade_id, t.ms, float(o.price), got, model))
+        prints = prints.sort_values(["ms", "trade_id"])
+        for side in ("bid", "ask"):
+            hits = prints[prints.hits == side]
+            book = own[own.side == side].assign(rank=lambda d, sign=-1.0 if side == "bid" else 1.0: sign * d.price).sort_values(["rank", "ms", "order_id"])
+            ids, price, born = book.order_id.to_numpy(), book.price.to_numpy(float), book.ms.to_numpy()
+            dies = book.cancel_at.astype(float).fillna(np.inf).to_numpy() + cancel_ms
+            reach = book["rank"].to_numpy(float)
+            for model in models:
+                for latency in latencies:
+                    left, ahead = book.qty.to_numpy(float).copy(), book.ahead.to_numpy(float).copy()
+                    for trade, at, paid, size in zip(hits.trade_id, hits.ms, hits.price, hits["size"], strict=True):
+                        upto = np.searchsorted(reach, -paid if side == "bid" else paid, side="right")  # best prices lie first
+                        live = (left[:upto] > 0) & (born[:upto] + latency < at) & (dies[:upto] >= at)
+                        print_left = float(size)
+                        for o in np.flatnonzero(live):
+                            if print_left <= 0:
+                                break
+                            available = print_left
+                            if model == "conservative" and price[o] == paid:
+                                used = min(ahead[o], available)
+                                ahead[o] -= used
+                                available -= used
+                            got = min(left[o], available)
+                            if got > 0:
+                                left[o] -= got
+                                print_left -= got
+                                out.append((key[0], ids[o], trade, at, price[o], got, model, latency))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
 
     return orders.groupBy("market").cogroup(trades.groupBy("market")).applyInPandas(run, FILLS)
+
+
+def lifecycle(actions: DataFrame, events: DataFrame, latency_ms: int = 100, cancel_ms: int = 100, on_gap: str = "cancel_all") -> DataFrame:
+    """States of every order through submits, cancels, replaces, prints and gaps; one row per change, ``seq`` from 0.
+
+    Actions: (market, seq, ms, kind, order_id, target, side, price, qty), kind ``submit``, ``cancel`` or ``replace``;
+    cancel and replace name the order they mean as ``target``. Events: (market, seq, ms, kind, side, price, size), kind
+    ``trade`` (side: the resting side it reaches) or ``gap``. An action takes effect after its latency, cancels before
+    activations at equal instants, and both before market events of a later instant but after those of the same one:
+    ties go against the order. A replace cancels its target and submits what is left of it under the new id, at the new
+    price. Rejected: an id seen before, no quantity, a price outside [0, 1], a target that is not resting. At a gap
+    ``cancel_all`` cancels what rests, ``keep_resting`` leaves it, ``freeze`` fills nothing more in that market.
+    """
+    if on_gap not in ("cancel_all", "keep_resting", "freeze"):
+        raise ValueError(f"unknown gap policy {on_gap}")
+
+    def run(key, acts, feed):
+        import pandas as pd
+
+        out, resting, known, count, frozen = [], {}, set(), {}, False
+
+        def state(order, ms, name, qty, price):
+            out.append((key[0], order, count.get(order, 0), ms, name, qty, price))
+            count[order] = count.get(order, 0) + 1
+
+        queue = []
+        for a in acts.itertuples():
+            late = latency_ms if a.kind == "submit" else cancel_ms
+            queue.append((a.ms + late, 1, 1 if a.kind == "submit" else 0, a.seq, a))
+        for e in feed.itertuples():
+            queue.append((e.ms, 0, 0, e.seq, e))
+        for ms, source, _, _, x in sorted(queue, key=lambda q: q[:4]):
+            if source == 0 and x.kind == "gap":
+                frozen = frozen or on_gap == "freeze"
+                if on_gap == "cancel_all":
+                    for order in list(resting):
+                        o = resting.pop(order)
+                        state(order, ms, "cancelled_by_gap", o[2], o[1])
+            elif source == 0:
+                left = 0.0 if frozen else float(x.size)
+                sign = -1 if x.side == "bid" else 1
+                reached = [i for i, o in resting.items() if o[0] == x.side and sign * o[1] <= sign * x.price]
+                for order in sorted(reached, key=lambda i: (sign * resting[i][1], resting[i][3], i)):
+                    if left <= 0:
+                        break
+                    o = resting[order]
+                    got = min(left, o[2])
+                    left, o[2] = left - got, o[2] - got
+                    state(order, ms, "filled" if o[2] <= 0 else "partly_filled", got, o[1])
+                    if o[2] <= 0:
+                        del resting[order]
+            else:
+                qty, side = x.qty, x.side
+                if x.kind != "submit":
+                    o = resting.pop(x.target, None)
+                    if o is None:
+                        state(x.order_id, ms, "rejected", 0.0, x.price)
+                        continue
+                    state(x.target, ms, "cancelled" if x.kind == "cancel" else "replaced", o[2], o[1])
+                    if x.kind == "cancel":
+                        continue
+                    qty, side = o[2], o[0]
+                if x.order_id in known or not qty > 0 or not 0 <= x.price <= 1:
+                    state(x.order_id, ms, "rejected", 0.0, x.price)
+                    continue
+                known.add(x.order_id)
+                resting[x.order_id] = [side, float(x.price), float(qty), ms]
+                state(x.order_id, ms, "resting", float(qty), x.price)
+        for order, o in resting.items():
+            state(order, max((q[0] for q in queue), default=0), "open_at_end", o[2], o[1])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+
+    return actions.groupBy("market").cogroup(events.groupBy("market")).applyInPandas(run, STATES)

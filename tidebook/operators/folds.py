@@ -38,13 +38,6 @@ def taker_sweep(levels: DataFrame, key: list[str], qty: str, limit: str) -> Data
     return folded.select(*key, F.expr(f"CAST({qty} - s.left AS {DEC})").alias("filled"), F.col("s.cost").alias("cost"))
 
 
-def queue_fold(events: DataFrame, credit: float = 0.0) -> DataFrame:
-    """Per order: contracts ahead after each trade or cancel at its level: ``max(0, ahead - executed - credit * cancelled)``."""
-    step = "(a, e) -> greatest(0.0D, a - e.executed - e.cancelled * " + f"{credit}D)"
-    gathered = events.groupBy("order_id", "ahead").agg(F.array_sort(F.collect_list(F.struct("ms", "seq", "executed", "cancelled"))).alias("es"))
-    return gathered.select("order_id", F.round(F.expr(f"aggregate(es, CAST(ahead AS DOUBLE), {step})"), 6).alias("queue_left"))
-
-
 def sequence_verdicts(frames: DataFrame) -> DataFrame:
     """first / ok / duplicate / out_of_order / gap per frame of a stream, in order of arrival, without a fold:
     a frame is judged against the largest sequence number before it."""

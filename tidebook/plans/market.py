@@ -77,13 +77,6 @@ def taker_sweep(spark: SparkSession, d: str) -> DataFrame:
     return folds.taker_sweep(levels.selectExpr("*", "CAST(500 AS DECIMAL(24,6)) AS qty", "CAST(0.8 AS DECIMAL(12,6)) AS lim"), ["market"], "qty", "lim")
 
 
-def queue_fold(spark: SparkSession, d: str) -> DataFrame:
-    deltas = view(spark, d, "deltas")
-    orders = deltas.where("event_id % 50 = 1").selectExpr("event_id AS order_id", "market", "side", "us AS placed", "CAST(size(array(1)) * 300 AS DOUBLE) AS ahead")
-    hits = deltas.selectExpr("market", "side", "us", "us AS ms", "event_id AS seq", "CASE WHEN delta > 0 THEN CAST(delta AS DOUBLE) ELSE 0D END AS executed", "CASE WHEN delta < 0 THEN CAST(-delta AS DOUBLE) ELSE 0D END AS cancelled")
-    return folds.queue_fold(orders.join(hits, ["market", "side"]).where("us > placed AND us <= placed + 864000000000"), 0.5)
-
-
 def sequence_verdicts(spark: SparkSession, d: str) -> DataFrame:
     frames = view(spark, d, "ev").selectExpr("stream", "ordinal", "event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq")
     return folds.sequence_verdicts(frames).groupBy("verdict").agg(F.count("*").alias("n"))
@@ -99,15 +92,56 @@ def equity_grid(spark: SparkSession, d: str) -> DataFrame:
     return temporal.grid(spans, "a", "b", 90 * DAY).groupBy("bucket_ms").agg(F.count("*").alias("markets"), F.sum("qty").cast("decimal(28,6)").alias("net"))
 
 
-def backtest_join_bid(spark: SparkSession, d: str) -> DataFrame:
-    """Orders resting at a price, simulated under two fill models with the same intents."""
-    orders = view(spark, d, "deltas").where("event_id % 10 = 1").selectExpr("market", "event_id AS order_id", "ms", "CASE side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side", "CAST(price AS DOUBLE) AS price", "5D AS qty", "20D AS ahead", f"ms + {DAY * 30}L AS cancel_at")
-    trades = view(spark, d, "trades").selectExpr("market", "event_id AS trade_id", "ms", "CASE taker_side WHEN 'yes' THEN 'ask' ELSE 'bid' END AS hits", "CAST(price AS DOUBLE) AS price", "CAST(size AS DOUBLE) AS size")
+def _shipped() -> None:
+    """Python operators travel with their plans, so executors need no installed package."""
     from pyspark import cloudpickle
     import tidebook
 
     cloudpickle.register_pickle_by_value(tidebook)
-    return execution.simulate(orders, trades)
+
+
+def _intents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An order at the price of every delta, and all prints."""
+    orders = view(spark, d, "deltas").selectExpr("market", "event_id AS order_id", "ms", "CASE side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side", "CAST(price AS DOUBLE) AS price", "5D AS qty", "20D AS ahead", f"ms + {DAY * 30}L AS cancel_at")
+    trades = view(spark, d, "trades").selectExpr("market", "event_id AS trade_id", "ms", "CASE taker_side WHEN 'yes' THEN 'ask' ELSE 'bid' END AS hits", "CAST(price AS DOUBLE) AS price", "CAST(size AS DOUBLE) AS size")
+    return orders, trades
+
+
+def backtest_join_bid(spark: SparkSession, d: str) -> DataFrame:
+    """Orders resting at a price, simulated under two fill models with the same intents."""
+    _shipped()
+    return execution.simulate(*_intents(spark, d)).drop("latency_ms")
+
+
+def experiment_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Fills, contracts and filled orders of every fill model under three latencies."""
+    _shipped()
+    fills = execution.simulate(*_intents(spark, d), latencies=(0, HOUR, DAY))
+    return fills.groupBy("model", "latency_ms").agg(
+        F.count("*").alias("fills"), F.countDistinct("order_id").alias("orders"), F.sum(F.col("qty").cast("decimal(24,6)")).cast("decimal(28,6)").alias("qty")
+    )
+
+
+def order_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Views submit an order, clicks replace the market's last one and signups cancel it; errors are gaps."""
+    _shipped()
+    last = "last(CASE WHEN kind <> 'cancel' THEN order_id END, true) OVER (PARTITION BY market ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target"
+    actions = view(spark, d, "deltas").join(view(spark, d, "ev").select("event_id", "event_type"), "event_id").selectExpr(
+        "market", "event_id AS seq", "ms", "CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'replace' ELSE 'cancel' END AS kind", "event_id AS order_id",
+        "CASE side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side", "CAST(price AS DOUBLE) AS price", "CAST(abs(delta) AS DOUBLE) AS qty",
+    ).selectExpr("*", last)
+    prints = view(spark, d, "trades").selectExpr("market", "event_id AS seq", "ms", "'trade' AS kind", "CASE taker_side WHEN 'yes' THEN 'ask' ELSE 'bid' END AS side", "CAST(price AS DOUBLE) AS price", "CAST(size AS DOUBLE) AS size")
+    gaps = view(spark, d, "resets").selectExpr("market", "event_id AS seq", "ms", "'gap' AS kind", "CAST(NULL AS STRING) AS side", "CAST(NULL AS DOUBLE) AS price", "CAST(NULL AS DOUBLE) AS size")
+    return execution.lifecycle(actions, prints.unionByName(gaps))
+
+
+def depth_imbalance(spark: SparkSession, d: str) -> DataFrame:
+    return book.features(_grid(spark, d))
+
+
+def ladder_hash(spark: SparkSession, d: str) -> DataFrame:
+    """One hash over all books of a series at an instant."""
+    return book.ladder_hash(book_hash(spark, d).withColumn("series", F.col("market") % 8), ["series", "bucket_ms"], "market")
 
 
 def contract_types(spark: SparkSession, d: str) -> DataFrame:
@@ -136,10 +170,7 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark import cloudpickle
-    import tidebook
-
-    cloudpickle.register_pickle_by_value(tidebook)
+    _shipped()
     return flows.drained(flows.verdicts(flows.events(spark, f"{d}/events.parquet")), "append").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -181,10 +212,22 @@ ORACLES: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, queue_fold, sequence_verdicts,
-        equity_grid, backtest_join_bid, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
+        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, sequence_verdicts,
+        equity_grid, backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
     )
     return {f.__name__: f for f in own}
 
 
 ORACLES["markout_summary"] = f"SELECT horizon_ms, count(*) AS n, count(markout) AS observed, CAST(sum(markout) AS DECIMAL(28,6)) AS total, count(CASE WHEN markout < 0 THEN 1 END) AS adverse FROM ({ORACLES['markouts']}) m GROUP BY horizon_ms"
+
+
+_DEPTHS = (1, 3, 5, 10)
+_SIZE = "CAST(sum(CASE WHEN side = '{s}' AND r <= {k} THEN size END) AS DOUBLE)"
+ORACLES["depth_imbalance"] = f"""WITH {_GRID}, tops AS (SELECT *, row_number() OVER (PARTITION BY market, bucket_ms, side ORDER BY price DESC) AS r FROM cells),
+    b AS (SELECT market, bucket_ms, CAST(max(CASE WHEN side = 'yes' THEN price END) AS DOUBLE) AS bid, CAST(CAST(1 - max(CASE WHEN side = 'no' THEN price END) AS DECIMAL(12,6)) AS DOUBLE) AS ask,
+      {", ".join(f"{_SIZE.format(s='yes', k=k)} AS y{k}, {_SIZE.format(s='no', k=k)} AS n{k}" for k in _DEPTHS)} FROM tops GROUP BY market, bucket_ms)
+    SELECT market, bucket_ms, round((bid + ask) / 2, 6) AS mid, round((bid * n1 + ask * y1) / (y1 + n1), 6) AS microprice, {", ".join(f"round((y{k} - n{k}) / (y{k} + n{k}), 6) AS imbalance_{k}" for k in _DEPTHS)} FROM b"""
+ORACLES["ladder_hash"] = f"""SELECT market % 8 AS series, bucket_ms, sha256(string_agg(CAST(market AS VARCHAR) || '=' || hash, chr(10) ORDER BY CAST(market AS VARCHAR) || '=' || hash)) AS hash, count(*) AS members
+    FROM ({ORACLES["book_hash"]}) h GROUP BY market % 8, bucket_ms"""
+ORACLES["dataset_files"] = "SELECT 'events.parquet' AS file, count(*) AS n FROM events"
+ORACLES["stream_verdicts"] = "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'first' ELSE 'ok' END AS verdict FROM events) v GROUP BY verdict"

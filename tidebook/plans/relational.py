@@ -9,7 +9,7 @@ SQL: dict[str, str] = {
     # ---- scans
     "slice_filter": "SELECT event_id, market, series, ms FROM ev WHERE series IN (1, 3) AND ms >= 1704067200000 AND ms < 1735689600000",
     "slice_describe": "SELECT count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, count(DISTINCT market) AS markets, count(DISTINCT series) AS n_series FROM ev",
-    "export_query_orders": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0",
+    "export_query_orders": """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND $US(o_orderdate) >= 757382400000000""",
     # ---- scalars
     "ladder_mapping": """SELECT event_id, side, price, CASE WHEN side = 'yes' THEN 'bid' ELSE 'ask' END AS ladder,
         CASE WHEN side = 'yes' THEN price ELSE CAST(1 - price AS DECIMAL(12,6)) END AS yes_price,
@@ -76,8 +76,8 @@ SQL: dict[str, str] = {
     "drawdown": """SELECT market, max(peak - run) AS max_drawdown FROM (SELECT market, run, max(run) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak FROM (
         SELECT market, event_id, CAST(sum(delta) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(24,6)) AS run FROM deltas) a) b GROUP BY market""",
     "rolling_window": "SELECT event_id, count(*) OVER (PARTITION BY market ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS n FROM ev",
-    "last_values": """SELECT event_id, $MAXBY(trade_price, trade_id) AS last_price FROM (SELECT d.event_id, t.price AS trade_price, t.event_id AS trade_id FROM deltas d
-        LEFT JOIN trades t ON t.market = d.market AND t.event_id < d.event_id AND d.market % 15 = 0 WHERE d.market % 15 = 0) x GROUP BY event_id""",
+    "last_values": """SELECT event_id, last_price FROM (SELECT event_id, kind, $LAST(price$/LAST OVER (PARTITION BY market ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_price
+        FROM (SELECT event_id, market, 0 AS kind, CAST(NULL AS DECIMAL(12,6)) AS price FROM deltas UNION ALL SELECT event_id, market, 1, price FROM trades) u) x WHERE kind = 0""",
     # ---- order and sets
     "observation_order": """SELECT event_id, row_number() OVER (PARTITION BY market ORDER BY session, ms, ordinal, stream, kind, event_id) AS pos FROM (
         SELECT event_id, market, session, ms, ordinal, stream, CASE WHEN event_type = 'error' THEN 3 WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS kind FROM ev) x""",
@@ -88,8 +88,8 @@ SQL: dict[str, str] = {
     "delta_apply": "SELECT event_id, post, ok, CASE WHEN post - delta = 0 AND post > 0 THEN 'insert' WHEN post = 0 THEN 'delete' WHEN delta > 0 THEN 'increase' ELSE 'decrease' END AS level_action FROM applied",
     "consistency": "SELECT market, epoch, count(*) AS n, count(CASE WHEN price < 0 OR price > 1 THEN 1 END) AS out_of_range, count(CASE WHEN post < 0 THEN 1 END) AS negative FROM levels GROUP BY market, epoch",
     "move_class": """SELECT class, count(*) AS n FROM (SELECT CASE WHEN delta = 0 THEN 'none' WHEN delta > 0 AND post = delta THEN 'joined_empty' WHEN delta > 0 THEN 'behind' WHEN post = 0 THEN 'cleared' WHEN post < 0 THEN 'violation' ELSE 'ahead' END AS class FROM levels) x GROUP BY class""",
-    "book_diff_full_outer": """SELECT coalesce(a.price, b.price) AS price, a.size AS yes_size, b.size AS no_size FROM (SELECT price, sum(delta) AS size FROM deltas WHERE side = 'yes' AND market = 1 GROUP BY price) a
-        FULL OUTER JOIN (SELECT price, sum(delta) AS size FROM deltas WHERE side = 'no' AND market = 1 GROUP BY price) b ON a.price = b.price WHERE a.size IS DISTINCT FROM b.size""",
+    "book_diff_full_outer": """SELECT coalesce(a.market, b.market) AS market, coalesce(a.price, b.price) AS price, a.size AS yes_size, b.size AS no_size FROM (SELECT market, price, sum(delta) AS size FROM deltas WHERE side = 'yes' GROUP BY market, price) a
+        FULL OUTER JOIN (SELECT market, price, sum(delta) AS size FROM deltas WHERE side = 'no' GROUP BY market, price) b ON a.market = b.market AND a.price = b.price WHERE a.size IS DISTINCT FROM b.size""",
     # ---- portfolio
     "settlement": """SELECT outcome, count(*) AS n, CAST(sum(pnl) AS DECIMAL(28,6)) AS pnl FROM (SELECT CASE WHEN p_size % 4 = 0 THEN 'yes' WHEN p_size % 4 = 1 THEN 'no' WHEN p_size % 4 = 2 THEN 'void' ELSE 'open' END AS outcome,
         CASE WHEN p_size % 4 = 0 THEN q * 1 - cash WHEN p_size % 4 = 1 THEN -cash WHEN p_size % 4 = 2 THEN CAST(0 AS DECIMAL(24,6)) END AS pnl FROM (SELECT market, sum(CASE WHEN action = 'buy' THEN qty ELSE -qty END) AS q,
@@ -104,9 +104,10 @@ SQL: dict[str, str] = {
     "health_levels": """SELECT series, max(level) AS worst FROM (SELECT series, CASE WHEN event_type = 'error' AND size > 50 THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END AS level FROM ev) x GROUP BY series""",
     "coverage": "SELECT series, max(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END) AS status, min(CASE WHEN event_type = 'purchase' THEN ms END) AS exercised_ms FROM ev GROUP BY series",
     # ---- evidence, risk and calibration
-    "depth_ahead": """SELECT d.event_id, count(b.price) AS better_levels, CAST(coalesce(sum(CASE WHEN b.price > d.price THEN b.size END), 0) AS DECIMAL(24,6)) AS better_size,
-        CAST(coalesce(sum(CASE WHEN b.price = d.price THEN b.size END), 0) AS DECIMAL(24,6)) AS same_size FROM deltas d JOIN (SELECT market, side, price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas GROUP BY market, side, price) b
-        ON b.market = d.market AND b.side = d.side AND b.price >= d.price WHERE d.event_id % 20 = 1 GROUP BY d.event_id""",
+    "depth_ahead": """SELECT d.event_id, b.better_levels, CAST(b.better_size AS DECIMAL(24,6)) AS better_size, b.size AS same_size FROM deltas d JOIN (SELECT *, row_number() OVER w - 1 AS better_levels,
+        coalesce(sum(size) OVER (PARTITION BY market, side ORDER BY price DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS better_size
+        FROM (SELECT market, side, price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas GROUP BY market, side, price) l WINDOW w AS (PARTITION BY market, side ORDER BY price DESC)) b
+        ON b.market = d.market AND b.side = d.side AND b.price = d.price""",
     "event_time_rows": "SELECT event_id, market, ms, post, 'delta' AS kind FROM applied WHERE ok UNION ALL SELECT event_id, market, ms, NULL, 'seed' FROM resets",
     "grid_post_event": """SELECT market, bucket, max(event_id) AS state_of FROM (SELECT market, event_id, CAST(ceil(ms / 86400000) AS BIGINT) AS bucket FROM applied WHERE ok) x GROUP BY market, bucket""",
     "replay_verify": """SELECT e.market, e.epoch, e.n AS expected, coalesce(r.n, 0) AS replayed, e.n = coalesce(r.n, 0) AS matches FROM (SELECT market, epoch, count(*) AS n FROM levels GROUP BY market, epoch) e
@@ -114,11 +115,51 @@ SQL: dict[str, str] = {
     "risk_envelope": """SELECT market, CASE WHEN errors > 25 THEN 'kill_switch' WHEN exposure > 3000 THEN 'exposure' WHEN n > 120 THEN 'too_many_orders' ELSE 'allowed' END AS block_reason FROM (SELECT market, count(*) AS n,
         sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN event_type = 'purchase' THEN size ELSE 0 END) AS exposure FROM ev GROUP BY market) x""",
     "stratum_selection": """SELECT stratum, n FROM (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*), stratum) AS r FROM (SELECT concat_ws('/', CASE WHEN size >= 10 THEN 'deep' ELSE 'thin' END, event_type) AS stratum FROM ev) s GROUP BY stratum) x WHERE r <= 3""",
-    "lag_search": """SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT p.event_id, l.lag, abs(count(d.event_id) - 2) AS resid FROM (SELECT event_id, market, ms FROM trades WHERE event_id % 10 = 1) p
-        CROSS JOIN (SELECT 0 AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l LEFT JOIN deltas d ON d.market = p.market AND d.ms > p.ms + CAST(l.lag AS BIGINT) * 1000000 AND d.ms <= p.ms + CAST(l.lag AS BIGINT) * 1000000 + 172800000
-        GROUP BY p.event_id, l.lag) x GROUP BY event_id""",
+    "lag_search": """SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT event_id, lag, abs(max(seen) - min(seen) - 2) AS resid FROM (
+        SELECT event_id, lag, count(CASE WHEN event_id IS NULL THEN 1 END) OVER (PARTITION BY market ORDER BY at_ms) AS seen FROM (
+          SELECT event_id, market, lag, ms + lag * 1000000 + span AS at_ms FROM trades CROSS JOIN (SELECT CAST(0 AS BIGINT) AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l
+            CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 172800000) e
+          UNION ALL SELECT NULL, market, NULL, ms FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id, lag) x GROUP BY event_id""",
     "level_activity": """SELECT market, side, price, CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS DECIMAL(24,6)) AS added, CAST(sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS DECIMAL(24,6)) AS removed, count(*) AS n FROM applied WHERE ok GROUP BY market, side, price""",
     "tracking_windows": "SELECT market, event_id, ms AS opened_ms, lead(ms) OVER (PARTITION BY market ORDER BY event_id) AS closed_ms FROM resets",
     "volume_decrease": "SELECT count(*) AS n FROM (SELECT post, lag(post) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS prev FROM levels) x WHERE post < prev",
     "time_difference_orders": "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE $US(o_orderdate) >= 757382400000000 GROUP BY o_orderstatus",
+    # ---- calendar, identifiers and text
+    "days_between": "SELECT $UNNEST($SEQ(a, b)) AS day FROM (SELECT CAST(floor(min(ms) / 86400000) AS BIGINT) AS a, CAST(floor((max(ms) - 1) / 86400000) AS BIGINT) AS b FROM ev) x",
+    "canonical_size": "SELECT event_id, CAST(CAST($EVEN(event_id / 2.0, 0) AS DECIMAL(24,6)) AS $TEXT) AS canonical FROM ev",
+    "group_uuid": """SELECT series, bucket, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('8', substr(h, 14, 3)), concat(substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1), substr(h, 18, 3)), substr(h, 21, 12)) AS id
+        FROM (SELECT DISTINCT series, session AS bucket, $SHA(concat_ws('|', CAST(series AS $TEXT), CAST(session AS $TEXT))$/SHA AS h FROM ev) x""",
+    "channel_route": """SELECT channel, count(*) AS n, count(DISTINCT market) AS markets FROM (SELECT market, CASE event_type WHEN 'view' THEN 'orderbook' WHEN 'click' THEN 'orderbook' WHEN 'signup' THEN 'orderbook' WHEN 'purchase' THEN 'trade' WHEN 'error' THEN 'control' ELSE 'unknown' END AS channel FROM ev) x GROUP BY channel""",
+    "archive_parts": """SELECT event_type AS channel, CAST(floor(ms / 3600000) AS BIGINT) AS hour, count(*) AS n, count(DISTINCT market) AS markets, CAST(floor((count(*) + 49999) / 50000) AS BIGINT) AS parts FROM ev GROUP BY event_type, CAST(floor(ms / 3600000) AS BIGINT)""",
+    "status_scalars": "SELECT (SELECT count(*) FROM deltas) AS deltas, (SELECT count(*) FROM trades) AS trades, (SELECT max(ms) FROM resets) AS last_reset_ms, (SELECT count(DISTINCT market) FROM ev) AS markets",
+    "staleness": "SELECT stream, (SELECT max(ms) FROM ev) - max(ms) AS silent_ms, (SELECT max(ms) FROM ev) - max(ms) > 86400000 AS stale FROM ev GROUP BY stream",
+    # ---- evidence between streams
+    "range_trades": """SELECT p.event_id, count(t.event_id) AS n, CAST(coalesce(sum(t.size), 0) AS DECIMAL(24,6)) AS volume, $MINBY(t.event_id, t.event_id) AS first_trade FROM (
+        SELECT event_id, market, side, price, ms, $UNNEST($SEQ(CAST(floor(ms / 86400000) AS BIGINT), CAST(floor((ms + 86400000) / 86400000) AS BIGINT))) AS day FROM deltas) p
+        LEFT JOIN trades t ON t.market = p.market AND CAST(floor(t.ms / 86400000) AS BIGINT) = p.day AND t.ms > p.ms AND t.ms <= p.ms + 86400000 AND t.taker_side <> p.side AND t.price <= p.price GROUP BY p.event_id""",
+    "level_reconcile": """SELECT market, side, price, CAST(sum(used) AS DECIMAL(24,6)) AS executed, CAST(sum(gone - used) AS DECIMAL(24,6)) AS removed, CAST(sum(added) AS DECIMAL(24,6)) AS added, CAST(sum(traded) - sum(used) AS DECIMAL(24,6)) AS unreconciled FROM (
+        SELECT *, least(gone, run + gone - least(0, coalesce(low, 0))) AS used FROM (
+          SELECT *, min(run) OVER (PARTITION BY market, side, price ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM (
+            SELECT *, sum(traded - gone) OVER (PARTITION BY market, side, price ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+              SELECT event_id, market, side, price, greatest(delta, 0) AS added, greatest(-delta, 0) AS gone, CAST(0 AS DECIMAL(24,6)) AS traded FROM deltas
+              UNION ALL SELECT event_id, market, CASE taker_side WHEN 'yes' THEN 'no' ELSE 'yes' END, price, 0, 0, size FROM trades) u) r) l) x GROUP BY market, side, price""",
+    "queue_fold": """SELECT event_id, CAST(greatest(0, 300 - (max(used) - min(used))) AS DECIMAL(24,6)) AS queue_left FROM (SELECT event_id, sum(took) OVER (PARTITION BY market, side ORDER BY at_us) AS used FROM (
+          SELECT event_id, market, side, us + span AS at_us, CAST(0 AS DECIMAL(24,6)) AS took FROM deltas CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 864000000000) e
+          UNION ALL SELECT NULL, market, side, us, CASE WHEN delta > 0 THEN delta ELSE CAST(-delta * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(24,6)) END FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id""",
+    "lag_histogram": """SELECT best_lag, count(*) AS n FROM (SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT event_id, lag, abs(max(seen) - min(seen) - 2) AS resid FROM (
+        SELECT event_id, lag, count(CASE WHEN event_id IS NULL THEN 1 END) OVER (PARTITION BY market ORDER BY at_ms) AS seen FROM (
+          SELECT event_id, market, lag, ms + lag * 1000000 + span AS at_ms FROM trades CROSS JOIN (SELECT CAST(0 AS BIGINT) AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l
+            CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 172800000) e
+          UNION ALL SELECT NULL, market, NULL, ms FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id, lag) x GROUP BY event_id) b GROUP BY best_lag""",
+    "naive_alpha": """SELECT market, CASE WHEN sum(rem * rem) > 0 THEN CAST(round(CAST(sum((dq - ex) * rem) AS DOUBLE) / CAST(sum(rem * rem) AS DOUBLE), 6) AS DECIMAL(18,6)) END AS alpha FROM (SELECT market, CAST(abs(delta) AS DECIMAL(14,2)) AS dq,
+        CAST(greatest(delta, 0) AS DECIMAL(14,2)) AS ex, CAST(greatest(-delta, 0) AS DECIMAL(14,2)) AS rem FROM deltas) x GROUP BY market""",
+    # ---- recovery, coverage of days and the summary of a replay
+    "recovery_episodes": """SELECT e.market, e.opened_ms, e.faults, c.closed_ms, CASE WHEN c.closed_ms IS NULL THEN 'superseded' WHEN c.closed_ms - e.opened_ms <= 259200000 THEN 'recovered' ELSE 'timed_out' END AS status FROM (
+          SELECT market, turn, min(ms) AS opened_ms, count(*) AS faults FROM (SELECT market, ms, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS turn FROM ev) f WHERE event_type = 'error' GROUP BY market, turn) e
+        LEFT JOIN (SELECT market, ms AS closed_ms, row_number() OVER (PARTITION BY market ORDER BY event_id) - 1 AS turn FROM trades) c ON c.market = e.market AND c.turn = e.turn""",
+    "partition_runway": """SELECT first_day, last_day, last_day - first_day + 1 AS days FROM (SELECT min(day) AS first_day, max(day) AS last_day FROM (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM (SELECT DISTINCT session AS day FROM ev) d) i GROUP BY island) r""",
+    "replay_summary": """SELECT market, count(*) AS n, count(DISTINCT epoch) AS epochs, count(CASE WHEN NOT ok THEN 1 END) AS rejected, count(DISTINCT epoch) = 1 AND count(CASE WHEN NOT ok THEN 1 END) = 0 AS uninterrupted FROM applied GROUP BY market""",
+    "transition_pairs": """SELECT market, event_type AS was, next_type AS became, count(*) AS n FROM (SELECT market, event_type, lead(event_type) OVER (PARTITION BY market ORDER BY event_id) AS next_type FROM ev) x WHERE next_type IS NOT NULL GROUP BY market, event_type, next_type""",
+    "run_summary": """SELECT f.market, f.fills, f.qty, f.notional, o.orders, CAST(f.notional / f.qty AS DECIMAL(18,6)) AS vwap FROM (SELECT market, count(*) AS fills, CAST(sum(qty) AS DECIMAL(24,6)) AS qty, CAST(sum(qty * price) AS DECIMAL(28,6)) AS notional FROM fills GROUP BY market) f
+        JOIN (SELECT market, count(DISTINCT order_id) AS orders FROM fills GROUP BY market) o ON o.market = f.market""",
 }

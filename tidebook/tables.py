@@ -25,7 +25,10 @@ _SPARK = {
     "$JOIN(": "array_join(",
     "$EXTRACT(": "regexp_extract(",
     "$TEXT": "STRING",
-    "$MOD(": "pmod(",
+    "$UNNEST(": "explode(",
+    "$EVEN(": "bround(",
+    "$LAST(": "last_value(",
+    "$/LAST": ", true)",
 }
 _DUCK = {
     "$US(": "epoch_us(",
@@ -40,7 +43,10 @@ _DUCK = {
     "$JOIN(": "array_to_string(",
     "$EXTRACT(": "regexp_extract(",
     "$TEXT": "VARCHAR",
-    "$MOD(": "mod(",
+    "$UNNEST(": "unnest(",
+    "$EVEN(": "round_even(",
+    "$LAST(": "last_value(",
+    "$/LAST": " IGNORE NULLS)",
 }
 
 #: name -> SQL over tables and views named before it.
@@ -53,7 +59,7 @@ VIEWS = {
         CAST((event_id * 7 % 45 + 3) / 100.0 AS DECIMAL(12,6)) AS price,
         CAST(CASE WHEN event_type = 'signup' THEN -least(size, CAST(4 AS DECIMAL(24,6))) ELSE size END AS DECIMAL(24,6)) AS delta
         FROM ev WHERE event_type IN ('view', 'click', 'signup')""",
-    "resets": "SELECT event_id, market, us, ms FROM ev WHERE event_type = 'error' AND event_id % 4 = 0",
+    "resets": "SELECT event_id, market, us, ms FROM ev WHERE event_type = 'error'",
     "trades": """SELECT event_id, market, us, ms, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS taker_side,
         CAST((event_id * 11 % 90 + 5) / 100.0 AS DECIMAL(12,6)) AS price, size FROM ev WHERE event_type = 'purchase'""",
     # every delta with its epoch (snapshots so far), running level size and whether it is applied
