@@ -114,7 +114,8 @@ class Lattice:
         self.begin = ends - sizes
         end_of = np.repeat(ends.astype(np.int32), sizes)
         at, node = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
-        starts, lengths, pieces, scores, depth = [], [], [], [], 0
+        starts, lengths, pieces, scores, ranks, depth = [], [], [], [], [], 0
+        count = np.zeros(len(chars), dtype=np.int64)  # options found so far, by state
         while len(at):
             node = self._child(node, chars[at + depth])
             depth += 1
@@ -123,37 +124,46 @@ class Lattice:
                 bare = np.flatnonzero((node < 0) | (self.piece[node] < 0))
                 c = chars[at[bare]]
                 starts.append(at[bare])
+                ranks.append(count[at[bare]])
+                count[at[bare]] += 1
                 lengths.append(np.ones(len(bare), np.int32))
                 pieces.append(-1 - c)
                 scores.append(-12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
             starts.append(at[hit])
+            ranks.append(count[at[hit]])
+            count[at[hit]] += 1
             lengths.append(np.full(len(hit), depth, dtype=np.int32))
             pieces.append(self.piece[node[hit]])
             scores.append(self.score[node[hit]])
             live = np.flatnonzero((node >= 0) & (at + depth < end_of[at]))
             at, node = at[live], node[live]
-        start, length, piece, score = (np.concatenate(x) for x in (starts, lengths, pieces, scores))
-        left = end_of[start] - start  # characters to the chunk's end
-        order = np.argsort((left.astype(np.int64) * (len(chars) + 1) + start) * 64 + 63 - length)  # longest, so likeliest, pieces first; no ties: the same in any batch
-        start, length, piece, score, left = start[order], length[order], piece[order], score[order], left[order]
-        beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
+        start, length, piece, score, rank = (np.concatenate(x) for x in (starts, lengths, pieces, scores, ranks))
+        # a state's options lie together, longest, so likeliest, first: the same in any batch
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        place = self.first[start] + count[start] - 1 - rank
+        order = np.empty(len(start), dtype=np.int64)
+        order[place] = np.arange(len(start))
+        start, length, self.code, score = start[order], length[order], piece[order], score[order]
+        left = end_of[start] - start  # characters to the chunk's end, at most LONGEST
         target = start + length
         closed = length == left
-        bounds = np.searchsorted(left, np.arange(1, (left[-1] if len(left) else 0) + 2))
+        self.to = np.where(closed, -1, target)
+        order = np.argsort(left.astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(1, (left.max() if len(left) else 0) + 2))
+        start_of, score, target, closed = start[order], score[order], target[order], closed[order]
+        beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
         for a, b in zip(bounds, bounds[1:], strict=False):
             if a == b:
                 continue
             v = score[a:b] + np.where(closed[a:b], 0.0, beta[target[a:b]])
-            s = start[a:b]
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            s = start_of[a:b]
+            new = s[1:] != s[:-1]
+            cut = np.flatnonzero(np.r_[True, new])
             top = np.maximum.reduceat(v, cut)
-            group = np.cumsum(np.r_[False, s[1:] != s[:-1]])
+            group = np.cumsum(np.r_[False, new])
             beta[s[cut]] = top + np.log(np.add.reduceat(np.exp(v - top[group]), cut))
-            value[a:b] = v - beta[s]
-        order = np.argsort(start, kind="stable")
-        start, self.code, self.logp = start[order], piece[order], np.minimum(value[order], 0.0)
-        self.to = np.where(closed[order], -1, target[order])
-        self.first = np.searchsorted(start, np.arange(len(chars) + 1))
+            value[order[a:b]] = v - beta[s]
+        self.logp = np.minimum(value, 0.0)
         p = np.exp(self.logp)
         run = np.cumsum(p)
         base = np.concatenate([[0.0], run])[self.first[:-1]]
@@ -239,9 +249,16 @@ class _Walk:
             live = state >= 0
             occ, step, state = occ[live], step[live] + 1, state[live]
         if parts:
-            occ, step, state, option, noise = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(occ * (LONGEST + 1) + step, kind="stable")  # runs that are sorted already
-            occ, self.step, self.state, self.option, noise = occ[order], step[order], state[order], option[order], noise[order]
+            # a chunk's decisions lie together: its round within the walk is its place among them
+            count = np.bincount(np.concatenate([p[0] for p in parts]), minlength=len(doc))
+            begin = np.cumsum(count) - count
+            total = int(count.sum())
+            occ = np.repeat(np.arange(len(doc)), count)
+            self.step, self.state, self.option = (np.empty(total, np.int64) for _ in range(3))
+            noise = np.empty(total)
+            for turn, (own, step, state, option, drawn) in enumerate(parts):
+                at = begin[own] + turn
+                self.step[at], self.state[at], self.option[at], noise[at] = step, state, option, drawn
         else:
             occ = np.zeros(0, np.int64)
             self.step = self.state = self.option = occ
@@ -308,6 +325,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
         before, head = np.zeros(n), [None] * n
         docs2, chunks2, states2, steps2 = [], [], [], []
         u, again = _uniforms(seeds, j, nil, nil)
+        split, rests = [], []
         for d in np.flatnonzero(alive).tolist():
             w = walks[source[d]]
             at = int(tops[source[d]][1][d])
@@ -324,8 +342,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
                 x -= m
             gone.append(pick)
             rest = sum(m for o, m in zip(left, mass, strict=True) if o != pick)
-            phi = w.prefix[at] + math.log(rest) if rest > 0 and len(left) > 1 else -math.inf
-            w.open[at] = _truncated(np.array(phi), value[d], again[d])
+            split.append((w, at, d))
+            rests.append(w.prefix[at] + math.log(rest) if rest > 0 and len(left) > 1 else -math.inf)
             lo = int(w.start[d])
             head[d] = np.concatenate([heads[source[d]][d], w.code[lo:at], piece[pick : pick + 1]])
             before[d] = w.prefix[at] + logp[pick]
@@ -340,6 +358,10 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             chunks2.append(chunk[later])
             states2.append(all_states[later])
             steps2.append(np.zeros(len(states2[-1]), np.int64))
+        if split:
+            docs = np.array([d for *_, d in split])
+            for (w, at, _), drawn in zip(split, _truncated(np.array(rests), value[docs], again[docs]).tolist(), strict=True):
+                w.open[at] = drawn
         join = lambda xs: np.concatenate([np.asarray(x, np.int64) for x in xs]) if xs else np.zeros(0, np.int64)
         walks.append(_Walk(lattice, join(docs2), join(chunks2), join(states2), seeds, j, value, before, join(steps2)))
         heads.append(head)
