@@ -20,8 +20,9 @@ Steps, none of which gathers an unbounded group:
 Memory: a range holds about RANGE_TOKENS shingles; the last step's blocks hold BLOCK members.
 Defined results: null or word-less texts have an empty set, link with nothing and stand alone; repeated rows and
 ids give one row each; a null id forms a class like others, but names no component; an empty table gives no
-rows; extra columns are ignored by :func:`components` and kept by :func:`deduplicated`. Hash collisions (64 bits)
-are not told apart.
+rows; extra columns are ignored by :func:`components` and kept by :func:`deduplicated`. Classes are named by 64-bit
+hashes. A shingle is named by its range and 32 bits, so about one in 2000 meets another of its range; collisions
+are not told apart, and can move an intersection's size by one.
 """
 
 from __future__ import annotations
