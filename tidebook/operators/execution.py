@@ -13,6 +13,11 @@ FILLS = "market long, order_id long, trade_id long, ms long, price double, qty d
 STATES = "market long, order_id long, seq int, ms long, state string, qty double, price double"
 
 
+def _by_market(df: DataFrame):
+    """Groups by market over all shuffle partitions: their cost is Python's, which merging by bytes would put in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "market").groupBy("market")
+
+
 def simulate(
     orders: DataFrame, trades: DataFrame, latencies: tuple[int, ...] = (100,), cancel_ms: int = 100, models: tuple[str, ...] = ("touch", "conservative")
 ) -> DataFrame:
@@ -58,7 +63,7 @@ def simulate(
                                 out.append((key[0], ids[o], trade, at, price[o], got, model, latency))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
 
-    return orders.groupBy("market").cogroup(trades.groupBy("market")).applyInPandas(run, FILLS)
+    return _by_market(orders).cogroup(_by_market(trades)).applyInPandas(run, FILLS)
 
 
 def lifecycle(actions: DataFrame, events: DataFrame, latency_ms: int = 100, cancel_ms: int = 100, on_gap: str = "cancel_all") -> DataFrame:
@@ -131,4 +136,4 @@ def lifecycle(actions: DataFrame, events: DataFrame, latency_ms: int = 100, canc
             state(order, max((q[0] for q in queue), default=0), "open_at_end", o[2], o[1])
         return pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
 
-    return actions.groupBy("market").cogroup(events.groupBy("market")).applyInPandas(run, STATES)
+    return _by_market(actions).cogroup(_by_market(events)).applyInPandas(run, STATES)

@@ -160,6 +160,6 @@ SQL: dict[str, str] = {
     "partition_runway": """SELECT first_day, last_day, last_day - first_day + 1 AS days FROM (SELECT min(day) AS first_day, max(day) AS last_day FROM (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM (SELECT DISTINCT session AS day FROM ev) d) i GROUP BY island) r""",
     "replay_summary": """SELECT market, count(*) AS n, count(DISTINCT epoch) AS epochs, count(CASE WHEN NOT ok THEN 1 END) AS rejected, count(DISTINCT epoch) = 1 AND count(CASE WHEN NOT ok THEN 1 END) = 0 AS uninterrupted FROM applied GROUP BY market""",
     "transition_pairs": """SELECT market, event_type AS was, next_type AS became, count(*) AS n FROM (SELECT market, event_type, lead(event_type) OVER (PARTITION BY market ORDER BY event_id) AS next_type FROM ev) x WHERE next_type IS NOT NULL GROUP BY market, event_type, next_type""",
-    "run_summary": """SELECT f.market, f.fills, f.qty, f.notional, o.orders, CAST(f.notional / f.qty AS DECIMAL(18,6)) AS vwap FROM (SELECT market, count(*) AS fills, CAST(sum(qty) AS DECIMAL(24,6)) AS qty, CAST(sum(qty * price) AS DECIMAL(28,6)) AS notional FROM fills GROUP BY market) f
+    "run_summary": """SELECT f.market, f.fills, f.qty, f.notional, o.orders, CAST(floor(CAST(f.notional AS DOUBLE) / CAST(f.qty AS DOUBLE) * 1000000) AS BIGINT) AS vwap_micros FROM (SELECT market, count(*) AS fills, CAST(sum(qty) AS DECIMAL(24,6)) AS qty, CAST(sum(qty * price) AS DECIMAL(28,6)) AS notional FROM fills GROUP BY market) f
         JOIN (SELECT market, count(DISTINCT order_id) AS orders FROM fills GROUP BY market) o ON o.market = f.market""",
 }
