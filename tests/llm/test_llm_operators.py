@@ -389,3 +389,16 @@ def test_sampling_round_trip_and_edges(docs):
     assert {(r.doc_id, r.sample) for r in got} >= {(1, 1), (2, 1), (5, 3), (None, 1)} and sp_sampling.query(docs.limit(0)).count() == 0
     twice = [(r.sample, r.ids_crc32) for r in got if r.doc_id == 4]
     assert sorted(twice[: len(twice) // 2]) == sorted(twice[len(twice) // 2 :])
+
+
+def test_sampling_gives_ids_and_decodes_every_sample(spark, docs):
+    got = sp_sampling.query(docs).collect()
+    lattice, texts = sp_sampling.Lattice(), defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(r.text or "")
+    for r in got:
+        assert len(r.ids) == r.n_pieces and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32
+        assert r.decoded == lattice.decode(r.ids) and r.decoded in texts[r.doc_id]
+    odd = [[], None, [lattice.byte[0xF0], lattice.byte[0x9F]], [lattice.byte[b] for b in "\u2581\u00e9".encode()], [lattice.pieces["\u2581the"][0]] * 2]
+    rows = spark.createDataFrame(list(enumerate(odd)), "n long, ids array<int>")
+    assert [r.decoded for r in sp_sampling.decoded(rows).orderBy("n").collect()] == [None if x is None else lattice.decode(x) for x in odd]

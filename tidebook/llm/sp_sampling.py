@@ -24,6 +24,7 @@ import zlib
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidebook.llm.common import batches as arrow
 
@@ -64,6 +65,7 @@ class Lattice:
         self.names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
         self.wide: dict[int, object] = {}
+        self.raw = None
         self.ascii = np.array([self.byte[b] for b in range(128)])
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8]
         self.pieces = {self.names[i]: (i, -alpha * math.log(r + 2)) for r, i in enumerate(sorted(plain, key=lambda i: -sp.get_score(i)))}
@@ -200,6 +202,23 @@ class Lattice:
         out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE, " ").removeprefix(" ")
 
+    def decode_lists(self, lists):
+        """``decode`` of every row of an Arrow list array of ids at once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.raw is None:
+            of = {i: bytes([b]) for b, i in self.byte.items()}
+            self.raw = pa.array([of.get(i, n.replace(SPACE, " ").encode()) for i, n in enumerate(self.names)], pa.binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.raw.take(lists.values)), b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8: row by row
+            return pa.array([None if ids is None else self.decode(ids) for ids in lists.to_pylist()], pa.string())
+        text = pc.replace_substring(text, SPACE, " ")  # as spelled in bytes
+        text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+        return pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))
+
 
 def _uniforms(seed, sample, chunk, step):
     """Two hashed uniforms in (0, 1), element by element."""
@@ -379,8 +398,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
 
 
 def samples(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, sample (1..k), n_pieces, ids_crc32, log_prob, perturbed, inclusion and, if asked for, ids."""
-    schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double" + (", ids array<int>" if with_ids else "")
+    """doc_id, sample (1..k), n_pieces, ids_crc32, log_prob, perturbed, inclusion and, if asked for, ids and the text decoded from them."""
+    schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double" + (", ids array<int>, decoded string" if with_ids else "")
 
     def drawn(batches):
         import numpy as np
@@ -388,7 +407,7 @@ def samples(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED,
 
         lattice = Lattice(model, alpha)
         names = [c.split()[0] for c in schema.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             at = 0
@@ -397,16 +416,37 @@ def samples(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED,
                 while at + len(texts) < len(ids) and (not texts or chars < PORTION):
                     texts.append(column[at + len(texts)].as_py())
                     chars += len(texts[-1] or "")
-                rows = []
+                rows, found = [], []
                 for d, rank, pieces, log_prob, perturbed, inclusion in sample_batch(lattice, ids[at : at + len(texts)], texts, k, seed):
-                    crc = zlib.crc32(pieces.astype("<u4").tobytes())
-                    rows.append((ids[at + d], rank, len(pieces), crc, round(log_prob, 6), round(perturbed, 6), round(inclusion, 6), pieces if with_ids else None))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types[: len(names)], strict=False)], names=names)
+                    found.append(pieces.astype("<i4"))
+                    crc = zlib.crc32(found[-1].tobytes())
+                    rows.append((ids[at + d], rank, len(pieces), crc, round(log_prob, 6), round(perturbed, 6), round(inclusion, 6)))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32())))
+                    cols.append(lattice.decode_lists(cols[-1]))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += len(texts)
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(drawn, schema)
 
 
+def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """rows (with ``ids array<int>``) and the text of each row's ids as ``decoded``; null ids have a null text."""
+
+    def spelled(batches):
+        import pyarrow as pa
+
+        lattice = Lattice(model)
+        for batch in batches:
+            lists = batch.column("ids")
+            whole = lattice.decode_lists(pa.array(lists.to_pylist(), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "decoded"])
+
+    fields = rows.drop("decoded")
+    return arrow(fields).mapInArrow(spelled, StructType([*fields.schema.fields, StructField("decoded", StringType())]))
+
+
 def query(docs: DataFrame) -> DataFrame:
-    return samples(docs, with_ids=False)
+    return samples(docs)
