@@ -402,3 +402,32 @@ def test_sampling_gives_ids_and_decodes_every_sample(spark, docs):
     odd = [[], None, [lattice.byte[0xF0], lattice.byte[0x9F]], [lattice.byte[b] for b in "\u2581\u00e9".encode()], [lattice.pieces["\u2581the"][0]] * 2]
     rows = spark.createDataFrame(list(enumerate(odd)), "n long, ids array<int>")
     assert [r.decoded for r in sp_sampling.decoded(rows).orderBy("n").collect()] == [None if x is None else lattice.decode(x) for x in odd]
+
+
+def test_sampling_forces_no_boundary_in_long_runs():
+    lattice = sp_sampling.Lattice()
+    rng = random.Random(5)
+    for n in (300, 9000):  # summed together, and alone in blocks
+        text = "".join(rng.choice("there is an author of this name".replace(" ", "")) for _ in range(n))
+        joined, best = "▁" + text, [-math.inf] * (n + 1) + [0.0]
+        for s in range(n, -1, -1):  # log-sum of the whole run's segmentations
+            ends = [(lattice.pieces[joined[s:e]][1] + best[e]) for e in range(s + 1, min(n + 1, s + lattice.longest) + 1) if joined[s:e] in lattice.pieces]
+            best[s] = max(ends) + math.log(sum(math.exp(x - max(ends)) for x in ends))
+        out = sp_sampling.sample_batch(lattice, list(range(20)), [text] * 20, k=3)
+        score, across = {i: x for i, x in lattice.pieces.values()}, 0
+        for _, _, pieces, log_prob, *_ in out:
+            assert lattice.decode(list(pieces)) == text
+            assert abs(log_prob - (sum(score[i] for i in pieces) - best[0])) < 1e-6
+            ends = set(itertools.accumulate(len(lattice.names[i]) for i in pieces))
+            across += sum(c not in ends for c in range(120, n, 120))
+        assert across > 0
+        mixed = sp_sampling.sample_batch(lattice, [3, 9, 4], [text, "then an", None], k=3)
+        assert [list(x[2]) for x in mixed if x[0] == 0] == [list(x[2]) for x in out if x[0] == 3]
+
+
+def test_sampling_walks_alone_as_together(monkeypatch):
+    lattice, texts = sp_sampling.Lattice(), ["日本語" * 900, "ab" * 5000, "x" * 700]
+    alone = sp_sampling.sample_batch(lattice, [1, 2, 3], texts, k=3)
+    monkeypatch.setattr(sp_sampling, "FEW", 0)
+    together = sp_sampling.sample_batch(lattice, [1, 2, 3], texts, k=3)
+    assert [(*x[:2], list(x[2]), *x[3:]) for x in alone] == [(*x[:2], list(x[2]), *x[3:]) for x in together]

@@ -13,7 +13,7 @@ depend on neither batches nor tasks.
 Defined results: a null or empty text has the one empty segmentation (rank 1, no pieces, probability 1); a text
 with fewer than k segmentations gives as many rows as it has; repeated rows and ids get equal samples; a null id
 is seeded as 0; an empty table gives no rows; extra columns are ignored. Unknown characters fall back to byte
-pieces. Chunks over LONGEST characters are cut there: no piece spans a cut. U+2581 in a text decodes as a space.
+pieces. A run without spaces is one lattice, however long. U+2581 in a text decodes as a space.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidebook.llm.common import batches as arrow
 
 SPACE = "▁"
-LONGEST = 120
+#: Chunks up to so many characters are summed and walked together; longer ones by themselves, position by position.
+TOGETHER = 4096
+#: So few chunks that still go on after TOGETHER // 32 decisions are walked by themselves.
+FEW = 16
 #: Characters of the documents that are stepped together.
 PORTION = 3_000_000
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -38,14 +41,7 @@ K, ALPHA, SEED = 3, 0.5, 42
 
 def chunks_of(text: str | None) -> list[str]:
     """The lattice's independent parts; empty for an empty text."""
-    if not text:
-        return []
-    found, out = CHUNKS.findall(SPACE + text.replace(" ", SPACE)), []
-    if max(map(len, found)) <= LONGEST:
-        return found
-    for chunk in found:
-        out += [chunk] if len(chunk) <= LONGEST else [chunk[i : i + LONGEST] for i in range(0, len(chunk), LONGEST)]
-    return out
+    return CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Lattice:
@@ -69,6 +65,7 @@ class Lattice:
         self.ascii = np.array([self.byte[b] for b in range(128)])
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8]
         self.pieces = {self.names[i]: (i, -alpha * math.log(r + 2)) for r, i in enumerate(sorted(plain, key=lambda i: -sp.get_score(i)))}
+        self.longest = max(map(len, self.pieces))
         node: dict[str, int] = {"": 0}
         for p in self.pieces:
             for n in range(1, len(p) + 1):
@@ -110,14 +107,15 @@ class Lattice:
         """Lattices of ``chunks``: sets ``begin`` (a chunk's first state) and the option arrays."""
         import numpy as np
 
+        self.to = self.code = self.first = self.logp = self.cum = None  # the last batch's go before new ones come
         chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         ends = np.cumsum(sizes)
-        self.begin = ends - sizes
+        self.begin = (ends - sizes).astype(np.int32)
         end_of = np.repeat(ends.astype(np.int32), sizes)
         at, node = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
-        starts, lengths, pieces, scores, ranks, depth = [], [], [], [], [], 0
-        count = np.zeros(len(chars), dtype=np.int64)  # options found so far, by state
+        parts, depth = [], 0
+        count = np.zeros(len(chars), dtype=np.int16)  # options found so far, by state
         while len(at):
             node = self._child(node, chars[at + depth])
             depth += 1
@@ -125,35 +123,37 @@ class Lattice:
             if depth == 1:  # characters without a piece of their own are spelled in bytes
                 bare = np.flatnonzero((node < 0) | (self.piece[node] < 0))
                 c = chars[at[bare]]
-                starts.append(at[bare])
-                ranks.append(count[at[bare]])
+                parts.append((at[bare], count[at[bare]], 1, -1 - c, -12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
                 count[at[bare]] += 1
-                lengths.append(np.ones(len(bare), np.int32))
-                pieces.append(-1 - c)
-                scores.append(-12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-            starts.append(at[hit])
-            ranks.append(count[at[hit]])
+            parts.append((at[hit], count[at[hit]], depth, self.piece[node[hit]], self.score[node[hit]]))
             count[at[hit]] += 1
-            lengths.append(np.full(len(hit), depth, dtype=np.int32))
-            pieces.append(self.piece[node[hit]])
-            scores.append(self.score[node[hit]])
             live = np.flatnonzero((node >= 0) & (at + depth < end_of[at]))
             at, node = at[live], node[live]
-        start, length, piece, score, rank = (np.concatenate(x) for x in (starts, lengths, pieces, scores, ranks))
         # a state's options lie together, longest, so likeliest, first: the same in any batch
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        place = self.first[start] + count[start] - 1 - rank
-        order = np.empty(len(start), dtype=np.int64)
-        order[place] = np.arange(len(start))
-        start, length, self.code, score = start[order], length[order], piece[order], score[order]
-        left = end_of[start] - start  # characters to the chunk's end, at most LONGEST
-        target = start + length
-        closed = length == left
-        self.to = np.where(closed, -1, target)
-        order = np.argsort(left.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, (left.max() if len(left) else 0) + 2))
-        start_of, score, target, closed = start[order], score[order], target[order], closed[order]
+        self.first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)]).astype(np.int32)
+        start = np.repeat(np.arange(len(chars), dtype=np.int32), count)
+        target, self.code, score = start.copy(), np.empty(len(start), np.int32), np.empty(len(start))
+        while parts:
+            own, rank, length, piece, gain = parts.pop()
+            place = self.first[own] + count[own] - 1 - rank
+            target[place] += length
+            self.code[place], score[place] = piece, gain
+        left = end_of[start]
+        closed = target == left
+        left -= start  # characters to the chunk's end
+        self.to = np.where(closed, np.int32(-1), target)
         beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
+        for c in np.flatnonzero(sizes > TOGETHER).tolist():
+            self._sum_alone(int(self.begin[c]), int(ends[c]), target, score, value)
+        short = sizes[sizes <= TOGETHER].max(initial=0)
+        if len(sizes) and sizes.max() > TOGETHER:
+            order = np.flatnonzero(np.repeat(sizes <= TOGETHER, sizes)[start])
+            order = order[np.argsort(left[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.argsort(left.astype(np.uint8 if short < 256 else np.uint16), kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(1, short + 2))
+        del left
+        start_of, score, target, closed = start[order], score[order], target[order], closed[order]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if a == b:
                 continue
@@ -165,13 +165,33 @@ class Lattice:
             group = np.cumsum(np.r_[False, new])
             beta[s[cut]] = top + np.log(np.add.reduceat(np.exp(v - top[group]), cut))
             value[order[a:b]] = v - beta[s]
-        self.logp = np.minimum(value, 0.0)
-        p = np.exp(self.logp)
-        run = np.cumsum(p)
-        base = np.concatenate([[0.0], run])[self.first[:-1]]
-        self.cum = start + np.minimum(run - base[start], 1.0)
+        del order, start_of, score, target, closed
+        self.logp = np.minimum(value, 0.0, out=value)
+        run = np.exp(self.logp)
+        np.cumsum(run, out=run)
+        base = np.where(self.first[:-1] > 0, run[self.first[:-1] - 1], 0.0)
+        run -= base[start]
+        np.minimum(run, 1.0, out=run)
+        run += start
+        self.cum = run
         self.cum[self.first[1:] - 1] = np.arange(1, len(chars) + 1)  # the last option takes the rest
 
+    def _sum_alone(self, begin: int, end: int, target, score, value) -> None:
+        """Backward log-sums of the one chunk from begin to end, in blocks of positions."""
+        exp, log, high, sums = math.exp, math.log, end, {end: 0.0}
+        while high > begin:
+            low = max(begin, high - TOGETHER)
+            a, b = int(self.first[low]), int(self.first[high])
+            first, to, gain = (self.first[low : high + 1] - a).tolist(), target[a:b].tolist(), score[a:b].tolist()
+            for s in range(high - 1, low - 1, -1):
+                i, j = first[s - low], first[s - low + 1]
+                own = [gain[o] + sums[to[o]] for o in range(i, j)]
+                top = max(own)
+                sums[s] = total = top + log(sum([exp(v - top) for v in own]))
+                gain[i:j] = [v - total for v in own]
+            value[a:b] = gain
+            sums, high = {s: sums[s] for s in range(low, min(low + self.longest, end) + 1)}, low
+
     def spell(self, codes):
         """Piece ids of an array of option codes; a negative code is a character to be spelled in bytes."""
         import numpy as np
@@ -254,16 +274,20 @@ class _Walk:
         import numpy as np
 
         cum, to, piece, logp, first = lattice.cum, lattice.to, lattice.code, lattice.logp, lattice.first
-        occ = np.arange(len(state))
-        step = np.zeros(len(state), np.int64) if first_step is None else first_step
-        parts = []
+        occ = np.arange(len(state), dtype=np.int32)
+        step = np.zeros(len(state), np.int32) if first_step is None else first_step
+        parts, turn = [], 0
         while len(occ):
+            if turn >= TOGETHER // 32 and len(occ) <= FEW:
+                parts += [self._alone(lattice, o, int(doc[o]), int(chunk[o]), int(s), int(t), turn, seeds, sample) for o, s, t in zip(occ.tolist(), state.tolist(), step.tolist(), strict=True)]
+                break
             u, noise = _uniforms(seeds[doc[occ]], sample, chunk[occ], step)
             option, ahead, target = first[state], np.arange(len(occ)), state + u
             while len(ahead):  # options are few and the first ones likely
                 ahead = ahead[cum[option[ahead]] <= target[ahead]]
                 option[ahead] += 1
-            parts.append((occ, step, state, option, noise))
+            parts.append((occ, turn, step, state, option, noise))
+            turn += 1
             state = to[option]
             live = state >= 0
             occ, step, state = occ[live], step[live] + 1, state[live]
@@ -272,14 +296,15 @@ class _Walk:
             count = np.bincount(np.concatenate([p[0] for p in parts]), minlength=len(doc))
             begin = np.cumsum(count) - count
             total = int(count.sum())
-            occ = np.repeat(np.arange(len(doc)), count)
-            self.step, self.state, self.option = (np.empty(total, np.int64) for _ in range(3))
+            occ = np.repeat(np.arange(len(doc), dtype=np.int32), count)
+            self.step, self.state, self.option = (np.empty(total, np.int32) for _ in range(3))
             noise = np.empty(total)
-            for turn, (own, step, state, option, drawn) in enumerate(parts):
+            for own, turn, step, state, option, drawn in parts:
                 at = begin[own] + turn
                 self.step[at], self.state[at], self.option[at], noise[at] = step, state, option, drawn
+            del parts
         else:
-            occ = np.zeros(0, np.int64)
+            occ = np.zeros(0, np.int32)
             self.step = self.state = self.option = occ
         self.doc, self.chunk = doc[occ], chunk[occ]
         self.start = np.searchsorted(self.doc, np.arange(len(seeds) + 1))
@@ -293,6 +318,31 @@ class _Walk:
         self.code = piece[self.option]
         self.taken: dict[int, list[int]] = {}
 
+    @staticmethod
+    def _alone(lattice, own, doc, chunk, state, step, turn, seeds, sample):
+        """The same decisions for the rest of one chunk, one after another."""
+        import numpy as np
+
+        cum, to, first = lattice.cum, lattice.to, lattice.first
+        states, options, noises, begin = [], [], [], step
+        while state >= 0:
+            steps = np.arange(step, step + TOGETHER)
+            u, noise = _uniforms(seeds[doc], sample, np.full(TOGETHER, chunk), steps)
+            noises.append(noise)
+            for x in u.tolist():
+                option = int(first[state])
+                while cum[option] <= state + x:
+                    option += 1
+                states.append(state)
+                options.append(option)
+                state = int(to[option])
+                if state < 0:
+                    break
+            step += TOGETHER
+        n = len(states)
+        run = np.arange(n)
+        return np.full(n, own), turn + run, begin + run, np.array(states), np.array(options), np.concatenate(noises)[:n]
+
     def best(self, docs: int):
         """Per document, the largest open value and its place."""
         import numpy as np
@@ -313,14 +363,14 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     n = len(texts)
     known: defaultdict[str, int] = defaultdict()
     known.default_factory = known.__len__
-    per_doc = [np.fromiter(map(known.__getitem__, chunks_of(t)), np.int64) for t in texts]
+    per_doc = [np.fromiter(map(known.__getitem__, chunks_of(t)), np.int32) for t in texts]
     lattice.build(list(known) or [SPACE])  # a batch of empty texts needs no lattice
     to, piece, logp, first = lattice.to, lattice.code, lattice.logp, lattice.first
     sizes = np.array([len(x) for x in per_doc])
     all_states = lattice.begin[np.concatenate(per_doc)]
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    doc = np.repeat(np.arange(n), sizes)
-    chunk = np.arange(len(doc)) - begin[doc]
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    chunk = (np.arange(len(doc)) - begin[doc]).astype(np.int32)
     with np.errstate(over="ignore"):
         keys = np.array([(0 if i is None else i) & 0xFFFFFFFFFFFFFFFF for i in ids], dtype=np.uint64)
         seeds = (keys + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -328,7 +378,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     value = -np.log(-np.log(_uniforms(seeds, 0, nil, nil)[0]))
     walks = [_Walk(lattice, doc, chunk, all_states, seeds, 0, value, np.zeros(n))]
     # heads[j][d]: codes before walk j's own decisions of document d; None where the document has no such sample
-    nothing = np.zeros(0, np.int64)
+    nothing = np.zeros(0, np.int32)
     heads: list[list] = [[nothing] * n]
     values, alive = [value], np.ones(n, bool)
     found = [(alive.copy(), walks[0].total)]
@@ -376,12 +426,12 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             docs2.append(doc[later])
             chunks2.append(chunk[later])
             states2.append(all_states[later])
-            steps2.append(np.zeros(len(states2[-1]), np.int64))
+            steps2.append(np.zeros(len(states2[-1]), np.int32))
         if split:
             docs = np.array([d for *_, d in split])
             for (w, at, _), drawn in zip(split, _truncated(np.array(rests), value[docs], again[docs]).tolist(), strict=True):
                 w.open[at] = drawn
-        join = lambda xs: np.concatenate([np.asarray(x, np.int64) for x in xs]) if xs else np.zeros(0, np.int64)
+        join = lambda xs: np.concatenate([np.asarray(x, np.int32) for x in xs]) if xs else np.zeros(0, np.int32)
         walks.append(_Walk(lattice, join(docs2), join(chunks2), join(states2), seeds, j, value, before, join(steps2)))
         heads.append(head)
         values.append(value)
@@ -394,6 +444,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
         for d in np.flatnonzero(has).tolist():
             codes = np.concatenate([heads[j][d], w.code[w.start[d] : w.start[d + 1]]])
             out.append((d, j + 1, lattice.spell(codes), float(total[d]), float(values[j][d]), float(inclusion[d])))
+        walks[j] = heads[j] = None
     return out
 
 
@@ -418,7 +469,7 @@ def samples(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED,
                     chars += len(texts[-1] or "")
                 rows, found = [], []
                 for d, rank, pieces, log_prob, perturbed, inclusion in sample_batch(lattice, ids[at : at + len(texts)], texts, k, seed):
-                    found.append(pieces.astype("<i4"))
+                    found.append(pieces.astype("<i4", copy=False))
                     crc = zlib.crc32(found[-1].tobytes())
                     rows.append((ids[at + d], rank, len(pieces), crc, round(log_prob, 6), round(perturbed, 6), round(inclusion, 6)))
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
@@ -426,8 +477,11 @@ def samples(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED,
                     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32())))
                     cols.append(lattice.decode_lists(cols[-1]))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += len(texts)
+                whole = pa.RecordBatch.from_arrays(cols, names=names)
+                del rows, found, cols, texts
+                yield whole
+                del whole
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(drawn, schema)
 
