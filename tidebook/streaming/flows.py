@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import shared_dir
+
 
 def events(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     """A stream over the files of ``path``; back-pressure is the number of files of a trigger, nothing is dropped.
@@ -28,8 +30,9 @@ def sliding(stream: DataFrame, size: str = "2 days", slide: str = "1 day") -> Da
     return stream.groupBy(F.window("at", size, slide)).agg(F.count("*").alias("n"))
 
 
-def deduplicated(stream: DataFrame, key: list[str], late: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(key)
+def deduplicated(stream: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each key. Keys are kept for good: no row is late, and no repeat is old enough to come back."""
+    return stream.dropDuplicates(key)
 
 
 def verdicts(stream: DataFrame) -> DataFrame:
@@ -51,8 +54,14 @@ def verdicts(stream: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result."""
-    name = f"flow_{uuid.uuid4().hex}"
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its result, written in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # a stream without rows has no batch
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    job = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     job.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
