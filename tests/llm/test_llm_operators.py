@@ -120,6 +120,27 @@ def test_pii_edges_and_redaction(docs):
     assert texts[0] is None and texts[1] == "" and texts[7].endswith("[EMAIL]; [PHONE]; [CARD]; [IP]")
 
 
+def test_pii_redaction_of_overlapping_kinds(spark):
+    texts = ["10.0.0.1@mail.com", "at 192.168.0.1-joe@x.org, then", "+1 555 123 4567.joe@x.org", "a@b.org 10.0.0.1"]
+    out = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert got == ["[EMAIL]", "at [EMAIL], then", "[PHONE]", "[EMAIL] [IP]"]
+    # any text: what is left outside the names is what no found span covers
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["10.0.0.1", "joe@x.org", "+1 555 123 4567", "4111 1111 1111 1111", "-", ".", " ", "é"]) for _ in range(6)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.query(df).collect()}
+    crossed = 0
+    for r in pii.redact(df).collect():
+        covered, total = set(), 0
+        for kind, s, e in (x.split(":") for x in filter(None, spans[r.doc_id].split(","))):
+            covered |= set(range(int(s), int(e)))
+            total += int(e) - int(s)
+        crossed += total > len(covered)
+        assert re.sub(r"\[[A-Z]+\]", "", r.text) == "".join(c for i, c in enumerate(texts[r.doc_id]) if i not in covered)
+    assert crossed
+
+
 def test_pii_em_learns_reliable_labelers():
     strong, weak = 2 * 1 + 0, 1  # votes are base 3
     code = lambda votes: (lambda c: c * 4 + 2)(eval("+".join(f"{v}*{3 ** (4 - i)}" for i, v in enumerate(votes))))

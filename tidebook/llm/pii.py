@@ -219,14 +219,14 @@ def query(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every found span replaced by ``[KIND]``; other columns, and null texts, are unchanged.
 
-    Of overlapping spans the one that starts first is replaced.
+    Overlapping spans are replaced as one, by the kind of the one that starts first, the longest of those.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    found = detect(packed, "_text").withColumn("_at", F.expr("array_sort(transform(_spans, x -> struct(x.s AS s, x.e AS e, x.kind AS kind)))"))
+    found = detect(packed, "_text").withColumn("_at", F.expr("array_sort(transform(_spans, x -> struct(x.s AS s, -x.e AS back, x.kind AS kind)))"))
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     rewritten = F.expr(
         f"""aggregate(_at, named_struct('at', 0, 'out', ''),
-          (a, x) -> CASE WHEN x.s < a.at THEN a ELSE named_struct('at', x.e, 'out',
+          (a, x) -> CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, -x.back), 'out', a.out) ELSE named_struct('at', -x.back, 'out',
              concat(a.out, substring(_t, a.at + 1, x.s - a.at), element_at(array({kinds}), x.kind + 1))) END,
           a -> concat(a.out, substring(_t, a.at + 1)))"""
     )
