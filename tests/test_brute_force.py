@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from tidebook import catalogue, tables
-from tidebook.operators import execution
+from tidebook.operators import book, execution
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,3 +186,28 @@ def test_lifecycle_rejects(spark):
     assert [s[2] for s in got].count("rejected") == 4
     with pytest.raises(ValueError, match="policy"):
         played(spark, actions, [(2, 1, 0, "gap", None, None, None)], on_gap="other")
+
+
+def test_lag_search_depth(spark, trades):
+    levels = book.level_intervals(tables.view(spark, SF, "applied"), tables.view(spark, SF, "resets")).collect()
+
+    def ahead(p, t):
+        own = [x for x in levels if x.market == p.market and x.side == p.taker_side and x.price >= p.price]
+        return sum(x.size for x in own if x.from_ms <= t and (x.to_ms is None or t < x.to_ms)) if any(x.from_ms <= t for x in own) else None
+
+    want, last = {}, {}
+    for p in trades:
+        if p.market in last:
+            best = (None, None)
+            for lag in range(-500, 2501, 100):
+                a, b = (ahead(p, x.ms - lag * 1_000_000) for x in (last[p.market], p))
+                if a is not None and b is not None:
+                    residual = abs(last[p.market].size - p.size - (a - b))
+                    if best[1] is None or residual < best[1]:
+                        best = (lag, residual)
+            want[p.event_id] = best
+        last[p.market] = p
+    got = {r["event_id"]: (r["best_lag"], r["residual"]) for r in rows(spark, "lag_search_depth")}
+    assert got == want
+    assert {x for x, _ in want.values() if x is not None} - {0, 100, 200, 300}
+    assert sum(r["n"] for r in rows(spark, "lag_histogram_depth")) == len(want)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.operators import book, execution, folds, temporal
+from tidebook.operators import book, evidence, execution, folds, temporal
 from tidebook.sources import lake
 from tidebook.streaming import flows
 from tidebook.tables import load, view
@@ -77,6 +77,22 @@ def taker_sweep(spark: SparkSession, d: str) -> DataFrame:
     return folds.taker_sweep(levels.selectExpr("*", "CAST(500 AS DECIMAL(24,6)) AS qty", "CAST(0.8 AS DECIMAL(12,6)) AS lim"), ["market"], "qty", "lim")
 
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """A queue reading per trade after a market's first: the reported move is the fall of the trade's size."""
+    return view(spark, d, "trades").selectExpr("market", "event_id AS id", "taker_side AS side", "price", "ms AS t1", "lag(ms) OVER (PARTITION BY market ORDER BY event_id) AS t0",
+        "CAST(lag(size) OVER (PARTITION BY market ORDER BY event_id) - size AS DECIMAL(24,6)) AS moved").where("t0 IS NOT NULL")
+
+
+def lag_search_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The lag, of 31, at which the book's move in depth ahead is nearest to the reported one; a unit of lag is 1000 s."""
+    intervals = book.level_intervals(view(spark, d, "applied"), view(spark, d, "resets"))
+    return evidence.lag_search(_readings(spark, d), intervals, 1_000_000).withColumnRenamed("id", "event_id")
+
+
+def lag_histogram_depth(spark: SparkSession, d: str) -> DataFrame:
+    return lag_search_depth(spark, d).groupBy("best_lag").agg(F.count("*").alias("n"))
+
+
 def sequence_verdicts(spark: SparkSession, d: str) -> DataFrame:
     frames = view(spark, d, "ev").selectExpr("stream", "ordinal", "event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq")
     return folds.sequence_verdicts(frames).groupBy("verdict").agg(F.count("*").alias("n"))
@@ -212,7 +228,7 @@ ORACLES: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, sequence_verdicts,
+        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, sequence_verdicts, lag_search_depth, lag_histogram_depth,
         equity_grid, backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
     )
     return {f.__name__: f for f in own}
