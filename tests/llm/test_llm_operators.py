@@ -200,6 +200,22 @@ def test_url_filter_aliases_and_edges(spark):
 # ---- 4
 
 
+def test_url_filter_link_forms(spark):
+    want = {
+        '<link rel=canonical href="next.html">': "h.net/a/b/next.html", '<link href = "../x" rel = "canonical">': "h.net/a/x",
+        '<link rel="canonical" href="?p=2&amp;s=3">': "h.net/a/b/c.html?p=2&s=3", '<link rel=canonical href="./../../../y/./z/..">': "h.net/y",
+        '<meta content="0; url=n.html" http-equiv="refresh">': "h.net/a/b/n.html", "<meta http-equiv = 'refresh' content = \"0; URL = 'https://o.org/k'\">": "o.org/k",
+        '<link rel=canonical href="/r?a=1&#38;b=2&#x26;c=3&#36;">': "h.net/r?a=1&b=2&c=3$", '<link rel=canonical href="//www.p.org/">': "p.org",
+        '<link rel=canonical href="mailto:a@b.c">': None, '<link rel=canonical href="#top">': None,
+    }
+    pages = [(f"https://h.net/a/b/c.html?q={i}", html) for i, html in enumerate(want)]
+    got = {r.src: r.dst for r in url_filter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == {f"h.net/a/b/c.html?q={i}": dst for i, dst in enumerate(want.values()) if dst}
+    rows = [(1, "https://h.net/d/old", '<meta content="0;url=../es/1" http-equiv=refresh>'), (2, "https://h.net/es/1", ""), (3, "https://h.net/d/free", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "h.net", "/es/"),)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_warc_normaliser_round_trip():
     bodies = [b"", b"x" * 3000, "é\r\n\r\nWARC/1.1".encode(), bytes(range(256)) * 50]
     raw = b"".join(warc.record(i, f"http://h/{i}", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies))

@@ -64,26 +64,66 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, action
 
 
+def _with(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that later steps read as it is: the optimizer would copy its expression to every use."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def unescaped(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the column's character references by number, and the five named ones that URLs hold, spelled out."""
+    for pattern, lead, base in (("&#([0-9]{1,7});", "&#", 10), ("&#[xX]([0-9A-Fa-f]{1,6});", "&#[xX]", 16)):
+        code = lambda n: F.conv(n, base, 10).cast("int")
+        found = F.array_distinct(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)))
+        valid = F.filter(found, lambda n: code(n).between(1, 0xD7FF) | code(n).between(0xE000, 0x10FFFF))
+        marks = F.transform(valid, lambda n: F.struct(F.concat(F.lit(lead), n, F.lit(";")).alias("m"), F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32").alias("c")))
+        rows = _with(rows, name, F.aggregate(marks, F.col(name), lambda t, x: F.regexp_replace(t, x["m"], F.regexp_replace(x["c"], F.lit(r"([\\$])"), F.lit(r"\\$1")))))
+    text = F.col(name)
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(char))
+    return _with(rows, name, text)
+
+
+def absolute(rows: DataFrame, target: str, base: str) -> DataFrame:
+    """rows with ``target`` as a page at the URL ``base`` means it, without ``.`` and ``..`` segments."""
+    rows = rows.withColumn("_origin", F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1)).withColumn("_path", path_of(F.col(base)))
+    folder = F.when(F.col("_path") == "", F.lit("/")).otherwise(F.regexp_extract("_path", "^(.*/)", 1))
+    t = F.col(target)
+    full = (
+        F.when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t))
+        .when(F.startswith(t, F.lit("/")), F.concat("_origin", t))
+        .when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(F.startswith(t, F.lit("?")), F.concat("_origin", "_path", t))
+        .when(F.startswith(t, F.lit("#")), F.col(base))
+        .otherwise(F.concat("_origin", folder, t))
+    )
+    rows = _with(rows, target, full)
+    steps = F.split(F.regexp_extract(t, r"^[^:/?#]*://[^/?#]*/([^?#]*)", 1), "/")
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    clean = F.concat(F.regexp_extract(t, r"^([^:/?#]*://[^/?#]*/)", 1), F.array_join(kept, "/"), F.regexp_extract(t, r"^[^?#]*(.*)$", 1))
+    return _with(rows, target, F.when(t.rlike(r"^[^:/?#]*://[^?#]*/\.\.?(?:[/?#]|$)"), clean).otherwise(t)).drop("_origin", "_path")
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys of canonical links and meta redirects in the html; absolute, ``//`` and ``/`` targets."""
+    """(src, dst) keys of canonical links and meta redirects in the html, whatever the order of their attributes."""
     html = F.col("html")
+    value, canonical, refresh = r"\s*=\s*[\"']?\s*([^\"'\s>]+)", r"\brel\s*=\s*[\"']?canonical\b", r"\bhttp-equiv\s*=\s*[\"']?refresh\b"
     targets = F.array(
-        F.regexp_extract(html, r"(?is)<link\b[^>]*\brel=[\"']?canonical\b[^>]*\bhref=[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(html, r"(?is)<link\b[^>]*\bhref=[\"']?([^\"'\s>]+)[\"']?[^>]*\brel=[\"']?canonical\b", 1),
-        F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*\burl=[\"']?([^\"'\s>]+)", 1),
+        F.regexp_extract(html, rf"(?is)<link\b[^>]*{canonical}[^>]*\bhref{value}", 1),
+        F.regexp_extract(html, rf"(?is)<link\b[^>]*\bhref{value}[\"']?[^>]*{canonical}", 1),
+        F.regexp_extract(html, rf"(?is)<meta\b[^>]*{refresh}[^>]*\burl{value}", 1),
+        F.regexp_extract(html, rf"(?is)<meta\b[^>]*\burl{value}[\"']?[^>]*{refresh}", 1),
     )
     found = (
         pages.select("url", "html")
-        .where(html.rlike(r"(?i)rel=[\"']?canonical|http-equiv=[\"']?refresh"))
+        .where(html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
         .select("url", F.explode(F.filter(targets, lambda x: x != "")).alias("t"))
     )
-    origin = F.regexp_extract("url", r"^([^:/?#]*://[^/?#]*)", 1)
-    full = (
-        F.when(F.startswith("t", F.lit("//")), F.concat(F.lit("http:"), "t"))
-        .when(F.startswith("t", F.lit("/")), F.concat(origin, "t"))
-        .otherwise(F.col("t"))
-    )
-    return found.select(url_key(F.col("url")).alias("src"), url_key(full).alias("dst")).where("src <> dst").distinct()
+    full = absolute(unescaped(found, "t"), "t", "url")
+    keys = _with(_with(full, "src", url_key(F.col("url"))), "dst", url_key(F.col("t"))).select("src", "dst")
+    return keys.where("src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, edges: DataFrame | None = None) -> DataFrame:
