@@ -2,8 +2,8 @@
 
 Training: a bounded sample of labelled texts (MAX_TRAIN, drawn by a hash of the id), each text once. Features
 whose share among toxic texts is significantly raised become the vocabulary. Sentences that name a group are
-rewritten with every other term of the list, and with a neutral one; the squared change of the score is
-penalised, so that a mention alone moves no score. Scoring reads whole texts in Arrow batches.
+rewritten with a neutral term and with the next three terms of the list, not with all of them; the squared
+change of the score is penalised, so that a mention alone moves no score. Scoring reads whole texts in Arrow batches.
 
 Defined results: a null or empty text has no features and gets the base rate; labels that are null, or of ids
 without a document, are ignored; of an id's conflicting labels the higher counts; with no toxic or no clean
