@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import shared_dir
+from tidebook.storage import shared_dir
 
 
 def events(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
