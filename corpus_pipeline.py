@@ -2,6 +2,11 @@
 
 Each stage takes all that its predecessor kept and writes Parquet that the next one reads. The first four return
 the columns of ``documents``; the last returns the packed sequences' pieces.
+
+Defined results, in every stage: rows are judged one by one, so repeated rows share their verdict, until the near-duplicate
+stage keeps one row of each group; a null id is a document like another, and never the one that stays beside a known id;
+nulls in other columns are kept as they are; extra columns pass, whatever their names; an empty table gives an empty one.
+A null or empty text scores 0 for toxicity and stays there, and goes at the quality rules, as it has under 50 words.
 """
 
 from __future__ import annotations
