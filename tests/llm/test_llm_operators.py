@@ -73,6 +73,26 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain_and_a_giant_star(spark):
+    n = 3000
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    star = spark.range(n).selectExpr("id + 10000 AS src", "CAST(20000 AS BIGINT) AS dst")
+    got = connected_components(chain.union(star)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {0: n + 1, 10000: n + 1}
+
+
+def test_url_filter_carries_blocks_through_chains_and_giant_parts(spark):
+    """Ten thousand canonical links: a chain of 60 pages to a blocked one, and a hub that thousands name."""
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    rows = [(i, f"http://c.net/p{i}", link(f"http://c.net/p{i + 1}")) for i in range(60)] + [(60, "http://b.com/de/end", "")]
+    rows[59] = (59, "http://c.net/p59", link("http://b.com/de/end"))
+    rows += [(1000 + i, f"http://s{i}.net/x", link("http://hub.com/de/all")) for i in range(5000)]
+    rows += [(10000 + i, f"http://t{i}.net/x", link("http://free.net/all")) for i in range(5000)]
+    got = {r.page_id: (r.verdict, r.reason) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(60)} == {("block", "alias")} and got[60] == ("block", "rule")
+    assert {got[1000 + i] for i in range(5000)} == {("block", "alias")} and {got[10000 + i] for i in range(5000)} == {("allow", "default")}
+
+
 # ---- 1
 
 
@@ -178,6 +198,8 @@ def test_toxicity_held_out_and_counterfactual(spark):
 def test_toxicity_edges(spark, docs):
     lab = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.query(docs, lab).collect()} == {0.0}
+    odd = spark.createDataFrame([(1, 2), (2, -1), (3, None)], "doc_id long, toxic int")  # labels other than 0 and 1 are not learned from
+    assert {r.score for r in toxicity.query(docs, odd).collect()} == {0.0}
     assert toxicity.accepted(docs, lab).columns == docs.columns and toxicity.query(docs.limit(0), lab.limit(0)).count() == 0
 
 
@@ -213,6 +235,11 @@ def test_url_filter_link_forms(spark):
     assert got == {f"h.net/a/b/c.html?q={i}": dst for i, dst in enumerate(want.values()) if dst}
     rows = [(1, "https://h.net/d/old", '<meta content="0;url=../es/1" http-equiv=refresh>'), (2, "https://h.net/es/1", ""), (3, "https://h.net/d/free", "")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "h.net", "/es/"),)).collect()}
+    bare = [(7, "https://q.net/one", '<link rel="canonical" href="https://h.net/es">'), (8, "https://q.net/two", '<link rel="canonical" href="https://h.net/es/">')]
+    judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(bare[:1], "page_id long, url string, html string"), (("block", "h.net", "/es/"),)).collect()}
+    assert judged == {7: "allow"}  # the rule does not fit a target without its slash
+    judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(bare[1:], "page_id long, url string, html string"), (("block", "h.net", "/es/"),)).collect()}
+    assert judged == {8: "block"}
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
@@ -326,6 +353,10 @@ def test_langid(spark, docs):
     truth = {i: lang for i, _, lang in rows}
     assert all(r.lang_pred == truth[r.doc_id] and 0 <= r.score <= 1 for r in got) and any(r.held_out for r in got)
     edge = langid.query(docs).collect()
+    none = spark.createDataFrame([(9001, "½ ² Ⅷ 12 _"), (9002, "½ ª")], "doc_id long, text string")
+    model_rows = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(none.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
+    und = {r.doc_id: r.lang_pred for r in langid.query(model_rows).collect() if r.doc_id > 9000}
+    assert und[9001] == "und" and und[9002] != "und"  # letters are the categories L*, no numbers
     assert len(edge) == len(EDGE) and {r.lang_pred for r in edge if r.doc_id in (1, 2, 3)} == {"und"}
     assert langid.query(docs.limit(0)).count() == 0
     for n in (1, 2, 4, 7, 12):

@@ -34,6 +34,24 @@ def test_stages(spark):
     assert jaccard.deduplicated(read(spark, SF, "documents").limit(0)).count() == 0
 
 
+def test_stages_on_edges(spark):
+    """Nulls in any column, repeated rows, an extra column with a clashing name, and no rows at all."""
+    body = " ".join(f"Word{i} runs, over {i} hills." for i in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sig string"
+    rows = [(1, body, "en", "a", len(body), "x"), (1, body, "en", "a", len(body), "x"), (None, body, None, None, None, None), (2, None, None, None, None, None), (3, "", "en", "a", 0, ""),
+            (None, "Mail " + body.replace("hills", "dales") + " ann@mail.org", None, None, None, None)]
+    for given in (rows, []):
+        docs, left = spark.createDataFrame(given, schema), []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage_table(stage(spark, docs, SF), name)
+            left.append(docs.count())
+        if not given:
+            assert left == [0] * 5
+        else:
+            # nothing is toxic; empty texts fail the rules; of three copies the one with an id stays, once
+            assert left[:4] == [6, 4, 2, 2] and {r.doc_id for r in docs.collect()} == {1, None}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(spark, name):
     df = registry.queries()[name](spark, SF)

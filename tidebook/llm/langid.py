@@ -12,9 +12,9 @@ extra columns pass through :func:`predict`. Texts are read whole, in chunks.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ EXHAUSTIVE, BITS_PER = 7, 12
 #: Below this lead over the second codeword a text counts as ambiguous.
 AMBIGUOUS = 0.2
 SHARPNESS = 8.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str):

@@ -75,7 +75,7 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, y) of a bounded hash sample of labelled documents that are not held out; each text once."""
     known = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("y"))
     )

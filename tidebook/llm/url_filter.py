@@ -107,7 +107,7 @@ def absolute(rows: DataFrame, target: str, base: str) -> DataFrame:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys of canonical links and meta redirects in the html, whatever the order of their attributes."""
+    """(src, dst) keys of canonical links and meta redirects in the html, whatever the order of their attributes, and dst's host and path."""
     html = F.col("html")
     value, canonical, refresh = r"\s*=\s*[\"']?\s*([^\"'\s>]+)", r"\brel\s*=\s*[\"']?canonical\b", r"\bhttp-equiv\s*=\s*[\"']?refresh\b"
     targets = F.array(
@@ -122,8 +122,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         .select("url", F.explode(F.filter(targets, lambda x: x != "")).alias("t"))
     )
     full = absolute(unescaped(found, "t"), "t", "url")
-    keys = _with(_with(full, "src", url_key(F.col("url"))), "dst", url_key(F.col("t"))).select("src", "dst")
-    return keys.where("src <> dst").distinct()
+    keys = _with(_with(full, "src", url_key(F.col("url"))), "dst", url_key(F.col("t")))
+    return keys.where("src <> dst").select("src", "dst", host_of(F.col("t")).alias("host"), path_of(F.col("t")).alias("path")).distinct()
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -138,7 +138,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, edg
         rule.alias("rule"), action.alias("action"), url_key(F.col("url")).alias("key"),
     )
     found = alias_edges(pages)
-    links = found if edges is None else found.unionByName(edges.select("src", "dst"))
+    if edges is not None:
+        by_key = (F.regexp_extract("dst", "^([^/?]*)", 1).alias("host"), F.regexp_extract("dst", r"^[^/?]*([^?]*)", 1).alias("path"))
+        found = found.unionByName(edges.select("src", "dst", *by_key))
+    links = found.select("src", "dst")
     parts = connected_components(links)
     keys = (
         parsed.where("key IS NOT NULL")
@@ -146,8 +149,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, edg
         .agg(F.max(F.col("action") == "block").alias("blocked"), F.max(F.col("action") == "allow").alias("allowed"))
     )
     # targets that no page has are judged by the rules as well
-    _, target = rule_of(F.regexp_extract("dst", "^([^/?]*)", 1), F.concat(F.regexp_extract("dst", r"^[^/?]*([^?]*)", 1), F.lit("/")), rules)
-    ends = links.select("dst").distinct().withColumn("a", target)
+    _, target = rule_of(F.col("host"), F.col("path"), rules)
+    ends = found.select("dst", "host", "path").distinct().withColumn("a", target)
     keys = keys.unionByName(ends.select(F.col("dst").alias("key"), (F.col("a") == "block").alias("blocked"), (F.col("a") == "allow").alias("allowed")))
     placed = keys.join(parts, keys.key == parts.node, "left").select(
         F.coalesce("component", "key").alias("component"), "blocked", "allowed"

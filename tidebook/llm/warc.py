@@ -152,10 +152,15 @@ def _open(uri: str, mode: str):
 
 
 def _delete(uri: str) -> None:
+    """A file that an earlier attempt of the task has deleted is not missed."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    store.delete_file(path)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        try:
+            store.delete_file(path)
+        except FileNotFoundError:
+            pass
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
