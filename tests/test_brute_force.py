@@ -36,49 +36,6 @@ def test_queue_is_the_fold(spark, deltas):
         assert got[o.event_id] == ahead
 
 
-def test_level_reconciliation_is_the_fold(spark, deltas, trades):
-    events = defaultdict(list)
-    for d in deltas:
-        events[d.market, d.side, d.price].append((d.event_id, d.delta, Decimal(0)))
-    for t in trades:
-        events[t.market, "no" if t.taker_side == "yes" else "yes", t.price].append((t.event_id, Decimal(0), t.size))
-    want = {}
-    for level, found in events.items():
-        pending = executed = removed = added = Decimal(0)
-        for _, delta, size in sorted(found):
-            pending += size
-            gone = max(-delta, Decimal(0))
-            used = min(gone, pending)
-            pending, executed, removed, added = pending - used, executed + used, removed + gone - used, added + max(delta, Decimal(0))
-        want[level] = (executed, removed, added, pending)
-    got = {(r["market"], r["side"], r["price"]): (r["executed"], r["removed"], r["added"], r["unreconciled"]) for r in rows(spark, "level_reconcile")}
-    assert got == want
-
-
-def test_lag_search(spark, deltas, trades):
-    best = {}
-    for p in trades:
-        resid = {}
-        for lag in (0, 100, 200, 300):
-            start = p.ms + lag * 1_000_000
-            resid[lag] = abs(sum(d.market == p.market and start < d.ms <= start + 172_800_000 for d in deltas) - 2)
-        best[p.event_id] = min(resid, key=lambda lag: (resid[lag], lag))
-    assert {r["event_id"]: r["best_lag"] for r in rows(spark, "lag_search")} == best
-
-
-def test_depth_ahead_and_trades_in_range(spark, deltas, trades):
-    size = defaultdict(Decimal)
-    for d in deltas:
-        size[d.market, d.side, d.price] += d.delta
-    got = {r["event_id"]: (r["better_levels"], r["better_size"], r["same_size"]) for r in rows(spark, "depth_ahead")}
-    reached = {r["event_id"]: (r["n"], r["volume"], r["first_trade"]) for r in rows(spark, "range_trades")}
-    for d in deltas:
-        better = [s for (m, side, p), s in size.items() if (m, side) == (d.market, d.side) and p > d.price]
-        assert got[d.event_id] == (len(better), sum(better, Decimal(0)), size[d.market, d.side, d.price])
-        hits = [t for t in trades if t.market == d.market and t.taker_side != d.side and t.price <= d.price and d.ms < t.ms <= d.ms + 86_400_000]
-        assert reached[d.event_id] == (len(hits), sum((t.size for t in hits), Decimal(0)), min((t.event_id for t in hits), default=None))
-
-
 def test_recovery_episodes(spark):
     frames = sorted(tables.view(spark, SF, "ev").collect(), key=lambda r: r.event_id)
     open_, want = {}, []

@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from tidebook.operators import execution, folds, temporal
+from tidebook.operators import book, execution, folds, replay, temporal
 from tidebook.sources import lake
 
 
@@ -26,10 +26,28 @@ def test_positions_flip_through_zero(spark):
     assert (float(r.qty), r.realised, r.cost, r.cash) == (0.0, 6.0, 0.0, 6.0)
 
 
+FRAMES = [(5, False, "first"), (6, False, "ok"), (6, False, "duplicate"), (4, False, "out_of_order"), (7, False, "ok"), (9, False, "gap"), (8, False, "degraded"), (None, False, "unsequenced"), (10, False, "degraded"),
+          (12, True, "recovered"), (13, False, "ok"), (12, False, "out_of_order"), (15, False, "gap"), (None, True, "recovered"), (30, False, "first")]
+
+
 def test_sequence_verdicts(spark):
-    rows = [(1, i, s) for i, s in enumerate([5, 6, 6, 9, 7, None])]
-    got = [r.verdict for r in folds.sequence_verdicts(spark.createDataFrame(rows, "stream int, ordinal int, seq int")).orderBy("ordinal").collect()]
-    assert got == ["first", "ok", "duplicate", "gap", "out_of_order", "unsequenced"]
+    rows = [(1, i, s, r) for i, (s, r, _) in enumerate(FRAMES)]
+    got = [r.verdict for r in folds.sequence_verdicts(spark.createDataFrame(rows, "stream int, ordinal int, seq int, recovery boolean")).orderBy("ordinal").collect()]
+    assert got == [v for *_, v in FRAMES]
+
+
+def test_ladder_hash_sorts_members_not_lines(spark):
+    import hashlib
+
+    rows = [(1, 1, "a"), (1, 10, "b"), (1, 2, None)]
+    got = book.ladder_hash(spark.createDataFrame(rows, "g int, m long, hash string"), ["g"], "m").first()
+    assert got.hash == hashlib.sha256(b"1=a\n10=b\n2=null").hexdigest() and got.members == 3
+
+
+def test_throttle_counts_from_the_last_report(spark):
+    rows = [(1, t) for t in (0, 5, 10, 14, 20, 31)] + [(2, 7)]
+    got = sorted((r.k, r.t) for r in replay.throttled(spark.createDataFrame(rows, "k long, t long"), "k", "t", 10).collect())
+    assert got == [(1, 0), (1, 10), (1, 20), (1, 31), (2, 7)]
 
 
 def test_execution_priority_queue_and_cancel(spark):

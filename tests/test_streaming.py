@@ -20,3 +20,37 @@ def test_an_empty_stream_has_an_empty_result(spark, tmp_path):
     spark.createDataFrame([], "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events"))
     stream = flows.events(spark, str(tmp_path / "events"))
     assert flows.drained(flows.deduplicated(stream, ["event_id"]), "append").count() == 0
+
+
+def _files(spark, path, rows, schema):
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stateful_flows_carry_state_over_batches(spark, tmp_path):
+    import tidebook
+    from pyspark import cloudpickle
+    from tests.test_operators import FRAMES
+
+    cloudpickle.register_pickle_by_value(tidebook)
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    schema = "stream long, ordinal long, seq long, recovery boolean"
+    rows = [(1, i, s, r) for i, (s, r, _) in enumerate(FRAMES)]
+    _files(spark, str(tmp_path / "v"), [rows[:3], rows[3:8], rows[8:]], schema)
+    got = flows.drained(flows.verdicts(read("v", schema)), "append").orderBy("ordinal").collect()
+    assert [r.verdict for r in got] == [v for *_, v in FRAMES]
+
+    schema = "market long, ordinal long, ms long, kind string, side string, price long, delta long"
+    book = [(1, 1, 0, "delta", "yes", 400_000, 5), (1, 2, 0, "delta", "no", 550_000, 7), (1, 3, 1, "delta", "yes", 400_000, -6), (1, 4, 2, "delta", "yes", 300_000, 1), (1, 5, 3, "reset", None, None, None), (1, 6, 4, "delta", "no", 500_000, 2), (1, 7, 5, "down", None, None, None)]
+    _files(spark, str(tmp_path / "b"), [book[:2], book[2:5], book[5:]], schema)
+    got = flows.drained(flows.books(read("b", schema)), "append").orderBy("ordinal").collect()
+    assert [(r.valid, r.bid, r.bid_size, r.ask, r.ask_size) for r in got] == [
+        (True, 400_000, 5, None, None), (True, 400_000, 5, 450_000, 7), (False, None, None, None, None), (False, None, None, None, None), (True, None, None, None, None), (True, None, None, 500_000, 2), (False, None, None, None, None)]
+
+    schema = "stream long, ordinal long, ms long, kind string"
+    kinds = [(10, "gap"), (20, "gap"), (30, "request"), (40, "snapshot"), (50, "gap"), (60, "request"), (200, "frame"), (210, "request"), (220, "end"), (230, "snapshot")]
+    frames = [(1, i, *k) for i, k in enumerate(kinds)]
+    _files(spark, str(tmp_path / "r"), [frames[:3], frames[3:6], frames[6:]], schema)
+    got = sorted((r.ms, r.episode, r.became, r.cause, r.faults) for r in flows.drained(flows.recoveries(read("r", schema), 100), "append").collect())
+    assert got == [(10, 1, "DEGRADED", "gap", 1), (30, 1, "RECOVERING", "request", 2), (40, 1, "HEALTHY", "snapshot", 2), (50, 2, "DEGRADED", "gap", 1), (60, 2, "RECOVERING", "request", 1),
+                   (160, 2, "DEGRADED", "timeout", 1), (210, 2, "RECOVERING", "request", 1), (220, 2, "HEALTHY", "superseded", 1)]

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook import tables
-from tidebook.plans import market, relational
+from tidebook.plans import books, market, relational, reports, scalars
+
+#: Modules of queries with oracles in other terms; they come before a plain text of the same name.
+MODULES = (market, scalars, books, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    shared = {name: (lambda spark, d, text=text: tables.query(spark, d, text)) for name, text in relational.SQL.items()}
-    return shared | market.queries()
+    found = {name: (lambda spark, d, text=text: tables.query(spark, d, text)) for name, text in relational.SQL.items()}
+    for module in MODULES:
+        found |= module.queries()
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: tables.duck(text) for name, text in relational.SQL.items()} | {name: tables.duck(text) for name, text in market.ORACLES.items()}
+    found = {name: tables.duck(text) for name, text in relational.SQL.items()}
+    for module in MODULES:
+        for name in module.queries():
+            found.pop(name, None)
+        found |= {name: tables.duck(text) for name, text in module.ORACLES.items()}
+    return found

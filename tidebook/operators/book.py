@@ -80,6 +80,8 @@ def state_hash(levels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ladder_hash(members: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """SHA-256 over the sorted ``member=hash`` lines of each cross-section; a missing hash is spelled ``null``."""
-    line = F.concat(F.col(member).cast("string"), F.lit("="), F.coalesce("hash", F.lit("null")))
-    return members.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("hash"), F.count("*").alias("members"))
+    """SHA-256 over the ``member=hash`` lines of each cross-section, members in order as texts; a missing hash is spelled ``null``."""
+    name = F.col(member).cast("string")
+    line = F.struct(name.alias("member"), F.concat(name, F.lit("="), F.coalesce("hash", F.lit("null"))).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
+    return members.groupBy(*keys).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"), F.count("*").alias("members"))

@@ -13,7 +13,6 @@ from tidebook.streaming import flows
 from tidebook.tables import load, view
 
 DAY, HOUR = 86_400_000, 3_600_000
-HORIZONS = (60_000, 3_600_000, 86_400_000)
 
 
 def asof_backward(spark: SparkSession, d: str) -> DataFrame:
@@ -27,31 +26,21 @@ def asof_lagged(spark: SparkSession, d: str) -> DataFrame:
     return temporal.asof_join(left, view(spark, d, "trades").selectExpr("market", "us", "event_id AS trade_id"), ["market"], "us", ["trade_id"])
 
 
-def markouts(spark: SparkSession, d: str) -> DataFrame:
-    """Signed price change after each trade, at several horizons; null beyond the market's last trade."""
-    trades = view(spark, d, "trades")
-    until = trades.groupBy("market").agg(F.max("ms").alias("until"))
-    spread = trades.select("event_id", "market", F.col("price").alias("paid"), "taker_side", F.explode(F.array(*[F.lit(h).cast("long") for h in HORIZONS])).alias("horizon_ms"), "ms")
-    asked = spread.join(until, "market").withColumn("ms", F.col("ms") + F.col("horizon_ms"))
-    marks = trades.groupBy("market", "ms").agg(F.max_by("price", "event_id").alias("mark"))
-    found = temporal.asof_join(asked, marks, ["market"], "ms", ["mark"], F.col("until"))
-    signed = F.when(F.col("taker_side") == "yes", F.col("mark") - F.col("paid")).otherwise(F.col("paid") - F.col("mark"))
-    return found.select("event_id", "horizon_ms", signed.cast("decimal(14,6)").alias("markout"))
-
-
-def markout_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = markouts(spark, d)
-    return rows.groupBy("horizon_ms").agg(
-        F.count("*").alias("n"), F.count("markout").alias("observed"), F.sum("markout").cast("decimal(28,6)").alias("total"),
-        F.count_if(F.col("markout") < 0).alias("adverse"),
-    )
-
-
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     last = view(spark, d, "ev").agg(F.max("ms")).first()[0] or 0
     return book.on_grid(book.level_intervals(view(spark, d, "applied"), view(spark, d, "resets")), DAY, last)
 
 
+def final_tops(spark: SparkSession, d: str) -> DataFrame:
+    """Per market the best prices and sizes of its last book, and whether that book is valid."""
+    applied = view(spark, d, "applied")
+    last = book.level_intervals(applied, view(spark, d, "resets")).where("to_ms IS NULL")
+    top = lambda side: F.max(F.when(F.col("side") == side, F.struct("price", "size")))
+    tops = last.groupBy("market").agg(top("yes").alias("y"), top("no").alias("n"))
+    epochs = applied.groupBy("market").agg(F.max_by(F.col("cut").isNull(), "epoch").alias("valid"))
+    return epochs.join(tops, "market", "left").select("market", "valid", F.col("y.price").alias("bid"), (1 - F.col("n.price")).cast("decimal(12,6)").alias("ask"), F.col("y.size").alias("bid_size"), F.col("n.size").alias("ask_size"))
+
+
 def grid_clock(spark: SparkSession, d: str) -> DataFrame:
     return book.best_prices(_grid(spark, d))
 
@@ -60,13 +49,6 @@ def book_hash(spark: SparkSession, d: str) -> DataFrame:
     return book.state_hash(_grid(spark, d), ["market", "bucket_ms"])
 
 
-def ladder_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-section per series and instant: markets expected and captured."""
-    have = _grid(spark, d).select("market", "bucket_ms").distinct()
-    expected = view(spark, d, "ev").groupBy("series").agg(F.countDistinct("market").alias("expected"))
-    return have.groupBy((F.col("market") % 8).alias("series"), "bucket_ms").agg(F.count("*").alias("captured")).join(expected, "series")
-
-
 def position_fold(spark: SparkSession, d: str) -> DataFrame:
     fills = view(spark, d, "fills").withColumn("signed_qty", F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")).cast("decimal(24,6)"))
     return folds.positions(fills.withColumn("seq", F.struct("order_id", "line", "price", "signed_qty", "discount")))
@@ -93,21 +75,6 @@ def lag_histogram_depth(spark: SparkSession, d: str) -> DataFrame:
     return lag_search_depth(spark, d).groupBy("best_lag").agg(F.count("*").alias("n"))
 
 
-def sequence_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    frames = view(spark, d, "ev").selectExpr("stream", "ordinal", "event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq")
-    return folds.sequence_verdicts(frames).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-def equity_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Positions per market on a 90-day grid, summed over markets."""
-    fills = view(spark, d, "fills").withColumn("s", F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")))
-    daily = fills.groupBy("market", "ms").agg(F.sum("s").cast("decimal(24,6)").alias("net"))
-    held = daily.selectExpr("market", "ms", "CAST(sum(net) OVER (PARTITION BY market ORDER BY ms) AS DECIMAL(24,6)) AS qty", "lead(ms) OVER (PARTITION BY market ORDER BY ms) AS until")
-    last = daily.agg(F.max("ms")).first()[0] or 0
-    spans = held.selectExpr("qty", "ms AS a", f"coalesce(until, {last + 1}L) - 1 AS b")
-    return temporal.grid(spans, "a", "b", 90 * DAY).groupBy("bucket_ms").agg(F.count("*").alias("markets"), F.sum("qty").cast("decimal(28,6)").alias("net"))
-
-
 def _shipped() -> None:
     """Python operators travel with their plans, so executors need no installed package."""
     from pyspark import cloudpickle
@@ -185,9 +152,33 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return flows.drained(flows.deduplicated(flows.events(spark, f"{d}/events.parquet"), ["event_id"]), "append").select("event_id")
 
 
+_FRAMES = "CASE WHEN event_id % 97 = 33 THEN NULL ELSE event_id + CASE event_id % 97 WHEN 0 THEN 3 WHEN 50 THEN -1 WHEN 70 THEN -4 ELSE 0 END END AS seq"
+
+
 def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of streams of 500 frames; errors are recoveries."""
+    _shipped()
+    frames = flows.events(spark, f"{d}/events.parquet").selectExpr("event_id div 500 AS stream", "event_id AS ordinal", "event_type = 'error' AS recovery", _FRAMES)
+    return flows.drained(flows.verdicts(frames), "append").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def stream_books(spark: SparkSession, d: str) -> DataFrame:
+    """Best prices after every delta and reset, from the stream's state."""
+    _shipped()
+    frames = flows.events(spark, f"{d}/events.parquet").where("event_type <> 'purchase'").selectExpr(
+        "user_id AS market", "event_id AS ordinal", "unix_millis(at) AS ms", "CASE event_type WHEN 'error' THEN 'reset' ELSE 'delta' END AS kind", "CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS side",
+        "(event_id * 7 % 45 + 3) * 10000 AS price", "CAST(CASE WHEN event_type = 'signup' THEN -least(round(value, 2), 4) ELSE round(value, 2) END * 100 + 0.5 * sign(CASE WHEN event_type = 'signup' THEN -1 ELSE 1 END) AS BIGINT) * 10000 AS delta")
+    out = flows.drained(flows.books(frames), "append")
+    dec = lambda c, kind: (F.col(c).cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast(kind).alias(c)
+    return out.select(F.col("ordinal").alias("event_id"), "market", dec("bid", "decimal(12,6)"), dec("bid_size", "decimal(24,6)"), dec("ask", "decimal(12,6)"), dec("ask_size", "decimal(24,6)"))
+
+
+def stream_recoveries(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the recovery state per market: errors are gaps, signups requests, purchases snapshots."""
     _shipped()
-    return flows.drained(flows.verdicts(flows.events(spark, f"{d}/events.parquet")), "append").groupBy("verdict").agg(F.count("*").alias("n"))
+    kinds = "CASE event_type WHEN 'error' THEN 'gap' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'snapshot' ELSE 'frame' END AS kind"
+    frames = flows.events(spark, f"{d}/events.parquet").selectExpr("user_id AS stream", "event_id AS ordinal", "unix_millis(at) AS ms", kinds)
+    return flows.drained(flows.recoveries(frames, 2 * DAY), "append")
 
 
 _GRID = f"""spans AS (SELECT a.market, a.side, a.price, a.post AS size, a.ms AS from_ms, coalesce(lead(a.ms) OVER (PARTITION BY a.market, a.epoch, a.side, a.price ORDER BY a.event_id),
@@ -199,27 +190,15 @@ _GRID = f"""spans AS (SELECT a.market, a.side, a.price, a.post AS size, a.ms AS
 ORACLES: dict[str, str] = {
     "asof_backward": "SELECT r.event_id, r.market, r.us, t.price AS last_price, t.event_id AS trade_id FROM resets r ASOF LEFT JOIN trades t ON t.market = r.market AND r.us >= t.us",
     "asof_lagged": f"SELECT l.event_id, l.market, l.lag, l.us, t.event_id AS trade_id FROM (SELECT event_id, market, CAST(lag AS BIGINT) AS lag, us - lag AS us FROM resets, (VALUES (0), ({DAY * 1000})) v(lag)) l ASOF LEFT JOIN trades t ON t.market = l.market AND l.us >= t.us",
-    "markouts": f"""WITH asked AS (SELECT t.event_id, t.market, t.price AS paid, t.taker_side, h.h, t.ms + h.h AS at, max(t.ms) OVER (PARTITION BY t.market) AS until FROM trades t, (VALUES {", ".join(f"(CAST({h} AS BIGINT))" for h in HORIZONS)}) h(h)),
-        marks AS (SELECT market, ms, arg_max(price, event_id) AS mark FROM trades GROUP BY market, ms)
-        SELECT a.event_id, a.h AS horizon_ms, CAST(CASE WHEN a.at <= a.until THEN CASE WHEN a.taker_side = 'yes' THEN m.mark - a.paid ELSE a.paid - m.mark END END AS DECIMAL(14,6)) AS markout
-        FROM asked a ASOF LEFT JOIN marks m ON m.market = a.market AND a.at >= m.ms""",
     "grid_clock": f"""WITH {_GRID}, tops AS (SELECT *, row_number() OVER (PARTITION BY market, bucket_ms, side ORDER BY price DESC) AS r FROM cells)
         SELECT market, bucket_ms, max(CASE WHEN side = 'yes' THEN price END) AS bid, CAST(1 - max(CASE WHEN side = 'no' THEN price END) AS DECIMAL(12,6)) AS ask,
         CAST(1 - max(CASE WHEN side = 'no' THEN price END) - max(CASE WHEN side = 'yes' THEN price END) AS DECIMAL(12,6)) AS spread,
         CAST(sum(CASE WHEN side = 'yes' THEN size END) AS DECIMAL(24,6)) AS bid_depth, CAST(sum(CASE WHEN side = 'no' THEN size END) AS DECIMAL(24,6)) AS ask_depth FROM tops WHERE r <= 3 GROUP BY market, bucket_ms""",
     "book_hash": f"""WITH {_GRID} SELECT market, bucket_ms, sha256(CAST(market AS VARCHAR) || chr(10) || 'yes:' || coalesce(string_agg(CASE WHEN side = 'yes' THEN price || '@' || size END, ',' ORDER BY price DESC), '')
         || chr(10) || 'no:' || coalesce(string_agg(CASE WHEN side = 'no' THEN price || '@' || size END, ',' ORDER BY price DESC), '')) AS hash FROM cells GROUP BY market, bucket_ms""",
-    "ladder_samples": f"""WITH {_GRID} SELECT market % 8 AS series, bucket_ms, count(DISTINCT market) AS captured, any_value(expected) AS expected FROM cells
-        JOIN (SELECT series AS s, count(DISTINCT market) AS expected FROM ev GROUP BY series) e ON e.s = market % 8 GROUP BY market % 8, bucket_ms""",
-    "sequence_verdicts": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN top IS NULL THEN 'first' WHEN before > 0 THEN 'duplicate' WHEN seq < top THEN 'out_of_order' WHEN seq = top + 1 THEN 'ok' ELSE 'gap' END AS verdict FROM (
-        SELECT seq, max(seq) OVER (PARTITION BY stream ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, count(*) OVER (PARTITION BY stream, seq ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-        FROM (SELECT stream, ordinal, event_id - CASE WHEN event_id % 100 = 0 THEN 3 ELSE 0 END AS seq FROM ev) f) x) y GROUP BY verdict""",
     "taker_sweep": """WITH l AS (SELECT market, CAST(1 - price AS DECIMAL(12,6)) AS price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas WHERE side = 'no' AND delta > 0 GROUP BY market, price),
         c AS (SELECT market, price, CASE WHEN price <= 0.8 THEN greatest(0, least(size, 500 - coalesce(sum(size) OVER (PARTITION BY market ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS took FROM l)
         SELECT market, CAST(sum(took) AS DECIMAL(24,6)) AS filled, CAST(sum(CAST(took AS DECIMAL(24,6)) * price) AS DECIMAL(38,12)) AS cost FROM c GROUP BY market""",
-    "equity_grid": f"""WITH daily AS (SELECT market, ms, sum(CASE WHEN action = 'buy' THEN qty ELSE -qty END) AS net FROM fills GROUP BY market, ms),
-        held AS (SELECT market, ms, sum(net) OVER (PARTITION BY market ORDER BY ms) AS qty, coalesce(lead(ms) OVER (PARTITION BY market ORDER BY ms), (SELECT max(ms) + 1 FROM daily)) AS until FROM daily)
-        SELECT b AS bucket_ms, count(*) AS markets, CAST(sum(qty) AS DECIMAL(28,6)) AS net FROM held JOIN (SELECT unnest(generate_series((SELECT min(ms) // {90 * DAY} - 1 FROM daily), (SELECT max(ms) // {90 * DAY} FROM daily))) * {90 * DAY} AS b) g ON b >= ms AND b < until GROUP BY b""",
     "stream_tumbling": f"SELECT market AS user_id, CAST(floor(us / {DAY * 1000}) AS BIGINT) * {DAY} AS start_ms, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(24,6))) AS DECIMAL(24,6)) AS volume FROM (SELECT *, (SELECT 1) AS one FROM ev) e JOIN (SELECT event_id, value FROM events) v USING (event_id) GROUP BY market, CAST(floor(us / {DAY * 1000}) AS BIGINT)",
     "stream_sliding": f"SELECT d * {DAY} AS start_ms, count(*) AS n FROM (SELECT unnest([day, day - 1]) AS d FROM (SELECT CAST(floor(us / {DAY * 1000}) AS BIGINT) AS day FROM ev) x) y GROUP BY d",
     "stream_dedupe": "SELECT event_id FROM events",
@@ -228,13 +207,12 @@ ORACLES: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        asof_backward, asof_lagged, markouts, markout_summary, grid_clock, book_hash, ladder_samples, position_fold, taker_sweep, sequence_verdicts, lag_search_depth, lag_histogram_depth,
-        equity_grid, backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
+        asof_backward, asof_lagged, grid_clock, book_hash, position_fold, taker_sweep, lag_search_depth, lag_histogram_depth,
+        backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts, stream_books, stream_recoveries,
     )
     return {f.__name__: f for f in own}
 
 
-ORACLES["markout_summary"] = f"SELECT horizon_ms, count(*) AS n, count(markout) AS observed, CAST(sum(markout) AS DECIMAL(28,6)) AS total, count(CASE WHEN markout < 0 THEN 1 END) AS adverse FROM ({ORACLES['markouts']}) m GROUP BY horizon_ms"
 
 
 _DEPTHS = (1, 3, 5, 10)
@@ -243,7 +221,11 @@ ORACLES["depth_imbalance"] = f"""WITH {_GRID}, tops AS (SELECT *, row_number() O
     b AS (SELECT market, bucket_ms, CAST(max(CASE WHEN side = 'yes' THEN price END) AS DOUBLE) AS bid, CAST(CAST(1 - max(CASE WHEN side = 'no' THEN price END) AS DECIMAL(12,6)) AS DOUBLE) AS ask,
       {", ".join(f"{_SIZE.format(s='yes', k=k)} AS y{k}, {_SIZE.format(s='no', k=k)} AS n{k}" for k in _DEPTHS)} FROM tops GROUP BY market, bucket_ms)
     SELECT market, bucket_ms, round((bid + ask) / 2, 6) AS mid, round((bid * n1 + ask * y1) / (y1 + n1), 6) AS microprice, {", ".join(f"round((y{k} - n{k}) / (y{k} + n{k}), 6) AS imbalance_{k}" for k in _DEPTHS)} FROM b"""
-ORACLES["ladder_hash"] = f"""SELECT market % 8 AS series, bucket_ms, sha256(string_agg(CAST(market AS VARCHAR) || '=' || hash, chr(10) ORDER BY CAST(market AS VARCHAR) || '=' || hash)) AS hash, count(*) AS members
+ORACLES["ladder_hash"] = f"""SELECT market % 8 AS series, bucket_ms, sha256(string_agg(CAST(market AS VARCHAR) || '=' || hash, chr(10) ORDER BY CAST(market AS VARCHAR))) AS hash, count(*) AS members
     FROM ({ORACLES["book_hash"]}) h GROUP BY market % 8, bucket_ms"""
 ORACLES["dataset_files"] = "SELECT 'events.parquet' AS file, count(*) AS n FROM events"
-ORACLES["stream_verdicts"] = "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'first' ELSE 'ok' END AS verdict FROM events) v GROUP BY verdict"
+ORACLES["stream_verdicts"] = f"""WITH RECURSIVE fr AS (SELECT event_id // 500 AS stream, event_id % 500 AS rn, event_type = 'error' AS recovery, {_FRAMES} FROM events),
+    walk AS (SELECT stream, CAST(-1 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS top, false AS bad, CAST(NULL AS VARCHAR) AS verdict FROM (SELECT DISTINCT stream FROM fr) s UNION ALL
+      SELECT f.stream, f.rn, CASE WHEN recovery THEN seq WHEN bad OR seq IS NULL THEN top WHEN top IS NULL OR seq = top + 1 THEN seq ELSE top END, NOT recovery AND (bad OR coalesce(seq > top + 1, false)),
+        CASE WHEN recovery THEN 'recovered' WHEN seq IS NULL THEN 'unsequenced' WHEN bad THEN 'degraded' WHEN top IS NULL THEN 'first' WHEN seq = top + 1 THEN 'ok' WHEN seq = top THEN 'duplicate' WHEN seq < top THEN 'out_of_order' ELSE 'gap' END
+      FROM walk w JOIN fr f ON f.stream = w.stream AND f.rn = w.rn + 1) SELECT verdict, count(*) AS n FROM walk WHERE rn >= 0 GROUP BY verdict"""

@@ -11,19 +11,8 @@ SQL: dict[str, str] = {
     "slice_describe": "SELECT count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, count(DISTINCT market) AS markets, count(DISTINCT series) AS n_series FROM ev",
     "export_query_orders": """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND $US(o_orderdate) >= 757382400000000""",
     # ---- scalars
-    "ladder_mapping": """SELECT event_id, side, price, CASE WHEN side = 'yes' THEN 'bid' ELSE 'ask' END AS ladder,
-        CASE WHEN side = 'yes' THEN price ELSE CAST(1 - price AS DECIMAL(12,6)) END AS yes_price,
-        CAST(round(price * 100, 0) AS BIGINT) AS cents FROM deltas""",
-    "lifecycle_state": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'settled' WHEN lower(trim(o_orderstatus)) = 'o' THEN 'open' ELSE 'determined' END AS state,
-        CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END END AS payout, o_orderstatus IN ('F', 'P') AS is_determined FROM orders""",
-    "fee_quadratic": """SELECT event_id, CAST(ceil(CAST(0.07 AS DOUBLE) * CAST(size AS DOUBLE) * CAST(price AS DOUBLE) * (1 - CAST(price AS DOUBLE)) * 100 - 1e-9) AS BIGINT) AS fee_cents FROM trades""",
-    "fixed_buckets": """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN size < 1 THEN 'a_under_1' WHEN size < 10 THEN 'b_1_to_10' WHEN size < 100 THEN 'c_10_to_100' ELSE 'd_over_100' END AS bucket FROM ev) b GROUP BY bucket""",
     "time_parts": "SELECT event_id, CAST(floor(ms / 3600000) AS BIGINT) * 3600000 AS bucket_ms, CAST(floor(ms / 60000) AS BIGINT) AS minute, CAST(floor(ms / 3600000) AS BIGINT) % 24 AS hour_utc FROM ev",
-    "ts_normalise": "SELECT event_id, CASE WHEN raw < 100000000000 THEN raw * 1000 ELSE raw END AS ms FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(floor(ms / 1000) AS BIGINT) ELSE ms END AS raw FROM ev) r",
     "json_fields": "SELECT event_id, $K(props) AS k FROM events",
-    "ticker_parts": "SELECT p_partkey, $EXTRACT(p_brand, '([0-9]+)', 1) AS number, $EXTRACT(p_brand, '^([A-Za-z]+)', 1) AS family FROM part",
-    "eligibility": """SELECT event_id, CASE WHEN market % 50 = 0 THEN 'denied' WHEN size IS NULL THEN 'no_size' WHEN size < 2 THEN 'too_small' WHEN event_type = 'error' THEN 'not_open' ELSE 'eligible' END AS reason FROM ev""",
-    "structural_hash": "SELECT p_partkey, $SHA(concat_ws('|', p_brand, p_type, CAST(p_size AS $TEXT))$/SHA AS version FROM part",
     # ---- joins
     "enrich_left": "SELECT event_id, e.market, c_mktsegment, n_name FROM ev e LEFT JOIN customer ON c_custkey = e.market LEFT JOIN nation ON n_nationkey = c_nationkey",
     "gap_stream_left": "SELECT r.event_id, r.market, s.streams FROM resets r LEFT JOIN (SELECT market, count(DISTINCT stream) AS streams FROM deltas GROUP BY market) s ON s.market = r.market",
@@ -34,8 +23,6 @@ SQL: dict[str, str] = {
     "seed_lookup": """SELECT market, coalesce(before_id, after_id) AS seed FROM (SELECT market, max(CASE WHEN ms <= 1719792000000 THEN event_id END) AS before_id,
         min(CASE WHEN ms > 1719792000000 THEN event_id END) AS after_id FROM resets GROUP BY market) s""",
     "interval_overlap": """WITH spans AS (SELECT stream, min(ms) AS a, max(ms) AS b FROM ev GROUP BY stream) SELECT stream, a, b FROM spans WHERE a < 1720000000000 AND b >= 1710000000000""",
-    "confusion": """SELECT side, CAST(count(CASE WHEN post > 0 AND delta > 0 THEN 1 END) AS BIGINT) AS tp, CAST(count(CASE WHEN post > 0 AND delta <= 0 THEN 1 END) AS BIGINT) AS fp,
-        CAST(count(CASE WHEN post <= 0 AND delta > 0 THEN 1 END) AS BIGINT) AS fn, CAST(count(CASE WHEN post <= 0 AND delta <= 0 THEN 1 END) AS BIGINT) AS tn FROM levels GROUP BY side""",
     # ---- aggregates
     "filtered_counts": "SELECT event_type, count(*) FILTER (WHERE size > 10) AS large, CAST(avg(CAST(abs(size) AS DOUBLE)) FILTER (WHERE size > 10) AS DECIMAL(18,4)) AS mean_large FROM ev GROUP BY event_type",
     "percentile_disc_latency": "SELECT event_type, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY size) AS DOUBLE) AS p50, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY size) AS DOUBLE) AS p90, CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY size) AS DOUBLE) AS p99 FROM ev GROUP BY event_type",
@@ -53,10 +40,7 @@ SQL: dict[str, str] = {
         WHEN t = 1 THEN 'ONE' WHEN t = 2 THEN 'TWO' ELSE 'DEEPER' END AS regime FROM (SELECT delta, greatest(0, CAST(round((CAST(0.47 AS DECIMAL(12,6)) - price) * 100, 0) AS BIGINT)) AS t FROM deltas) x) y GROUP BY regime""",
     "fill_breakdown_multi": """SELECT CASE WHEN grouping(action) = 0 THEN 'action' WHEN grouping(l_linestatus) = 0 THEN 'status' ELSE 'flag' END AS dimension,
         coalesce(action, l_linestatus, l_returnflag) AS bucket, count(*) AS n, CAST(sum(qty) AS DECIMAL(28,6)) AS qty FROM fills GROUP BY GROUPING SETS ((action), (l_linestatus), (l_returnflag))""",
-    "exec_quality": """SELECT o.status, o.n AS orders, f.n AS fills, f.qty FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus) o
-        JOIN (SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(qty) AS DECIMAL(28,6)) AS qty FROM fills JOIN orders ON o_orderkey = order_id GROUP BY o_orderstatus) f ON f.status = o.status""",
     "minute_health": "SELECT session, CAST(floor(ms / 60000) AS BIGINT) AS minute, count(*) AS frames, count(DISTINCT market) AS markets, max(ordinal) AS last_ordinal FROM ev GROUP BY session, CAST(floor(ms / 60000) AS BIGINT)",
-    "censoring": "SELECT market, count(*) AS n, count(CASE WHEN NOT ok THEN 1 END) AS censored FROM applied GROUP BY market",
     "top_blocked": "SELECT market, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY market ORDER BY n DESC, market LIMIT 8",
     "inventory_time_weighted": """SELECT market, CAST(round(sum(abs(inv) * held) / nullif(sum(held), 0), 6) AS DECIMAL(24,6)) AS mean_abs FROM (SELECT market, CAST(inv AS DOUBLE) AS inv,
         CAST(lead(ms) OVER (PARTITION BY market ORDER BY ms) - ms AS DOUBLE) AS held FROM (SELECT market, ms, sum(net) OVER (PARTITION BY market ORDER BY ms) AS inv FROM (
@@ -65,7 +49,6 @@ SQL: dict[str, str] = {
     "latest_state": "SELECT market, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY us DESC, event_id DESC) AS r FROM ev) x WHERE r = 1",
     "ordinal_holes": "SELECT market, count(*) AS holes FROM (SELECT market, ordinal, lag(ordinal) OVER (PARTITION BY market ORDER BY ordinal) AS prev FROM ev) x WHERE prev IS NOT NULL AND ordinal <> prev + 1 GROUP BY market",
     "monotone_check": "SELECT count(*) AS violations FROM (SELECT us, lag(us) OVER (PARTITION BY session ORDER BY ordinal) AS prev FROM ev) x WHERE us < prev",
-    "queue_steps": "SELECT event_id, delta - lag(delta) OVER w AS d_delta, event_id - lag(event_id) OVER w AS d_id FROM deltas WINDOW w AS (PARTITION BY market, side, price ORDER BY event_id)",
     "chrono_ranks": "SELECT stream, row_number() OVER (ORDER BY first_ms, stream) AS stream_rank FROM (SELECT stream, min(ms) AS first_ms FROM ev GROUP BY stream) s",
     "capture_gaps": """WITH spans AS (SELECT session, stream, min(ms) AS first_ms, max(ms) AS last_ms, count(DISTINCT market) AS markets FROM ev GROUP BY session, stream)
         SELECT prev_stream, stream, prev_last AS started_ms, first_ms AS ended_ms, first_ms - prev_last AS duration_ms, CASE WHEN session = prev_session THEN 'restart' ELSE 'unknown' END AS reason, markets
@@ -81,78 +64,31 @@ SQL: dict[str, str] = {
     # ---- order and sets
     "observation_order": """SELECT event_id, row_number() OVER (PARTITION BY market ORDER BY session, ms, ordinal, stream, kind, event_id) AS pos FROM (
         SELECT event_id, market, session, ms, ordinal, stream, CASE WHEN event_type = 'error' THEN 3 WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS kind FROM ev) x""",
-    "ladder_topk": "SELECT market, side, price, size FROM (SELECT *, row_number() OVER (PARTITION BY market, side ORDER BY price DESC) AS r FROM (SELECT market, side, price, sum(delta) AS size FROM deltas GROUP BY market, side, price) l) x WHERE r <= 3",
     "union_ranks": "SELECT kind, count(*) AS n, min(event_id) AS first_id FROM (SELECT 'delta' AS kind, event_id FROM deltas UNION ALL SELECT 'trade', event_id FROM trades UNION ALL SELECT 'reset', event_id FROM resets) u GROUP BY kind",
     "universe_diff": "SELECT market, 'added' AS change FROM (SELECT DISTINCT market FROM deltas EXCEPT SELECT DISTINCT market FROM resets) a UNION ALL SELECT market, 'kept' FROM (SELECT DISTINCT market FROM deltas INTERSECT SELECT DISTINCT market FROM resets) b",
     # ---- book
-    "delta_apply": "SELECT event_id, post, ok, CASE WHEN post - delta = 0 AND post > 0 THEN 'insert' WHEN post = 0 THEN 'delete' WHEN delta > 0 THEN 'increase' ELSE 'decrease' END AS level_action FROM applied",
     "consistency": "SELECT market, epoch, count(*) AS n, count(CASE WHEN price < 0 OR price > 1 THEN 1 END) AS out_of_range, count(CASE WHEN post < 0 THEN 1 END) AS negative FROM levels GROUP BY market, epoch",
-    "move_class": """SELECT class, count(*) AS n FROM (SELECT CASE WHEN delta = 0 THEN 'none' WHEN delta > 0 AND post = delta THEN 'joined_empty' WHEN delta > 0 THEN 'behind' WHEN post = 0 THEN 'cleared' WHEN post < 0 THEN 'violation' ELSE 'ahead' END AS class FROM levels) x GROUP BY class""",
-    "book_diff_full_outer": """SELECT coalesce(a.market, b.market) AS market, coalesce(a.price, b.price) AS price, a.size AS yes_size, b.size AS no_size FROM (SELECT market, price, sum(delta) AS size FROM deltas WHERE side = 'yes' GROUP BY market, price) a
-        FULL OUTER JOIN (SELECT market, price, sum(delta) AS size FROM deltas WHERE side = 'no' GROUP BY market, price) b ON a.market = b.market AND a.price = b.price WHERE a.size IS DISTINCT FROM b.size""",
     # ---- portfolio
-    "settlement": """SELECT outcome, count(*) AS n, CAST(sum(pnl) AS DECIMAL(28,6)) AS pnl FROM (SELECT CASE WHEN p_size % 4 = 0 THEN 'yes' WHEN p_size % 4 = 1 THEN 'no' WHEN p_size % 4 = 2 THEN 'void' ELSE 'open' END AS outcome,
-        CASE WHEN p_size % 4 = 0 THEN q * 1 - cash WHEN p_size % 4 = 1 THEN -cash WHEN p_size % 4 = 2 THEN CAST(0 AS DECIMAL(24,6)) END AS pnl FROM (SELECT market, sum(CASE WHEN action = 'buy' THEN qty ELSE -qty END) AS q,
-        sum(CASE WHEN action = 'buy' THEN qty ELSE -qty END * price) AS cash FROM fills GROUP BY market) m JOIN part ON p_partkey = market) x GROUP BY outcome""",
-    "fees_effective": """SELECT order_id, line, market, qty, fee_known, CASE WHEN fee_known THEN CAST(round(rate * qty * price * (1 - price), 6) AS DECIMAL(24,6)) END AS fee FROM (SELECT *, l_returnflag <> 'N' AS fee_known,
-        CASE WHEN ms < 800000000000 THEN CAST(0.07 AS DECIMAL(4,2)) ELSE CAST(0.035 AS DECIMAL(5,3)) END AS rate FROM fills) f""",
     # ---- quality
     "contract_semantics": """SELECT count(*) AS n, count(CASE WHEN price < 0 OR price > 1 THEN 1 END) AS bad_price, count(CASE WHEN price * 100 <> floor(price * 100) THEN 1 END) AS sub_cent,
         count(CASE WHEN ordinal IS NULL THEN 1 END) AS no_ordinal, max(ordinal) > min(ordinal) AS moves FROM deltas""",
-    "soak_checks": """SELECT 'ordinals' AS name, count(*) = max(ordinal) - min(ordinal) + 1 AS pass FROM ev UNION ALL SELECT 'prices', count(CASE WHEN price > 1 THEN 1 END) = 0 FROM deltas
-        UNION ALL SELECT 'no_violation', count(CASE WHEN post < 0 THEN 1 END) = 0 FROM levels""",
-    "health_levels": """SELECT series, max(level) AS worst FROM (SELECT series, CASE WHEN event_type = 'error' AND size > 50 THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END AS level FROM ev) x GROUP BY series""",
     "coverage": "SELECT series, max(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END) AS status, min(CASE WHEN event_type = 'purchase' THEN ms END) AS exercised_ms FROM ev GROUP BY series",
     # ---- evidence, risk and calibration
-    "depth_ahead": """SELECT d.event_id, b.better_levels, CAST(b.better_size AS DECIMAL(24,6)) AS better_size, b.size AS same_size FROM deltas d JOIN (SELECT *, row_number() OVER w - 1 AS better_levels,
-        coalesce(sum(size) OVER (PARTITION BY market, side ORDER BY price DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS better_size
-        FROM (SELECT market, side, price, CAST(sum(delta) AS DECIMAL(24,6)) AS size FROM deltas GROUP BY market, side, price) l WINDOW w AS (PARTITION BY market, side ORDER BY price DESC)) b
-        ON b.market = d.market AND b.side = d.side AND b.price = d.price""",
-    "event_time_rows": "SELECT event_id, market, ms, post, 'delta' AS kind FROM applied WHERE ok UNION ALL SELECT event_id, market, ms, NULL, 'seed' FROM resets",
-    "grid_post_event": """SELECT market, bucket, max(event_id) AS state_of FROM (SELECT market, event_id, CAST(ceil(ms / 86400000) AS BIGINT) AS bucket FROM applied WHERE ok) x GROUP BY market, bucket""",
-    "replay_verify": """SELECT e.market, e.epoch, e.n AS expected, coalesce(r.n, 0) AS replayed, e.n = coalesce(r.n, 0) AS matches FROM (SELECT market, epoch, count(*) AS n FROM levels GROUP BY market, epoch) e
-        LEFT JOIN (SELECT market, epoch, count(*) AS n FROM applied WHERE ok GROUP BY market, epoch) r ON r.market = e.market AND r.epoch = e.epoch""",
-    "risk_envelope": """SELECT market, CASE WHEN errors > 25 THEN 'kill_switch' WHEN exposure > 3000 THEN 'exposure' WHEN n > 120 THEN 'too_many_orders' ELSE 'allowed' END AS block_reason FROM (SELECT market, count(*) AS n,
-        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN event_type = 'purchase' THEN size ELSE 0 END) AS exposure FROM ev GROUP BY market) x""",
-    "stratum_selection": """SELECT stratum, n FROM (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*), stratum) AS r FROM (SELECT concat_ws('/', CASE WHEN size >= 10 THEN 'deep' ELSE 'thin' END, event_type) AS stratum FROM ev) s GROUP BY stratum) x WHERE r <= 3""",
-    "lag_search": """SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT event_id, lag, abs(max(seen) - min(seen) - 2) AS resid FROM (
-        SELECT event_id, lag, count(CASE WHEN event_id IS NULL THEN 1 END) OVER (PARTITION BY market ORDER BY at_ms) AS seen FROM (
-          SELECT event_id, market, lag, ms + lag * 1000000 + span AS at_ms FROM trades CROSS JOIN (SELECT CAST(0 AS BIGINT) AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l
-            CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 172800000) e
-          UNION ALL SELECT NULL, market, NULL, ms FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id, lag) x GROUP BY event_id""",
     "level_activity": """SELECT market, side, price, CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS DECIMAL(24,6)) AS added, CAST(sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS DECIMAL(24,6)) AS removed, count(*) AS n FROM applied WHERE ok GROUP BY market, side, price""",
     "tracking_windows": "SELECT market, event_id, ms AS opened_ms, lead(ms) OVER (PARTITION BY market ORDER BY event_id) AS closed_ms FROM resets",
     "volume_decrease": "SELECT count(*) AS n FROM (SELECT post, lag(post) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS prev FROM levels) x WHERE post < prev",
     "time_difference_orders": "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE $US(o_orderdate) >= 757382400000000 GROUP BY o_orderstatus",
     # ---- calendar, identifiers and text
     "days_between": "SELECT $UNNEST($SEQ(a, b)) AS day FROM (SELECT CAST(floor(min(ms) / 86400000) AS BIGINT) AS a, CAST(floor((max(ms) - 1) / 86400000) AS BIGINT) AS b FROM ev) x",
-    "canonical_size": "SELECT event_id, CAST(CAST($EVEN(event_id / 2.0, 0) AS DECIMAL(24,6)) AS $TEXT) AS canonical FROM ev",
     "group_uuid": """SELECT series, bucket, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('8', substr(h, 14, 3)), concat(substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1), substr(h, 18, 3)), substr(h, 21, 12)) AS id
         FROM (SELECT DISTINCT series, session AS bucket, $SHA(concat_ws('|', CAST(series AS $TEXT), CAST(session AS $TEXT))$/SHA AS h FROM ev) x""",
-    "channel_route": """SELECT channel, count(*) AS n, count(DISTINCT market) AS markets FROM (SELECT market, CASE event_type WHEN 'view' THEN 'orderbook' WHEN 'click' THEN 'orderbook' WHEN 'signup' THEN 'orderbook' WHEN 'purchase' THEN 'trade' WHEN 'error' THEN 'control' ELSE 'unknown' END AS channel FROM ev) x GROUP BY channel""",
     "archive_parts": """SELECT event_type AS channel, CAST(floor(ms / 3600000) AS BIGINT) AS hour, count(*) AS n, count(DISTINCT market) AS markets, CAST(floor((count(*) + 49999) / 50000) AS BIGINT) AS parts FROM ev GROUP BY event_type, CAST(floor(ms / 3600000) AS BIGINT)""",
     "status_scalars": "SELECT (SELECT count(*) FROM deltas) AS deltas, (SELECT count(*) FROM trades) AS trades, (SELECT max(ms) FROM resets) AS last_reset_ms, (SELECT count(DISTINCT market) FROM ev) AS markets",
     "staleness": "SELECT stream, (SELECT max(ms) FROM ev) - max(ms) AS silent_ms, (SELECT max(ms) FROM ev) - max(ms) > 86400000 AS stale FROM ev GROUP BY stream",
     # ---- evidence between streams
-    "range_trades": """SELECT p.event_id, count(t.event_id) AS n, CAST(coalesce(sum(t.size), 0) AS DECIMAL(24,6)) AS volume, $MINBY(t.event_id, t.event_id) AS first_trade FROM (
-        SELECT event_id, market, side, price, ms, $UNNEST($SEQ(CAST(floor(ms / 86400000) AS BIGINT), CAST(floor((ms + 86400000) / 86400000) AS BIGINT))) AS day FROM deltas) p
-        LEFT JOIN trades t ON t.market = p.market AND CAST(floor(t.ms / 86400000) AS BIGINT) = p.day AND t.ms > p.ms AND t.ms <= p.ms + 86400000 AND t.taker_side <> p.side AND t.price <= p.price GROUP BY p.event_id""",
-    "level_reconcile": """SELECT market, side, price, CAST(sum(used) AS DECIMAL(24,6)) AS executed, CAST(sum(gone - used) AS DECIMAL(24,6)) AS removed, CAST(sum(added) AS DECIMAL(24,6)) AS added, CAST(sum(traded) - sum(used) AS DECIMAL(24,6)) AS unreconciled FROM (
-        SELECT *, least(gone, run + gone - least(0, coalesce(low, 0))) AS used FROM (
-          SELECT *, min(run) OVER (PARTITION BY market, side, price ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM (
-            SELECT *, sum(traded - gone) OVER (PARTITION BY market, side, price ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
-              SELECT event_id, market, side, price, greatest(delta, 0) AS added, greatest(-delta, 0) AS gone, CAST(0 AS DECIMAL(24,6)) AS traded FROM deltas
-              UNION ALL SELECT event_id, market, CASE taker_side WHEN 'yes' THEN 'no' ELSE 'yes' END, price, 0, 0, size FROM trades) u) r) l) x GROUP BY market, side, price""",
     "queue_fold": """SELECT event_id, CAST(greatest(0, 300 - (max(used) - min(used))) AS DECIMAL(24,6)) AS queue_left FROM (SELECT event_id, sum(took) OVER (PARTITION BY market, side ORDER BY at_us) AS used FROM (
           SELECT event_id, market, side, us + span AS at_us, CAST(0 AS DECIMAL(24,6)) AS took FROM deltas CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 864000000000) e
           UNION ALL SELECT NULL, market, side, us, CASE WHEN delta > 0 THEN delta ELSE CAST(-delta * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(24,6)) END FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id""",
-    "lag_histogram": """SELECT best_lag, count(*) AS n FROM (SELECT event_id, $MINBY(lag, resid * 1000 + lag) AS best_lag FROM (SELECT event_id, lag, abs(max(seen) - min(seen) - 2) AS resid FROM (
-        SELECT event_id, lag, count(CASE WHEN event_id IS NULL THEN 1 END) OVER (PARTITION BY market ORDER BY at_ms) AS seen FROM (
-          SELECT event_id, market, lag, ms + lag * 1000000 + span AS at_ms FROM trades CROSS JOIN (SELECT CAST(0 AS BIGINT) AS lag UNION ALL SELECT 100 UNION ALL SELECT 200 UNION ALL SELECT 300) l
-            CROSS JOIN (SELECT CAST(0 AS BIGINT) AS span UNION ALL SELECT 172800000) e
-          UNION ALL SELECT NULL, market, NULL, ms FROM deltas) u) c WHERE event_id IS NOT NULL GROUP BY event_id, lag) x GROUP BY event_id) b GROUP BY best_lag""",
-    "naive_alpha": """SELECT market, CASE WHEN sum(rem * rem) > 0 THEN CAST(round(CAST(sum((dq - ex) * rem) AS DOUBLE) / CAST(sum(rem * rem) AS DOUBLE), 6) AS DECIMAL(18,6)) END AS alpha FROM (SELECT market, CAST(abs(delta) AS DECIMAL(14,2)) AS dq,
-        CAST(greatest(delta, 0) AS DECIMAL(14,2)) AS ex, CAST(greatest(-delta, 0) AS DECIMAL(14,2)) AS rem FROM deltas) x GROUP BY market""",
     # ---- recovery, coverage of days and the summary of a replay
     "recovery_episodes": """SELECT e.market, e.opened_ms, e.faults, c.closed_ms, CASE WHEN c.closed_ms IS NULL THEN 'superseded' WHEN c.closed_ms - e.opened_ms <= 259200000 THEN 'recovered' ELSE 'timed_out' END AS status FROM (
           SELECT market, turn, min(ms) AS opened_ms, count(*) AS faults FROM (SELECT market, ms, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS turn FROM ev) f WHERE event_type = 'error' GROUP BY market, turn) e

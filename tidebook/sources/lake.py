@@ -39,9 +39,9 @@ def semantic_breaches(deltas: DataFrame) -> DataFrame:
     """(name, n) of rows that break the arithmetic, the price range or the order of ordinals."""
     lagged = deltas.selectExpr("*", "lag(ingest_ordinal) OVER (PARTITION BY session_id ORDER BY received_at_ms, ingest_ordinal) AS prev")
     one = lagged.agg(
-        F.count_if("applied AND post_count <> pre_count + delta_count").alias("arithmetic"),
-        F.count_if("price < 0 OR price > 1").alias("price_range"),
-        F.count_if("ingest_ordinal < prev").alias("order"),
+        F.count_if(F.expr("applied AND post_count <> pre_count + delta_count")).alias("arithmetic"),
+        F.count_if(F.expr("price < 0 OR price > 1")).alias("price_range"),
+        F.count_if(F.expr("ingest_ordinal < prev")).alias("order"),
     )
     return one.selectExpr("stack(3, 'arithmetic', arithmetic, 'price_range', price_range, 'order', `order`) AS (name, n)")
 

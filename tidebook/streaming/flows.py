@@ -36,21 +36,118 @@ def deduplicated(stream: DataFrame, key: list[str]) -> DataFrame:
 
 
 def verdicts(stream: DataFrame) -> DataFrame:
-    """Sequence verdicts per market with one number of state: the largest event id so far."""
+    """Verdicts of frames (stream, ordinal, seq, recovery), as :func:`tidebook.operators.folds.sequence_verdicts` gives them.
+
+    The state of a stream is its baseline and whether it is degraded. Frames of a batch are taken by ordinal; a frame that
+    comes in a later batch than a larger ordinal is judged then, as it was received.
+    """
 
     def judge(key, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
-        top = state.get[0] if state.exists else None
-        for batch in batches:
-            rows = []
-            for i in batch.sort_values("event_id").event_id:
-                rows.append((key[0], int(i), "first" if top is None else "duplicate" if i == top else "out_of_order" if i < top else "ok"))
-                top = int(i) if top is None else max(top, int(i))
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "verdict"])
-        state.update((top,))
+        top, bad = state.get if state.exists else (None, False)
+        frames = pd.concat(list(batches)).sort_values("ordinal")
+        rows = []
+        for ordinal, seq, recovery in frames[["ordinal", "seq", "recovery"]].itertuples(index=False):
+            seq = None if pd.isna(seq) else int(seq)
+            if recovery:
+                said, top, bad = "recovered", seq, False
+            elif seq is None:
+                said = "unsequenced"
+            elif bad:
+                said = "degraded"
+            elif top is None or seq == top + 1:
+                said, top = "first" if top is None else "ok", seq
+            elif seq <= top:
+                said = "duplicate" if seq == top else "out_of_order"
+            else:
+                said, bad = "gap", True
+            rows.append((key[0], int(ordinal), said))
+        state.update((top, bad))
+        yield pd.DataFrame(rows, columns=["stream", "ordinal", "verdict"])
+
+    frames = stream.select("stream", "ordinal", "seq", "recovery")
+    return frames.groupBy("stream").applyInPandasWithState(judge, "stream long, ordinal long, verdict string", "top long, bad boolean", "append", "NoTimeout")
+
+
+def books(stream: DataFrame) -> DataFrame:
+    """Best prices after every frame (market, ordinal, ms, kind, side, price, delta); kind ``delta``, ``reset`` or ``down``.
+
+    The state of a market is its two ladders and their validity. A reset empties the book; a disconnect (``down``) or a
+    negative level makes it invalid, and nothing is applied until the next reset. Prices and sizes are in millionths.
+    """
+
+    def follow(key, batches: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        book: dict[str, dict[int, int]] = {"yes": {}, "no": {}}
+        valid = True
+        if state.exists:
+            prices, sizes, nos, no_sizes, valid = state.get
+            book = {"yes": dict(zip(prices, sizes, strict=True)), "no": dict(zip(nos, no_sizes, strict=True))}
+        rows = []
+        for ordinal, ms, kind, side, price, delta in pd.concat(list(batches)).sort_values("ordinal")[["ordinal", "ms", "kind", "side", "price", "delta"]].itertuples(index=False):
+            if kind == "delta" and valid:
+                after = book[side].get(int(price), 0) + int(delta)
+                if after < 0:
+                    valid = False
+                elif after:
+                    book[side][int(price)] = after
+                else:
+                    book[side].pop(int(price), None)
+            elif kind != "delta":
+                book, valid = {"yes": {}, "no": {}}, kind == "reset"
+            bid, no = (max(book[s], default=None) if valid else None for s in ("yes", "no"))
+            rows.append((key[0], int(ordinal), int(ms), kind, valid, bid, book["yes"].get(bid), None if no is None else 1_000_000 - no, book["no"].get(no)))
+        state.update((list(book["yes"]), list(book["yes"].values()), list(book["no"]), list(book["no"].values()), valid))
+        frame = pd.DataFrame(rows, columns=["market", "ordinal", "ms", "kind", "valid", "bid", "bid_size", "ask", "ask_size"])
+        yield frame.astype({c: "Int64" for c in ("bid", "bid_size", "ask", "ask_size")})
+
+    out = "market long, ordinal long, ms long, kind string, valid boolean, bid long, bid_size long, ask long, ask_size long"
+    kept = "yes array<long>, yes_sizes array<long>, no array<long>, no_sizes array<long>, valid boolean"
+    frames = stream.select("market", "ordinal", "ms", "kind", "side", "price", "delta")
+    return frames.groupBy("market").applyInPandasWithState(follow, out, kept, "append", "NoTimeout")
+
+
+def recoveries(stream: DataFrame, timeout_ms: int) -> DataFrame:
+    """Episodes of frames (stream, ordinal, ms, kind); kind ``gap``, ``request``, ``snapshot``, ``end`` or another.
+
+    HEALTHY goes to DEGRADED at a gap, to RECOVERING at a request and back to HEALTHY at a snapshot: one episode for each
+    discontinuity, whatever follows while it is open. A request without a snapshot in ``timeout_ms`` of the stream's own time
+    leaves DEGRADED; the end of a stream closes its open episode as ``superseded``. One row for each change of state.
+    """
+
+    def drive(key, batches: Iterator, state) -> Iterator:
+        import pandas as pd
 
-    return stream.select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(judge, "user_id long, event_id long, verdict string", "top long", "append", "NoTimeout")
+        mode, episode, opened, asked, faults = state.get if state.exists else ("HEALTHY", 0, None, None, 0)
+        rows = []
+        for ms, kind in pd.concat(list(batches)).sort_values("ordinal")[["ms", "kind"]].itertuples(index=False):
+            before, ms = mode, int(ms)
+            if mode == "RECOVERING" and ms > asked + timeout_ms:
+                mode = "DEGRADED"
+                rows.append((key[0], episode, asked + timeout_ms, "RECOVERING", mode, "timeout", opened, faults))
+                before = mode
+            if kind == "gap":
+                if mode == "HEALTHY":
+                    episode, opened, faults, mode = episode + 1, ms, 0, "DEGRADED"
+                faults += 1
+            elif kind == "request" and mode == "DEGRADED":
+                mode, asked = "RECOVERING", ms
+            elif kind == "snapshot" and mode != "HEALTHY":
+                mode = "HEALTHY"
+            elif kind == "end" and mode != "HEALTHY":
+                mode = "HEALTHY"
+                rows.append((key[0], episode, ms, before, mode, "superseded", opened, faults))
+                continue
+            if mode != before:
+                rows.append((key[0], episode, ms, before, mode, kind, opened, faults))
+        state.update((mode, episode, opened, asked, faults))
+        yield pd.DataFrame(rows, columns=["stream", "episode", "ms", "was", "became", "cause", "opened_ms", "faults"]).astype({"opened_ms": "Int64"})
+
+    out = "stream long, episode long, ms long, was string, became string, cause string, opened_ms long, faults long"
+    kept = "mode string, episode long, opened long, asked long, faults long"
+    return stream.select("stream", "ordinal", "ms", "kind").groupBy("stream").applyInPandasWithState(drive, out, kept, "append", "NoTimeout")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

@@ -74,6 +74,23 @@ VIEWS = {
     "fills": """SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS market, CAST(floor($US(l_shipdate) / 1000) AS BIGINT) AS ms,
         CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action, CAST((l_suppkey % 99 + 1) / 100.0 AS DECIMAL(12,6)) AS price,
         CAST(round(l_quantity, 2) AS DECIMAL(24,6)) AS qty, l_linestatus, l_returnflag, CAST(round(l_discount, 2) AS DECIMAL(12,6)) AS discount FROM lineitem""",
+    # probes of the queue, what models said of them, and readings of their place in it
+    "probes": """SELECT event_id AS probe_id, market, ms AS ack_ms, CASE event_id % 5 WHEN 0 THEN 'filled' WHEN 1 THEN 'filled' WHEN 2 THEN 'cancelled' ELSE 'expired' END AS terminal_state, event_id % 5 > 2 AS censored,
+        CASE WHEN event_id % 11 > 0 THEN ms + event_id % 700 END AS fill_ms, CASE WHEN event_id % 6 > 0 THEN ms + event_id % 900 * 10 END AS cancel_ms, CAST((event_id % 3 + 1) * 60000 AS BIGINT) AS dwell_ms, CASE WHEN event_id % 4 > 0 THEN event_id % 50 END AS queue,
+        event_id % 9 > 0 AS placed FROM ev WHERE event_type = 'purchase'""",
+    "modelled": """SELECT probe_id, k AS model, (probe_id + k) % 3 = 0 AS would_fill, CASE WHEN (probe_id + k) % 3 = 0 AND probe_id % 7 > 0 THEN probe_id % 900 END AS fill_time, CASE WHEN probe_id % 5 > 0 THEN probe_id % 60 END AS queue_at_entry
+        FROM probes CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) m""",
+    "readings": """SELECT market AS probe_id, event_id AS seq_no, CASE WHEN event_id % 6 > 0 THEN event_id * 31 % 300 END AS queue, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS executed,
+        sum(CASE WHEN event_id % 3 = 1 THEN event_id % 25 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS removed FROM ev""",
+    # a contract's definition; 13th month and blank dates on purpose
+    "markets": """SELECT p_partkey AS market, concat('KX', CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'RAIN' ELSE 'WIND' END, CAST(p_size % 4 AS $TEXT), '-',
+        CASE WHEN p_partkey % 11 = 0 THEN 'SOON' ELSE concat('24', substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDECXXX', CAST(p_partkey % 13 * 3 + 1 AS INT), 3), lpad(CAST(p_partkey % 31 + 1 AS $TEXT), 2, '0')) END, '-T', CAST(p_size AS $TEXT)) AS ticker,
+        CASE p_size % 6 WHEN 0 THEN 'active' WHEN 1 THEN ' Closed ' WHEN 2 THEN 'DETERMINED' WHEN 3 THEN 'settled' WHEN 4 THEN 'initialized' END AS status,
+        CASE p_partkey % 7 WHEN 0 THEN 'yes' WHEN 1 THEN ' NO' WHEN 2 THEN 'Void' WHEN 3 THEN '' WHEN 4 THEN 'canceled' END AS result,
+        CASE WHEN p_partkey % 5 = 0 THEN CAST((p_size % 3) * 0.5 AS DECIMAL(12,6)) END AS settlement_value,
+        CASE p_partkey % 4 WHEN 0 THEN CAST(1 AS DECIMAL(12,6)) WHEN 1 THEN CAST(2 AS DECIMAL(12,6)) WHEN 2 THEN CAST(0 AS DECIMAL(12,6)) END AS notional_value,
+        CASE p_size % 5 WHEN 0 THEN 'quadratic' WHEN 1 THEN 'quadratic_with_maker_fees' WHEN 2 THEN 'flat' WHEN 3 THEN 'unheard' END AS fee_type,
+        CASE p_partkey % 3 WHEN 0 THEN CAST(0.5 AS DECIMAL(4,2)) WHEN 1 THEN CAST(2 AS DECIMAL(4,2)) END AS fee_multiplier, p_size, p_brand, p_type FROM part""",
 }
 
 
@@ -92,6 +109,8 @@ def _expanded(text: str) -> str:
     body = text.strip()
     if not ctes:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes}, {body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes}, {body[4:].lstrip()}"
     return f"WITH {ctes} {body}"
