@@ -1,7 +1,8 @@
 """Replay of order books event by event: what each delta did, the best prices after it, and state hashes.
 
 A book is empty at a reset and independent of what was before, so the unit of work is one market's epoch, not a
-market: an Arrow-backed grouped map folds each by itself. Sizes and prices are exact integers of a millionth.
+market. Epochs are dealt over all tasks and each task folds its sorted rows as they stream by, with one book in hand:
+neither a group nor a table is gathered. Sizes and prices are exact integers of a millionth.
 """
 
 from __future__ import annotations
@@ -34,38 +35,42 @@ def states(deltas: DataFrame, hash_every: int = 0) -> DataFrame:
     ``hash_every`` the valid book's SHA-256 stands at every event whose id it divides.
     """
 
-    def fold(key, rows):
+    def fold(batches):
         import hashlib
 
         import pandas as pd
 
-        book: dict[str, dict[int, int]] = {"yes": {}, "no": {}}
-        valid, out = True, []
-        for event, ms, side, price, delta in rows.sort_values("event_id")[["event_id", "ms", "side", "p", "d"]].itertuples(index=False):
-            if not valid:
-                out.append((key[0], key[1], event, ms, False, None, None, None, "book invalid", None, None, None, None, None))
-                continue
-            levels = book[side]
-            pre = levels.get(price, 0)
-            post = pre + delta
-            if post < 0:
-                valid = False
-                out.append((key[0], key[1], event, ms, False, pre, post, "unknown", "negative level", None, None, None, None, None))
-                continue
-            action = "delete" if post == 0 else "insert" if pre == 0 else "increase" if delta > 0 else "unknown" if delta == 0 else "decrease"
-            if post:
-                levels[price] = post
-            else:
-                levels.pop(price, None)
-            yes, no = (max(book[s], default=None) for s in ("yes", "no"))
-            digest = hashlib.sha256(book_text(key[0], book["yes"], book["no"]).encode()).hexdigest() if hash_every and event % hash_every == 0 else None
-            out.append((key[0], key[1], event, ms, True, pre, post, action, None, yes, book["yes"].get(yes), None if no is None else 1_000_000 - no, book["no"].get(no), digest))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
-        return frame.astype({c: "Int64" for c in ("pre", "post", "bid", "bid_size", "ask", "ask_size")})
+        names, wide = [c.split()[0] for c in ROWS.split(", ")], ("pre", "post", "bid", "bid_size", "ask", "ask_size")
+        epoch_of, valid, book = None, True, {"yes": {}, "no": {}}
+        for batch in batches:
+            out = []
+            for market, epoch, event, ms, side, price, delta in zip(*[batch[c].tolist() for c in ("market", "epoch", "event_id", "ms", "side", "p", "d")], strict=True):
+                if epoch_of != (market, epoch):
+                    epoch_of, valid, book = (market, epoch), True, {"yes": {}, "no": {}}
+                if not valid:
+                    out.append((market, epoch, event, ms, False, None, None, None, "book invalid", None, None, None, None, None))
+                    continue
+                levels = book[side]
+                pre = levels.get(price, 0)
+                post = pre + delta
+                if post < 0:
+                    valid = False
+                    out.append((market, epoch, event, ms, False, pre, post, "unknown", "negative level", None, None, None, None, None))
+                    continue
+                action = "delete" if post == 0 else "insert" if pre == 0 else "increase" if delta > 0 else "unknown" if delta == 0 else "decrease"
+                if post:
+                    levels[price] = post
+                else:
+                    levels.pop(price, None)
+                yes, no = (max(book[s], default=None) for s in ("yes", "no"))
+                digest = hashlib.sha256(book_text(market, book["yes"], book["no"]).encode()).hexdigest() if hash_every and event % hash_every == 0 else None
+                out.append((market, epoch, event, ms, True, pre, post, action, None, yes, book["yes"].get(yes), None if no is None else 1_000_000 - no, book["no"].get(no), digest))
+            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in wide})
 
     micros = lambda c: (F.col(c) * 1_000_000).cast("long")
     packed = deltas.select("market", "epoch", "event_id", "ms", "side", micros("price").alias("p"), micros("delta").alias("d"))
-    found = packed.groupBy("market", "epoch").applyInPandas(fold, ROWS)
+    tasks = int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = packed.repartition(tasks, "market", "epoch").sortWithinPartitions("market", "epoch", "event_id").mapInPandas(fold, ROWS)
     back = lambda c, kind: (F.col(c).cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast(kind).alias(c)
     return found.select(
         "market", "epoch", "event_id", "ms", "applied", back("pre", SIZE), back("post", SIZE), "level_action", "error",
