@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import scalar as S
 from tidebook.operators import book, folds, replay
 from tidebook.operators.temporal import asof_join
+from tidebook.storage import stage_table
 from tidebook.tables import view
 
 #: The given tables' events lie hours apart: a millisecond of a horizon, window or cooldown counts as so many.
@@ -40,6 +41,11 @@ def _mids(spark: SparkSession, d: str) -> DataFrame:
     return replay.mid_series(_states(spark, d), view(spark, d, "resets"))
 
 
+def _held_mids(spark: SparkSession, d: str) -> DataFrame:
+    """Mids as a written table, for plans that look them up more than once: the books are replayed once."""
+    return stage_table(_mids(spark, d), "mids")
+
+
 def delta_apply(spark: SparkSession, d: str) -> DataFrame:
     """What each delta did, by running sums: no fold."""
     pre = (F.col("post") - F.col("delta")).cast(S.SIZE)
@@ -167,11 +173,11 @@ def book_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["market", "side", "price"], "full_outer").where(~F.col("then_size").eqNullSafe(F.col("now_size")))
 
 
-def _fills(spark: SparkSession, d: str) -> DataFrame:
+def _fills(spark: SparkSession, d: str, mids: DataFrame) -> DataFrame:
     """Trades as fills, with the book in force and their contract's ticker."""
     trades = view(spark, d, "trades").selectExpr("event_id", "market", "ms", "CASE taker_side WHEN 'yes' THEN 'buy' ELSE 'sell' END AS action", "price", "size AS qty",
         "CASE WHEN event_id % 3 = 0 THEN 'maker' ELSE 'taker' END AS liquidity", "CASE event_id % 4 WHEN 0 THEN 'queue_exhausted' WHEN 1 THEN 'price_through' ELSE 'crossed' END AS reason")
-    return asof_join(trades, _mids(spark, d), ["market"], "ms", ["mid", "bid", "ask", "bid_size", "ask_size"])
+    return asof_join(trades, mids, ["market"], "ms", ["mid", "bid", "ask", "bid_size", "ask_size"])
 
 
 def _signed(later, earlier):
@@ -180,13 +186,16 @@ def _signed(later, earlier):
 
 
 def markouts(spark: SparkSession, d: str) -> DataFrame:
+    return _markouts(spark, d, _held_mids(spark, d))
+
+
+def _markouts(spark: SparkSession, d: str, mids: DataFrame) -> DataFrame:
     """Of each fill and horizon: what was captured against the mid, the markout, the mid's drift, and dollars.
 
     Unknown mids are null, and so is what lies beyond the market's last change.
     """
-    mids = _mids(spark, d)
     until = view(spark, d, "ev").groupBy("market").agg(F.max("ms").alias("until"))
-    fills = _fills(spark, d).select("event_id", "market", "ms", "action", "price", "qty", F.col("mid").alias("mid_at"))
+    fills = _fills(spark, d, mids).select("event_id", "market", "ms", "action", "price", "qty", F.col("mid").alias("mid_at"))
     asked = fills.select("*", F.explode(F.array(*[F.lit(h).cast("long") for h in HORIZONS])).alias("horizon_ms")).join(until, "market").withColumn("ms", F.col("ms") + F.col("horizon_ms") * UNIT)
     found = asof_join(asked, mids.select("market", "ms", "mid"), ["market"], "ms", ["mid"], F.col("until"))
     out = _signed(F.col("mid"), F.col("price"))
@@ -210,8 +219,9 @@ def markout_summary(spark: SparkSession, d: str) -> DataFrame:
 def fill_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """Fills by each of ten dimensions, in one pass: each fill meets its ten buckets."""
     tickers = view(spark, d, "markets").select("market", "ticker")
-    later = markouts(spark, d).where(F.col("horizon_ms") == BUCKET_HORIZON).select("event_id", "markout", "drift")
-    rows = _fills(spark, d).join(tickers, "market").join(later, "event_id", "left")
+    mids = _held_mids(spark, d)
+    later = _markouts(spark, d, mids).where(F.col("horizon_ms") == BUCKET_HORIZON).select("event_id", "markout", "drift")
+    rows = _fills(spark, d, mids).join(tickers, "market").join(later, "event_id", "left")
     t, f = F.col("ticker"), lambda c: F.col(c).cast("double")
     dims = {
         "market": t, "event": S.event_of(t), "series": S.series_of(t), "hour_utc": S.hour_utc(F.col("ms")), "days_to_event_date": S.days_to_event(t, F.col("ms")), "spread": S.spread_bucket(F.col("ask") - F.col("bid")),
@@ -290,6 +300,28 @@ ORACLES: dict[str, str] = {
         {_AVG.format("sum(capture + drift) FILTER (WHERE b)", "count(*) FILTER (WHERE b)")} AS edge, {_AVG.format("count(*) FILTER (WHERE b AND drift < 0)", "count(*) FILTER (WHERE b)")} AS adverse_rate FROM m GROUP BY horizon_ms""",
 }
 
+ORACLES["fill_breakdown"] = f"""WITH {_MARKS}, x AS (SELECT f.*, f.event_id % 3 = 0 AS maker, m.ticker, string_split(m.ticker, '-') AS ps, k.markout, k.drift, (f.ask - f.bid) * 100 AS sp, f.bid_size + f.ask_size AS dp,
+      (CAST(f.bid_size AS DOUBLE) - CAST(f.ask_size AS DOUBLE)) / (CAST(f.bid_size AS DOUBLE) + CAST(f.ask_size AS DOUBLE)) AS im FROM f JOIN markets m ON m.market = f.market LEFT JOIN marks k ON k.event_id = f.event_id AND k.horizon_ms = {BUCKET_HORIZON}),
+    y AS (SELECT x.*, c.mo FROM x LEFT JOIN (SELECT unnest(['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC']) AS mon, unnest(range(1, 13)) AS mo) c ON c.mon = substr(ps[2], 3, 3)),
+    z AS (SELECT qty, maker, price, sg, mid, markout, drift, unnest([struct_pack(dimension := 'market', bucket := ticker), struct_pack(dimension := 'event', bucket := ps[1] || '-' || ps[2]), struct_pack(dimension := 'series', bucket := ps[1]),
+      struct_pack(dimension := 'hour_utc', bucket := strftime(make_timestamp(ms * 1000), '%H:00')),
+      struct_pack(dimension := 'days_to_event_date', bucket := CASE WHEN mo IS NULL THEN 'unknown' ELSE 'D+' || (date_diff('day', CAST(make_timestamp(ms * 1000) AS DATE), make_date(2024, mo, 1)) + CAST(substr(ps[2], 6, 2) AS INT) - 1) END),
+      struct_pack(dimension := 'spread', bucket := coalesce((SELECT min_by(l, e) FROM (VALUES (1, '<=1c'), (2, '2c'), (3, '3c'), (5, '4-5c'), (10, '6-10c'), (999, '>10c')) v(e, l) WHERE sp <= e), 'unknown')),
+      struct_pack(dimension := 'depth_1', bucket := coalesce((SELECT min_by(l, e) FROM (VALUES (50, '<=50'), (200, '51-200'), (1000, '201-1000'), (1000000000, '>1000')) v(e, l) WHERE dp <= e), 'unknown')),
+      struct_pack(dimension := 'imbalance_1', bucket := CASE WHEN im IS NULL THEN 'unknown' ELSE ['[-1.0,-0.6]', '(-0.6,-0.2]', '(-0.2,0.2)', '[0.2,0.6)', '[0.6,1.0]'][1 + CAST(im > -0.6 AS INT) + CAST(im > -0.2 AS INT) + CAST(im >= 0.2 AS INT) + CAST(im >= 0.6 AS INT)] END),
+      struct_pack(dimension := 'liquidity', bucket := CASE WHEN maker THEN 'maker' ELSE 'taker' END), struct_pack(dimension := 'fill_reason', bucket := ['queue_exhausted', 'price_through', 'crossed', 'crossed'][event_id % 4 + 1])]) AS d FROM y)
+    SELECT d.dimension AS dimension, d.bucket AS bucket, count(*) AS fills, CAST(sum(qty) AS DECIMAL(28,6)) AS contracts, CAST(sum(CAST(qty AS DECIMAL(16,2)) * price) AS DECIMAL(28,6)) AS notional,
+      CAST(sum(CASE WHEN maker THEN 0 ELSE ceil(CAST(qty AS DECIMAL(10,2)) * CAST(price AS DECIMAL(4,2)) * CAST(1 - price AS DECIMAL(4,2)) * CAST(0.07 AS DECIMAL(4,2)) * 100) / 100 END) AS DECIMAL(28,6)) AS fees,
+      {_AVG.format("sum(sg * (mid - price)) FILTER (WHERE maker)", "count(mid) FILTER (WHERE maker)")} AS spread_captured, {_AVG.format("sum(markout)", "count(markout)")} AS markout, {_AVG.format("sum(drift)", "count(drift)")} AS mid_drift,
+      {_AVG.format("count(*) FILTER (WHERE drift < 0)", "count(drift)")} AS adverse_rate FROM z GROUP BY ALL"""
+ORACLES["probe_eligibility"] = f"""WITH {_SPANS}, {_DAYSPANS}, tops AS (SELECT market, max(price) FILTER (WHERE side = 'yes') AS bid, arg_max(size, price) FILTER (WHERE side = 'yes') AS bs, 1 - max(price) FILTER (WHERE side = 'no') AS ask, arg_max(size, price) FILTER (WHERE side = 'no') AS asz FROM iv WHERE to_ms IS NULL GROUP BY market),
+    bad AS (SELECT DISTINCT a.market FROM applied a JOIN (SELECT market, max(epoch) AS me FROM applied GROUP BY market) l ON l.market = a.market AND l.me = a.epoch WHERE cut IS NOT NULL),
+    fl AS (SELECT e.market, count(*) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS deltas, count(*) FILTER (WHERE event_type = 'purchase') AS trades FROM ev e GROUP BY e.market),
+    j AS (SELECT fl.*, bid, bs, ask, asz, m.market IS NOT NULL AND fl.market % 2 = 0 AND (lower(trim(coalesce(result, ''))) IN ('yes', 'no', 'void', 'canceled') OR lower(trim(coalesce(status, ''))) IN ('closed', 'determined', 'settled')) AS shut, fl.market IN (SELECT market FROM bad) AS broken
+      FROM fl LEFT JOIN tops t ON t.market = fl.market LEFT JOIN markets m ON m.market = fl.market),
+    r AS (SELECT *, coalesce((SELECT min_by(n, i) FROM (VALUES (1, 'no_book', market % 13 = 0), (2, 'book_invalid', broken), (3, 'not_active', shut), (4, 'not_two_sided', bid IS NULL OR ask IS NULL), (5, 'no_touch_size', bs <= 0), (6, 'mid_out_of_band', bid + ask < 0.4 OR bid + ask > 1.6),
+      (7, 'too_close_to_close', market < 9), (8, 'no_recent_activity', deltas % 23 < 5)) v(i, n, hit) WHERE hit), 'eligible') AS reason FROM j)
+    SELECT market, reason, CASE reason WHEN 'eligible' THEN (CASE WHEN bs + asz >= 100 THEN 'high' ELSE 'low' END) || '_depth/' || (CASE WHEN trades >= 3 THEN 'high' ELSE 'low' END) || '_flow' END AS stratum FROM r"""
 ORACLES["stream_books"] = f"WITH {_TOUCH} SELECT event_id, market, bid, bid_size, ask, ask_size FROM touch UNION ALL SELECT event_id, market, NULL, NULL, NULL, NULL FROM resets"
 
 
