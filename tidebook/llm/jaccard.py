@@ -39,14 +39,14 @@ from tidebook.llm.common import stage_table, unstage
 from tidebook.llm.components import connected_components
 
 #: Shingle occurrences of one hash range; occurrences in the whole table from which a shingle is listed apart; the
-#: most such shingles that are sent to every task (rarer ones then take the common way); classes of one batch from
+#: most such shingles that are sent to every task (rarer ones then take the common way); classes of one portion from
 #: which a shingle is reported to the count.
 RANGE_TOKENS = 2_000_000
-HEAVY, MOST_HEAVY, REPORTED = RANGE_TOKENS // 16, 200_000, 8
+HEAVY, MOST_HEAVY, REPORTED = RANGE_TOKENS // 16, 200_000, 4
 #: Classes that a task remembers, so as not to deal a copy twice.
 REMEMBERED = 200_000
-#: Texts of one batch are worked on in portions of about this many characters.
-PORTION = 4_000_000
+#: Texts of one batch are worked on in portions of about this many characters, and dealt in ones of so many shingles.
+PORTION, DEALT = 4_000_000, 1_500_000
 #: Members of a component that one row of the exhaustive step holds; members that share a copy of the blocks there.
 BLOCK, PROBES = 64, 512
 #: Global orders: each ranks by (a function of the frequency, a hash), rare first.
@@ -112,21 +112,29 @@ def sets_of(docs: DataFrame, width: int, heavy_from: int = HEAVY) -> tuple[DataF
 
         names = ["doc_id", "key", "n", "sig", "token", "often"]
         long = lambda x: pa.array(x, pa.int64())
+
+        def reported(parts):
+            found, often = np.unique(np.concatenate(parts), return_counts=True)
+            kept = often >= min(REPORTED, heavy_from)
+            none = pa.nulls(int(kept.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, long(found[kept].view(np.int64)), long(often[kept])], names=names)
+
         for batch in batches:
-            count, seen, parts = batch.num_rows, set(), []
+            count, seen, parts, held = batch.num_rows, set(), [], 0
             n, sig = [0] * count, [None] * count
             for row, tokens in shingle_sets(batch.column(2), width):
                 n[row], sig[row] = len(tokens), name_of(tokens)
                 if sig[row] not in seen:
                     seen.add(sig[row])
                     parts.append(tokens)
+                    held += len(tokens)
+                if held >= DEALT:
+                    yield reported(parts)
+                    parts, held = [], 0
+            if parts:
+                yield reported(parts)
             none = pa.nulls(count, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), long(n), long(sig), none, none], names=names)
-            if parts:
-                found, often = np.unique(np.concatenate(parts), return_counts=True)
-                found, often = found[often >= min(REPORTED, heavy_from)].view(np.int64), often[often >= min(REPORTED, heavy_from)]
-                none = pa.nulls(len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, long(found), long(often)], names=names)
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     rows = stage_table(arrow(texts).mapInArrow(scan, "doc_id long, key long, n long, sig long, token long, often long"), "sets")
@@ -150,7 +158,7 @@ def shared_tokens(docs: DataFrame, width: int, ranges_log2: int, heavy: list[int
         often = np.sort(often)
         seen: set[int] = set()
         for batch in batches:
-            out = []
+            out, held = [], 0
             for _, tokens in shingle_sets(batch.column(0), width):
                 sig = name_of(tokens)
                 if sig in seen:
@@ -160,6 +168,10 @@ def shared_tokens(docs: DataFrame, width: int, ranges_log2: int, heavy: list[int
                 at = np.searchsorted(often, tokens)
                 is_heavy = (often[np.minimum(at, len(often) - 1)] == tokens) if len(often) else np.zeros(len(tokens), bool)
                 out.append((sig, tokens, is_heavy))
+                held += len(tokens)
+                if held >= DEALT:
+                    yield out
+                    out, held = [], 0
             yield out
 
     def deal(batches):
