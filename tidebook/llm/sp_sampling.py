@@ -19,9 +19,7 @@ pieces. A run without spaces is one lattice, however long. U+2581 in a text deco
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -35,13 +33,36 @@ TOGETHER = 4096
 FEW = 16
 #: Characters of the documents that are stepped together.
 PORTION = 3_000_000
-CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 K, ALPHA, SEED = 3, 0.5, 42
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """The lattice's independent parts; empty for an empty text."""
-    return CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def chunked(texts: list):
+    """The lattice's independent parts: characters and sizes of the distinct chunks, each place's chunk, places by text.
+
+    A chunk is a run of spaces with the word after it, as every text opens with one space more; an empty text has none.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    bodies = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    ends = np.cumsum([0, *map(len, bodies)])
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    space = raw == 32
+    opens = space.copy()
+    opens[1:] &= ~space[:-1]
+    opens[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(opens)
+    offsets = np.append(at, len(raw)).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    if not len(at):
+        return np.zeros(0, np.int32), at, at, np.zeros(len(texts), np.int64)
+    _, bounds, data = coded.dictionary.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[: len(coded.dictionary) + 1]
+    body = data.to_pybytes()[: bounds[-1]]
+    lead = np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)  # characters up to each byte
+    sizes = np.diff(lead[bounds[1:] - 1], prepend=0)
+    chars = np.frombuffer(body.decode("utf-8", "surrogatepass").replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.int32)
+    return chars, sizes, coded.indices.to_numpy(), np.diff(np.searchsorted(at, ends))
 
 
 class Lattice:
@@ -103,13 +124,11 @@ class Lattice:
             out[odd] = np.where(self.rare_key[at] == key, self.rare_node[at], -1)
         return out
 
-    def build(self, chunks: list[str]) -> None:
-        """Lattices of ``chunks``: sets ``begin`` (a chunk's first state) and the option arrays."""
+    def build(self, chars, sizes) -> None:
+        """Lattices of chunks of so many of ``chars`` each: sets ``begin`` (a chunk's first state) and the option arrays."""
         import numpy as np
 
         self.to = self.code = self.first = self.logp = self.cum = None  # the last batch's go before new ones come
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
-        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         ends = np.cumsum(sizes)
         self.begin = (ends - sizes).astype(np.int32)
         end_of = np.repeat(ends.astype(np.int32), sizes)
@@ -361,13 +380,12 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     import numpy as np
 
     n = len(texts)
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
-    per_doc = [np.fromiter(map(known.__getitem__, chunks_of(t)), np.int32) for t in texts]
-    lattice.build(list(known) or [SPACE])  # a batch of empty texts needs no lattice
+    chars, lengths, known, sizes = chunked(texts)
+    if not len(chars):  # a batch of empty texts needs no lattice
+        chars, lengths = np.array([ord(SPACE)], np.int32), np.array([1])
+    lattice.build(chars, lengths)
     to, piece, logp, first = lattice.to, lattice.code, lattice.logp, lattice.first
-    sizes = np.array([len(x) for x in per_doc])
-    all_states = lattice.begin[np.concatenate(per_doc)]
+    all_states = lattice.begin[known]
     begin = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
     chunk = (np.arange(len(doc)) - begin[doc]).astype(np.int32)
