@@ -142,7 +142,8 @@ class Lattice:
             if depth == 1:  # characters without a piece of their own are spelled in bytes
                 bare = np.flatnonzero((node < 0) | (self.piece[node] < 0))
                 c = chars[at[bare]]
-                parts.append((at[bare], count[at[bare]], 1, -1 - c, -12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
+                spelled = np.where(c < 128, self.ascii[np.minimum(c, 127)], -1 - c)
+                parts.append((at[bare], count[at[bare]], 1, spelled, -12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
                 count[at[bare]] += 1
             parts.append((at[hit], count[at[hit]], depth, self.piece[node[hit]], self.score[node[hit]]))
             count[at[hit]] += 1
@@ -212,21 +213,19 @@ class Lattice:
             sums, high = {s: sums[s] for s in range(low, min(low + self.longest, end) + 1)}, low
 
     def spell(self, codes):
-        """Piece ids of an array of option codes; a negative code is a character to be spelled in bytes."""
+        """Piece ids of an array of option codes; a negative code is a character to be spelled in several bytes."""
         import numpy as np
 
         at = np.flatnonzero(codes < 0)
         if not len(at):
             return codes
-        out, char = codes.copy(), -1 - codes[at]
-        out[at] = self.ascii[np.minimum(char, 127)]
         parts, last = [], 0
-        for place, c in zip(at[char > 127].tolist(), char[char > 127].tolist(), strict=True):
+        for place, c in zip(at.tolist(), (-1 - codes[at]).tolist(), strict=True):
             if c not in self.wide:
                 self.wide[c] = np.array([self.byte[b] for b in chr(c).encode("utf-8", "replace")])
-            parts += [out[last:place], self.wide[c]]
+            parts += [codes[last:place], self.wide[c]]
             last = place + 1
-        return np.concatenate([*parts, out[last:]]) if parts else out
+        return np.concatenate([*parts, codes[last:]])
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids."""
@@ -259,31 +258,55 @@ class Lattice:
         return pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))
 
 
-def _uniforms(seed, sample, chunk, step):
-    """Two hashed uniforms in (0, 1), element by element."""
+MIX, STRIDE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def _place(sample, chunk, step):
+    """What a decision's hash starts from, before its step's further strides and its document's seed."""
     import numpy as np
 
     with np.errstate(over="ignore"):
         x = chunk.astype(np.uint64)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x += step.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((sample + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-        x ^= seed
-        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x *= np.uint64(MIX)
+        x += np.uint64((sample + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+        if step is not None:
+            x += step.astype(np.uint64) * np.uint64(STRIDE)
+    return x
+
+
+def _spread(x):
+    """Two hashed uniforms in (0, 1) for each element of x, which is used up."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        for shift, mult in ((30, STRIDE), (27, 0x94D049BB133111EB)):
             x ^= x >> np.uint64(shift)
             x *= np.uint64(mult)
         x ^= x >> np.uint64(31)
     high = (x >> np.uint64(32)).astype(np.float64)
-    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return (high + 0.5) / 4294967296.0, (low + 0.5) / 4294967296.0
+    x &= np.uint64(0xFFFFFFFF)
+    low = x.astype(np.float64)
+    for half in (high, low):
+        half += 0.5
+        half /= 4294967296.0
+    return high, low
+
+
+def _uniforms(seed, sample, chunk, step):
+    return _spread(_place(sample, chunk, step) ^ seed)
 
 
 def _truncated(phi, bound, u):
-    """A Gumbel of location phi, given that it lies below bound."""
+    """A Gumbel of location phi, given that it lies below bound; no Gumbel, so -inf, where phi is -inf."""
     import numpy as np
 
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        drawn = phi - np.log(np.exp(phi - bound) - np.log(u))
-    return np.where(np.isneginf(phi), -np.inf, np.minimum(drawn, bound))
+        drawn = phi - bound
+        np.exp(drawn, out=drawn)
+        drawn -= np.log(u)
+        np.log(drawn, out=drawn)
+        np.subtract(phi, drawn, out=drawn)
+    return np.minimum(drawn, bound, out=drawn)
 
 
 class _Walk:
@@ -292,87 +315,100 @@ class _Walk:
     def __init__(self, lattice, doc, chunk, state, seeds, sample, bound, before, first_step=None):
         import numpy as np
 
-        cum, to, piece, logp, first = lattice.cum, lattice.to, lattice.code, lattice.logp, lattice.first
-        occ = np.arange(len(state), dtype=np.int32)
-        step = np.zeros(len(state), np.int32) if first_step is None else first_step
+        cum, to, first = lattice.cum, lattice.to, lattice.first
+        self.lattice, self.chunk, self.first_step = lattice, chunk, first_step
+        occ, count = np.arange(len(state), dtype=np.int32), np.zeros(len(state), np.int64)
+        place, seed = _place(sample, chunk, first_step), seeds[doc]
         parts, turn = [], 0
         while len(occ):
             if turn >= TOGETHER // 32 and len(occ) <= FEW:
-                parts += [self._alone(lattice, o, int(doc[o]), int(chunk[o]), int(s), int(t), turn, seeds, sample) for o, s, t in zip(occ.tolist(), state.tolist(), step.tolist(), strict=True)]
+                for o, s in zip(occ.tolist(), state.tolist(), strict=True):
+                    step = turn + (0 if first_step is None else int(first_step[o]))
+                    option, noise = self._alone(lattice, int(doc[o]), int(chunk[o]), s, step, seeds, sample)
+                    count[o] += len(option)
+                    parts.append((o, turn + np.arange(len(option)), option, noise))
                 break
-            u, noise = _uniforms(seeds[doc[occ]], sample, chunk[occ], step)
-            option, ahead, target = first[state], np.arange(len(occ)), state + u
+            with np.errstate(over="ignore"):
+                target, noise = _spread((place + np.uint64(turn * STRIDE & 0xFFFFFFFFFFFFFFFF)) ^ seed)
+            target += state
+            option = first[state]
+            ahead = np.flatnonzero(cum[option] <= target)
             while len(ahead):  # options are few and the first ones likely
-                ahead = ahead[cum[option[ahead]] <= target[ahead]]
-                option[ahead] += 1
-            parts.append((occ, turn, step, state, option, noise))
+                later = option[ahead] + 1
+                option[ahead] = later
+                ahead = ahead[cum[later] <= target[ahead]]
+            parts.append((occ, turn, option, noise))
             turn += 1
+            count[occ] = turn
             state = to[option]
-            live = state >= 0
-            occ, step, state = occ[live], step[live] + 1, state[live]
-        if parts:
-            # a chunk's decisions lie together: its round within the walk is its place among them
-            count = np.bincount(np.concatenate([p[0] for p in parts]), minlength=len(doc))
-            begin = np.cumsum(count) - count
-            total = int(count.sum())
-            occ = np.repeat(np.arange(len(doc), dtype=np.int32), count)
-            self.step, self.state, self.option = (np.empty(total, np.int32) for _ in range(3))
-            noise = np.empty(total)
-            for own, turn, step, state, option, drawn in parts:
-                at = begin[own] + turn
-                self.step[at], self.state[at], self.option[at], noise[at] = step, state, option, drawn
-            del parts
-        else:
-            occ = np.zeros(0, np.int32)
-            self.step = self.state = self.option = occ
-        self.doc, self.chunk = doc[occ], chunk[occ]
-        self.start = np.searchsorted(self.doc, np.arange(len(seeds) + 1))
-        lp = logp[self.option]
+            live = np.flatnonzero(state >= 0)
+            occ, state, place, seed = occ[live], state[live], place[live], seed[live]
+        # a chunk's decisions lie together: its round within the walk is its place among them
+        ends = np.cumsum(count)
+        self.begin, total = ends - count, int(count.sum())
+        self.option, noise = np.empty(total, np.int32), np.empty(total)
+        for own, round_, option, drawn in parts:
+            at = self.begin[own] + round_
+            self.option[at], noise[at] = option, drawn
+        del parts
+        self.start = np.append(self.begin, total)[np.searchsorted(doc, np.arange(len(seeds) + 1))]
+        sizes = np.diff(self.start)
+        lp = lattice.logp[self.option]
         run = np.concatenate([[0.0], np.cumsum(lp)])
-        self.prefix = run[:-1] - run[self.start[self.doc]] + before[self.doc] if len(lp) else lp
         self.total = run[self.start[1:]] - run[self.start[:-1]] + before
+        self.prefix = run[:-1]
+        self.prefix -= np.repeat(run[self.start[:-1]], sizes)  # the sums of self.total are made before
+        self.prefix += np.repeat(before, sizes)
+        sure = lp > -1e-15
         with np.errstate(divide="ignore"):
-            rest = np.where(lp > -1e-15, -np.inf, np.log(-np.expm1(lp)))
-        self.open = _truncated(self.prefix + rest, bound[self.doc], noise) if len(lp) else lp
-        self.code = piece[self.option]
+            rest = np.log(np.negative(np.expm1(lp, out=lp), out=lp), out=lp)
+        rest[sure] = -np.inf
+        rest += self.prefix
+        below = np.repeat(bound, sizes)
+        self.open = _truncated(rest, below, noise)
+        self.code = lattice.code[self.option]
         self.taken: dict[int, list[int]] = {}
+        # per document, the largest open value and its place
+        self.value, self.place = np.full(len(seeds), -np.inf), np.full(len(seeds), -1)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            self.value[full] = np.maximum.reduceat(self.open, self.start[full])
+            hit = np.flatnonzero(self.open == np.repeat(self.value, sizes))[::-1]
+            self.place[np.searchsorted(self.start, hit, "right") - 1] = hit
+
+    def decision(self, at: int) -> tuple[int, int, int]:
+        """The state, chunk and step of the decision at a place."""
+        own = int(self.begin.searchsorted(at, "right")) - 1
+        step = at - int(self.begin[own]) + (0 if self.first_step is None else int(self.first_step[own]))
+        return int(self.lattice.first.searchsorted(self.option[at], "right")) - 1, int(self.chunk[own]), step
+
+    def redraw(self, doc: int, at: int, drawn: float) -> None:
+        """A new value for the decision at a place of a document."""
+        self.open[at] = drawn
+        low, high = int(self.start[doc]), int(self.start[doc + 1])
+        self.place[doc] = best = low + int(self.open[low:high].argmax())
+        self.value[doc] = self.open[best]
 
     @staticmethod
-    def _alone(lattice, own, doc, chunk, state, step, turn, seeds, sample):
-        """The same decisions for the rest of one chunk, one after another."""
+    def _alone(lattice, doc, chunk, state, step, seeds, sample):
+        """The same decisions for the rest of one chunk, one after another: options and noise."""
         import numpy as np
 
         cum, to, first = lattice.cum, lattice.to, lattice.first
-        states, options, noises, begin = [], [], [], step
+        options, noises = [], []
         while state >= 0:
-            steps = np.arange(step, step + TOGETHER)
-            u, noise = _uniforms(seeds[doc], sample, np.full(TOGETHER, chunk), steps)
+            u, noise = _uniforms(seeds[doc], sample, np.full(TOGETHER, chunk), np.arange(step, step + TOGETHER))
             noises.append(noise)
             for x in u.tolist():
                 option = int(first[state])
                 while cum[option] <= state + x:
                     option += 1
-                states.append(state)
                 options.append(option)
                 state = int(to[option])
                 if state < 0:
                     break
             step += TOGETHER
-        n = len(states)
-        run = np.arange(n)
-        return np.full(n, own), turn + run, begin + run, np.array(states), np.array(options), np.concatenate(noises)[:n]
-
-    def best(self, docs: int):
-        """Per document, the largest open value and its place."""
-        import numpy as np
-
-        value, place = np.full(docs, -np.inf), np.full(docs, -1)
-        full = np.flatnonzero(self.start[1:] > self.start[:-1])
-        if len(full):
-            value[full] = np.maximum.reduceat(self.open, self.start[full])
-            hit = np.flatnonzero((self.open == value[self.doc]) & ~np.isneginf(self.open))
-            place[self.doc[hit[::-1]]] = hit[::-1]
-        return value, place
+        return np.array(options), np.concatenate(noises)[: len(options)]
 
 
 def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int = SEED) -> list[tuple]:
@@ -402,8 +438,7 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
     found = [(alive.copy(), walks[0].total)]
     kappa = None
     for j in range(1, k + 1):
-        tops = [w.best(n) for w in walks]
-        stacked = np.stack([v for v, _ in tops])
+        stacked = np.stack([w.value for w in walks])
         source, value = stacked.argmax(0), stacked.max(0)
         alive = alive & ~np.isneginf(value)
         if j == k:
@@ -415,8 +450,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
         split, rests = [], []
         for d in np.flatnonzero(alive).tolist():
             w = walks[source[d]]
-            at = int(tops[source[d]][1][d])
-            state = int(w.state[at])
+            at = int(w.place[d])
+            state, place, step = w.decision(at)
             a, c = int(first[state]), int(first[state + 1] - first[state])
             gone = w.taken.setdefault(at, [int(w.option[at])])
             left = [o for o in range(a, a + c) if o not in gone]
@@ -434,12 +469,11 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             lo = int(w.start[d])
             head[d] = np.concatenate([heads[source[d]][d], w.code[lo:at], piece[pick : pick + 1]])
             before[d] = w.prefix[at] + logp[pick]
-            place = int(w.chunk[at])
             if to[pick] >= 0:
                 docs2.append([d])
                 chunks2.append([place])
                 states2.append([int(to[pick])])
-                steps2.append([int(w.step[at]) + 1])
+                steps2.append([step + 1])
             later = slice(begin[d] + place + 1, begin[d + 1])
             docs2.append(doc[later])
             chunks2.append(chunk[later])
@@ -447,8 +481,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             steps2.append(np.zeros(len(states2[-1]), np.int32))
         if split:
             docs = np.array([d for *_, d in split])
-            for (w, at, _), drawn in zip(split, _truncated(np.array(rests), value[docs], again[docs]).tolist(), strict=True):
-                w.open[at] = drawn
+            for (w, at, d), drawn in zip(split, _truncated(np.array(rests), value[docs], again[docs]).tolist(), strict=True):
+                w.redraw(d, at, drawn)
         join = lambda xs: np.concatenate([np.asarray(x, np.int32) for x in xs]) if xs else np.zeros(0, np.int32)
         walks.append(_Walk(lattice, join(docs2), join(chunks2), join(states2), seeds, j, value, before, join(steps2)))
         heads.append(head)
