@@ -130,8 +130,24 @@ class Lattice:
 
         self.to = self.code = self.first = self.logp = self.cum = None  # the last batch's go before new ones come
         ends = np.cumsum(sizes)
-        self.begin = (ends - sizes).astype(np.int32)
         end_of = np.repeat(ends.astype(np.int32), sizes)
+        # states by characters to the chunk's end, then chunks by size; those of long chunks last, in text order
+        brief = np.flatnonzero(sizes <= TOGETHER)
+        order = brief[np.argsort(-sizes[brief], kind="stable")]
+        high = int(sizes[brief].max(initial=0))
+        many = np.cumsum(np.bincount(sizes[brief], minlength=high + 1)[::-1])[::-1]  # chunks of at least so many characters
+        level = np.cumsum(np.concatenate([[0, 0], many[1:]]))  # a level's first state
+        rank, long = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes > TOGETHER)
+        rank[order] = np.arange(len(order))
+        left = end_of - np.arange(len(chars), dtype=np.int32)
+        if len(long):
+            far = np.repeat(sizes > TOGETHER, sizes)
+            state_of = np.where(far, 0, level[np.where(far, 0, left)] + np.repeat(rank, sizes)).astype(np.int32)
+            state_of[far] = int(level[-1]) + np.arange(int(far.sum()))
+        else:
+            state_of = (level[left] + np.repeat(rank, sizes)).astype(np.int32)
+        del left
+        self.begin = state_of[ends - sizes]
         at, node = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
         parts, depth = [], 0
         count = np.zeros(len(chars), dtype=np.int16)  # options found so far, by state
@@ -150,42 +166,31 @@ class Lattice:
             live = np.flatnonzero((node >= 0) & (at + depth < end_of[at]))
             at, node = at[live], node[live]
         # a state's options lie together, longest, so likeliest, first: the same in any batch
-        self.first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)]).astype(np.int32)
-        start = np.repeat(np.arange(len(chars), dtype=np.int32), count)
-        target, self.code, score = start.copy(), np.empty(len(start), np.int32), np.empty(len(start))
+        counts = np.empty(len(chars), np.int64)
+        counts[state_of] = count
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        total = int(self.first[-1])
+        self.to, self.code, score = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        after = self.first[1:][state_of] - 1
+        state_of = np.append(state_of, np.int32(-1))
         while parts:
-            own, rank, length, piece, gain = parts.pop()
-            place = self.first[own] + count[own] - 1 - rank
-            target[place] += length
+            own, before, length, piece, gain = parts.pop()
+            place = after[own] - before
+            target = own + length
+            self.to[place] = np.where(target == end_of[own], np.int32(-1), state_of[target])
             self.code[place], score[place] = piece, gain
-        left = end_of[start]
-        closed = target == left
-        left -= start  # characters to the chunk's end
-        self.to = np.where(closed, np.int32(-1), target)
-        beta, value = np.zeros(len(chars) + 1), np.zeros(len(start))
-        for c in np.flatnonzero(sizes > TOGETHER).tolist():
-            self._sum_alone(int(self.begin[c]), int(ends[c]), target, score, value)
-        short = sizes[sizes <= TOGETHER].max(initial=0)
-        if len(sizes) and sizes.max() > TOGETHER:
-            order = np.flatnonzero(np.repeat(sizes <= TOGETHER, sizes)[start])
-            order = order[np.argsort(left[order].astype(np.uint16), kind="stable")]
-        else:
-            order = np.argsort(left.astype(np.uint8 if short < 256 else np.uint16), kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, short + 2))
-        del left
-        start_of, score, target, closed = start[order], score[order], target[order], closed[order]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if a == b:
-                continue
-            v = score[a:b] + np.where(closed[a:b], 0.0, beta[target[a:b]])
-            s = start_of[a:b]
-            new = s[1:] != s[:-1]
-            cut = np.flatnonzero(np.r_[True, new])
+        del after, state_of
+        beta, value = np.zeros(len(chars) + 1), np.empty(total)  # the last sum, of no state, is that of an end
+        for c in long.tolist():
+            self._sum_alone(int(self.begin[c]), int(self.begin[c] + sizes[c]), score, value)
+        for x, y in zip(level[1:].tolist(), level[2:].tolist(), strict=False):
+            a, b = int(self.first[x]), int(self.first[y])
+            v, cut, own = score[a:b] + beta[self.to[a:b]], self.first[x:y] - a, counts[x:y]
             top = np.maximum.reduceat(v, cut)
-            group = np.cumsum(np.r_[False, new])
-            beta[s[cut]] = top + np.log(np.add.reduceat(np.exp(v - top[group]), cut))
-            value[order[a:b]] = v - beta[s]
-        del order, start_of, score, target, closed
+            beta[x:y] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, own)), cut))
+            np.subtract(v, np.repeat(beta[x:y], own), out=value[a:b])
+        del score
+        start = np.repeat(np.arange(len(chars), dtype=np.int32), counts)
         self.logp = np.minimum(value, 0.0, out=value)
         run = np.exp(self.logp)
         np.cumsum(run, out=run)
@@ -196,13 +201,13 @@ class Lattice:
         self.cum = run
         self.cum[self.first[1:] - 1] = np.arange(1, len(chars) + 1)  # the last option takes the rest
 
-    def _sum_alone(self, begin: int, end: int, target, score, value) -> None:
-        """Backward log-sums of the one chunk from begin to end, in blocks of positions."""
-        exp, log, high, sums = math.exp, math.log, end, {end: 0.0}
+    def _sum_alone(self, begin: int, end: int, score, value) -> None:
+        """Backward log-sums of the one chunk of the states from begin to end, in blocks of positions."""
+        exp, log, high, sums = math.exp, math.log, end, {-1: 0.0}
         while high > begin:
             low = max(begin, high - TOGETHER)
             a, b = int(self.first[low]), int(self.first[high])
-            first, to, gain = (self.first[low : high + 1] - a).tolist(), target[a:b].tolist(), score[a:b].tolist()
+            first, to, gain = (self.first[low : high + 1] - a).tolist(), self.to[a:b].tolist(), score[a:b].tolist()
             for s in range(high - 1, low - 1, -1):
                 i, j = first[s - low], first[s - low + 1]
                 own = [gain[o] + sums[to[o]] for o in range(i, j)]
@@ -210,7 +215,7 @@ class Lattice:
                 sums[s] = total = top + log(sum([exp(v - top) for v in own]))
                 gain[i:j] = [v - total for v in own]
             value[a:b] = gain
-            sums, high = {s: sums[s] for s in range(low, min(low + self.longest, end) + 1)}, low
+            sums, high = {-1: 0.0} | {s: sums[s] for s in range(low, min(low + self.longest + 1, end))}, low
 
     def spell(self, codes):
         """Piece ids of an array of option codes; a negative code is a character to be spelled in several bytes."""
