@@ -499,3 +499,14 @@ def test_sampling_walks_alone_as_together(monkeypatch):
     monkeypatch.setattr(sp_sampling, "FEW", 0)
     together = sp_sampling.sample_batch(lattice, [1, 2, 3], texts, k=3)
     assert [(*x[:2], list(x[2]), *x[3:]) for x in alone] == [(*x[:2], list(x[2]), *x[3:]) for x in together]
+
+
+def test_chunks_are_cut_as_defined():
+    mark = sp_sampling.SPACE
+    texts = ["a bc  a", None, "", " ", "  x ", f"{mark}{mark}y z", "a\n\tb a", "日本 語", "\U0001f600 a", "\ud800 a", "bc"]
+    chars, sizes, known, places = sp_sampling.chunked(texts)
+    whole, ends = "".join(map(chr, chars.tolist())), list(itertools.accumulate(sizes.tolist()))
+    distinct = [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+    want = [re.findall(f"{mark}*[^{mark}]+|{mark}+", mark + t.replace(" ", mark)) if t else [] for t in texts]
+    assert [distinct[i] for i in known.tolist()] == [c for w in want for c in w] and places.tolist() == [len(w) for w in want]
+    assert len(set(distinct)) == len(distinct) and len(sp_sampling.chunked([None, ""])[0]) == 0
