@@ -162,12 +162,29 @@ def test_pii_redaction_of_overlapping_kinds(spark):
 
 
 def test_pii_em_learns_reliable_labelers():
-    strong, weak = 2 * 1 + 0, 1  # votes are base 3
     code = lambda votes: (lambda c: c * 4 + 2)(eval("+".join(f"{v}*{3 ** (4 - i)}" for i, v in enumerate(votes))))
     counts = {code([2, 2, 2, 2, 1]): 500, code([0, 0, 1, 0, 0]): 500, code([2, 2, 1, 0, 1]): 40}
     probability, reliability = pii.fit(counts)
     assert probability[code([2, 2, 2, 2, 1])] > 0.9 > 0.1 > probability[code([0, 0, 1, 0, 0])]
-    assert reliability[(0, 0)] > reliability[(0, 3)] and strong > weak
+    assert reliability[(0, 0)] > reliability[(0, 3)]
+
+
+def test_pii_adds_spans_that_labelers_agree_on(spark):
+    """Obfuscated addresses after a cue in a corpus of base ones are taken; those that nothing speaks for are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [f"please write to my email: {word()}@{word()}.org for more" for _ in range(300)]
+    wide = [f"please write to my email: {word()} [at] {word()} [dot] com" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts + wide)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.query(df).collect()}
+    for i, text in enumerate(texts + wide):
+        base, spans = base_spans(text), got[i].spans.split(",")
+        assert set(base) <= set(filter(None, spans)) and got[i].n_email == len(base)
+        if i >= 300:
+            begin = text.index("email: ") + 7
+            assert not base and spans == [f"email:{begin}:{len(text)}"]
+    redacted = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(redacted[i].startswith("please write to my email: [EMAIL]") for i in range(len(redacted)))
 
 
 # ---- 2
@@ -195,6 +212,63 @@ def test_toxicity_held_out_and_counterfactual(spark):
     assert abs(model.score("w1 muslim w2") - model.score("w1 people w2")) < 0.3
 
 
+def test_toxicity_against_a_plain_refit(spark, monkeypatch):
+    """Vocabulary, optimum and scores over plain dicts, on sentences whose group terms would be learned unpenalised."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(700):
+        toxic = i % 3 == 0
+        words = [f"w{rng.randrange(200)}" for _ in range(12)] + ([rng.choice(["scumbag", "vermin"])] if rng.random() < (0.9 if toxic else 0.05) else [])
+        if rng.random() < (0.7 if toxic else 0.15):
+            words.append(rng.choice(["muslim", "jewish"]))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(900, rows[1][1]), (901, None), (902, "")]  # a copy that is labelled otherwise, no text
+    labels += [(900, 1), (901, 1), (902, 0)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    truth, known = dict(labels), {}
+    for i, text in rows:
+        if text is not None and not out(i):
+            known[text] = max(known.get(text, 0), truth[i])
+    sets = {t: toxicity.features(t) for t in known}
+    toxic_of, all_of = Counter(f for t, y in known.items() if y for f in sets[t]), Counter(f for t in known for f in sets[t])
+    n1, n = sum(known.values()), len(known)
+
+    def z(f):
+        t, c = toxic_of[f], all_of[f] - toxic_of[f]
+        cells = ((t, all_of[f] * n1), (c, all_of[f] * (n - n1)), (n1 - t, (n - all_of[f]) * n1), (n - n1 - c, (n - all_of[f]) * (n - n1)))
+        return math.sqrt(max(0.0, 2 * sum(k * math.log(k * n / of) for k, of in cells if k)))
+
+    want = {f for f in all_of if toxicity.MIN_SUPPORT <= all_of[f] < n and toxic_of[f] * (n - n1) > (all_of[f] - toxic_of[f]) * n1 and z(f) >= toxicity.MIN_Z}
+    model = toxicity.train(docs, lab)
+    assert set(model.weights) == want and {"vermin", "muslim"} <= want
+    pairs = [(a & want, b & want) for t in known for a, b in toxicity.swaps(t) if (a & want) != (b & want)]
+    assert pairs
+
+    def loss(w, bias, penalty=toxicity.SWAP_PENALTY):
+        total = 0.5e-5 * sum(x * x for x in w.values())
+        for t, y in known.items():
+            s = bias + sum(w[f] for f in sets[t] & want)
+            total += 0.5 / (n1 if y else n - n1) * math.log1p(math.exp(-s if y else s))
+        return total + penalty / len(pairs) * sum((sum(w[f] for f in b) - sum(w[f] for f in a)) ** 2 for a, b in pairs)
+
+    least = loss(model.weights, model.bias)
+    for f in want:
+        for step in (-0.02, 0.02):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.bias) > least - 1e-7
+    assert all(loss(model.weights, model.bias + step) > least - 1e-7 for step in (-0.02, 0.02))
+    for r in toxicity.query(docs, lab).collect():
+        s = model.bias + sum(model.weights[f] for f in toxicity.features(dict(rows)[r.doc_id]) & want)
+        assert abs(r.score - 1 / (1 + math.exp(-s))) < 1e-6 and r.predicted == (r.score >= 0.5) and r.held_out == out(r.doc_id)
+    # the penalty is what keeps a neutral mention low
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
+    free = toxicity.train(docs, lab)
+    change = lambda m: abs(m.score("w1 muslim w2") - m.score("w1 people w2"))
+    assert change(model) < 0.25 * change(free)
+
+
 def test_toxicity_edges(spark, docs):
     lab = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.query(docs, lab).collect()} == {0.0}
@@ -364,6 +438,62 @@ def test_langid(spark, docs):
         assert len({tuple(c) for c in code.tolist()}) == n
 
 
+def test_langid_against_a_plain_refit(spark):
+    """Counts, classifiers and decoding over plain dicts; texts of mixed languages make close calls."""
+    rng = random.Random(16)
+    kinds = {"aa": ["ka", "lo", "mi", "e"], "bb": ["sch", "ung", "ei", "lo"], "cc": ["éa", "ou", "ré", "mi"], "dd": ["ou", "ei", "zo"]}
+    make = lambda names: " ".join(rng.choice(kinds[rng.choice(names)]) + rng.choice(kinds[rng.choice(names)]) for _ in range(rng.randrange(1, 25)))
+    rows = [(i, make([lang]), lang) for i, lang in enumerate(list(kinds) * 40)]
+    rows += [(200 + i, make(list(kinds)), None) for i in range(60)] + [(300, None, "aa"), (301, "", None), (302, "7 ½", None), (303, "ka", None)]
+    rows += [(400 + i, "".join(rng.choice("bdfgjpqtvwxy") for _ in range(rng.randrange(3, 12))), None) for i in range(120)]  # hardly a learned n-gram
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+
+    def counts(text):
+        data, found = f" {text.lower()} ".encode(), Counter()
+        for n in langid.GRAMS:
+            for k in range(len(data) - n + 1):
+                code = 0
+                for b in data[k : k + n]:
+                    code = (code * 257 + b) % 2**32
+                found[code * 2654435761 % 2**32 >> 18] += 1
+        return found
+
+    table = defaultdict(lambda: defaultdict(lambda: 1.0))
+    for i, text, lang in rows:
+        if lang and text is not None and not out(i):
+            found = counts(text)
+            for g, c in found.items():
+                table[lang][g] += c * 1000 / sum(found.values())
+    langs = sorted(table)
+    total = {x: sum(table[x].values()) + langid.BUCKETS - len(table[x]) for x in langs}
+    share = lambda x, g: table[x].get(g, 1.0) / total[x]
+    words = list(zip(*[[1 if c >> i & 1 else -1 for i in range(len(langs))] for c in range(1, 1 << len(langs) - 1)], strict=True))
+    assert langs == sorted(kinds) and [tuple(c) for c in langid.codewords(len(langs)).tolist()] == words
+
+    def plain(text):
+        found, margins = counts(text), []
+        for bit in range(len(words[0])):
+            one, other = ([x for x, w in zip(langs, words, strict=True) if w[bit] == s] for s in (1, -1))
+            weight = lambda g: math.log(sum(share(x, g) for x in one) / len(one)) - math.log(sum(share(x, g) for x in other) / len(other))  # noqa: B023, E731
+            margins.append(langid.SHARPNESS * sum(c * weight(g) for g, c in found.items()) / sum(found.values()))
+        size = sum(map(abs, margins))
+        loss = [sum(abs(m) * math.log1p(math.exp(-b * m)) for b, m in zip(w, margins, strict=True)) / size for w in words]
+        parts = [math.exp(-langid.SHARPNESS * (x - min(loss))) for x in loss]
+        return sorted(((p / sum(parts), x) for p, x in zip(parts, langs, strict=True)), reverse=True)
+
+    texts, sure, close = {i: t for i, t, _ in rows}, 0, 0
+    for r in langid.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        assert r.held_out == out(r.doc_id)
+        if not any(c.isalpha() for c in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        (first, lang), (second, _) = plain(texts[r.doc_id])[:2]
+        assert abs(r.score - first) < 1e-3 and (r.lang_pred == lang or first - second < 1e-3)
+        assert r.ambiguous == (first - second < langid.AMBIGUOUS) or abs(first - second - langid.AMBIGUOUS) < 1e-3
+        sure, close = sure + (not r.ambiguous), close + r.ambiguous
+    assert sure > 100 and close
+
+
 # ---- 8
 
 
