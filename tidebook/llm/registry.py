@@ -1,4 +1,4 @@
-"""The ten operators' queries and, where SQL can express them, their DuckDB oracles."""
+"""The operators' queries and, where SQL can express them, their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprint, jaccard, langid, packing, pii, quality, sp_sampling, toxicity, url_filter, warc
+from tidebook.llm import compression, fim, fingerprint, jaccard, langid, packing, pii, quality, sp_sampling, toxicity, url_filter, warc, whitening
 from tidebook.llm.common import read
 
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": lambda spark, d: fingerprint.query(read(spark, d, "documents")),
         "op9_jaccard": lambda spark, d: jaccard.query(read(spark, d, "documents")),
         "op10_sp_sampling": lambda spark, d: sp_sampling.query(read(spark, d, "documents")),
+        "op11_fim": lambda spark, d: fim.query(read(spark, d, "documents")),
+        "op12_whitening": lambda spark, d: whitening.query(read(spark, d, "embeddings")),
+        "op13_compression": lambda spark, d: compression.query(read(spark, d, "documents"), read(spark, d, "labels")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -102,8 +105,24 @@ SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(t.doc_id, min(
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN reach ON reach.x = t.doc_id GROUP BY t.doc_id
 """
 
+OP11 = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT *, CAST(len(l) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(l) + 1) AS u1, CAST('0x' || h[9:16] AS BIGINT) % (len(l) + 1) AS u2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(l[1:least(u1, u2)], '') AS a, array_to_string(l[least(u1, u2) + 1:greatest(u1, u2)], '') AS m, array_to_string(l[greatest(u1, u2) + 1:], '') AS z FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Oracles in SQL. op3's leaves out canonical links and redirects, of which the given pages have none; the
-    others of the ten are tested against brute force, exact round trips or held-out accuracy."""
-    return {"op3_url_filter": OP3, "op4_warc": OP4, "op6_quality": OP6, "op9_jaccard": OP9}
+    others are tested against brute force, exact round trips or held-out accuracy."""
+    return {"op3_url_filter": OP3, "op4_warc": OP4, "op6_quality": OP6, "op9_jaccard": OP9, "op11_fim": OP11}
