@@ -1,8 +1,8 @@
 """Replay of order books event by event: what each delta did, the best prices after it, and state hashes.
 
-A book is empty at a reset and independent of what was before, so the unit of work is one market's epoch, not a
-market. Epochs are dealt over all tasks and each task folds its sorted rows as they stream by, with one book in hand:
-neither a group nor a table is gathered. Sizes and prices are exact integers of a millionth.
+:func:`states` is windows over columns (:mod:`tidebook.operators.ticks`). Only state hashes need the whole book's text, which
+:func:`hashed` folds: a book is empty at a reset and independent of what was before, so epochs are dealt over all tasks and
+each task folds its sorted rows as they stream by, with one book in hand. Sizes and prices are exact integers of a millionth there.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import ticks
+
 ROWS = (
     "market long, epoch long, event_id long, ms long, applied boolean, pre long, post long, level_action string, error string, "
     "bid long, bid_size long, ask long, ask_size long, hash string"
@@ -27,12 +29,33 @@ def book_text(market: int, yes: dict, no: dict) -> str:
     return f"{market}\nyes:{ladder(yes)}\nno:{ladder(no)}"
 
 
-def states(deltas: DataFrame, hash_every: int = 0) -> DataFrame:
-    """One row for each delta (market, epoch, event_id, ms, side, price, delta).
+def states(applied: DataFrame, block: Column | None = None) -> DataFrame:
+    """One row for each delta (market, epoch, event_id, ms, side, price, delta, post, ok, cut): what it did, and the book after it.
+
+    ``post`` is the level's running size and ``cut`` the epoch's first event that makes one negative: that one is not applied and
+    invalidates the book, its action is ``unknown``, and until the next reset nothing is applied and there are no best prices.
+    """
+    reached = F.col("ok") | (F.col("event_id") == F.col("cut"))
+    pre = (F.col("post") - F.col("delta")).cast(SIZE)
+    action = (
+        F.when(~F.col("ok"), "unknown").when(F.col("post") == 0, "delete").when(F.col("pre") == 0, "insert")
+        .when(F.col("delta") > 0, "increase").when(F.col("delta") == 0, "unknown").otherwise("decrease")
+    )
+    rows = applied.select("market", "epoch", "event_id", "ms", "ok", "delta", F.when(F.col("ok"), F.col("side")).alias("side"), "price",
+                          F.when(reached, pre).alias("pre"), F.when(reached, F.col("post")).alias("post"), reached.alias("_reached"))
+    found = ticks.after_each(rows, ["market", "epoch"], "event_id", block=block)
+    valid = lambda *names: [F.when(F.col("ok"), F.col(c)).alias(c) for c in names]
+    error = F.when(F.col("ok"), None).when(F.col("_reached"), "negative level").otherwise("book invalid")
+    return found.select(
+        "market", "epoch", "event_id", "ms", F.col("ok").alias("applied"), "pre", "post", F.when(F.col("_reached"), action).alias("level_action"),
+        error.alias("error"), *valid("bid", "bid_size", "ask", "ask_size", "mark", "yes_levels", "no_levels"),
+    )
+
+
+def hashed(deltas: DataFrame, hash_every: int) -> DataFrame:
+    """One row for each delta (market, epoch, event_id, ms, side, price, delta), as :func:`states` has them, by a fold.
 
-    A delta that would make a level negative is not applied and invalidates the book: its action is ``unknown``, and
-    until the next reset nothing is applied and there are no best prices. Asks are complements of the no ladder. With
-    ``hash_every`` the valid book's SHA-256 stands at every event whose id it divides.
+    The valid book's SHA-256 stands at every event whose id ``hash_every`` divides.
     """
 
     def fold(batches):
@@ -63,7 +86,7 @@ def states(deltas: DataFrame, hash_every: int = 0) -> DataFrame:
                 else:
                     levels.pop(price, None)
                 yes, no = (max(book[s], default=None) for s in ("yes", "no"))
-                digest = hashlib.sha256(book_text(market, book["yes"], book["no"]).encode()).hexdigest() if hash_every and event % hash_every == 0 else None
+                digest = hashlib.sha256(book_text(market, book["yes"], book["no"]).encode()).hexdigest() if event % hash_every == 0 else None
                 out.append((market, epoch, event, ms, True, pre, post, action, None, yes, book["yes"].get(yes), None if no is None else 1_000_000 - no, book["no"].get(no), digest))
             yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in wide})
 

@@ -32,9 +32,8 @@ def _shipped() -> None:
     cloudpickle.register_pickle_by_value(tidebook)
 
 
-def _states(spark: SparkSession, d: str, hash_every: int = 0) -> DataFrame:
-    _shipped()
-    return replay.states(view(spark, d, "epochs"), hash_every)
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return replay.states(view(spark, d, "applied"))
 
 
 def _mids(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +71,8 @@ def replay_verify(spark: SparkSession, d: str) -> DataFrame:
     there = held.where("at >= event_id AND at < until").join(marks.select("market", "epoch", "at"), ["market", "epoch", "at"])
     recorded = marks.join(book.state_hash(there, ["market", "at"]), ["market", "at"], "left").select("market", "at", F.when(F.col("at") % 35 == 0, "spoilt").otherwise(F.coalesce("hash", F.lit("empty"))).alias("expected"))
     empty = F.sha2(F.concat(F.col("market").cast("string"), F.lit("\nyes:\nno:")), 256)
-    replayed = _states(spark, d, CHECK).where("hash IS NOT NULL").select("market", F.col("event_id").alias("at"), F.when(F.col("hash") == empty, "empty").otherwise(F.col("hash")).alias("actual"))
+    _shipped()
+    replayed = replay.hashed(view(spark, d, "epochs"), CHECK).where("hash IS NOT NULL").select("market", F.col("event_id").alias("at"), F.when(F.col("hash") == empty, "empty").otherwise(F.col("hash")).alias("actual"))
     both = recorded.join(replayed, ["market", "at"], "left")
     return both.groupBy("market").agg(F.count("*").alias("checked"), F.count_if(F.col("expected") == F.col("actual")).alias("matched"), F.count_if(F.col("expected") != F.col("actual")).alias("mismatched"), F.count_if(F.col("actual").isNull()).alias("unreached"))
 
