@@ -151,14 +151,18 @@ def recoveries(stream: DataFrame, timeout_ms: int) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result, written in the shared folder."""
+    """Run a stream over what is there and return its result, written in the shared folder.
+
+    A batch has a folder of its own, which a second run of the same batch overwrites: a driver lost between the write
+    and the commit leaves no row twice.
+    """
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # a stream without rows has no batch
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/none")  # a stream without rows has no batch
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else f'b{batch:09d}'}")
 
     job = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")

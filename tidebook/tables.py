@@ -82,6 +82,20 @@ VIEWS = {
         FROM probes CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) m""",
     "readings": """SELECT market AS probe_id, event_id AS seq_no, CASE WHEN event_id % 6 > 0 THEN event_id * 31 % 300 END AS queue, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS executed,
         sum(CASE WHEN event_id % 3 = 1 THEN event_id % 25 ELSE 0 END) OVER (PARTITION BY market ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS removed FROM ev""",
+    # every event with its epoch and how many changes the book has seen in it; what each change left at its level
+    "numbered": """SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY market, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM (
+        SELECT e.event_id, e.market, e.ms, e.event_type, a.ok, a.side, a.price, a.delta, a.post,
+          sum(CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY e.market ORDER BY e.event_id ROWS UNBOUNDED PRECEDING) AS epoch
+        FROM ev e LEFT JOIN applied a ON a.event_id = e.event_id) u""",
+    "held": """SELECT market, epoch, side, price, post AS size, event_id, ms, n AS from_n,
+        lead(n) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS to_n FROM numbered WHERE ok""",
+    # books polled from elsewhere: as they stand, as they stood some changes ago, and for days on end with faults
+    "polls": """SELECT event_id AS poll_id, market, ms - event_id % 6 * 3600000 AS t0, ms AS t1, epoch, n,
+        greatest(0, n - CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 5 END) AS from_n, (market + CAST(floor(ms / 864000000) AS BIGINT)) % 4 = 0 AS spoilt
+        FROM numbered WHERE event_type = 'purchase'""",
+    "polled": """SELECT p.poll_id, h.side, h.price, CAST(CASE WHEN p.spoilt AND h.side = 'yes' THEN h.size + 1 ELSE h.size END AS DECIMAL(24,6)) AS size
+        FROM polls p JOIN held h ON h.market = p.market AND h.epoch = p.epoch AND h.from_n <= p.from_n AND (h.to_n IS NULL OR p.from_n < h.to_n) WHERE h.size > 0
+        UNION ALL SELECT poll_id, 'yes', CAST(0.99 AS DECIMAL(12,6)), CAST(1 AS DECIMAL(24,6)) FROM polls WHERE spoilt""",
     # a contract's definition; 13th month and blank dates on purpose
     "markets": """SELECT p_partkey AS market, concat('KX', CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'RAIN' ELSE 'WIND' END, CAST(p_size % 4 AS $TEXT), '-',
         CASE WHEN p_partkey % 11 = 0 THEN 'SOON' ELSE concat('24', substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDECXXX', CAST(p_partkey % 13 * 3 + 1 AS INT), 3), lpad(CAST(p_partkey % 31 + 1 AS $TEXT), 2, '0')) END, '-T', CAST(p_size AS $TEXT)) AS ticker,
