@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.operators import replay, rewind, ticks
+from tidebook.operators import replay, rewind, seeds, ticks
 from tidebook.storage import stage_table
 from tidebook.tables import view
 
@@ -50,6 +50,26 @@ def book_validation(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _replayed(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    given = {name: stage_table(view(spark, d, name), name) for name in ("requests", "seeds", "seed_levels", "recorded")}
+    return seeds.replayed(given["requests"], given["seeds"], given["seed_levels"], given["recorded"], strict)
+
+
+def seeded_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The book after every snapshot and delta of three requests a market, each from its own stored snapshot on."""
+    return _replayed(spark, d)[0].drop("mark")
+
+
+def replay_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Epochs of those replays: where each began, what was applied and skipped in it, recoveries."""
+    return _replayed(spark, d)[1]
+
+
+def replay_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """What a strict replay has to say: requests without a seed in time, deltas that diverge or were never applied."""
+    return _replayed(spark, d, strict=True)[2].groupBy("request_id", "warning").agg(F.count("*").alias("n"), F.min("delta_id").alias("first_delta"))
+
+
 #: Every state of every epoch with its instant, spelled out; s.n = 0 is the reset's.
 _BOOKS = """steps AS (SELECT market, epoch, n, event_id AS ev, ms FROM numbered WHERE ok AND epoch > 0 UNION ALL SELECT market, epoch, 0, event_id, ms FROM numbered WHERE event_type = 'error'),
     spelled AS (SELECT s.market, s.epoch, s.n, any_value(s.ev) AS ev, any_value(s.ms) AS ms, coalesce(string_agg(h.side || h.price || '@' || h.size, ',' ORDER BY h.side, h.price), '') AS book
@@ -91,8 +111,47 @@ ORACLES: dict[str, str] = {
         CASE WHEN s.kind = 'mismatch_confirmed' THEN d.differing END AS differing, CASE WHEN s.kind = 'mismatch_confirmed' THEN d.only_polled END AS only_polled
       FROM met m JOIN machine s ON s.market = m.market AND s.i = m.i LEFT JOIN differ d ON d.poll_id = m.poll_id""",
 }
+#: A level's size goes from delta to delta by recursion; a book at a place is what its levels last said.
+_REPLAY = """seed_rows AS (SELECT *, row(ms, started_ms, stream, seq, 0) AS place FROM seeds),
+    o AS (SELECT r.*, (SELECT max(row(s.place, s.snapshot_id)) FROM seed_rows s WHERE s.market = r.market AND s.ms <= r.from_ms) AS a,
+      (SELECT min(row(s.place, s.snapshot_id)) FROM seed_rows s WHERE s.market = r.market AND s.ms > r.from_ms AND s.ms <= r.to_ms) AS b FROM requests r),
+    opened AS (SELECT o.*, s.snapshot_id AS opening, s.ms AS seed_ms, s.stream AS seed_stream, s.seq AS seed_seq, s.place AS seed_place, CASE WHEN a IS NULL THEN CASE WHEN b IS NULL THEN 'no seed' ELSE 'late seed' END END AS warning
+      FROM o LEFT JOIN seed_rows s ON row(s.place, s.snapshot_id) = coalesce(a, b)),
+    ds AS (SELECT o.request_id, o.to_stream, o.to_seq, d.*, row(d.ms, d.started_ms, d.stream, d.seq, 1) AS place FROM opened o JOIN recorded d ON d.market = o.market AND d.ms >= o.seed_ms AND d.ms <= o.to_ms
+      AND (d.started_ms, d.stream, d.seq) > ((SELECT started_ms FROM seeds WHERE snapshot_id = o.opening), o.seed_stream, o.seed_seq)),
+    stops AS (SELECT request_id, min(place) AS stop FROM ds x WHERE to_seq IS NOT NULL AND ((stream = to_stream AND seq > to_seq) OR (stream <> to_stream AND EXISTS (SELECT 1 FROM ds y WHERE y.request_id = x.request_id AND y.stream = x.to_stream AND y.place < x.place))) GROUP BY request_id),
+    kept AS (SELECT ds.* FROM ds LEFT JOIN stops s ON s.request_id = ds.request_id WHERE s.stop IS NULL OR ds.place < s.stop),
+    hs AS (SELECT o.request_id, s.snapshot_id, s.place, s.source, s.stream, s.ms, s.seq, s.snapshot_id = o.opening AS opens FROM opened o JOIN seed_rows s ON s.market = o.market AND (s.snapshot_id = o.opening OR (s.source <> 'local_materialized' AND s.ms > o.seed_ms AND s.ms <= o.to_ms))
+      WHERE s.snapshot_id = o.opening OR o.request_id NOT IN (SELECT request_id FROM stops) OR s.place < (SELECT max(place) FROM kept k WHERE k.request_id = o.request_id)),
+    heads AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place) AS segment, lead(place) OVER (PARTITION BY request_id ORDER BY place) AS until FROM hs),
+    parts AS (SELECT h.request_id, h.segment, h.place, l.side, l.price, l.size AS delta, CAST(NULL AS BIGINT) AS delta_id FROM heads h JOIN seed_levels l USING (snapshot_id)
+      UNION ALL SELECT k.request_id, h.segment, k.place, k.side, k.price, k.delta, k.delta_id FROM kept k JOIN heads h ON h.request_id = k.request_id AND k.place > h.place AND (h.until IS NULL OR k.place < h.until) WHERE k.applied),
+    chain AS (SELECT *, row_number() OVER (PARTITION BY request_id, segment, side, price ORDER BY place) AS i FROM parts),
+    sizes AS (SELECT *, CAST(greatest(delta, 0) AS DECIMAL(24,6)) AS size, delta < 0 AS bad FROM chain WHERE i = 1
+      UNION ALL SELECT c.*, CASE WHEN s.size + c.delta < 0 THEN s.size ELSE CAST(s.size + c.delta AS DECIMAL(24,6)) END, s.size + c.delta < 0
+      FROM sizes s JOIN chain c ON c.request_id = s.request_id AND c.segment = s.segment AND c.side = s.side AND c.price = s.price AND c.i = s.i + 1)"""
+
+ORACLES |= {
+    "seeded_replay": f"""WITH RECURSIVE {_REPLAY}, spans AS (SELECT *, lead(place) OVER (PARTITION BY request_id, segment, side, price ORDER BY place) AS until FROM sizes),
+      seen AS (SELECT request_id, segment, place, true AS seed FROM heads UNION ALL SELECT request_id, segment, place, false FROM sizes WHERE delta_id IS NOT NULL AND NOT bad),
+      tops AS (SELECT f.request_id, f.segment, f.place, max(CASE WHEN side = 'yes' THEN price END) AS bid, max_by(CASE WHEN side = 'yes' THEN size END, CASE WHEN side = 'yes' THEN price END) AS bid_size,
+          max(CASE WHEN side = 'no' THEN price END) AS no, max_by(CASE WHEN side = 'no' THEN size END, CASE WHEN side = 'no' THEN price END) AS ask_size,
+          CAST(count(CASE WHEN side = 'yes' THEN 1 END) AS INT) AS yes_levels, CAST(count(CASE WHEN side = 'no' THEN 1 END) AS INT) AS no_levels
+        FROM seen f LEFT JOIN spans p ON p.request_id = f.request_id AND p.segment = f.segment AND p.place <= f.place AND (p.until IS NULL OR f.place < p.until) AND p.size > 0 GROUP BY f.request_id, f.segment, f.place)
+      SELECT f.request_id, f.segment, f.place[1] AS ms, f.place[3] AS stream, f.place[4] AS seq, f.seed, NOT EXISTS (SELECT 1 FROM sizes b WHERE b.bad AND b.request_id = f.request_id AND b.segment = f.segment AND b.place <= f.place) AS valid,
+        t.bid, t.bid_size, CAST(1 - t.no AS DECIMAL(12,6)) AS ask, t.ask_size, t.yes_levels, t.no_levels
+      FROM seen f JOIN tops t ON t.request_id = f.request_id AND t.segment = f.segment AND t.place = f.place JOIN opened o ON o.request_id = f.request_id WHERE f.place[1] >= o.from_ms""",
+    "replay_epochs": f"""WITH RECURSIVE {_REPLAY}, fates AS (SELECT k.request_id, h.segment, k.applied AND NOT coalesce(s.bad, false) AS used FROM kept k JOIN heads h ON h.request_id = k.request_id AND k.place > h.place AND (h.until IS NULL OR k.place < h.until)
+        LEFT JOIN sizes s ON s.request_id = k.request_id AND s.delta_id = k.delta_id),
+      runs AS (SELECT h.*, (SELECT count(*) FROM heads x JOIN heads w ON w.request_id = x.request_id AND w.segment = x.segment - 1 WHERE x.request_id = h.request_id AND x.segment <= h.segment AND (x.source = 'session_handoff' OR x.stream <> w.stream)) + 1 AS epoch FROM heads h),
+      used AS (SELECT r.request_id, r.epoch, count(*) FILTER (f.used) AS yes, count(*) FILTER (NOT f.used) AS no FROM runs r JOIN fates f ON f.request_id = r.request_id AND f.segment = r.segment GROUP BY r.request_id, r.epoch)
+      SELECT r.request_id, r.epoch, min(r.ms) AS started_ms, arg_min(r.snapshot_id, r.segment) AS snapshot_id, coalesce(any_value(u.yes), 0) AS deltas_applied, coalesce(any_value(u.no), 0) AS deltas_skipped,
+        count(*) FILTER (r.source = 'ws_recovery' AND NOT r.opens) AS gaps FROM runs r LEFT JOIN used u ON u.request_id = r.request_id AND u.epoch = r.epoch GROUP BY r.request_id, r.epoch""",
+    "replay_warnings": f"""WITH RECURSIVE {_REPLAY} SELECT request_id, warning, count(*) AS n, min(delta_id) AS first_delta FROM (SELECT request_id, warning, CAST(NULL AS BIGINT) AS delta_id FROM opened WHERE warning IS NOT NULL
+      UNION ALL SELECT request_id, 'diverged', delta_id FROM sizes WHERE bad UNION ALL SELECT request_id, 'not applied', delta_id FROM kept WHERE NOT applied) w GROUP BY request_id, warning""",
+}
 ORACLES["journal_rewind"] = f"SELECT ask_id, k, at_ms, nullif(event_id, -1) AS event_id, times FROM ({ORACLES['journal_rewind']}) x"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (journal_rewind, book_validation)}
+    return {f.__name__: f for f in (journal_rewind, book_validation, seeded_replay, replay_epochs, replay_warnings)}
