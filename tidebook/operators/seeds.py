@@ -110,13 +110,14 @@ def replayed(requests: DataFrame, seeds: DataFrame, levels: DataFrame, deltas: D
     stated = heads.join(levels, "snapshot_id").select("request_id", "segment", "place", levels["side"], levels["price"], levels["size"].alias("delta"), F.lit(True).alias("stated"))
     moved = steps.where("place.kind = 1 AND applied").select("request_id", "segment", "place", "side", "price", "delta", F.lit(False).alias("stated"), "delta_id")
     sized = _diverged(stated.unionByName(moved, allowMissingColumns=True))
+    if strict:
+        ends = stage_table(sized.where("bad").groupBy("request_id").agg(F.min("place").alias("_end")), "ends")
+        upto = lambda rows: rows.join(ends, "request_id", "left").where("_end IS NULL OR place <= _end").drop("_end")
+        steps, heads, sized = upto(steps), upto(heads), upto(sized)
     marks = heads.select("request_id", "segment", "place").withColumn("head", F.lit(True))
     book = ticks.after_each(sized.unionByName(marks, allowMissingColumns=True), ["request_id", "segment"], "place")
     broken = Window.partitionBy("request_id", "segment").orderBy("place")
     seen = book.where("head OR NOT stated").withColumn("valid", F.count_if("bad").over(broken) == 0)
-    if strict:
-        ends = sized.where("bad").groupBy("request_id").agg(F.min("place").alias("_end"))
-        seen = seen.join(ends, "request_id", "left").where("_end IS NULL OR place < _end").drop("_end")
     asked = opened.select("request_id", "from_ms")
     frames = seen.where("NOT coalesce(bad, false)").join(asked, "request_id").where("place.ms >= from_ms").select(
         "request_id", "segment", F.col("place.ms").alias("ms"), F.col("place.stream").alias("stream"), F.col("place.seq").alias("seq"), F.coalesce("head", F.lit(False)).alias("seed"),

@@ -96,13 +96,13 @@ VIEWS = {
     "polled": """SELECT p.poll_id, h.side, h.price, CAST(CASE WHEN p.spoilt AND h.side = 'yes' THEN h.size + 1 ELSE h.size END AS DECIMAL(24,6)) AS size
         FROM polls p JOIN held h ON h.market = p.market AND h.epoch = p.epoch AND h.from_n <= p.from_n AND (h.to_n IS NULL OR p.from_n < h.to_n) WHERE h.size > 0
         UNION ALL SELECT poll_id, 'yes', CAST(0.99 AS DECIMAL(12,6)), CAST(1 AS DECIMAL(24,6)) FROM polls WHERE spoilt""",
-    # snapshots as they are stored: resets, books restated by the exchange in mid-stream, and own states; every 27th has lost half of each size
+    # snapshots as they are stored: resets, books restated by the exchange in mid-stream, and own states; every fourth has lost nearly all of each size
     "wire": """SELECT event_id, market, ms, session AS stream, session * 864000000 AS started_ms, row_number() OVER (PARTITION BY session, market ORDER BY event_id) AS seq FROM ev""",
-    "seeds": """SELECT n.event_id AS snapshot_id, n.market, n.ms, w.started_ms, w.stream, w.seq, n.epoch, n.n, n.event_id % 27 = 0 AS spoilt,
+    "seeds": """SELECT n.event_id AS snapshot_id, n.market, n.ms, w.started_ms, w.stream, w.seq, n.epoch, n.n, n.event_id % 4 = 1 AS spoilt,
         CASE WHEN n.event_type = 'error' THEN CASE n.event_id % 3 WHEN 0 THEN 'ws_initial' WHEN 1 THEN 'ws_recovery' ELSE 'session_handoff' END
           WHEN n.event_type = 'purchase' THEN CASE WHEN n.event_id % 2 = 0 THEN 'ws_recovery' ELSE 'session_handoff' END ELSE 'local_materialized' END AS source
         FROM numbered n JOIN wire w ON w.event_id = n.event_id WHERE n.event_type = 'error' OR (n.event_type = 'purchase' AND n.event_id % 3 = 0) OR (n.ok AND n.event_id % 9 = 0)""",
-    "seed_levels": """SELECT s.snapshot_id, h.side, h.price, CAST(CASE WHEN s.spoilt THEN h.size / 2 ELSE h.size END AS DECIMAL(24,6)) AS size
+    "seed_levels": """SELECT s.snapshot_id, h.side, h.price, CAST(CASE WHEN s.spoilt THEN h.size / 64 ELSE h.size END AS DECIMAL(24,6)) AS size
         FROM seeds s JOIN held h ON h.market = s.market AND h.epoch = s.epoch AND h.from_n <= s.n AND (h.to_n IS NULL OR s.n < h.to_n) WHERE h.size > 0 AND s.source <> 'ws_initial'""",
     "recorded": """SELECT n.event_id AS delta_id, n.market, n.ms, w.started_ms, w.stream, w.seq, n.side, n.price, n.delta, n.ok AS applied FROM numbered n JOIN wire w ON w.event_id = n.event_id WHERE n.ok IS NOT NULL""",
     "requests": """SELECT m.market * 3 + k AS request_id, m.market, CASE WHEN k = 1 THEN 1704067200000 ELSE 1704067200000 + m.market % 9 * 86400000 END AS from_ms,
