@@ -173,14 +173,6 @@ def stream_books(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("ordinal").alias("event_id"), "market", dec("bid", "decimal(12,6)"), dec("bid_size", "decimal(24,6)"), dec("ask", "decimal(12,6)"), dec("ask_size", "decimal(24,6)"))
 
 
-def stream_recoveries(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of the recovery state per market: errors are gaps, signups requests, purchases snapshots."""
-    _shipped()
-    kinds = "CASE event_type WHEN 'error' THEN 'gap' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'snapshot' ELSE 'frame' END AS kind"
-    frames = flows.events(spark, f"{d}/events.parquet").selectExpr("user_id AS stream", "event_id AS ordinal", "unix_millis(at) AS ms", kinds)
-    return flows.drained(flows.recoveries(frames, 2 * DAY), "append")
-
-
 _GRID = f"""spans AS (SELECT a.market, a.side, a.price, a.post AS size, a.ms AS from_ms, coalesce(lead(a.ms) OVER (PARTITION BY a.market, a.epoch, a.side, a.price ORDER BY a.event_id),
     (SELECT min(c.ms) FROM applied c WHERE c.cut = c.event_id AND c.market = a.market AND c.epoch = a.epoch),
     (SELECT min(r.ms) FROM resets r WHERE r.market = a.market AND r.event_id > a.event_id), (SELECT max(ms) + 1 FROM ev)) AS to_ms FROM applied a WHERE a.ok),
@@ -208,7 +200,7 @@ ORACLES: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         asof_backward, asof_lagged, grid_clock, book_hash, position_fold, taker_sweep, lag_search_depth, lag_histogram_depth,
-        backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts, stream_books, stream_recoveries,
+        backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
     )
     return {f.__name__: f for f in own}
 

@@ -109,47 +109,6 @@ def books(stream: DataFrame) -> DataFrame:
     return frames.groupBy("market").applyInPandasWithState(follow, out, kept, "append", "NoTimeout")
 
 
-def recoveries(stream: DataFrame, timeout_ms: int) -> DataFrame:
-    """Episodes of frames (stream, ordinal, ms, kind); kind ``gap``, ``request``, ``snapshot``, ``end`` or another.
-
-    HEALTHY goes to DEGRADED at a gap, to RECOVERING at a request and back to HEALTHY at a snapshot: one episode for each
-    discontinuity, whatever follows while it is open. A request without a snapshot in ``timeout_ms`` of the stream's own time
-    leaves DEGRADED; the end of a stream closes its open episode as ``superseded``. One row for each change of state.
-    """
-
-    def drive(key, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        mode, episode, opened, asked, faults = state.get if state.exists else ("HEALTHY", 0, None, None, 0)
-        rows = []
-        for ms, kind in pd.concat(list(batches)).sort_values("ordinal")[["ms", "kind"]].itertuples(index=False):
-            before, ms = mode, int(ms)
-            if mode == "RECOVERING" and ms > asked + timeout_ms:
-                mode = "DEGRADED"
-                rows.append((key[0], episode, asked + timeout_ms, "RECOVERING", mode, "timeout", opened, faults))
-                before = mode
-            if kind == "gap":
-                if mode == "HEALTHY":
-                    episode, opened, faults, mode = episode + 1, ms, 0, "DEGRADED"
-                faults += 1
-            elif kind == "request" and mode == "DEGRADED":
-                mode, asked = "RECOVERING", ms
-            elif kind == "snapshot" and mode != "HEALTHY":
-                mode = "HEALTHY"
-            elif kind == "end" and mode != "HEALTHY":
-                mode = "HEALTHY"
-                rows.append((key[0], episode, ms, before, mode, "superseded", opened, faults))
-                continue
-            if mode != before:
-                rows.append((key[0], episode, ms, before, mode, kind, opened, faults))
-        state.update((mode, episode, opened, asked, faults))
-        yield pd.DataFrame(rows, columns=["stream", "episode", "ms", "was", "became", "cause", "opened_ms", "faults"]).astype({"opened_ms": "Int64"})
-
-    out = "stream long, episode long, ms long, was string, became string, cause string, opened_ms long, faults long"
-    kept = "mode string, episode long, opened long, asked long, faults long"
-    return stream.select("stream", "ordinal", "ms", "kind").groupBy("stream").applyInPandasWithState(drive, out, kept, "append", "NoTimeout")
-
-
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return its result, written in the shared folder.
 
