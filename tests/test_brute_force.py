@@ -68,7 +68,7 @@ def test_positions(spark):
     assert set(got) == set(held)
     for m, (q, mean, realised, cash) in held.items():
         r = got[m]
-        assert (float(r["qty"]), r["cost"], r["realised"], r["cash"]) == pytest.approx((q, q * mean, realised, cash), abs=2e-3)
+        assert (float(r["qty"]), r["cost"], r["realised"], float(r["cash"])) == pytest.approx((q, q * mean, realised, cash), abs=2e-3)
 
 
 def test_backtest_scenarios(spark, deltas, trades):

@@ -20,12 +20,6 @@ def test_grid_and_change_points(spark):
     assert [r.t for r in temporal.change_points(series, ["k"], ["t"], "v").orderBy("t").collect()] == [1, 3, 5]
 
 
-def test_positions_flip_through_zero(spark):
-    rows = [(1, t, t, Decimal(q), Decimal(p)) for t, (q, p) in enumerate([("10", "0.40"), ("10", "0.60"), ("-30", "0.70"), ("10", "0.50")])]
-    r = folds.positions(spark.createDataFrame(rows, "market int, ms int, seq int, signed_qty decimal(24,6), price decimal(12,6)")).first()
-    assert (float(r.qty), r.realised, r.cost, r.cash) == (0.0, 6.0, 0.0, 6.0)
-
-
 FRAMES = [(5, False, "first"), (6, False, "ok"), (6, False, "duplicate"), (4, False, "out_of_order"), (7, False, "ok"), (9, False, "gap"), (8, False, "degraded"), (None, False, "unsequenced"), (10, False, "degraded"),
           (12, True, "recovered"), (13, False, "ok"), (12, False, "out_of_order"), (15, False, "gap"), (None, True, "recovered"), (30, False, "first")]
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook import tables
-from tidebook.plans import books, market, relational, reports, scalars, streams, validation
+from tidebook.plans import accounts, books, market, relational, reports, scalars, streams, validation
 
 #: Modules of queries with oracles in other terms; they come before a plain text of the same name.
-MODULES = (market, scalars, books, reports, validation, streams)
+MODULES = (market, scalars, books, reports, validation, streams, accounts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

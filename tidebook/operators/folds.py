@@ -8,27 +8,6 @@ from pyspark.sql import functions as F
 DEC = "DECIMAL(24,6)"
 
 
-def positions(fills: DataFrame) -> DataFrame:
-    """Per market: signed quantity, cost of the open part, realised profit and cash.
-
-    Fills (market, ms, seq, signed_qty, price) close first what is open on the other side, at its mean cost, and then
-    open what is left; cost, not the mean, is carried, so nothing is divided until the end.
-    """
-    state = f"named_struct('q', CAST(0 AS {DEC}), 'cost', CAST(0 AS DOUBLE), 'realised', CAST(0 AS DOUBLE), 'cash', CAST(0 AS DOUBLE))"
-    step = f"""(a, f) -> named_struct(
-        'q', CAST(a.q + f.signed_qty AS {DEC}),
-        'cost', CASE WHEN a.q * f.signed_qty >= 0 THEN a.cost + CAST(f.signed_qty AS DOUBLE) * CAST(f.price AS DOUBLE)
-                     WHEN abs(f.signed_qty) <= abs(a.q) THEN a.cost * CAST(a.q + f.signed_qty AS DOUBLE) / CAST(a.q AS DOUBLE)
-                     ELSE CAST(a.q + f.signed_qty AS DOUBLE) * CAST(f.price AS DOUBLE) END,
-        'realised', CASE WHEN a.q * f.signed_qty >= 0 THEN a.realised
-                     ELSE a.realised + least(abs(CAST(f.signed_qty AS DOUBLE)), abs(CAST(a.q AS DOUBLE))) * sign(CAST(a.q AS DOUBLE))
-                          * (CAST(f.price AS DOUBLE) - a.cost / CAST(a.q AS DOUBLE)) END,
-        'cash', a.cash - CAST(f.signed_qty AS DOUBLE) * CAST(f.price AS DOUBLE))"""
-    gathered = fills.groupBy("market").agg(F.array_sort(F.collect_list(F.struct("ms", "seq", "signed_qty", "price"))).alias("fs"))
-    folded = gathered.select("market", F.expr(f"aggregate(fs, {state}, {step})").alias("s"))
-    return folded.select("market", F.col("s.q").alias("qty"), F.round("s.cost", 4).alias("cost"), F.round("s.realised", 4).alias("realised"), F.round("s.cash", 4).alias("cash"))
-
-
 def taker_sweep(levels: DataFrame, key: list[str], qty: str, limit: str) -> DataFrame:
     """Per key: contracts taken level by level up to ``limit`` and their cost; levels (price, size) ascending by price."""
     reach = f"filter(ls, l -> l.price <= {limit})"

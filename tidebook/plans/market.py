@@ -49,11 +49,6 @@ def book_hash(spark: SparkSession, d: str) -> DataFrame:
     return book.state_hash(_grid(spark, d), ["market", "bucket_ms"])
 
 
-def position_fold(spark: SparkSession, d: str) -> DataFrame:
-    fills = view(spark, d, "fills").withColumn("signed_qty", F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")).cast("decimal(24,6)"))
-    return folds.positions(fills.withColumn("seq", F.struct("order_id", "line", "price", "signed_qty", "discount")))
-
-
 def taker_sweep(spark: SparkSession, d: str) -> DataFrame:
     levels = view(spark, d, "deltas").where("side = 'no' AND delta > 0").groupBy("market", F.expr("CAST(1 - price AS DECIMAL(12,6))").alias("price")).agg(F.sum("delta").cast("decimal(24,6)").alias("size"))
     return folds.taker_sweep(levels.selectExpr("*", "CAST(500 AS DECIMAL(24,6)) AS qty", "CAST(0.8 AS DECIMAL(12,6)) AS lim"), ["market"], "qty", "lim")
@@ -199,7 +194,7 @@ ORACLES: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        asof_backward, asof_lagged, grid_clock, book_hash, position_fold, taker_sweep, lag_search_depth, lag_histogram_depth,
+        asof_backward, asof_lagged, grid_clock, book_hash, taker_sweep, lag_search_depth, lag_histogram_depth,
         backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
     )
     return {f.__name__: f for f in own}

@@ -1,4 +1,4 @@
-"""Reports: calibration evidence, execution quality, settlement, equity, ladders, dataset health; with oracles in other terms."""
+"""Reports: calibration evidence, execution quality, equity, ladders, dataset health; with oracles in other terms."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalar as S
 from tidebook.operators import backtest as engine
-from tidebook.operators import book, temporal
+from tidebook.operators import book
 from tidebook.plans.market import DAY, final_tops
 from tidebook.tables import load, view
 
-SEED, TOLERANCE, GRID = "seed-7", 1, 90 * DAY
+SEED, TOLERANCE = "seed-7", 1
 #: Parameters of the health checks and their levels, from best to worst.
 STALE_MS, AHEAD_DAYS, LEVELS = 3 * DAY, 2, ("HEALTHY", "DEGRADED", "CRITICAL")
 
@@ -76,40 +76,6 @@ def stratum_selection(spark: SparkSession, d: str) -> DataFrame:
     return ranked.selectExpr("stratum", "market", "sampled", "row_number() OVER (ORDER BY sampled, d) AS place")  # four rows
 
 
-def settlement(spark: SparkSession, d: str) -> DataFrame:
-    """Positions at the end by what becomes of them, with the payout's basis, provisional ones and the cash they bring."""
-    signed = F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    held = view(spark, d, "fills").groupBy("market").agg(F.sum(signed).cast(S.SIZE).alias("q"), F.sum(signed * F.col("price").cast("decimal(4,2)")).cast("decimal(28,6)").alias("paid"))
-    defined = view(spark, d, "markets").where("market % 10 <> 9").withColumn("state", S.lifecycle_state(F.col("status"), F.col("result")))
-    payout, basis = S.yes_payout(F.col("state"), F.col("settlement_value"), F.col("notional_value"))
-    defined = defined.select("market", "state", payout.alias("payout"), basis.alias("basis"), (F.col("market") % 8 == 0).alias("provisional"))
-    rows = held.join(defined, "market", "left")
-    rows = rows.withColumn("resolution", S.resolution(F.col("q"), F.col("state").isNotNull(), F.col("state"), F.col("payout"), F.col("market") % 6 != 0)).where("resolution IS NOT NULL")
-    done = F.col("resolution") == "SETTLED"
-    cash = F.when(done, (F.col("q") * F.col("payout").cast("decimal(4,2)")).cast("decimal(28,6)"))
-    return rows.groupBy("resolution", F.when(done, F.col("basis")).alias("basis")).agg(F.count("*").alias("n"), F.count_if(done & F.col("provisional")).alias("provisional"), F.sum(cash).cast("decimal(28,6)").alias("payout"),
-        F.sum(F.when(done, cash - F.col("paid"))).cast("decimal(28,6)").alias("pnl"))
-
-
-def equity_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Open positions on a 90-day grid at the mark in force; unmarked ones are counted, not imputed, and equity after
-    fees is unknown from the first unknown fee on."""
-    fills = view(spark, d, "fills")
-    signed = F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    daily = fills.groupBy("market", "ms").agg(
-        F.sum(signed).cast(S.SIZE).alias("net"), F.sum(signed * F.col("price").cast("decimal(4,2)")).cast("decimal(28,6)").alias("paid"), F.max_by("price", F.struct("order_id", "line", "price", "qty")).alias("mark"),
-        F.count_if(F.col("l_returnflag") == "N").alias("unknown"), F.sum("discount").cast(S.SIZE).alias("fees"),
-    )
-    over = "OVER (PARTITION BY market ORDER BY ms)"
-    held = daily.selectExpr("market", "ms AS a", f"CAST(sum(net) {over} AS DECIMAL(24,6)) AS qty", f"CAST(sum(paid) {over} AS DECIMAL(28,6)) AS paid", "CASE WHEN market % 6 > 0 THEN mark END AS mark", f"sum(unknown) {over} AS unknown", f"CAST(sum(fees) {over} AS DECIMAL(24,6)) AS fees", f"lead(ms) {over} AS until")
-    last = daily.agg(F.max("ms")).first()[0] or 0
-    cells = temporal.grid(held.withColumn("b", F.coalesce(F.col("until"), F.lit(last + 1)) - 1), "a", "b", GRID)
-    open_ = F.col("qty") != 0
-    value = F.when(~open_, F.lit(0)).otherwise(F.col("qty") * F.col("mark").cast("decimal(4,2)")).cast("decimal(28,6)")
-    g = cells.groupBy("bucket_ms").agg(F.count_if(open_).alias("positions"), F.count_if(open_ & F.col("mark").isNull()).alias("unmarked"), F.sum(F.when(value.isNotNull(), value - F.col("paid"))).cast("decimal(28,6)").alias("equity"), F.sum("unknown").alias("u"), F.sum("fees").alias("f"))
-    return g.select("bucket_ms", "positions", "unmarked", "equity", F.when(F.col("u") == 0, F.col("equity") - F.col("f")).cast("decimal(28,6)").alias("net"))
-
-
 def exec_quality(spark: SparkSession, d: str) -> DataFrame:
     """The twenty figures of an execution report, in one row."""
     k = F.col("o_orderkey")
@@ -194,7 +160,6 @@ def strategy_matrix(spark: SparkSession, d: str) -> DataFrame:
     return engine.summary(_backtest(spark, d, strategies=tuple(engine.STRATEGIES), models=tuple(engine.MODELS), latencies=(0, 3_600_000, DAY)))
 
 
-_POS = """h AS (SELECT market, sum(CASE action WHEN 'buy' THEN qty ELSE -qty END) AS q, sum(CASE action WHEN 'buy' THEN qty ELSE -qty END * CAST(price AS DECIMAL(4,2))) AS paid FROM fills GROUP BY market)"""
 _RAT = "CAST(round(CAST({} AS DOUBLE) / nullif(CAST({} AS DOUBLE), 0), 6) AS DECIMAL(18,6))"
 _LEVEL = "CASE WHEN {} THEN '{}' ELSE 'HEALTHY' END"
 
@@ -212,16 +177,6 @@ ORACLES: dict[str, str] = {
     "stratum_selection": f"""WITH o AS (SELECT market, (CASE WHEN max(size) < 100 THEN 'low' ELSE 'high' END) || '_depth/' || (CASE WHEN count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 2 = 0) < 3 THEN 'low' ELSE 'high' END) || '_flow' AS stratum, count(*) FILTER (WHERE event_type = 'error') AS churn FROM ev GROUP BY market),
         f AS (SELECT stratum, first(market ORDER BY churn, sha256('{SEED}' || market)) AS market FROM o GROUP BY stratum), n AS (SELECT f.stratum, f.market, (SELECT count(*) FROM probes p JOIN o ON o.market = p.market WHERE o.stratum = f.stratum) AS sampled FROM f)
         SELECT stratum, market, sampled, rank() OVER (ORDER BY sampled, sha256('{SEED}' || stratum)) AS place FROM n""",
-    "settlement": f"""WITH {_POS}, m AS (SELECT market, settlement_value AS sv, coalesce(notional_value, 1) AS nv, lower(trim(coalesce(result, ''))) AS r, lower(trim(coalesce(status, ''))) AS s FROM markets WHERE market % 10 <> 9),
-        x AS (SELECT h.*, m.market IS NOT NULL AS known, r, s, CASE WHEN sv IS NOT NULL THEN CASE WHEN nv > 0 THEN sv / nv END WHEN r = 'yes' THEN 1 WHEN r = 'no' THEN 0 END AS p, CASE WHEN sv IS NULL THEN 'result' ELSE 'settlement_value' END AS b FROM h LEFT JOIN m ON m.market = h.market WHERE q <> 0),
-        y AS (SELECT *, CASE WHEN known AND r IN ('void', 'canceled') THEN 'VOIDED' WHEN p IS NOT NULL THEN 'SETTLED' WHEN market % 6 = 0 THEN 'UNPRICEABLE' WHEN known AND r NOT IN ('yes', 'no') AND s IN ('closed', 'determined', 'settled') THEN 'AWAITING_DETERMINATION' ELSE 'OPEN_AT_RUN_END' END AS resolution FROM x)
-        SELECT resolution, CASE resolution WHEN 'SETTLED' THEN b END AS basis, count(*) AS n, count(*) FILTER (WHERE resolution = 'SETTLED' AND market % 8 = 0) AS provisional, CAST(sum(q * CAST(p AS DECIMAL(4,2))) FILTER (WHERE resolution = 'SETTLED') AS DECIMAL(28,6)) AS payout,
-        CAST(sum(q * CAST(p AS DECIMAL(4,2)) - paid) FILTER (WHERE resolution = 'SETTLED') AS DECIMAL(28,6)) AS pnl FROM y GROUP BY ALL""",
-    "equity_grid": f"""WITH b AS (SELECT unnest(generate_series((SELECT min(ms) // {GRID} - 1 FROM fills), (SELECT max(ms) // {GRID} FROM fills))) * {GRID} AS bucket_ms),
-        c AS (SELECT bucket_ms, market, sum(CASE action WHEN 'buy' THEN qty ELSE -qty END) AS q, sum(CASE action WHEN 'buy' THEN qty ELSE -qty END * CAST(price AS DECIMAL(4,2))) AS paid, CASE WHEN market % 6 > 0 THEN last(CAST(price AS DECIMAL(4,2)) ORDER BY ms, order_id, line, price, qty) END AS mark,
-          count(*) FILTER (WHERE l_returnflag = 'N') AS u, sum(discount) AS f FROM fills JOIN b ON ms <= bucket_ms GROUP BY bucket_ms, market)
-        SELECT bucket_ms, count(*) FILTER (WHERE q <> 0) AS positions, count(*) FILTER (WHERE q <> 0 AND mark IS NULL) AS unmarked, CAST(sum(CASE WHEN q = 0 THEN -paid ELSE q * mark - paid END) AS DECIMAL(28,6)) AS equity,
-        CAST(CASE WHEN sum(u) = 0 THEN sum(CASE WHEN q = 0 THEN -paid ELSE q * mark - paid END) - sum(f) END AS DECIMAL(28,6)) AS net FROM c GROUP BY bucket_ms""",
     "exec_quality": f"""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 1 AND o_orderkey % 10 <> 0 THEN 1000 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN 1000 + o_orderkey % 5000 END AS z, (SELECT sum(qty) FROM fills f WHERE f.order_id = o_orderkey) AS got FROM orders),
         f AS (SELECT *, CASE WHEN l_linestatus = 'O' AND market % 5 <> 0 THEN (0.5 - price) * CASE action WHEN 'buy' THEN 1 ELSE -1 END END AS cap, CASE WHEN market % 4 <> 0 THEN market % 90 END AS qq FROM fills),
         x AS (SELECT count(*) AS submitted, count(a) AS rested, count(*) FILTER (WHERE got >= 60) AS filled, count(*) FILTER (WHERE got < 60) AS partly_filled, count(*) FILTER (WHERE k % 7 = 0) AS cancelled, count(*) FILTER (WHERE k % 7 = 1) AS rejected, count(got) AS touched, CAST(sum(z - a) FILTER (WHERE z > a) AS BIGINT) AS resting_ms, count(*) FILTER (WHERE z > a) AS rn FROM o),
@@ -246,5 +201,5 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (move_class, queue_steps, model_agreement, censoring, stratum_selection, settlement, equity_grid, exec_quality, ladder_samples, health_checks, backtest_join_best, strategy_matrix)
+    own = (move_class, queue_steps, model_agreement, censoring, stratum_selection, exec_quality, ladder_samples, health_checks, backtest_join_best, strategy_matrix)
     return {f.__name__: f for f in own}
