@@ -108,6 +108,15 @@ VIEWS = {
     "requests": """SELECT m.market * 3 + k AS request_id, m.market, CASE WHEN k = 1 THEN 1704067200000 ELSE 1704067200000 + m.market % 9 * 86400000 END AS from_ms,
         CASE WHEN k = 1 THEN 1704672000000 ELSE 1704672000000 + m.market % 9 * 86400000 END AS to_ms, CASE WHEN k = 2 THEN 1972 + m.market % 2 END AS to_stream, CAST(CASE WHEN k = 2 THEN 8 END AS BIGINT) AS to_seq
         FROM (SELECT DISTINCT market FROM ev) m CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x""",
+    # frames as text: some cut short, without a type or a field, with a wrong side or price, of a kind that is only kept
+    "frames": """SELECT ordinal, receive_ms, CASE WHEN ordinal % 17 = 0 THEN substr(whole, 1, 40) WHEN ordinal % 29 = 0 THEN replace(whole, '"type"', '"typ"') WHEN ordinal % 31 = 0 THEN replace(whole, '_dollars"', '_cents"')
+          WHEN ordinal % 37 = 0 THEN replace(replace(whole, '"yes"', '"maybe"'), '"no"', '"perhaps"') WHEN ordinal % 41 = 0 THEN replace(whole, '"0.', '"x0.') WHEN ordinal % 43 = 0 THEN replace(replace(replace(whole, 'orderbook_delta', 'ticker'), '"trade"', '"ticker"'), 'orderbook_snapshot', 'ok')
+          WHEN ordinal % 47 = 0 THEN replace(whole, 'market_ticker', 'ticker') ELSE whole END AS text
+        FROM (SELECT event_id AS ordinal, ms AS receive_ms, concat('{"type":"', CASE event_type WHEN 'error' THEN 'orderbook_snapshot' WHEN 'purchase' THEN 'trade' ELSE 'orderbook_delta' END, '","sid":', CAST(session AS $TEXT), ',"seq":', CAST(event_id AS $TEXT), ',"msg":{"market_ticker":"M', CAST(market AS $TEXT), '",',
+          CASE event_type WHEN 'error' THEN concat(CASE WHEN event_id % 3 = 0 THEN '"yes_dollars_fp":null' ELSE concat('"yes_dollars_fp":[["0.', CAST(event_id % 89 + 10 AS $TEXT), '00005","', CAST(size AS $TEXT), '"],["0.05","7"]]') END, CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"no_dollars_fp":[["0.1","2.5"]]' END)
+            WHEN 'purchase' THEN concat('"trade_id":"t', CAST(event_id AS $TEXT), '","yes_price_dollars":"0.', CAST(event_id % 89 + 10 AS $TEXT), '","no_price_dollars":"0.', CAST(99 - event_id % 89 - 9 AS $TEXT), '","count_fp":"', CAST(size AS $TEXT), '","is_block_trade":', CASE WHEN event_id % 4 = 0 THEN 'true' ELSE 'null' END,
+              ',"taker_', CASE WHEN event_id % 3 = 0 THEN 'outcome_' ELSE '' END, 'side":"', CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END, '","ts_ms":', CAST(ms AS $TEXT))
+            ELSE concat('"price_dollars":"0.', CAST(event_id % 89 + 10 AS $TEXT), CASE WHEN event_id % 6 = 0 THEN '00015' ELSE '' END, '","delta_fp":"', CASE WHEN event_type = 'signup' THEN '-' ELSE '' END, CAST(size AS $TEXT), '","side":"', CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END, '"') END, '}}') AS whole FROM ev) w""",
     # a contract's definition; 13th month and blank dates on purpose
     "markets": """SELECT p_partkey AS market, concat('KX', CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'RAIN' ELSE 'WIND' END, CAST(p_size % 4 AS $TEXT), '-',
         CASE WHEN p_partkey % 11 = 0 THEN 'SOON' ELSE concat('24', substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDECXXX', CAST(p_partkey % 13 * 3 + 1 AS INT), 3), lpad(CAST(p_partkey % 31 + 1 AS $TEXT), 2, '0')) END, '-T', CAST(p_size AS $TEXT)) AS ticker,
