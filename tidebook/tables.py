@@ -117,6 +117,9 @@ VIEWS = {
             WHEN 'purchase' THEN concat('"trade_id":"t', CAST(event_id AS $TEXT), '","yes_price_dollars":"0.', CAST(event_id % 89 + 10 AS $TEXT), '","no_price_dollars":"0.', CAST(99 - event_id % 89 - 9 AS $TEXT), '","count_fp":"', CAST(size AS $TEXT), '","is_block_trade":', CASE WHEN event_id % 4 = 0 THEN 'true' ELSE 'null' END,
               ',"taker_', CASE WHEN event_id % 3 = 0 THEN 'outcome_' ELSE '' END, 'side":"', CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END, '","ts_ms":', CAST(ms AS $TEXT))
             ELSE concat('"price_dollars":"0.', CAST(event_id % 89 + 10 AS $TEXT), CASE WHEN event_id % 6 = 0 THEN '00015' ELSE '' END, '","delta_fp":"', CASE WHEN event_type = 'signup' THEN '-' ELSE '' END, CAST(size AS $TEXT), '","side":"', CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END, '"') END, '}}') AS whole FROM ev) w""",
+    # what was seen of contracts over time; most observations change nothing
+    "versions": """SELECT o_custkey AS market, CAST(floor($US(o_orderdate) / 1000) AS BIGINT) AS observed_ms, o_orderkey AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'active' END AS status,
+        CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '' WHEN 2 THEN '' END AS result FROM orders""",
     # a contract's definition; 13th month and blank dates on purpose
     "markets": """SELECT p_partkey AS market, concat('KX', CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'RAIN' ELSE 'WIND' END, CAST(p_size % 4 AS $TEXT), '-',
         CASE WHEN p_partkey % 11 = 0 THEN 'SOON' ELSE concat('24', substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDECXXX', CAST(p_partkey % 13 * 3 + 1 AS INT), 3), lpad(CAST(p_partkey % 31 + 1 AS $TEXT), 2, '0')) END, '-T', CAST(p_size AS $TEXT)) AS ticker,
