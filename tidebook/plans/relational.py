@@ -36,8 +36,6 @@ SQL: dict[str, str] = {
         sum(CAST(event_id % 13 AS DOUBLE) * CAST(event_id % 13 AS DOUBLE)) AS sxx, sum(CAST(event_id % 13 AS DOUBLE) * CAST(size AS DOUBLE)) AS sxy FROM ev GROUP BY series) s""",
     "error_metrics": """SELECT side, CAST(round(avg(abs(e)), 6) AS DECIMAL(18,6)) AS mae, CAST(round(sqrt(avg(e * e)), 6) AS DECIMAL(18,6)) AS rmse, CAST(round(avg(e), 6) AS DECIMAL(18,6)) AS bias
         FROM (SELECT side, CAST(post AS DOUBLE) - 10 AS e FROM levels) x GROUP BY side""",
-    "regime_breakdown": """SELECT regime, count(*) AS n, sum(delta) AS net, count(CASE WHEN delta < 0 THEN 1 END) AS removals FROM (SELECT delta, CASE WHEN t = 0 THEN 'AT_TOUCH'
-        WHEN t = 1 THEN 'ONE' WHEN t = 2 THEN 'TWO' ELSE 'DEEPER' END AS regime FROM (SELECT delta, greatest(0, CAST(round((CAST(0.47 AS DECIMAL(12,6)) - price) * 100, 0) AS BIGINT)) AS t FROM deltas) x) y GROUP BY regime""",
     "fill_breakdown_multi": """SELECT CASE WHEN grouping(action) = 0 THEN 'action' WHEN grouping(l_linestatus) = 0 THEN 'status' ELSE 'flag' END AS dimension,
         coalesce(action, l_linestatus, l_returnflag) AS bucket, count(*) AS n, CAST(sum(qty) AS DECIMAL(28,6)) AS qty FROM fills GROUP BY GROUPING SETS ((action), (l_linestatus), (l_returnflag))""",
     "minute_health": "SELECT session, CAST(floor(ms / 60000) AS BIGINT) AS minute, count(*) AS frames, count(DISTINCT market) AS markets, max(ordinal) AS last_ordinal FROM ev GROUP BY session, CAST(floor(ms / 60000) AS BIGINT)",
