@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook import tables
-from tidebook.plans import accounts, books, dated, market, queues, relational, reports, scalars, streams, validation, wire
+from tidebook.plans import accounts, books, dated, market, queues, relational, reports, scalars, soak, streams, validation, wire
 
 #: Modules of queries with oracles in other terms; they come before a plain text of the same name.
-MODULES = (market, scalars, books, reports, validation, streams, accounts, wire, dated, queues)
+MODULES = (market, scalars, books, reports, validation, streams, accounts, wire, dated, queues, soak)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
