@@ -193,10 +193,10 @@ def probe_reason(has_book, valid, state, bid, ask, bid_size, close_in_ms, recent
     )
 
 
-def risk_reason(in_flight, resting, all_resting, series_in_flight, position, exposure, fills, orders, limits: dict[str, int]) -> Column:
-    """Why an account may place no further probe in a market, the first of eight reasons, or ``allowed``."""
+def risk_reason(in_flight, resting, all_resting, all_in_flight, series_in_flight, position, exposure, fills, orders, limits: dict[str, int]) -> Column:
+    """Why an account may place no further probe in a market, the first of eight reasons, or ``allowed``; an order in flight counts as a resting one."""
     return first_reason(
-        ("probe_already_in_flight", in_flight > 0), ("max_resting_orders", all_resting >= limits["resting"]), ("max_resting_per_market", resting >= limits["resting_per_market"]),
+        ("probe_already_in_flight", in_flight > 0), ("max_resting_orders", all_resting + all_in_flight >= limits["resting"]), ("max_resting_per_market", resting >= limits["resting_per_market"]),
         ("max_probes_per_series", series_in_flight >= limits["probes_per_series"]), ("max_position_per_market", F.abs(position) + limits["order_size"] > limits["position"]),
         ("max_worst_case_exposure", exposure > limits["exposure"]), ("max_fills_per_day", fills >= limits["fills"]), ("max_new_orders_per_day", orders >= limits["orders"]), otherwise="allowed",
     )
@@ -266,6 +266,15 @@ def structural_hash(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
+def series_chosen(series: Column, category: Column, prefixes: tuple[str, ...] = (), categories: tuple[str, ...] = (), allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> Column:
+    """Whether a selector takes a series: by name from its allow-list where it has one, else by prefix and, if it names any, category; denied ones never."""
+    by_prefix = F.lit(False)
+    for p in prefixes:
+        by_prefix = by_prefix | F.startswith(series, F.lit(p))
+    wanted = series.isin(*allow) if allow else by_prefix & (category.isin(*categories) if categories else F.lit(True))
+    return F.coalesce(wanted & ~series.isin(*deny) if deny else wanted, F.lit(False))
+
+
 def latency_kept(received_ms: Column, exchange_ms: Column) -> Column:
     """The delay of a message where it counts as a sample: 0 to 600,000 ms, and the exchange's time is known."""
     delay = received_ms - exchange_ms

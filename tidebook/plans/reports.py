@@ -99,15 +99,17 @@ def exec_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ladder_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Per series the last books of all expected members: captured and complete, and one hash with ``null`` for a missing or invalid one."""
+    """Per series the last books of all expected members: captured are those that are there, valid or not; one hash over all, with
+    ``null`` for a missing or invalid one. An empty valid book has a hash like another."""
     last = book.level_intervals(view(spark, d, "applied"), view(spark, d, "resets")).where("to_ms IS NULL")
     hashes = book.state_hash(last, ["market"])
-    valid = final_tops(spark, d).select("market", F.col("valid"))
-    members = view(spark, d, "ev").select("series", "market").distinct().join(hashes, "market", "left").join(valid, "market", "left")
-    members = members.withColumn("hash", F.when(F.coalesce("valid", F.lit(False)), F.col("hash")))
-    counts = members.groupBy("series").agg(F.count("*").alias("expected"), F.count("hash").alias("captured"))
+    there = view(spark, d, "numbered").where("event_type <> 'purchase'").groupBy("market").agg(F.max_by(F.expr("epoch > 0 AND coalesce(ok, true)"), "event_id").alias("valid"))
+    members = view(spark, d, "ev").select("series", "market").distinct().join(hashes, "market", "left").join(there, "market", "left")
+    empty = F.sha2(F.concat(F.col("market").cast("string"), F.lit("\nyes:\nno:")), 256)
+    members = members.withColumn("hash", F.when(F.coalesce("valid", F.lit(False)), F.coalesce("hash", empty)))
+    counts = members.groupBy("series").agg(F.count("*").alias("expected"), F.count("valid").alias("captured"), F.count("hash").alias("vouched_for"))
     whole = book.ladder_hash(members, ["series"], "market").select("series", "hash")
-    return counts.join(whole, "series").select("series", "expected", "captured", (F.col("captured") == F.col("expected")).alias("complete"), "hash")
+    return counts.join(whole, "series").select("series", "expected", "captured", "vouched_for", (F.col("captured") == F.col("expected")).alias("complete"), "hash")
 
 
 def health_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -184,10 +186,12 @@ ORACLES: dict[str, str] = {
           count(cap) AS capture_n, sum(cap) AS c, count(qq) AS qn, sum(qq) AS q, count(*) FILTER (WHERE l_returnflag = 'R') AS crossed FROM f)
         SELECT submitted, rested, filled, partly_filled, cancelled, rejected, fills, maker_fills, taker_fills, {_RAT.format("touched", "submitted")} AS fill_rate, {_RAT.format("cancelled", "fills")} AS cancel_to_fill, contracts, notional, fees, {_RAT.format("c", "capture_n")} AS mean_capture, capture_n,
         resting_ms, {_RAT.format("resting_ms", "rn")} AS mean_resting_ms, crossed, {_RAT.format("q", "qn")} AS mean_queue_at_entry FROM x, y""",
-    "ladder_samples": """WITH e AS (SELECT market, max(epoch) AS epoch FROM applied GROUP BY market), z AS (SELECT a.market, a.epoch, side, price, arg_max(post, event_id) AS size, max(cut) AS cut FROM applied a WHERE ok OR cut IS NOT NULL GROUP BY ALL),
-        l AS (SELECT z.market, side, price, size FROM z JOIN e ON e.market = z.market AND e.epoch = z.epoch WHERE z.cut IS NULL AND size > 0 AND NOT EXISTS (SELECT 1 FROM resets r WHERE r.market = z.market AND r.event_id > (SELECT max(event_id) FROM applied x WHERE x.market = z.market))),
-        h AS (SELECT market, sha256(market || chr(10) || 'yes:' || coalesce(string_agg(price || '@' || size, ',' ORDER BY price DESC) FILTER (WHERE side = 'yes'), '') || chr(10) || 'no:' || coalesce(string_agg(price || '@' || size, ',' ORDER BY price DESC) FILTER (WHERE side = 'no'), '')) AS hash FROM l GROUP BY market)
-        SELECT series, count(*) AS expected, count(hash) AS captured, count(*) = count(hash) AS complete, sha256(string_agg(m.market || '=' || coalesce(hash, 'null'), chr(10) ORDER BY CAST(m.market AS VARCHAR))) AS hash FROM (SELECT DISTINCT series, market FROM ev) m LEFT JOIN h ON h.market = m.market GROUP BY series""",
+    "ladder_samples": """WITH z AS (SELECT market, max(epoch) AS epoch, arg_max(epoch > 0 AND coalesce(ok, true), event_id) AS valid FROM numbered WHERE event_type <> 'purchase' GROUP BY market),
+        l AS (SELECT h.* FROM held h JOIN z ON z.market = h.market AND z.epoch = h.epoch WHERE h.to_n IS NULL AND h.size > 0),
+        h AS (SELECT z.market, CASE WHEN z.valid THEN sha256(z.market || chr(10) || 'yes:' || coalesce((SELECT string_agg(price || '@' || size, ',' ORDER BY price DESC) FROM l WHERE l.market = z.market AND side = 'yes'), '') || chr(10) || 'no:'
+          || coalesce((SELECT string_agg(price || '@' || size, ',' ORDER BY price DESC) FROM l WHERE l.market = z.market AND side = 'no'), '')) END AS hash FROM z)
+        SELECT series, count(*) AS expected, count(h.market) AS captured, count(hash) AS vouched_for, count(*) = count(h.market) AS complete, sha256(string_agg(m.market || '=' || coalesce(hash, 'null'), chr(10) ORDER BY CAST(m.market AS VARCHAR))) AS hash
+        FROM (SELECT DISTINCT series, market FROM ev) m LEFT JOIN h ON h.market = m.market GROUP BY series""",
     "health_checks": f"""WITH c AS (SELECT (SELECT max(ms) FROM ev) - (SELECT max(ms) FROM ev WHERE event_type = 'view') AS silent, (SELECT sum(hi - lo + 1 - n) FROM (SELECT max(ordinal) AS hi, min(ordinal) AS lo, count(*) AS n, session FROM ev GROUP BY session) s) > 0 AS holey,
           (SELECT count(*) FROM (SELECT market, epoch FROM applied WHERE cut IS NOT NULL GROUP BY market, epoch) g JOIN (SELECT market, max(epoch) AS me FROM applied GROUP BY market) l ON l.market = g.market AND l.me = g.epoch) AS outstanding, (SELECT max(session) - min(session) + 1 - count(DISTINCT session) FROM ev) AS missing,
           (SELECT count(*) FROM ev WHERE event_type = 'error' AND size > 200) AS wf, (SELECT count(*) FROM ev WHERE event_type = 'signup' AND size > 400) AS od, (SELECT count(*) FROM trades WHERE price > 0.94 AND size > 100) AS cf,

@@ -124,11 +124,23 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", ok.alias("eligible"))
 
 
+#: Selectors of series: prefixes, categories, allow-list, deny-list.
+SELECTORS = {
+    "named": {"prefixes": ("KXHIGH",), "allow": ("KXHIGH1", "KXWIND0", "KXRAIN3", "KXNONE"), "deny": ("KXWIND0",)},
+    "by_category": {"prefixes": ("KXHIGH", "KXRAIN"), "categories": ("PROMO", "SMALL"), "deny": ("KXHIGH2", "KXRAIN0")},
+    "by_prefix": {"prefixes": ("KXHIGH", "KXRAIN"), "deny": ("KXHIGH2", "KXRAIN0")},
+    "none": {},
+}
+SCOPE = 5
+
+
 def series_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Series by prefix and category without the denied ones, with the scope's cap as a flag."""
+    """Series that each of four selectors takes, with its scope's cap as a flag."""
     series = view(spark, d, "markets").select(S.series_of(F.col("ticker")).alias("series"), F.substring_index("p_type", " ", 1).alias("category")).distinct()
-    chosen = series.where((F.startswith("series", F.lit("KXHIGH")) | F.startswith("series", F.lit("KXRAIN"))) & ~F.col("series").isin("KXHIGH2", "KXRAIN0")).select("series").distinct()
-    return chosen.crossJoin(chosen.agg((F.count("*") > 5).alias("over_scope")))
+    taken = F.array(*[F.when(S.series_chosen(F.col("series"), F.col("category"), **of), F.lit(name)) for name, of in SELECTORS.items()])
+    chosen = series.select("series", F.explode(F.array_compact(taken)).alias("selector")).distinct()
+    counts = chosen.groupBy("selector").agg((F.count("*") > SCOPE).alias("over_scope"))
+    return chosen.join(counts, "selector").select("selector", "series", "over_scope")
 
 
 def latency_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +168,9 @@ def risk_envelope(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("event_type") == "view").alias("resting"), F.count_if((F.col("event_type") == "error") & (F.col("event_id") % 37 == 0)).alias("in_flight"), F.count_if(F.col("event_type") == "purchase").alias("fills"),
         F.count("*").alias("orders"), F.sum(F.when(F.col("event_type") == "signup", F.col("size")).otherwise(0)).cast(S.SIZE).alias("position"))
     by_series = rows.groupBy("series").agg(F.sum("in_flight").alias("series_in_flight"))
-    whole = rows.agg(F.sum(F.col("resting") % 4).alias("all_resting"))
+    whole = rows.agg(F.sum(F.col("resting") % 4).alias("all_resting"), F.sum("in_flight").alias("all_in_flight"))
     rows = rows.join(by_series, "series").crossJoin(whole)  # one row
-    reason = S.risk_reason(F.col("in_flight"), F.col("resting") % 14, F.col("all_resting") % 401, F.col("series_in_flight") % 20, F.col("position"), F.col("position") * 8, F.col("fills"), F.col("orders"), LIMITS)
+    reason = S.risk_reason(F.col("in_flight"), F.col("resting") % 14, F.col("all_resting") % 401, F.col("all_in_flight"), F.col("series_in_flight") % 20, F.col("position"), F.col("position") * 8, F.col("fills"), F.col("orders"), LIMITS)
     killed = (F.abs("position") > LIMITS["position"]) | (F.col("position") * 8 > LIMITS["exposure"])
     return rows.select("market", reason.alias("reason"), S.first_reason(("private_feed_down", F.col("market") % 29 == 0), ("ambiguous_order_state", F.col("in_flight") > 1), ("risk_limit", killed), otherwise="none").alias("blocking"))
 
@@ -198,11 +210,13 @@ ORACLES: dict[str, str] = {
     "structural_hash": """SELECT market, sha256('{"fee_multiplier":' || coalesce('"' || fee_multiplier || '"', 'null') || ',"fee_type":' || coalesce('"' || fee_type || '"', 'null') || ',"notional_value":' || coalesce('"' || notional_value || '"', 'null')
         || ',"result":' || coalesce('"' || result || '"', 'null') || ',"settlement_value":' || coalesce('"' || settlement_value || '"', 'null') || ',"status":' || coalesce('"' || status || '"', 'null') || ',"ticker":"' || ticker || '"}') AS version FROM markets""",
     "eligibility": """SELECT event_id, NOT EXISTS (SELECT 1 FROM (VALUES (3), (5), (8)) v(m) WHERE m = market) AND event_id % 5 IN (1, 2) AND (event_id % 3 = 0 OR event_id % 400 <= 300) AND (event_id % 4 = 0 OR event_id % 700 <= 600) AS eligible FROM ev""",
-    "series_resolution": """WITH c AS (SELECT DISTINCT regexp_extract(ticker, '^[^-]*') AS series FROM markets WHERE regexp_matches(ticker, '^KX(HIGH|RAIN)') AND NOT regexp_matches(ticker, '^(KXHIGH2|KXRAIN0)-')) SELECT series, (SELECT count(*) FROM c) > 5 AS over_scope FROM c""",
+    "series_resolution": """WITH s AS (SELECT DISTINCT regexp_extract(ticker, '^[^-]*') AS series, split_part(p_type, ' ', 1) AS category FROM markets),
+        c AS (SELECT DISTINCT 'named' AS selector, series FROM s WHERE series IN ('KXHIGH1', 'KXRAIN3') UNION SELECT 'by_category', series FROM s WHERE regexp_matches(series, '^KX(HIGH|RAIN)') AND category IN ('PROMO', 'SMALL') AND series NOT IN ('KXHIGH2', 'KXRAIN0')
+          UNION SELECT 'by_prefix', series FROM s WHERE regexp_matches(series, '^KX(HIGH|RAIN)') AND series NOT IN ('KXHIGH2', 'KXRAIN0')) SELECT selector, series, (SELECT count(*) FROM c d WHERE d.selector = c.selector) > 5 AS over_scope FROM c""",
     "latency_samples": "SELECT series, count(*) AS n, min(x) AS least, max(x) AS most, CAST(sum(x) AS BIGINT) AS total FROM (SELECT series, (event_id % 41 - 4) * 20000 AS x FROM ev WHERE event_id % 6 <> 0 AND event_id % 41 BETWEEN 4 AND 34) d GROUP BY series",
     "risk_envelope": f"""WITH m AS (SELECT market, series, sum(CAST(event_type = 'view' AS INT)) AS resting, sum(CAST(event_type = 'error' AND event_id % 37 = 0 AS INT)) AS fl, sum(CAST(event_type = 'purchase' AS INT)) AS fills, count(*) AS orders,
           coalesce(sum(size) FILTER (WHERE event_type = 'signup'), 0) AS pos FROM ev GROUP BY market, series)
-        SELECT market, coalesce((SELECT min_by(name, i) FROM (VALUES (1, 'probe_already_in_flight', fl > 0), (2, 'max_resting_orders', (SELECT sum(resting % 4) FROM m) % 401 >= {LIMITS['resting']}), (3, 'max_resting_per_market', resting % 14 >= {LIMITS['resting_per_market']}),
+        SELECT market, coalesce((SELECT min_by(name, i) FROM (VALUES (1, 'probe_already_in_flight', fl > 0), (2, 'max_resting_orders', (SELECT sum(resting % 4) FROM m) % 401 + (SELECT sum(fl) FROM m) >= {LIMITS['resting']}), (3, 'max_resting_per_market', resting % 14 >= {LIMITS['resting_per_market']}),
           (4, 'max_probes_per_series', (SELECT sum(fl) FROM m n WHERE n.series = m.series) % 20 >= {LIMITS['probes_per_series']}), (5, 'max_position_per_market', pos + {LIMITS['order_size']} > {LIMITS['position']}), (6, 'max_worst_case_exposure', pos * 8 > {LIMITS['exposure']}),
           (7, 'max_fills_per_day', fills >= {LIMITS['fills']}), (8, 'max_new_orders_per_day', orders >= {LIMITS['orders']})) v(i, name, hit) WHERE hit), 'allowed') AS reason,
           coalesce((SELECT min_by(name, i) FROM (VALUES (1, 'private_feed_down', market % 29 = 0), (2, 'ambiguous_order_state', fl > 1), (3, 'risk_limit', pos > {LIMITS['position']} OR pos * 8 > {LIMITS['exposure']})) v(i, name, hit) WHERE hit), 'none') AS blocking FROM m""",
