@@ -107,19 +107,20 @@ def absolute(rows: DataFrame, target: str, base: str) -> DataFrame:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys of canonical links and meta redirects in the html, whatever the order of their attributes, and dst's host and path."""
+    """(src, dst) keys of all canonical links and meta redirects in the html, whatever the order of their attributes, and dst's host and path."""
     html = F.col("html")
     value, canonical, refresh = r"\s*=\s*[\"']?\s*([^\"'\s>]+)", r"\brel\s*=\s*[\"']?canonical\b", r"\bhttp-equiv\s*=\s*[\"']?refresh\b"
-    targets = F.array(
-        F.regexp_extract(html, rf"(?is)<link\b[^>]*{canonical}[^>]*\bhref{value}", 1),
-        F.regexp_extract(html, rf"(?is)<link\b[^>]*\bhref{value}[\"']?[^>]*{canonical}", 1),
-        F.regexp_extract(html, rf"(?is)<meta\b[^>]*{refresh}[^>]*\burl{value}", 1),
-        F.regexp_extract(html, rf"(?is)<meta\b[^>]*\burl{value}[\"']?[^>]*{refresh}", 1),
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    targets = F.concat(
+        every(rf"(?is)<link\b[^>]*{canonical}[^>]*\bhref{value}"),
+        every(rf"(?is)<link\b[^>]*\bhref{value}[\"']?[^>]*{canonical}"),
+        every(rf"(?is)<meta\b[^>]*{refresh}[^>]*\burl{value}"),
+        every(rf"(?is)<meta\b[^>]*\burl{value}[\"']?[^>]*{refresh}"),
     )
     found = (
         pages.select("url", "html")
         .where(html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-        .select("url", F.explode(F.filter(targets, lambda x: x != "")).alias("t"))
+        .select("url", F.explode(F.array_distinct(F.filter(targets, lambda x: x != ""))).alias("t"))
     )
     full = absolute(unescaped(found, "t"), "t", "url")
     keys = _with(_with(full, "src", url_key(F.col("url"))), "dst", url_key(F.col("t")))
