@@ -12,6 +12,7 @@ extra columns pass through :func:`predict`. Texts are read whole, in chunks.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 import regex
@@ -24,8 +25,8 @@ from tidebook.llm.common import held_out
 #: n-gram lengths in bytes and hash buckets.
 GRAMS, BUCKETS = (2, 3, 4), 1 << 14
 CHUNK = 1 << 20
-#: Codewords are exhaustive up to this many languages, else pseudo-random of BITS_PER x log2(languages) bits.
-EXHAUSTIVE, BITS_PER = 7, 12
+#: Bits of a codeword: BITS_PER x log2(languages), LEAST_BITS at least, and no more than there are ways to split the languages in two.
+BITS_PER, LEAST_BITS, DRAWS = 12, 63, 50
 #: Below this lead over the second codeword a text counts as ambiguous.
 AMBIGUOUS = 0.2
 SHARPNESS = 8.0
@@ -50,18 +51,24 @@ def grams(text: str):
 
 
 def codewords(n: int):
-    """An n x bits array of -1 and 1 whose columns all split the languages; rows differ in many bits."""
+    """An n x bits array of -1 and 1: a seeded draw, without replacement, of the 2**(n-1) - 1 ways to split n languages in two.
+
+    Of some draws the one counts in which the two nearest codewords lie furthest apart. Few languages have so few ways that every draw is all of
+    them, the exhaustive code.
+    """
     import numpy as np
 
-    if n <= EXHAUSTIVE:
-        columns = [[1 if c >> i & 1 else -1 for i in range(n)] for c in range(1, 1 << max(0, n - 1))]
-        return np.array(columns or [[1] * n], dtype=np.float32).T
-    rng = np.random.default_rng(n)
-    best, spread = None, -1
-    for _ in range(50):
-        code = rng.choice(np.array([-1, 1], dtype=np.float32), (n, int(np.ceil(BITS_PER * np.log2(n)))))
-        code = code[:, np.abs(code.sum(0)) < n]
-        apart = (code.shape[1] - code @ code.T) / 2 + np.eye(n) * 1e9
+    if n == 1:
+        return np.ones((1, 1), dtype=np.float32)
+    ways = (1 << (n - 1)) - 1
+    bits, rng = min(ways, max(LEAST_BITS, int(np.ceil(BITS_PER * np.log2(n))))), random.Random(n)
+    best, spread = None, -1.0
+    for _ in range(DRAWS):
+        splits: set[int] = set()
+        while len(splits) < bits:
+            splits.update(1 + rng.randrange(ways) for _ in range(bits - len(splits))) if bits < ways else splits.update(range(1, ways + 1))
+        code = np.array([[1 if c >> i & 1 else -1 for c in sorted(splits)] for i in range(n)], dtype=np.float32)
+        apart = (bits - code @ code.T) / 2 + np.eye(n) * 1e9
         if apart.min() > spread:
             best, spread = code, apart.min()
     return best
