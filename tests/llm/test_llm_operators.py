@@ -307,6 +307,12 @@ def test_url_filter_link_forms(spark):
     pages = [(f"https://h.net/a/b/c.html?q={i}", html) for i, html in enumerate(want)]
     got = {r.src: r.dst for r in url_filter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
     assert got == {f"h.net/a/b/c.html?q={i}": dst for i, dst in enumerate(want.values()) if dst}
+    # every link of a page counts, not the first of its form alone
+    many = '<link rel=canonical href="/free"><link rel=canonical href="/es/2"><meta http-equiv=refresh content="0;url=/free"><meta http-equiv=refresh content="9;url=/es/3">'
+    edges = url_filter.alias_edges(spark.createDataFrame([("https://h.net/m", many), ("https://h.net/none", None)], "url string, html string")).collect()
+    assert sorted(r.dst for r in edges) == ["h.net/es/2", "h.net/es/3", "h.net/free"]
+    late = spark.createDataFrame([(1, "https://k.net/a", many.replace("/es/2", "https://h.net/es/2")), (2, None, many), (3, "https://k.net/long/" + "x" * 100_000, "y" * 2_000_000)], "page_id long, url string, html string")
+    assert {r.page_id: (r.verdict, r.reason) for r in url_filter.judge(late, (("block", "h.net", "/es/"),)).collect()} == {1: ("block", "alias"), 2: ("allow", "default"), 3: ("allow", "default")}
     rows = [(1, "https://h.net/d/old", '<meta content="0;url=../es/1" http-equiv=refresh>'), (2, "https://h.net/es/1", ""), (3, "https://h.net/d/free", "")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "h.net", "/es/"),)).collect()}
     bare = [(7, "https://q.net/one", '<link rel="canonical" href="https://h.net/es">'), (8, "https://q.net/two", '<link rel="canonical" href="https://h.net/es/">')]
@@ -406,11 +412,16 @@ def test_quality_ledger(spark, docs):
             if seen[tuple(words[i : i + 3])] > 1:
                 covered |= {i, i + 1, i + 2}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
+        lines = [x for x in texts[r.doc_id].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_symbols, r.n_lines, r.n_dup_lines) == (sum(c in "#*$%&|<>" for c in texts[r.doc_id]), len(lines), len(lines) - len(set(lines)))
+        assert (r.n_bullet_lines, r.n_ellipsis_lines) == (sum(x.lstrip(" \t")[:1] in "-*•●" and x.lstrip(" \t") != "" for x in lines), sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines))
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r.kept and r.base_failed)
     led = quality.ledger(df)
     one = {r.rule: (r.n_failed, r.n_failed_alone) for r in quality.ablation(led, "v1").collect()}
     bits = [r.fail_bits & quality.mask("v1") for r in led.collect()]
     assert one["few_words"] == (sum(b & 1 for b in bits), sum(b == 1 for b in bits))
+    every = {(r.policy, r.rule): (r.n_failed, r.n_failed_alone) for r in quality.ablations(df).collect()}
+    assert {k[1]: v for k, v in every.items() if k[0] == "v1"} == one and len(every) == sum(map(len, quality.POLICIES.values())) and quality.ablations(docs.limit(0)).count() == 0
     assert quality.accepted(docs).columns == docs.columns and quality.judged(docs.limit(0)).count() == 0
     assert [r.n_words for r in quality.judged(docs).orderBy("doc_id").collect()][:3] == [5, 0, 0]
 
@@ -433,9 +444,12 @@ def test_langid(spark, docs):
     assert und[9001] == "und" and und[9002] != "und"  # letters are the categories L*, no numbers
     assert len(edge) == len(EDGE) and {r.lang_pred for r in edge if r.doc_id in (1, 2, 3)} == {"und"}
     assert langid.query(docs.limit(0)).count() == 0
-    for n in (1, 2, 4, 7, 12):
+    for n in (1, 2, 4, 7, 8, 12, 100):
         code = langid.codewords(n)
         assert len({tuple(c) for c in code.tolist()}) == n
+        splits = {tuple(c) for c in (code * code[-1]).T.tolist()}
+        assert len(splits) == code.shape[1] and all(len(set(c)) == 2 for c in splits if n > 1)  # each a split of its own
+        assert n > 7 or code.shape[1] == max(1, 2 ** (n - 1) - 1)
 
 
 def test_langid_against_a_plain_refit(spark):

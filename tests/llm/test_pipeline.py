@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_llm_operators import groups
+from tests.llm.test_llm_operators import base_spans, groups
 from tidebook.llm import jaccard, quality, registry, toxicity
 from tidebook.llm.common import read, stage_table
 
@@ -28,9 +28,19 @@ def test_stages(spark):
     before, after = seen["ngram_jaccard_join"]
     assert ids(after) == sorted(set(groups([(r.doc_id, r.text) for r in before.collect()], 5, 80).values()))
     before, after = seen["pii"]
-    assert ids(before) == ids(after) and not [r for r in after.collect() if "@mail" in r.text]
+    assert ids(before) == ids(after) and not [r.doc_id for r in after.collect() if base_spans(r.text)]
+    whole = {r.doc_id: r.text for r in before.collect()}
+    assert all(r.text == whole[r.doc_id] for r in after.collect() if not base_spans(whole[r.doc_id]))  # nothing else is touched
     before, after = seen["best_fit_packing"]
-    assert sorted({r.doc_id for r in after.collect()}) == ids(before)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder, rows = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), after.collect()
+    length = {r.doc_id: len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.collect()}
+    assert {d: sum(r.length for r in rows if r.doc_id == d) for d in {r.doc_id for r in rows}} == length
+    for sequence in {r.sequence_id for r in rows}:
+        own = sorted((r.offset, r.length) for r in rows if r.sequence_id == sequence)
+        assert all(o == sum(n for _, n in own[:i]) for i, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 1024
     assert jaccard.deduplicated(read(spark, SF, "documents").limit(0)).count() == 0
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACES, words
+from tidebook.llm.common import SPACES, stage_table, words
 
 #: Symbols that the symbol measurement counts.
 SYMBOLS = "#*$%&|<>"
@@ -122,18 +122,31 @@ def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of documents as a written table: every rule is evaluated once, and policies and ablations read what was stored."""
+    return stage_table(ledger(docs.select("doc_id", "text")), "ledger")
+
+
 def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The query's rows: measurements, the base verdict and the policy's."""
-    led = ledger(docs.select("doc_id", "text"))
+    """The query's rows: all measurements, the base verdict and the policy's, read off the stored ledger."""
     base = rejected_by(F.col("fail_bits"), "base")
-    return led.select(
+    return stored(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
         (~base & ~rejected_by(F.col("fail_bits"), policy)).alias("kept"),
-        "fail_bits",
+        "fail_bits", "n_lines", "n_letter_words", "n_bullet_lines", "n_ellipsis_lines", "n_upper", "n_letters",
     )
 
 
+def ablations(docs: DataFrame) -> DataFrame:
+    """(policy, rule, n_failed, n_failed_alone) of every policy, off one stored ledger."""
+    led, out = stored(docs), None
+    for policy in POLICIES:
+        one = ablation(led, policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_failed_alone")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def accepted(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of docs that neither the base rules nor the policy reject, unchanged."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))

@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": lambda spark, d: warc.query(read(spark, d, "pages")),
         "op5_packing": lambda spark, d: packing.query(read(spark, d, "documents")),
         "op6_quality": lambda spark, d: quality.judged(read(spark, d, "documents")),
+        "quality_ablation": lambda spark, d: quality.ablations(read(spark, d, "documents")),
         "op7_langid": lambda spark, d: langid.query(read(spark, d, "documents")),
         "op8_fingerprint": lambda spark, d: fingerprint.query(read(spark, d, "documents")),
         "op9_jaccard": lambda spark, d: jaccard.query(read(spark, d, "documents")),
@@ -65,7 +66,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
 FROM last
 """
 
-OP6 = rf"""
+_LEDGER = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -83,12 +84,20 @@ m AS (
     length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS n_letters
   FROM t LEFT JOIN covered USING (doc_id)
 ), f AS (SELECT *, {" + ".join(f"CASE WHEN {fails} THEN {quality.BIT[name]} ELSE 0 END" for name, fails in quality.RULES.items())} AS bits FROM m)
+"""
+OP6 = rf"""{_LEDGER}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (bits & {quality.mask("base")}) <> 0 AS base_failed, (bits & {quality.mask("base") | quality.mask(quality.CURRENT)}) = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits
+  (bits & {quality.mask("base")}) <> 0 AS base_failed, (bits & {quality.mask("base") | quality.mask(quality.CURRENT)}) = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits,
+  {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("n_lines", "n_letter_words", "n_bullet_lines", "n_ellipsis_lines", "n_upper", "n_letters"))}
 FROM f
 """
 
+ABLATION = _LEDGER + " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (bits & {quality.BIT[rule]} <> 0) AS n_failed, count(*) FILTER (bits & {quality.mask(policy)} = {quality.BIT[rule]}) AS n_failed_alone FROM f"
+    for policy, rules in quality.POLICIES.items() for rule in rules
+)
+
 OP9 = rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents
@@ -125,4 +134,4 @@ FROM p
 def oracle_sql() -> dict[str, str]:
     """Oracles in SQL. op3's leaves out canonical links and redirects, of which the given pages have none; the
     others are tested against brute force, exact round trips or held-out accuracy."""
-    return {"op3_url_filter": OP3, "op4_warc": OP4, "op6_quality": OP6, "op9_jaccard": OP9, "op11_fim": OP11}
+    return {"op3_url_filter": OP3, "op4_warc": OP4, "op6_quality": OP6, "quality_ablation": ABLATION, "op9_jaccard": OP9, "op11_fim": OP11}
