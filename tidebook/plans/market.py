@@ -195,7 +195,7 @@ ORACLES: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         asof_backward, asof_lagged, grid_clock, book_hash, taker_sweep, lag_search_depth, lag_histogram_depth,
-        backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts,
+        backtest_join_bid, experiment_matrix, order_lifecycle, depth_imbalance, ladder_hash, contract_types, dataset_files, stream_tumbling, stream_sliding, stream_dedupe, stream_verdicts, stream_books,
     )
     return {f.__name__: f for f in own}
 

@@ -25,7 +25,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     tops = last.select("market", "ms", sides.alias("t")).select("market", "ms", "t.side", "t.best")
     # a taker of one side takes out of the other's ladder, where prices are complements
     trades = view(spark, d, "trades").select("market", F.when(F.col("taker_side") == "yes", "no").otherwise("yes").alias("side"), F.when(F.col("taker_side") == "yes", 1 - F.col("price")).otherwise(F.col("price")).cast("decimal(12,6)").alias("price"), "ms", "size")
-    spans, polls = stage_table(view(spark, d, "spans"), "spans"), stage_table(view(spark, d, "queue_polls"), "polls")
+    spans, polls = stage_table(view(spark, d, "level_spans"), "spans"), stage_table(view(spark, d, "queue_polls"), "polls")
     return queue_audit.transitions(polls, spans, tops, trades, APPLIED, UNIT)
 
 
@@ -57,13 +57,13 @@ def queue_splits(spark: SparkSession, d: str) -> DataFrame:
 def entry_identity(spark: SparkSession, d: str) -> DataFrame:
     """The first report of each probe against the size displayed at its price when it entered."""
     polls = view(spark, d, "queue_polls").where("seq_no = 0")
-    there = queue_audit.ladder_at(polls.select("probe_id", "market", "side", "price", "at_ms", "queue"), view(spark, d, "spans"))
+    there = queue_audit.ladder_at(polls.select("probe_id", "market", "side", "price", "at_ms", "queue"), view(spark, d, "level_spans"))
     return _six(queue_audit.entry_identity(there.withColumnRenamed("same", "displayed")))
 
 
-_LOOK = lambda t, what: f"(SELECT CAST(coalesce(sum(s.size), 0) AS DECIMAL(24,6)) FROM spans s WHERE s.market = p.market AND s.side = p.side AND s.price {what} p.price AND s.from_ms <= {t} AND (s.to_ms IS NULL OR s.to_ms > {t}))"
+_LOOK = lambda t, what: f"(SELECT CAST(coalesce(sum(s.size), 0) AS DECIMAL(24,6)) FROM level_spans s WHERE s.market = p.market AND s.side = p.side AND s.price {what} p.price AND s.from_ms <= {t} AND (s.to_ms IS NULL OR s.to_ms > {t}))"
 _WHEN = "CASE WHEN {} >= f.first_ms THEN {} END"
-_ROWS = f"""firsts AS (SELECT market, min(from_ms) AS first_ms FROM spans GROUP BY market),
+_ROWS = f"""firsts AS (SELECT market, min(from_ms) AS first_ms FROM level_spans GROUP BY market),
     p AS (SELECT *, queue AS q1, at_ms AS t1, lag(queue) OVER w AS q0, lag(at_ms) OVER w AS t0 FROM queue_polls WHERE queue IS NOT NULL WINDOW w AS (PARTITION BY probe_id ORDER BY seq_no)),
     looks AS (SELECT p.*, lag, {_WHEN.format(f"p.t0 - lag * {UNIT}", _LOOK(f"p.t0 - lag * {UNIT}", "="))} AS s0, {_WHEN.format(f"p.t1 - lag * {UNIT}", _LOOK(f"p.t1 - lag * {UNIT}", "="))} AS s1,
       {_WHEN.format(f"p.t0 - lag * {UNIT}", _LOOK(f"p.t0 - lag * {UNIT}", ">"))} AS b0, {_WHEN.format(f"p.t1 - lag * {UNIT}", _LOOK(f"p.t1 - lag * {UNIT}", ">"))} AS b1
@@ -72,7 +72,7 @@ _ROWS = f"""firsts AS (SELECT market, min(from_ms) AS first_ms FROM spans GROUP
       any_value(s0) FILTER (lag = {APPLIED}) AS ls0, any_value(s1) FILTER (lag = {APPLIED}) AS ls1, any_value(b0) FILTER (lag = {APPLIED}) AS lb0, any_value(b1) FILTER (lag = {APPLIED}) AS lb1 FROM looks GROUP BY probe_id, seq_no),
     now AS (SELECT x.*, g.* EXCLUDE (probe_id, seq_no),
         (SELECT CAST(coalesce(sum(t.size), 0) AS DECIMAL(24,6)) FROM trades t WHERE t.market = x.market AND t.ms > x.t0 AND t.ms <= x.t1 AND (x.side = 'yes' AND t.taker_side = 'no' AND t.price >= x.price OR x.side = 'no' AND t.taker_side = 'yes' AND 1 - t.price >= x.price)) AS executed,
-        (SELECT max(s.price) FROM spans s WHERE s.market = x.market AND s.side = x.side AND s.from_ms <= x.t0 AND (s.to_ms IS NULL OR s.to_ms > x.t0)) AS best
+        (SELECT max(s.price) FROM level_spans s WHERE s.market = x.market AND s.side = x.side AND s.from_ms <= x.t0 AND (s.to_ms IS NULL OR s.to_ms > x.t0)) AS best
       FROM looks x JOIN lagged g ON g.probe_id = x.probe_id AND g.seq_no = x.seq_no WHERE x.lag = 0 AND s0 IS NOT NULL AND s1 IS NOT NULL),
     moves AS (SELECT *, q0 - q1 AS moved, CAST(s0 - s1 AS DECIMAL(24,6)) AS fell_same, CAST(b0 - b1 AS DECIMAL(24,6)) AS fell_better, CAST((best - price) * 100 AS INT) AS ticks, coalesce(ls1, s1) AS h0_level, CAST(coalesce(lb1, b1) + coalesce(ls1, s1) AS DECIMAL(24,6)) AS h1_level,
       CAST(coalesce(ls0, s0) - coalesce(ls1, s1) AS DECIMAL(24,6)) AS h0_moved, CAST(coalesce(lb0, b0) + coalesce(ls0, s0) - coalesce(lb1, b1) - coalesce(ls1, s1) AS DECIMAL(24,6)) AS h1_moved FROM now),

@@ -121,14 +121,14 @@ VIEWS = {
     "versions": """SELECT o_custkey AS market, CAST(floor($US(o_orderdate) / 1000) AS BIGINT) AS observed_ms, o_orderkey AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'active' END AS status,
         CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '' WHEN 2 THEN '' END AS result FROM orders""",
     # while a level holds a size; and what is reported of a queue, late: the own level, in some markets better ones too, and a little off
-    "spans": """SELECT h.market, h.side, h.price, h.size, h.from_ms, coalesce(h.next_ms, e.end_ms) AS to_ms FROM (
+    "level_spans": """SELECT h.market, h.side, h.price, h.size, h.from_ms, coalesce(h.next_ms, e.end_ms) AS to_ms FROM (
           SELECT market, epoch, side, price, size, ms AS from_ms, lead(ms) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS next_ms FROM held) h
         LEFT JOIN (SELECT market, epoch, min(end_ms) AS end_ms FROM (SELECT market, epoch, ms AS end_ms FROM numbered WHERE NOT ok UNION ALL SELECT market, epoch - 1, ms FROM numbered WHERE event_type = 'error') x GROUP BY market, epoch) e
           ON e.market = h.market AND e.epoch = h.epoch WHERE h.size > 0""",
     "queue_polls": """SELECT p.probe_id, p.market, p.side, p.price, p.seq_no, p.at_ms, p.terminal_state, CASE WHEN (p.probe_id + p.seq_no) % 13 = 0 THEN NULL ELSE CAST(coalesce(sum(s.size), 0) + CAST((p.probe_id + p.seq_no) % 4 * 0.3 AS DECIMAL(12,6)) AS DECIMAL(24,6)) END AS queue
         FROM (SELECT n.event_id AS probe_id, n.market, n.side, n.price, k AS seq_no, n.ms + k * 43200000 AS at_ms, CASE n.event_id % 4 WHEN 0 THEN 'filled' WHEN 1 THEN 'cancelled' ELSE 'expired' END AS terminal_state
           FROM numbered n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x WHERE n.ok AND n.event_id % 5 = 0) p
-        LEFT JOIN spans s ON s.market = p.market AND s.side = p.side AND (s.price = p.price OR (p.market % 4 = 0 AND s.price > p.price)) AND s.from_ms <= p.at_ms - 4000000 AND (s.to_ms IS NULL OR s.to_ms > p.at_ms - 4000000)
+        LEFT JOIN level_spans s ON s.market = p.market AND s.side = p.side AND (s.price = p.price OR (p.market % 4 = 0 AND s.price > p.price)) AND s.from_ms <= p.at_ms - 4000000 AND (s.to_ms IS NULL OR s.to_ms > p.at_ms - 4000000)
         GROUP BY p.probe_id, p.market, p.side, p.price, p.seq_no, p.at_ms, p.terminal_state""",
     # a contract's definition; 13th month and blank dates on purpose
     "markets": """SELECT p_partkey AS market, concat('KX', CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'RAIN' ELSE 'WIND' END, CAST(p_size % 4 AS $TEXT), '-',
