@@ -105,9 +105,14 @@ def after_each(changes: DataFrame, by: list[str], at: str, tick: str = "0.01", t
 
 
 def _with_sizes(rows: DataFrame, by: list[str], at: str, side: str, price: str, out: str) -> DataFrame:
-    """rows with the size at ``price`` of ``side`` after each: the level's last statement, by one window over asked and stated."""
-    asked = rows.select("*", F.col(price).alias("_p"), F.lit(1).alias("_asked"))
-    stated = rows.where(F.col("side") == side).select(*by, at, F.col("price").alias("_p"), F.col("post").alias("_s"), F.lit(0).alias("_asked"))
-    w = Window.partitionBy(*by, "_p").orderBy(at, "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(stated, allowMissingColumns=True).withColumn(out, F.last("_s", ignorenulls=True).over(w))
-    return both.where("_asked = 1").withColumn(out, F.when(F.col(price).isNotNull(), F.col(out))).drop("_p", "_asked", "_s")
+    """rows with the size at ``price`` of ``side`` after each: the level's last statement, by one window over what is asked and what is stated.
+
+    A row asks for its best price and states its own level, so both come from the same rows and nothing before is computed twice.
+    """
+    part = lambda asked, p, size: F.struct(F.lit(asked).alias("asked"), p.alias("p"), size.alias("size"))
+    asks, states = part(1, F.col(price), F.lit(None).cast(SIZE)), part(0, F.col("price").cast(PRICE), F.col("post").cast(SIZE))
+    both = F.when(F.col("side") == side, F.array(states, asks)).otherwise(F.array(asks))
+    found = rows.select("*", F.explode(both).alias("_x"))
+    w = Window.partitionBy(*by, F.col("_x.p")).orderBy(at, F.col("_x.asked")).rowsBetween(Window.unboundedPreceding, 0)
+    last = found.withColumn(out, F.last("_x.size", ignorenulls=True).over(w)).where("_x.asked = 1")
+    return last.withColumn(out, F.when(F.col(price).isNotNull(), F.col(out))).drop("_x")
