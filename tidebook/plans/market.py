@@ -210,6 +210,12 @@ ORACLES["depth_imbalance"] = f"""WITH {_GRID}, tops AS (SELECT *, row_number() O
     SELECT market, bucket_ms, round((bid + ask) / 2, 6) AS mid, round((bid * n1 + ask * y1) / (y1 + n1), 6) AS microprice, {", ".join(f"round((y{k} - n{k}) / (y{k} + n{k}), 6) AS imbalance_{k}" for k in _DEPTHS)} FROM b"""
 ORACLES["ladder_hash"] = f"""SELECT market % 8 AS series, bucket_ms, sha256(string_agg(CAST(market AS VARCHAR) || '=' || hash, chr(10) ORDER BY CAST(market AS VARCHAR))) AS hash, count(*) AS members
     FROM ({ORACLES["book_hash"]}) h GROUP BY market % 8, bucket_ms"""
+_AHEAD = """(SELECT CASE WHEN count(*) > 0 THEN CAST(coalesce(sum(s.size) FILTER (s.to_ms IS NULL OR s.to_ms > {t}), 0) AS DECIMAL(24,6)) END FROM level_spans s
+    WHERE s.market = r.market AND s.side = r.side AND s.price >= r.price AND s.from_ms <= {t})"""
+ORACLES["lag_search_depth"] = f"""WITH r AS (SELECT * FROM (SELECT market, event_id, taker_side AS side, price, ms AS t1, lag(ms) OVER w AS t0, CAST(lag(size) OVER w - size AS DECIMAL(24,6)) AS moved FROM trades WINDOW w AS (PARTITION BY market ORDER BY event_id)) x WHERE t0 IS NOT NULL),
+    tried AS (SELECT r.event_id, lag, CAST(abs(moved - ({_AHEAD.format(t="r.t0 - lag * 1000000")} - {_AHEAD.format(t="r.t1 - lag * 1000000")})) AS DECIMAL(24,6)) AS residual FROM r, (SELECT unnest(generate_series({evidence.LAGS[0]}, {evidence.LAGS[-1]}, 100)) AS lag) l)
+    SELECT event_id, CAST(arg_min(lag, row(residual, lag)) FILTER (residual IS NOT NULL) AS BIGINT) AS best_lag, min(residual) AS residual FROM tried GROUP BY event_id"""
+ORACLES["lag_histogram_depth"] = f"SELECT best_lag, count(*) AS n FROM ({ORACLES['lag_search_depth']}) x GROUP BY best_lag"
 ORACLES["dataset_files"] = "SELECT 'events.parquet' AS file, count(*) AS n FROM events"
 ORACLES["stream_verdicts"] = f"""WITH RECURSIVE fr AS (SELECT event_id // 500 AS stream, event_id % 500 AS rn, event_type = 'error' AS recovery, {_FRAMES} FROM events),
     walk AS (SELECT stream, CAST(-1 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS top, false AS bad, CAST(NULL AS VARCHAR) AS verdict FROM (SELECT DISTINCT stream FROM fr) s UNION ALL
