@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
-from tidebook.operators import history, invariants, queue_audit
+from tidebook.operators import history, invariants, placement, queue_audit
 from tidebook.sources import frames, lake, silver
 
 D = Decimal
@@ -150,3 +150,28 @@ def test_series_selectors(spark):
     pick = lambda **of: {r.s for r in rows.where(scalar.series_chosen(F.col("s"), F.col("c"), **of)).collect()}
     assert pick(prefixes=("KXA",)) == {"KXA1", "KXA2"} and pick(prefixes=("KXA", "KXB"), categories=("x",)) == {"KXA1", "KXB"}
     assert pick(prefixes=("KXA",), allow=("Z", "KXB", "none"), deny=("KXB",)) == {"Z"} and pick() == set()
+
+
+def test_probes_keep_the_design_level(spark):
+    """Against one pick after the other: the least sampled cell that has an option left, never the same option twice, no cell past its quota."""
+    books = [(m, m % 3, D(40 - m % 5) / 100, D(45 + m % 7) / 100) for m in range(40)] + [(90, 0, None, D("0.5")), (91, 0, D("0.01"), D("0.99")), (92, 1, D("0.5"), D("0.4"))]
+    tops = spark.createDataFrame(books, "market long, series long, bid decimal(12,6), ask decimal(12,6)")
+    levels = spark.createDataFrame([(m, side, p / 100, D(m % 4)) for m, *_ in books for side in ("yes", "no") for p in map(D, range(1, 100))], "market long, side string, price decimal(12,6), size decimal(24,6)")
+    found = placement.options(tops, levels, (1, 2))
+    rows = {(r.market, r.series, r.side, r.ticks): r.price for r in found.collect()}
+    want = {(m, s, side, k): (b - D(k) / 100 if side == "bid" else a + D(k) / 100) for m, s, b, a in books if b and m % 4 for side in ("bid", "ask") for k in (1, 2)}
+    assert rows == {key: p for key, p in want.items() if 0 < p < 1 and key[0] not in (91, 92)}
+    assert placement.options(tops, levels, (1,), resting=False).count() > found.where("ticks = 1").count()
+    sampled = {(0, "bid", 1): 3, (1, "ask", 2): 1, (2, "bid", 2): 50}
+    table = spark.createDataFrame([(*k, n) for k, n in sampled.items()], "series long, side string, ticks int, n long")
+    got = placement.chosen(found, table, 45, "s", 6).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in placement.chosen(found.repartition(7), table, 45, "s", 6).orderBy("place").collect()]
+    count, left = dict(sampled), set(rows)
+    for r in got:
+        cell = (r.series, r.side, r.ticks)
+        open_cells = {k[1:] for k in left if count.get(k[1:], 0) < 6}
+        assert cell in open_cells and count.get(cell, 0) == min(count.get(c, 0) for c in open_cells) == r.level
+        left.remove((r.market, *cell))
+        count[cell] = count.get(cell, 0) + 1
+    assert len(got) == 45 and [tuple(r) for r in placement.chosen(found, table, 45, "t", 6).orderBy("place").collect()] != [tuple(r) for r in got]
+    assert placement.chosen(found, table, 9999, "s").count() == len(rows) and placement.chosen(found.limit(0), table, 5, "s").count() == 0

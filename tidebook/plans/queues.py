@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.operators import queue_audit, replay
+from tidebook.operators import placement, queue_audit, replay
 from tidebook.operators.evidence import LAGS
 from tidebook.storage import stage_table
 from tidebook.tables import view
@@ -61,6 +61,21 @@ def entry_identity(spark: SparkSession, d: str) -> DataFrame:
     return _six(queue_audit.entry_identity(there.withColumnRenamed("same", "displayed")))
 
 
+#: Distances from the touch, probes to place, seed, and how far a cell may be filled.
+TICKS, PROBES, SEED, QUOTA = tuple(range(1, 31)), 60, "seed-11", 9
+
+
+def probe_placement(spark: SparkSession, d: str) -> DataFrame:
+    """The next sixty probes behind the touch, over cells of series, side and distance that stay level."""
+    states = replay.states(view(spark, d, "applied")).select("market", "event_id", "bid", "ask")
+    both = states.unionByName(view(spark, d, "resets").select("market", "event_id"), allowMissingColumns=True)
+    tops = both.groupBy("market").agg(F.max_by(F.struct("bid", "ask"), "event_id").alias("s")).select("market", (F.col("market") % 8).alias("series"), "s.*")
+    levels = view(spark, d, "level_spans").where("to_ms IS NULL")
+    side, ticks = F.when(F.col("taker_side") == "yes", "bid").otherwise("ask"), (F.col("event_id") % 30 + 1).cast("int")
+    sampled = view(spark, d, "trades").where("event_id % 29 = 0").groupBy((F.col("market") % 8).alias("series"), side.alias("side"), ticks.alias("ticks")).agg(F.count("*").alias("n"))
+    return placement.chosen(placement.options(tops, levels, TICKS), sampled, PROBES, SEED, QUOTA)
+
+
 _LOOK = lambda t, what: f"(SELECT CAST(coalesce(sum(s.size), 0) AS DECIMAL(24,6)) FROM level_spans s WHERE s.market = p.market AND s.side = p.side AND s.price {what} p.price AND s.from_ms <= {t} AND (s.to_ms IS NULL OR s.to_ms > {t}))"
 _WHEN = "CASE WHEN {} >= f.first_ms THEN {} END"
 _ROWS = f"""firsts AS (SELECT market, min(from_ms) AS first_ms FROM level_spans GROUP BY market),
@@ -86,6 +101,14 @@ _N = lambda cond, name: f"count(*) FILTER (abs(moved) >= 1 AND {cond}) AS {name}
 _SPLIT = lambda name, of: f"SELECT '{name}' AS dimension, CAST({of} AS VARCHAR) AS bucket, count(*) AS moves, count(*) FILTER (class = 'STILL_UNEXPLAINED') AS unexplained FROM judged WHERE abs(moved) >= 1 GROUP BY 2"
 
 ORACLES: dict[str, str] = {
+    "probe_placement": f"""WITH l AS (SELECT market, CASE side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side, CAST(CASE side WHEN 'yes' THEN price ELSE 1 - price END AS DECIMAL(12,6)) AS price FROM level_spans WHERE to_ms IS NULL),
+      t AS (SELECT market, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask FROM l GROUP BY market),
+      o AS (SELECT l.market, l.market % 8 AS series, l.side, k AS ticks, l.price FROM l JOIN t ON t.market = l.market, (VALUES {", ".join(f"({t})" for t in TICKS)}) v(k)
+        WHERE bid IS NOT NULL AND ask IS NOT NULL AND l.price > 0 AND l.price < 1 AND (l.side = 'bid' AND l.price = bid - CAST(k * 0.01 AS DECIMAL(12,6)) AND l.price < ask OR l.side = 'ask' AND l.price = ask + CAST(k * 0.01 AS DECIMAL(12,6)) AND l.price > bid)),
+      s AS (SELECT market % 8 AS series, CASE taker_side WHEN 'yes' THEN 'bid' ELSE 'ask' END AS side, event_id % 30 + 1 AS ticks, count(*) AS n FROM trades WHERE event_id % 29 = 0 GROUP BY ALL),
+      r AS (SELECT o.*, coalesce(s.n, 0) + row_number() OVER (PARTITION BY o.series, o.side, o.ticks ORDER BY sha256('{SEED}|' || o.market || '|' || o.series || '|' || o.side || '|' || o.ticks), o.market) - 1 AS level
+        FROM o LEFT JOIN s ON s.series = o.series AND s.side = o.side AND s.ticks = o.ticks)
+      SELECT market, series, side, ticks, price, level, CAST(row_number() OVER (ORDER BY level, sha256('{SEED}|' || level || '|' || series || '|' || side || '|' || ticks), series, side, ticks) AS INT) AS place FROM r WHERE level < {QUOTA} QUALIFY place <= {PROBES}""",
     "queue_transitions": f"WITH {_ROWS} SELECT probe_id, seq_no, moved, fell_same, fell_better, executed, ticks, h0_level, h1_level, h0_moved, h1_moved, CAST(best_lag AS BIGINT) AS best_lag, residual, class FROM judged",
     "queue_hypotheses": f"WITH {_ROWS} {_SIDE('h0', 'H0_same_price')} UNION ALL {_SIDE('h1', 'H1_price_priority')}",
     "regime_breakdown": f"""WITH {_ROWS} SELECT CASE WHEN coalesce(ticks, 0) <= 0 THEN 'AT_TOUCH' WHEN ticks = 1 THEN '1_TICK_BEHIND' WHEN ticks = 2 THEN '2_TICKS_BEHIND' ELSE 'DEEPER' END AS regime, count(*) AS transitions, count(*) FILTER (abs(moved) >= 1) AS moves, {_N("class = 'STILL_UNEXPLAINED'", "unexplained")},
@@ -98,4 +121,4 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (queue_transitions, queue_hypotheses, regime_breakdown, queue_splits, entry_identity)}
+    return {f.__name__: f for f in (queue_transitions, queue_hypotheses, regime_breakdown, queue_splits, entry_identity, probe_placement)}
