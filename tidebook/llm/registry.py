@@ -11,8 +11,6 @@ from tidebook.llm.common import read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_pii": lambda spark, d: pii.query(read(spark, d, "documents")),
         "op2_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
@@ -28,7 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_fim": lambda spark, d: fim.query(read(spark, d, "documents")),
         "op12_whitening": lambda spark, d: whitening.query(read(spark, d, "embeddings")),
         "op13_compression": lambda spark, d: compression.query(read(spark, d, "documents"), read(spark, d, "labels")),
-        "pipeline": corpus_pipeline.run,
     }
 
 
