@@ -64,11 +64,14 @@ def replay_verify(spark: SparkSession, d: str) -> DataFrame:
 
     The recorded ones come from level intervals; every 35th is spoilt, and some stand where the book was invalid.
     """
-    ok = view(spark, d, "applied").selectExpr("*", "lead(event_id) OVER (PARTITION BY market, epoch, side, price ORDER BY event_id) AS until")
-    marks = ok.where(f"event_id % {CHECK} = 0").select("market", "epoch", F.col("event_id").alias("at"), "ok")
-    ends = ok.groupBy("market", "epoch").agg(F.max("event_id").alias("last"))
-    held = ok.where("ok AND post > 0").join(ends, ["market", "epoch"]).selectExpr("market", "epoch", "side", "price", "post AS size", f"explode(transform(sequence(CAST(ceil(event_id / {CHECK}) AS BIGINT), CAST(ceil((coalesce(until, last + 1)) / {CHECK}) AS BIGINT)), x -> x * {CHECK})) AS at", "event_id", "coalesce(until, last + 1) AS until")
-    there = held.where("at >= event_id AND at < until").join(marks.select("market", "epoch", "at"), ["market", "epoch", "at"])
+    # marks are numbered within their epoch, so that a size meets those that it stands at and no others
+    turn, level = "(PARTITION BY market, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING)", "(PARTITION BY market, epoch, side, price ORDER BY event_id)"
+    mark = f"event_id % {CHECK} = 0"
+    counted = view(spark, d, "applied").selectExpr("market", "epoch", "event_id", "side", "price", "post", "ok", f"count_if({mark}) OVER {turn} AS k", f"{mark} AS is_mark")
+    rows = stage_table(counted.selectExpr("*", "k - CAST(is_mark AS INT) AS past", "max(k) OVER (PARTITION BY market, epoch) AS marks"), "marks")
+    marks = rows.where("is_mark").select("market", "epoch", F.col("event_id").alias("at"), "ok", "k")
+    held = rows.selectExpr("*", f"coalesce(lead(past) OVER {level}, marks) AS upto").where("ok AND post > 0 AND past < upto").selectExpr("market", "epoch", "side", "price", "post AS size", "explode(sequence(past + 1, upto)) AS k")
+    there = held.join(marks.select("market", "epoch", "at", "k"), ["market", "epoch", "k"])
     recorded = marks.join(book.state_hash(there, ["market", "at"]), ["market", "at"], "left").select("market", "at", F.when(F.col("at") % 35 == 0, "spoilt").otherwise(F.coalesce("hash", F.lit("empty"))).alias("expected"))
     empty = F.sha2(F.concat(F.col("market").cast("string"), F.lit("\nyes:\nno:")), 256)
     _shipped()
