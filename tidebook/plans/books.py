@@ -157,7 +157,9 @@ def depth_ahead(spark: SparkSession, d: str) -> DataFrame:
         F.sum(F.when(better, F.col("v")).otherwise(0)).alias("bv"), F.sum(F.when(better, F.col("k")).otherwise(0)).alias("bk"), F.sum(F.when(same, F.col("v")).otherwise(0)).alias("sv"))
     over = "OVER (PARTITION BY market, side, price ORDER BY ms)"
     runs = changes.selectExpr(*level, "price", "ms", f"CAST(sum(bv) {over} AS DECIMAL(24,6)) AS better_size", f"sum(bk) {over} AS better_levels", f"CAST(sum(sv) {over} AS DECIMAL(24,6)) AS same_size")
-    return asof_join(asked, runs, [*level, "price"], "ms", ["better_size", "better_levels", "same_size"]).select("event_id", "better_levels", "better_size", "same_size")
+    found = asof_join(asked, runs, [*level, "price"], "ms", ["better_size", "better_levels", "same_size"])
+    # a delta of nothing at an empty level may come before any change of its ladder
+    return found.select("event_id", *[F.coalesce(c, F.lit(0)).cast(runs.schema[c].dataType).alias(c) for c in ("better_levels", "better_size", "same_size")])
 
 
 def ladder_topk(spark: SparkSession, d: str) -> DataFrame:
