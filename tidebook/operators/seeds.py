@@ -92,7 +92,7 @@ def _diverged(steps: DataFrame) -> DataFrame:
     return kept
 
 
-def replayed(requests: DataFrame, seeds: DataFrame, levels: DataFrame, deltas: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replayed(requests: DataFrame, seeds: DataFrame, levels: DataFrame, deltas: DataFrame, strict: bool = False, unapplied: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames, epochs, warnings) of requests (request_id, market, from_ms, to_ms, to_stream, to_seq).
 
     seeds: snapshot_id, market, ms, started_ms, stream, seq, source; levels: snapshot_id, side, price, size; deltas: delta_id, market, ms,
@@ -101,7 +101,7 @@ def replayed(requests: DataFrame, seeds: DataFrame, levels: DataFrame, deltas: D
     Frames are the book after every snapshot and applied delta from ``from_ms`` on; after a delta that makes a level negative the
     book is not valid until the next snapshot, and with ``strict`` the replay ends there. Epochs are runs of snapshots of one stream, a hand-off
     always beginning one, with deltas applied and skipped and recoveries met. Warnings: ``late seed``, ``no seed``, ``diverged`` and, with
-    ``strict``, ``not applied``.
+    ``strict`` (up to where the replay ends) or ``unapplied`` (over the whole of it), ``not applied``.
     """
     opened, moves = _steps(requests, seeds, deltas)
     # a written table: the frames, epochs and warnings read it, and so does each pass over levels that diverge
@@ -135,6 +135,6 @@ def replayed(requests: DataFrame, seeds: DataFrame, levels: DataFrame, deltas: D
     )
     said = opened.where("warning IS NOT NULL").select("request_id", "warning", F.lit(None).cast("long").alias("delta_id"))
     said = said.unionByName(sized.where("bad").select("request_id", F.lit("diverged").alias("warning"), "delta_id"))
-    if strict:
+    if strict or unapplied:
         said = said.unionByName(steps.where("place.kind = 1 AND NOT applied").select("request_id", F.lit("not applied").alias("warning"), "delta_id"))
     return frames, by_epoch, said
