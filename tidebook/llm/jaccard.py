@@ -47,8 +47,9 @@ HEAVY, MOST_HEAVY, REPORTED = RANGE_TOKENS // 16, 200_000, 4
 REMEMBERED = 200_000
 #: Texts of one batch are worked on in portions of about this many characters, and dealt in ones of so many shingles.
 PORTION, DEALT = 4_000_000, 1_500_000
-#: Members of a component that one row of the exhaustive step holds; members that share a copy of the blocks there.
-BLOCK, PROBES = 64, 512
+#: Members of a component that one row of the exhaustive step holds; members that share a copy of the blocks there;
+#: members whose blocks one task goes through.
+BLOCK, PROBES, SLICE = 64, 512, 8192
 #: Global orders: each ranks by (a function of the frequency, a hash), rare first.
 ORDERS = ("x.df, x.token", "CAST(log2(x.df) AS INT), xxhash64(x.token), x.token", "CAST(log2(x.df) / 2 AS INT), xxhash64(x.token, 7), x.token")
 
@@ -335,7 +336,9 @@ def _exhausted(held: DataFrame, links: list[DataFrame], parts: DataFrame, apart:
 
     Lists that share members form a cluster; a cluster's members lie in blocks, and a row of the join is one
     such member with one block, tested inside the row. No pair becomes a row but those that link. The members of
-    a large cluster that are to be tested are dealt to several tasks, each with a copy of the blocks.
+    a large cluster that are to be tested are dealt to several tasks, each with a copy of the blocks, and its blocks to
+    several more, each with a copy of the members. The blocks stream by: what a task holds of one key are about PROBES
+    members, however large the cluster.
     """
     tops = apart.groupBy("token").agg(F.min("sig").alias("top"))
     clusters = connected_components(apart.join(tops, "token").select("sig", "top").distinct(), "sig", "top")
@@ -345,25 +348,29 @@ def _exhausted(held: DataFrame, links: list[DataFrame], parts: DataFrame, apart:
     placed = clusters.select(F.col("node").alias("sig"), F.col("component").alias("cluster")).join(named, "sig", "left").join(asks, "sig", "left")
     placed = stage_table(placed.select("sig", "cluster", F.coalesce("linked", "sig").alias("part"), F.coalesce("asks", F.lit(False)).alias("asks")), "placed")
     wide = placed.groupBy("cluster").agg(F.count("*").alias("c"), F.count_if("asks").alias("asking"))
-    shares = f"CAST((asking + {PROBES - 1}) div {PROBES} AS INT)"
+    shares, slices = f"CAST((asking + {PROBES - 1}) div {PROBES} AS INT)", f"CAST((c + {SLICE - 1}) div {SLICE} AS INT)"
     members = stage_table(held.join(placed.join(wide, "cluster"), "sig"), "members")
     blocks = members.groupBy("cluster", F.expr(f"pmod(xxhash64(sig), (c + {BLOCK - 1}) div {BLOCK})").alias("block")).agg(
-        F.first(F.expr(shares)).alias("shares"), F.collect_list(F.struct("sig", "part", "n", "tokens", *prefix)).alias("ys")
+        F.first(F.expr(shares)).alias("shares"), F.first(F.expr(slices)).alias("slices"), F.collect_list(F.struct("sig", "part", "n", "tokens", *prefix)).alias("ys")
     )
-    blocks = stage_table(blocks.select("cluster", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "ys"), "blocks")
+    # not written: Parquet's reader takes 4096 rows at a time, which would be so many blocks
+    blocks = blocks.select("cluster", F.expr("CAST(pmod(block, slices) AS INT)").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "ys")
     probes = members.where("asks").select(
-        F.col("sig").alias("a"), F.col("cluster").alias("at"), F.expr(f"CAST(pmod(xxhash64(sig, 3), {shares}) AS INT)").alias("turn"), F.struct("part", "n", "tokens", *prefix).alias("own")
-    )
+        F.col("sig").alias("a"), F.col("cluster").alias("at"), F.expr(f"CAST(pmod(xxhash64(sig, 3), {shares}) AS INT)").alias("turn"),
+        F.explode(F.expr(f"sequence(0, {slices} - 1)")).alias("piece"), F.struct("part", "n", "tokens", *prefix).alias("own"),
+    )
     meet = " AND ".join(f"arrays_overlap(own.{k}, y.{k})" for k in prefix)
     size = "size(array_intersect(own.tokens, y.tokens))"
     hits = F.expr(
         f"transform(filter(ys, y -> y.part <> own.part AND 100 * least(own.n, y.n) >= {percent} * greatest(own.n, y.n)"
         f" AND {meet} AND 100 * {size} >= {percent} * (own.n + y.n - {size})), y -> y.sig)"
     )
-    met = probes.join(blocks, (probes["at"] == blocks.cluster) & (probes["turn"] == blocks.share)).select("a", F.explode(hits).alias("b"))
+    # a merge join holds all rows of a key of its right side at once: that is the members to be tested, which are few
+    same = (probes["at"] == blocks.cluster) & (probes["turn"] == blocks.share) & (probes["piece"] == blocks.slice)
+    met = blocks.join(probes, same).select("a", F.explode(hits).alias("b"))
     met = stage_table(met, "links")
     out = connected_components(_united([*links, met]), "a", "b")
-    unstage(clusters, placed, members, blocks, met, parts)
+    unstage(clusters, placed, members, met, parts)
     return out
 
 
