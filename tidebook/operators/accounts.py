@@ -17,36 +17,45 @@ from tidebook.operators import ticks
 QTY, MONEY, MEAN = "decimal(24,6)", "decimal(38,12)", "decimal(24,18)"
 
 
-def _folded(parts: DataFrame) -> DataFrame:
-    """parts (market, segment, ms, seq, part, opens, size, price, long) with the mean entry price after each and what it realises."""
+def _folded(rows: DataFrame) -> DataFrame:
+    """rows (market, segment, place, closed, opened, price, long, seeds, ...) with the mean entry price after each and what it realises.
+
+    A row that ``seeds`` a segment states what that one begins with and does not come out. All other columns pass as they are.
+    """
+    names = rows.columns
 
     def fold(batches):
         import decimal
 
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         exact = decimal.Context(prec=50)
-        step, money = decimal.Decimal("1e-18"), decimal.Decimal("1e-12")
-        key, size, mean = None, decimal.Decimal(0), decimal.Decimal(0)
+        step, money, nought = decimal.Decimal("1e-18"), decimal.Decimal("1e-12"), decimal.Decimal(0)
+        key, size, mean, shown = None, nought, nought, nought
         for batch in batches:
             means, gains = [], []
-            for market, segment, opens, amount, price, long in zip(*[batch[c].tolist() for c in ("market", "segment", "opens", "size", "price", "long")], strict=True):
+            for market, segment, closed, opened, price, long, seeds in zip(*[batch.column(c).to_pandas().tolist() for c in ("market", "segment", "closed", "opened", "price", "long", "seeds")], strict=True):
                 if key != (market, segment):
-                    key, size, mean = (market, segment), decimal.Decimal(0), decimal.Decimal(0)
-                gain = decimal.Decimal(0)
-                if opens:
-                    mean = exact.divide(exact.add(exact.multiply(size, mean), exact.multiply(amount, price)), exact.add(size, amount))
-                    size += amount
-                else:
-                    gain = exact.multiply(amount, exact.subtract(price, mean) if long else exact.subtract(mean, price))
-                    size -= amount
-                means.append(mean.quantize(step, context=exact))
-                gains.append(gain.quantize(money, context=exact))
-            yield pd.DataFrame({"market": batch["market"], "place": batch["place"], "part": batch["part"], "mean": means, "gain": gains})
-
-    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_parts = parts.repartition(tasks, "market", "segment").sortWithinPartitions("market", "segment", "place", "part")
-    return sorted_parts.mapInPandas(fold, f"market long, place long, part int, mean {MEAN}, gain {MONEY}")
+                    key, size, mean, shown = (market, segment), nought, nought, nought
+                gain = nought
+                if closed and not seeds:
+                    gain = exact.multiply(closed, exact.subtract(price, mean) if long else exact.subtract(mean, price)).quantize(money, context=exact)
+                    size = exact.subtract(size, closed)
+                if opened:
+                    # past nought the position begins anew, at this price
+                    size = nought if closed else size
+                    mean = exact.divide(exact.add(exact.multiply(size, mean), exact.multiply(opened, price)), exact.add(size, opened)) if size else price
+                    size, shown = exact.add(size, opened), mean.quantize(step, context=exact)
+                means.append(shown)
+                gains.append(gain)
+            out = [batch.column(c) for c in names] + [pa.array(means, pa.decimal128(24, 18)), pa.array(gains, pa.decimal128(38, 12))]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "mean", "realised"]).filter(pc.invert(batch.column("seeds")))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "market", "segment").sortWithinPartitions("market", "segment", "place", F.col("seeds").desc())
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    return dealt.mapInArrow(fold, f"{kinds}, mean {MEAN}, realised {MONEY}")
 
 
 def positions(fills: DataFrame, block: Column | None = None) -> DataFrame:
@@ -65,14 +74,13 @@ def positions(fills: DataFrame, block: Column | None = None) -> DataFrame:
     rows = summed.withColumn("closed", closed).withColumn("opened", (F.abs(q) - F.col("closed")).cast(QTY))
     begins = (F.col("opened") > 0) & ((F.col("before") == 0) | against)
     rows = ticks.running(rows.withColumn("_begins", begins.cast("long")), ["market"], "place", {"segment": ("sum", F.col("_begins"))}, block)
-    part = lambda k, segment, opens, size, long: F.struct(F.lit(k).alias("part"), segment.alias("segment"), F.lit(opens).alias("opens"), size.alias("size"), long.alias("long"))
-    both = F.array(part(0, F.col("segment") - F.col("_begins"), False, F.col("closed"), F.col("before") > 0), part(1, F.col("segment"), True, F.col("opened"), q > 0))
-    # a fill of nothing closes nothing, so that the mean stands there too
-    parts = rows.select("market", "place", "price", F.explode(F.filter(both, lambda x: (x["size"] > 0) | ((q == 0) & (x["part"] == 0)))).alias("p")).select("market", "place", "price", "p.*")
-    found = _folded(parts).groupBy("market", "place").agg(F.max_by("mean", "part").alias("mean"), F.sum("gain").cast(MONEY).alias("realised"))
-    joined = rows.drop("_begins", "segment", "opened").join(found, ["market", "place"], "left")
+    # a fill that turns a position closes the old segment and states what the new one begins with
+    turned = F.struct((F.col("segment") - 1).alias("segment"), F.lit(False).alias("seeds")), F.struct("segment", F.lit(True).alias("seeds"))
+    own = F.array(F.struct("segment", F.lit(False).alias("seeds")))
+    dealt = rows.withColumn("long", F.col("before") > 0).withColumn("_x", F.explode(F.when((F.col("_begins") == 1) & against, F.array(*turned)).otherwise(own)))
+    found = _folded(dealt.withColumns({"segment": F.col("_x.segment"), "seeds": F.col("_x.seeds")}).drop("_begins", "_x"))
     cash = (-q * F.col("price") - F.coalesce("fee", F.lit(0))).cast(MONEY)
-    priced = joined.select(*fills.columns, "before", "qty", "closed", F.when(F.col("qty") != 0, F.col("mean")).otherwise(0).cast(MEAN).alias("mean"), F.coalesce("realised", F.lit(0)).cast(MONEY).alias("realised"), cash.alias("cash"))
+    priced = found.select(*fills.columns, "before", "qty", "closed", F.when(F.col("qty") != 0, F.col("mean")).otherwise(0).cast(MEAN).alias("mean"), "realised", cash.alias("cash"))
     so_far = {"realised_so_far": ("sum", F.col("realised")), "cash_so_far": ("sum", F.col("cash")), "fees_so_far": ("sum", F.coalesce("fee", F.lit(0))), "unknown_so_far": ("sum", F.col("fee").isNull().cast("long"))}
     done = ticks.running(priced, ["market"], "place", so_far, block)
     return done.withColumns({c: F.col(c).cast(MONEY) for c in ("realised_so_far", "cash_so_far", "fees_so_far")})

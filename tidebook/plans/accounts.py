@@ -25,7 +25,7 @@ def _fills(spark: SparkSession, d: str) -> DataFrame:
     signed = F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")).cast("decimal(24,6)")
     order = Window.partitionBy("market").orderBy("ms", "order_id", "line", "price", signed, "discount")
     fee = F.when(F.col("l_returnflag") != "N", F.col("discount"))
-    return rows.select("market", "ms", "order_id", "line", signed.alias("signed_qty"), F.col("price").cast("decimal(12,6)").alias("price"), fee.alias("fee"), F.row_number().over(order).cast("long").alias("place"))
+    return rows.select("market", "ms", signed.alias("signed_qty"), F.col("price").cast("decimal(12,6)").alias("price"), fee.alias("fee"), F.row_number().over(order).cast("long").alias("place"))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def settlement(spark: SparkSession, d: str) -> DataFrame:
 
 def _curve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The equity grid and the fills' states; a market's last price is its mark, some have none; determined markets pay out late."""
-    states = stage_table(_states(spark, d), "positions")
+    states = stage_table(_states(spark, d).drop("fee", "before", "closed", "realised", "cash"), "positions")
     daily = states.groupBy("market", "ms").agg(F.max_by(F.struct("qty", "mean", "realised_so_far", "cash_so_far", "fees_so_far", "unknown_so_far", "price"), "place").alias("s")).select("market", "ms", "s.*")
     daily = daily.withColumn("settled", F.lit(0).cast(accounts.MONEY))
     last = daily.groupBy("market").agg(F.max_by(F.struct("ms", "qty", "mean", "realised_so_far", "cash_so_far", "fees_so_far", "unknown_so_far", "price"), "ms").alias("s")).select("market", "s.*")
