@@ -1,13 +1,14 @@
 """Simulated execution: orders against trades, one market per group, deterministic and free of look-ahead.
 
 What cannot be a window plan - several orders of one market that share a print in price-time order, cancels in
-flight - runs as an Arrow grouped map. Markets share nothing, so groups are exact; sequence numbers, not
-partitions, break ties.
+flight - is a fold over sorted partitions or, for lifecycles, an Arrow grouped map. Markets share nothing, so groups are
+exact; sequence numbers, not partitions, break ties.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FILLS = "market long, order_id long, trade_id long, ms long, price double, qty double, model string, latency_ms long"
 STATES = "market long, order_id long, seq int, ms long, state string, qty double, price double"
@@ -29,41 +30,67 @@ def simulate(
     are the same in every scenario: no fill feeds back into them.
     """
 
-    def run(key, own, prints):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        prints = prints.sort_values(["ms", "trade_id"])
-        for side in ("bid", "ask"):
-            hits = prints[prints.hits == side]
-            book = own[own.side == side].assign(rank=lambda d, sign=-1.0 if side == "bid" else 1.0: sign * d.price).sort_values(["rank", "ms", "order_id"])
-            ids, price, born = book.order_id.to_numpy(), book.price.to_numpy(float), book.ms.to_numpy()
-            dies = book.cancel_at.astype(float).fillna(np.inf).to_numpy() + cancel_ms
-            reach = book["rank"].to_numpy(float)
-            for model in models:
-                for latency in latencies:
-                    left, ahead = book.qty.to_numpy(float).copy(), book.ahead.to_numpy(float).copy()
-                    for trade, at, paid, size in zip(hits.trade_id, hits.ms, hits.price, hits["size"], strict=True):
-                        upto = np.searchsorted(reach, -paid if side == "bid" else paid, side="right")  # best prices lie first
-                        live = (left[:upto] > 0) & (born[:upto] + latency < at) & (dies[:upto] >= at)
-                        print_left = float(size)
-                        for o in np.flatnonzero(live):
-                            if print_left <= 0:
-                                break
-                            available = print_left
-                            if model == "conservative" and price[o] == paid:
-                                used = min(ahead[o], available)
-                                ahead[o] -= used
-                                available -= used
-                            got = min(left[o], available)
-                            if got > 0:
-                                left[o] -= got
-                                print_left -= got
-                                out.append((key[0], ids[o], trade, at, price[o], got, model, latency))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
-
-    return _by_market(orders).cogroup(_by_market(trades)).applyInPandas(run, FILLS)
+    if min(latencies, default=0) < 0:
+        raise ValueError(f"an order can't rest before it is sent: latencies {latencies}")
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        kinds = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in FILLS.split(", ")])
+        scenarios = [(model, latency) for model in models for latency in latencies]
+        market, sent, books = (), {}, {}
+        for batch in batches:
+            out = []
+            for key, id_, ms, side, price, qty, ahead, cancel_at, is_print in zip(*[batch.column(c).to_pylist() for c in ("market", "id", "ms", "side", "price", "qty", "ahead", "cancel_at", "is_print")], strict=True):
+                if key != market:
+                    # per side the orders as they were sent, and per scenario how many of them rest already, and those, best first
+                    market, sent = key, {"bid": [], "ask": []}
+                    books = {s: [[model == "conservative", model, latency, 0, []] for model, latency in scenarios] for s in sent}
+                if side not in sent or ms is None or price is None or qty is None:
+                    continue  # neither an order nor a print
+                sign = -1.0 if side == "bid" else 1.0
+                if not is_print:
+                    sent[side].append((sign * price, ms, id_, len(sent[side]), price, qty, 0.0 if ahead is None else ahead, float("inf") if cancel_at is None else cancel_at + cancel_ms))
+                    continue
+                orders, reach = sent[side], sign * price
+                for book in books[side]:
+                    queued, model, latency, upto, resting = book
+                    while upto < len(orders) and orders[upto][1] + latency < ms:
+                        bisect.insort(resting, list(orders[upto]))
+                        upto += 1
+                    book[3] = upto
+                    left, gone = qty, []
+                    for i, o in enumerate(resting):
+                        if left <= 0 or o[0] > reach:
+                            break
+                        if o[7] < ms:
+                            gone.append(i)
+                            continue
+                        available = left
+                        if queued and o[4] == price:
+                            used = min(o[6], available)
+                            o[6] -= used
+                            available -= used
+                        got = min(o[5], available)
+                        if got > 0:
+                            o[5] -= got
+                            left -= got
+                            out.append((key, o[2], id_, ms, o[4], got, model, latency))
+                        if o[5] <= 0:
+                            gone.append(i)
+                    for i in reversed(gone):
+                        del resting[i]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    double = lambda c: F.col(c).cast("double").alias(c)
+    own = orders.select("market", F.col("order_id").alias("id"), "ms", "side", double("price"), double("qty"), double("ahead"), "cancel_at", F.lit(False).alias("is_print"))
+    hits = trades.select("market", F.col("trade_id").alias("id"), "ms", F.col("hits").alias("side"), double("price"), F.col("size").cast("double").alias("qty"), F.lit(True).alias("is_print"))
+    tasks = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(hits, allowMissingColumns=True).repartition(tasks, "market").sortWithinPartitions("market", "ms", "is_print", "id")
+    return dealt.mapInArrow(run, FILLS)
 
 
 def lifecycle(actions: DataFrame, events: DataFrame, latency_ms: int = 100, cancel_ms: int = 100, on_gap: str = "cancel_all") -> DataFrame:
