@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def latest(versions: DataFrame, key: list[str], at: str, order: str, values: list[str]) -> DataFrame:
+    """(key, at, value, versions): of each instant the values of its last version, as a struct, and how many versions it has."""
+    return versions.groupBy(*key, at).agg(F.max_by(F.struct(*values), order).alias("value"), F.count("*").alias("versions"))
+
+
 def intervals(versions: DataFrame, key: list[str], at: str, order: str, values: list[str]) -> DataFrame:
     """(key, values, from_ms, to_ms, observations): one row for as long as a key's values stay the same; to_ms is exclusive, null at the end.
 
     Versions are taken in the order of (at, order); equal neighbours are one interval, nulls equal nulls. Of several versions of
     one instant only the last holds.
     """
-    last = versions.groupBy(*key, at).agg(F.max_by(F.struct(*values), order).alias("_v"), F.count("*").alias("_n"))
+    return intervals_of(latest(versions, key, at, order, values), key, at)
+
+
+def intervals_of(last: DataFrame, key: list[str], at: str) -> DataFrame:
+    """:func:`intervals` of what :func:`latest` has found."""
+    last = last.withColumnsRenamed({"value": "_v", "versions": "_n"})
     w = Window.partitionBy(*key).orderBy(at)
     turns = last.withColumn("_was", F.lag("_v").over(w)).withColumn("_run", F.sum((F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.col("_v"))).cast("long")).over(w))
     runs = turns.groupBy(*key, "_run").agg(F.min(at).alias("from_ms"), F.min_by("_v", at).alias("_v"), F.sum("_n").alias("observations"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import scalar as S
 from tidebook.operators import history
 from tidebook.sources import silver
-from tidebook.storage import shared_dir
+from tidebook.storage import shared_dir, stage_table
 from tidebook.tables import view
 
 #: Days whose state is asked for.
@@ -35,8 +35,10 @@ def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
 def market_state_export(spark: SparkSession, d: str) -> DataFrame:
     """State and history of markets as of three days, written to the lake by day and series and read back; one of the days twice."""
     root = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
+    last, seen = (stage_table(df, "observed") for df in silver.observed(view(spark, d, "versions")))
+    days = {day: silver.market_state_of(last, seen, _markets(spark, d), day) for day in DAYS}
     for day in (*DAYS, DAYS[1]):
-        state, past = silver.market_state(view(spark, d, "versions"), _markets(spark, d), day)
+        state, past = days[day]
         silver.export({"market_state": state, "market_state_history": past}, root, ("date", "series"))
     state, past = (_read(spark, root, name) for name in ("market_state", "market_state_history"))
     counts = past.groupBy("date", "market").agg(F.count("*").alias("intervals"), F.sum("observations").alias("observations"))

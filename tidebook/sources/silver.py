@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidebook.operators import history
 from tidebook.sources import lake
+from tidebook.storage import stage_table
 
 DAY = 86_400_000
 _DDL = {
@@ -34,13 +35,22 @@ def market_state(versions: DataFrame, markets: DataFrame, day: str) -> tuple[Dat
     versions: market, observed_ms, version, status, result; markets: market, series, fee_type, fee_multiplier. Only versions up to then
     count; a market that the table of markets lacks is filed under a null series.
     """
-    spark = versions.sparkSession
-    end = spark.sql("SELECT unix_millis(CAST(CAST(:d AS DATE) AS TIMESTAMP)) + 86400000 AS ms", {"d": day}).first()["ms"]
-    known = versions.where(F.col("observed_ms") < end)
-    held = history.intervals(known, ["market"], "observed_ms", "version", ["status", "result"])
-    named = held.join(markets.select("market", "series", "fee_type", "fee_multiplier"), "market", "left").withColumn("date", F.lit(day))
-    seen = history.first_seen(known, ["market"], "observed_ms", "result").withColumnRenamed("first_ms", "result_first_observed_ms")
-    state = named.where("to_ms IS NULL").withColumnRenamed("from_ms", "since_ms").join(seen, ["market", "result"], "left")
+    return market_state_of(*observed(versions), markets, day)
+
+
+def observed(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the states of all days are made of: the last version of each instant, and when each result was first seen."""
+    last = history.latest(versions, ["market"], "observed_ms", "version", ["status", "result"])
+    return last, history.first_seen(versions, ["market"], "observed_ms", "result").withColumnRenamed("first_ms", "result_first_observed_ms")
+
+
+def market_state_of(last: DataFrame, seen: DataFrame, markets: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`market_state` out of what :func:`observed` has found; the day's history is worked out once and stored for both tables."""
+    end = last.sparkSession.sql("SELECT unix_millis(CAST(CAST(:d AS DATE) AS TIMESTAMP)) + 86400000 AS ms", {"d": day}).first()["ms"]
+    held = history.intervals_of(last.where(F.col("observed_ms") < end), ["market"], "observed_ms")
+    named = stage_table(held.join(markets.select("market", "series", "fee_type", "fee_multiplier"), "market", "left").withColumn("date", F.lit(day)), "history")
+    known = seen.where(F.col("result_first_observed_ms") < end)
+    state = named.where("to_ms IS NULL").withColumnRenamed("from_ms", "since_ms").join(known, ["market", "result"], "left")
     pick = lambda df, name: df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(name)])
     return pick(state, "market_state"), pick(named, "market_state_history")
 
