@@ -1,7 +1,7 @@
 """Stateful flows with event-time timers: recovery episodes with an outstanding set, and books sampled on a clock.
 
-State is kept per key in the session's state store, an episode's outstanding markets and a book's levels as map entries, so a change
-touches what it changes and not the whole state. Timers run on the watermark: a stream or market that falls silent still
+State is kept per key in the session's state store, an episode's outstanding markets and a book's levels as map entries: a batch reads
+a key's once and writes back what it has changed, as every call of the store is a trip from Python to the JVM. Timers run on the watermark: a stream or market that falls silent still
 times out and is still sampled.
 """
 
@@ -60,59 +60,72 @@ class Episodes(StatefulProcessor):
     def _due(self, m: dict) -> int | None:
         return (m["asked"] if m["asked"] is not None else m["opened"]) + self.timeout_ms if m["is_open"] else None
 
-    def _expired(self, key, m: dict) -> Row:
-        left, at = sum(1 for _ in self.waiting.keys()), self._due(m)
-        self.waiting.clear()
+    def _expired(self, key, m: dict, left: int) -> Row:
+        at = self._due(m)
         m.update(is_open=False, state="degraded")
         return self._row(key, m, at, "timeout", left)
 
+    def _outstanding(self, m: dict) -> set:
+        return {k[0] for k in self.waiting.keys()} if m["is_open"] else set()
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        m = self._load()
-        for r in sorted(rows, key=lambda r: r.ordinal):
-            if m["is_open"] and r.ms >= self._due(m):
-                yield self._expired(key, m)
-            if r.kind == "gap":
+        m, rows = self._load(), list(rows)
+        waiting = self._outstanding(m)
+        found, kept, due = dict(m), set(waiting), self._due(m)
+        names = rows[0].__fields__ if rows else ()
+        places = [names.index(c) for c in ("ordinal", "ms", "kind", "market", "affected")] if rows else []
+        for _, ms, kind, market, affected in sorted(([r[i] for i in places] for r in rows), key=lambda r: r[0]):
+            if m["is_open"] and ms >= self._due(m):
+                yield self._expired(key, m, len(waiting))
+                waiting.clear()
+            if kind == "gap":
                 if m["is_open"]:
                     m["withheld"] += 1
                     continue
-                m.update(state="degraded", episode=m["episode"] + 1, is_open=True, opened=r.ms, asked=None, snapshots=0, withheld=0)
-                for market in set(r.affected or ()):
-                    self.waiting.updateValue((market,), (True,))
-                yield self._row(key, m, r.ms, "opened", len(set(r.affected or ())))
-            elif r.kind == "end":
+                m.update(state="degraded", episode=m["episode"] + 1, is_open=True, opened=ms, asked=None, snapshots=0, withheld=0)
+                waiting = set(affected or ())
+                yield self._row(key, m, ms, "opened", len(waiting))
+            elif kind == "end":
                 if m["is_open"]:
-                    left = sum(1 for _ in self.waiting.keys())
-                    yield self._row(key, m | {"state": "closed"}, r.ms, "superseded", left)
-                    self.waiting.clear()
+                    yield self._row(key, m | {"state": "closed"}, ms, "superseded", len(waiting))
+                    waiting.clear()
                 m.update(state="healthy", is_open=False)
             elif not m["is_open"]:
                 continue
-            elif r.kind == "request" and m["state"] == "degraded":
-                m.update(state="recovering", asked=r.ms)
-                yield self._row(key, m, r.ms, "requested", sum(1 for _ in self.waiting.keys()))
-            elif r.kind == "unavailable":
-                left = sum(1 for _ in self.waiting.keys())
-                self.waiting.clear()
+            elif kind == "request" and m["state"] == "degraded":
+                m.update(state="recovering", asked=ms)
+                yield self._row(key, m, ms, "requested", len(waiting))
+            elif kind == "unavailable":
                 m.update(is_open=False, state="degraded")
-                yield self._row(key, m, r.ms, "unavailable", left)
-            elif r.kind == "snapshot":
-                if r.market is None or not self.waiting.containsKey((r.market,)):
+                yield self._row(key, m, ms, "unavailable", len(waiting))
+                waiting.clear()
+            elif kind == "snapshot":
+                if market is None or market not in waiting:
                     continue
-                self.waiting.removeKey((r.market,))
+                waiting.remove(market)
                 m["snapshots"] += 1
-                left = sum(1 for _ in self.waiting.keys())
-                if not left:
+                if not waiting:
                     m.update(is_open=False, state="healthy")
-                yield self._row(key, m, r.ms, "snapshot" if left else "completed", left)
-            elif r.kind == "frame":
+                yield self._row(key, m, ms, "snapshot" if waiting else "completed", len(waiting))
+            elif kind == "frame":
                 m["withheld"] += 1
-        self.machine.update(tuple(m.values()))
-        _retimed(self.handle, self._due(m))
+        for market in kept - waiting:
+            self.waiting.removeKey((market,))
+        for market in waiting - kept:
+            self.waiting.updateValue((market,), (True,))
+        if m != found:
+            self.machine.update(tuple(m.values()))
+        if due != self._due(m):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if m["is_open"]:
+                self.handle.registerTimer(self._due(m))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         m = self._load()
         if m["is_open"]:
-            yield self._expired(key, m)
+            yield self._expired(key, m, len(self._outstanding(m)))
+            self.waiting.clear()
             self.machine.update(tuple(m.values()))
 
     def close(self) -> None:
