@@ -142,13 +142,13 @@ VIEWS = {
 }
 
 
-def _expanded(text: str) -> str:
-    """The query with the views it names, and theirs, as common table expressions."""
+def _expanded(text: str, given: tuple[str, ...] = ()) -> str:
+    """The query with the views it names, and theirs, as common table expressions; those ``given`` are left as tables."""
     used: list[str] = []
 
     def need(body: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", body):
-            if name in VIEWS and name not in used:
+            if name in VIEWS and name not in used and name not in given:
                 need(VIEWS[name])
                 used.append(name)
 
@@ -178,15 +178,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run ``text`` over the tables of ``sf_dir``; names of tables are bound to frames, not to temporary views."""
-    body = _dialect(_expanded(text), _SPARK)
-    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", body)]
+def query(spark: SparkSession, sf_dir: str, text: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run ``text`` over the tables of ``sf_dir``; names of tables are bound to frames, not to temporary views.
+
+    ``given``: views that are there already, as a staged table that several plans read.
+    """
+    given = given or {}
+    body = _dialect(_expanded(text, tuple(given)), _SPARK)
+    used = [t for t in (*TABLES, *given) if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", body)]
     body = body.replace("{", "{{").replace("}", "}}")
     for t in used:
         body = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", body)
-    return spark.sql(body, **{t: load(spark, sf_dir, t) for t in used})
+    return spark.sql(body, **{t: given[t] if t in given else load(spark, sf_dir, t) for t in used})
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return query(spark, sf_dir, f"SELECT * FROM {name}")
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    return query(spark, sf_dir, f"SELECT * FROM {name}", given)
