@@ -48,15 +48,29 @@ def mask(policy: str | tuple[str, ...]) -> int:
     return sum(BIT[r] for r in (POLICIES[policy] if isinstance(policy, str) else policy))
 
 
-def _repeat_words(ws: str) -> str:
-    """SQL for the words that lie in 3-word windows found twice or more in array ``ws``.
+def _hashes(ws: str) -> str:
+    """SQL for the 64-bit hashes of the 3-word windows of array ``ws``, in text order."""
+    return f"CASE WHEN size({ws}) >= 3 THEN transform(slice({ws}, 1, size({ws}) - 2), (x, i) -> xxhash64(x, {ws}[i + 1], {ws}[i + 2])) END"
 
-    Windows are compared through 64-bit hashes sorted with their positions, so the cost is n log n in the
-    words of one text and nothing leaves the row. Flagged windows, in position order, cover
-    min(3, distance to the next flagged window) words each.
+
+def _places(hs: str) -> str:
+    """SQL for the windows of array ``hs`` as (hash, position) in hash order; null where no two hashes are equal.
+
+    ``sort_array`` compares natively, ``array_sort`` through a lambda. The cost is n log n in the words of one text,
+    paid by texts that repeat a window only, and nothing leaves the row.
     """
-    hashed = f"array_sort(transform(sequence(0, size({ws}) - 3), i -> struct(xxhash64({ws}[i], {ws}[i + 1], {ws}[i + 2]) AS h, i AS i)))"
-    return hashed
+    return f"CASE WHEN size(array_distinct({hs})) < size({hs}) THEN sort_array(transform({hs}, (x, i) -> struct(x AS h, i AS i))) END"
+
+
+def _repeat_words(sorted_: str) -> str:
+    """SQL for the words that lie in windows whose hash equals a neighbour's in array ``sorted_``."""
+    same = f"filter({sorted_}, (x, k) -> coalesce(x.h = get({sorted_}, k - 1).h, false) OR coalesce(x.h = get({sorted_}, k + 1).h, false))"
+    return f"CASE WHEN {sorted_} IS NULL THEN 0L ELSE CAST(size(array_distinct(flatten(transform({same}, x -> array(x.i, x.i + 1, x.i + 2))))) AS BIGINT) END"
+
+
+def _trails(line: Column, mark: str) -> Column:
+    """Whether the line ends in mark and white space; a regex's ``$`` would pass over U+0085, U+2028 and U+2029 too."""
+    return F.contains(line, F.lit(mark)) & F.endswith(F.rtrim(line, F.lit(SPACES)), F.lit(mark))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -64,36 +78,20 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(*[F.col(c) for c in keep], t.alias("_t"), words(t).alias("_w"), F.split(t, "\n").alias("_l0"))
     base = base.withColumn("_lines", F.expr("filter(_l0, x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
-    hashed = base.withColumn(
-        "_s",
-        F.when(F.size("_w") >= 3, F.expr(_repeat_words("_w"))),
-    )
-    # positions of windows whose hash equals a neighbour's in hash order
-    flagged = hashed.withColumn(
-        "_f",
-        F.expr(
-            "CASE WHEN _s IS NULL THEN NULL ELSE array_sort(transform(filter(sequence(0, size(_s) - 1),"
-            " k -> (k > 0 AND _s[k].h = _s[greatest(k - 1, 0)].h) OR (k < size(_s) - 1 AND _s[k].h = _s[least(k + 1, size(_s) - 1)].h)),"
-            " k -> _s[k].i)) END"
-        ),
-    )
+    placed = base.withColumn("_h", F.expr(_hashes("_w"))).withColumn("_s", F.expr(_places("_h")))
     long = lambda c: c.cast("long")
-    without = lambda chars: F.char_length(F.translate("_t", chars, ""))
     n_chars = F.char_length("_t")
-    measured = flagged.select(
+    measured = placed.select(
         *keep,
         long(F.size("_w")).alias("n_words"),
-        long(without(SPACES)).alias("word_chars"),
-        long(n_chars - without(SYMBOLS)).alias("n_symbols"),
+        long(F.char_length(F.array_join("_w", ""))).alias("word_chars"),
+        long(F.regexp_count("_t", F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
         long(F.size("_lines")).alias("n_lines"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        F.expr(
-            "CASE WHEN _f IS NULL OR size(_f) = 0 THEN 0L ELSE aggregate(sequence(0, size(_f) - 1), 0L,"
-            " (a, k) -> a + CASE WHEN k = size(_f) - 1 THEN 3 ELSE least(3, _f[k + 1] - _f[k]) END) END"
-        ).alias("n_repeat_words"),
+        F.expr(_repeat_words("_s")).alias("n_repeat_words"),
         long(F.expr("size(filter(_w, x -> x rlike '\\\\p{L}'))")).alias("n_letter_words"),
         long(F.expr("size(filter(_lines, x -> x rlike '^[\\\\x20\\\\x09]*[-*\\u2022\\u25cf]'))")).alias("n_bullet_lines"),
-        long(F.expr("size(filter(_lines, x -> x rlike '(\\\\.\\\\.\\\\.|\\u2026)[\\\\x20\\\\x09-\\\\x0D]*$'))")).alias("n_ellipsis_lines"),
+        long(F.size(F.filter("_lines", lambda x: _trails(x, "...") | _trails(x, "\u2026")))).alias("n_ellipsis_lines"),
         long(n_chars - F.char_length(F.regexp_replace("_t", "\\p{Lu}+", ""))).alias("n_upper"),
         long(n_chars - F.char_length(F.regexp_replace("_t", "\\p{L}+", ""))).alias("n_letters"),
     )
