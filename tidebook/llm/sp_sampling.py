@@ -33,6 +33,10 @@ TOGETHER = 4096
 FEW = 16
 #: Characters of the documents that are stepped together.
 PORTION = 3_000_000
+#: Open sets are drawn as far as a path's log-probability falls by so much, and further where that does not settle the largest.
+REACH = 32.0
+#: No hashed Gumbel lies above its location by more: -log(-log(1 - 2 ** -33)) is 22.88.
+HIGHEST = 23.0
 K, ALPHA, SEED = 3, 0.5, 42
 
 
@@ -68,7 +72,7 @@ def chunked(texts: list):
 class Lattice:
     """The vocabulary as a trie, and the lattices of a batch of chunks as arrays.
 
-    A state is a position in the joined text of the chunks; its options are the pieces that start there.
+    A state is what is left of a chunk, shared by all chunks that end in it; its options are the pieces that it starts with.
     """
 
     DENSE = 256
@@ -130,67 +134,70 @@ class Lattice:
 
         self.to = self.code = self.first = self.logp = self.cum = None  # the last batch's go before new ones come
         ends = np.cumsum(sizes)
-        end_of = np.repeat(ends.astype(np.int32), sizes)
-        # states by characters to the chunk's end, then chunks by size; those of long chunks last, in text order
-        brief = np.flatnonzero(sizes <= TOGETHER)
-        order = brief[np.argsort(-sizes[brief], kind="stable")]
-        high = int(sizes[brief].max(initial=0))
-        many = np.cumsum(np.bincount(sizes[brief], minlength=high + 1)[::-1])[::-1]  # chunks of at least so many characters
-        level = np.cumsum(np.concatenate([[0, 0], many[1:]]))  # a level's first state
-        rank, long = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes > TOGETHER)
-        rank[order] = np.arange(len(order))
-        left = end_of - np.arange(len(chars), dtype=np.int32)
+        # one state for each distinct rest of a chunk, by characters to the end; those of long chunks last, each by itself
+        state_of, rep, levels = np.empty(len(chars), np.int32), np.empty(len(chars), np.int32), [0]
+        alive = np.flatnonzero(sizes <= TOGETHER)
+        rest = np.zeros(len(alive), np.int64)
+        while len(alive):
+            at = ends[alive] - len(levels)
+            distinct, rest = np.unique(rest * 0x110000 + chars[at], return_inverse=True)
+            rest += levels[-1]
+            state_of[at], rep[rest] = rest, at
+            levels.append(levels[-1] + len(distinct))
+            longer = sizes[alive] >= len(levels)
+            alive, rest = alive[longer], rest[longer]
+        long = np.flatnonzero(sizes > TOGETHER)
+        n = levels[-1]
         if len(long):
-            far = np.repeat(sizes > TOGETHER, sizes)
-            state_of = np.where(far, 0, level[np.where(far, 0, left)] + np.repeat(rank, sizes)).astype(np.int32)
-            state_of[far] = int(level[-1]) + np.arange(int(far.sum()))
-        else:
-            state_of = (level[left] + np.repeat(rank, sizes)).astype(np.int32)
-        del left
+            far = np.flatnonzero(np.repeat(sizes > TOGETHER, sizes))
+            state_of[far] = np.arange(n, n + len(far))
+            rep[n : n + len(far)] = far
+            n += len(far)
+        rep = rep[:n].copy()
+        end = np.repeat(ends.astype(np.int32), sizes)[rep]
         self.begin = state_of[ends - sizes]
-        at, node = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
+        at, node = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
         parts, depth = [], 0
-        count = np.zeros(len(chars), dtype=np.int16)  # options found so far, by state
+        count = np.zeros(n, dtype=np.int16)  # options found so far, by state
         while len(at):
-            node = self._child(node, chars[at + depth])
+            node = self._child(node, chars[rep[at] + depth])
             depth += 1
             hit = np.flatnonzero((node >= 0) & (self.piece[node] >= 0))
             if depth == 1:  # characters without a piece of their own are spelled in bytes
                 bare = np.flatnonzero((node < 0) | (self.piece[node] < 0))
-                c = chars[at[bare]]
+                c = chars[rep[at[bare]]]
                 spelled = np.where(c < 128, self.ascii[np.minimum(c, 127)], -1 - c)
                 parts.append((at[bare], count[at[bare]], 1, spelled, -12.0 * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
                 count[at[bare]] += 1
             parts.append((at[hit], count[at[hit]], depth, self.piece[node[hit]], self.score[node[hit]]))
             count[at[hit]] += 1
-            live = np.flatnonzero((node >= 0) & (at + depth < end_of[at]))
+            live = np.flatnonzero((node >= 0) & (rep[at] + depth < end[at]))
             at, node = at[live], node[live]
         # a state's options lie together, longest, so likeliest, first: the same in any batch
-        counts = np.empty(len(chars), np.int64)
-        counts[state_of] = count
+        counts = count.astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         total = int(self.first[-1])
         self.to, self.code, score = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
-        after = self.first[1:][state_of] - 1
+        after = self.first[1:] - 1
         state_of = np.append(state_of, np.int32(-1))
         while parts:
             own, before, length, piece, gain = parts.pop()
             place = after[own] - before
-            target = own + length
-            self.to[place] = np.where(target == end_of[own], np.int32(-1), state_of[target])
+            target = rep[own] + length
+            self.to[place] = np.where(target == end[own], np.int32(-1), state_of[target])
             self.code[place], score[place] = piece, gain
-        del after, state_of
-        beta, value = np.zeros(len(chars) + 1), np.empty(total)  # the last sum, of no state, is that of an end
+        del after, state_of, rep, end
+        beta, value = np.zeros(n + 1), np.empty(total)  # the last sum, of no state, is that of an end
         for c in long.tolist():
             self._sum_alone(int(self.begin[c]), int(self.begin[c] + sizes[c]), score, value)
-        for x, y in zip(level[1:].tolist(), level[2:].tolist(), strict=False):
+        for x, y in zip(levels, levels[1:], strict=False):
             a, b = int(self.first[x]), int(self.first[y])
             v, cut, own = score[a:b] + beta[self.to[a:b]], self.first[x:y] - a, counts[x:y]
             top = np.maximum.reduceat(v, cut)
             beta[x:y] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, own)), cut))
             np.subtract(v, np.repeat(beta[x:y], own), out=value[a:b])
         del score
-        start = np.repeat(np.arange(len(chars), dtype=np.int32), counts)
+        start = np.repeat(np.arange(n, dtype=np.int32), counts)
         self.logp = np.minimum(value, 0.0, out=value)
         run = np.exp(self.logp)
         np.cumsum(run, out=run)
@@ -199,7 +206,7 @@ class Lattice:
         np.minimum(run, 1.0, out=run)
         run += start
         self.cum = run
-        self.cum[self.first[1:] - 1] = np.arange(1, len(chars) + 1)  # the last option takes the rest
+        self.cum[self.first[1:] - 1] = np.arange(1, n + 1)  # the last option takes the rest
 
     def _sum_alone(self, begin: int, end: int, score, value) -> None:
         """Backward log-sums of the one chunk of the states from begin to end, in blocks of positions."""
@@ -221,9 +228,9 @@ class Lattice:
         """Piece ids of an array of option codes; a negative code is a character to be spelled in several bytes."""
         import numpy as np
 
-        at = np.flatnonzero(codes < 0)
-        if not len(at):
+        if codes.min(initial=0) >= 0:
             return codes
+        at = np.flatnonzero(codes < 0)
         parts, last = [], 0
         for place, c in zip(at.tolist(), (-1 - codes[at]).tolist(), strict=True):
             if c not in self.wide:
@@ -279,8 +286,8 @@ def _place(sample, chunk, step):
     return x
 
 
-def _spread(x):
-    """Two hashed uniforms in (0, 1) for each element of x, which is used up."""
+def _spread(x, both: bool = True):
+    """Two hashed uniforms in (0, 1), or the first alone, for each element of x, which is used up."""
     import numpy as np
 
     with np.errstate(over="ignore"):
@@ -288,13 +295,21 @@ def _spread(x):
             x ^= x >> np.uint64(shift)
             x *= np.uint64(mult)
         x ^= x >> np.uint64(31)
-    high = (x >> np.uint64(32)).astype(np.float64)
-    x &= np.uint64(0xFFFFFFFF)
-    low = x.astype(np.float64)
-    for half in (high, low):
+    halves = [(x >> np.uint64(32)).astype(np.float64)]
+    if both:
+        x &= np.uint64(0xFFFFFFFF)
+        halves.append(x.astype(np.float64))
+    for half in halves:
         half += 0.5
         half /= 4294967296.0
-    return high, low
+    return halves if both else halves[0]
+
+
+def _ranges(low, n):
+    """The places from each low on, n of them, one range after another."""
+    import numpy as np
+
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _uniforms(seed, sample, chunk, step):
@@ -315,13 +330,18 @@ def _truncated(phi, bound, u):
 
 
 class _Walk:
-    """Decisions of one sample for many documents, in document and text order."""
+    """Decisions of one sample for many documents, in document and text order.
+
+    Only the largest open set of a document counts. Along a path the log-probability falls, and no draw lies more than
+    HIGHEST above it, so a document's first decisions hold the largest, all but always; the others' are not drawn.
+    """
 
     def __init__(self, lattice, doc, chunk, state, seeds, sample, bound, before, first_step=None):
         import numpy as np
 
         cum, to, first = lattice.cum, lattice.to, lattice.first
         self.lattice, self.chunk, self.first_step = lattice, chunk, first_step
+        self.seeds, self.sample, self.bound, self.before = seeds, sample, bound, before
         occ, count = np.arange(len(state), dtype=np.int32), np.zeros(len(state), np.int64)
         place, seed = _place(sample, chunk, first_step), seeds[doc]
         parts, turn = [], 0
@@ -329,12 +349,12 @@ class _Walk:
             if turn >= TOGETHER // 32 and len(occ) <= FEW:
                 for o, s in zip(occ.tolist(), state.tolist(), strict=True):
                     step = turn + (0 if first_step is None else int(first_step[o]))
-                    option, noise = self._alone(lattice, int(doc[o]), int(chunk[o]), s, step, seeds, sample)
+                    option = self._alone(lattice, int(doc[o]), int(chunk[o]), s, step, seeds, sample)
                     count[o] += len(option)
-                    parts.append((o, turn + np.arange(len(option)), option, noise))
+                    parts.append((o, turn + np.arange(len(option)), option))
                 break
             with np.errstate(over="ignore"):
-                target, noise = _spread((place + np.uint64(turn * STRIDE & 0xFFFFFFFFFFFFFFFF)) ^ seed)
+                target = _spread((place + np.uint64(turn * STRIDE & 0xFFFFFFFFFFFFFFFF)) ^ seed, both=False)
             target += state
             option = first[state]
             ahead = np.flatnonzero(cum[option] <= target)
@@ -342,7 +362,7 @@ class _Walk:
                 later = option[ahead] + 1
                 option[ahead] = later
                 ahead = ahead[cum[later] <= target[ahead]]
-            parts.append((occ, turn, option, noise))
+            parts.append((occ, turn, option))
             turn += 1
             count[occ] = turn
             state = to[option]
@@ -351,35 +371,53 @@ class _Walk:
         # a chunk's decisions lie together: its round within the walk is its place among them
         ends = np.cumsum(count)
         self.begin, total = ends - count, int(count.sum())
-        self.option, noise = np.empty(total, np.int32), np.empty(total)
-        for own, round_, option, drawn in parts:
-            at = self.begin[own] + round_
-            self.option[at], noise[at] = option, drawn
+        self.option = np.empty(total, np.int32)
+        for own, round_, option in parts:
+            self.option[self.begin[own] + round_] = option
         del parts
         self.start = np.append(self.begin, total)[np.searchsorted(doc, np.arange(len(seeds) + 1))]
-        sizes = np.diff(self.start)
-        lp = lattice.logp[self.option]
-        run = np.concatenate([[0.0], np.cumsum(lp)])
-        self.total = run[self.start[1:]] - run[self.start[:-1]] + before
-        self.prefix = run[:-1]
-        self.prefix -= np.repeat(run[self.start[:-1]], sizes)  # the sums of self.total are made before
-        self.prefix += np.repeat(before, sizes)
-        sure = lp > -1e-15
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.negative(np.expm1(lp, out=lp), out=lp), out=lp)
-        rest[sure] = -np.inf
-        rest += self.prefix
-        below = np.repeat(bound, sizes)
-        self.open = _truncated(rest, below, noise)
+        self.run = run = np.zeros(total + 1)
+        np.cumsum(lattice.logp[self.option], out=run[1:])
+        low, high = self.start[:-1], self.start[1:]
+        self.total = run[high] - run[low] + before
         self.code = lattice.code[self.option]
         self.taken: dict[int, list[int]] = {}
+        # the decisions within REACH lead each document's, as run never rises; the ceiling is that of all others
+        near = np.minimum(len(run) - np.searchsorted(run[::-1], run[low] - REACH), high) - low
+        self.cut = np.concatenate([[0], np.cumsum(near)])
+        self.ceiling = np.where(low + near < high, run[low + near] - run[low] + before + HIGHEST, -np.inf)
+        self.whole: dict[int, object] = {}
+        self.open = self._drawn(np.arange(len(seeds)), near)
         # per document, the largest open value and its place
         self.value, self.place = np.full(len(seeds), -np.inf), np.full(len(seeds), -1)
-        full = np.flatnonzero(sizes)
+        full = np.flatnonzero(near)
         if len(full):
-            self.value[full] = np.maximum.reduceat(self.open, self.start[full])
-            hit = np.flatnonzero(self.open == np.repeat(self.value, sizes))[::-1]
-            self.place[np.searchsorted(self.start, hit, "right") - 1] = hit
+            self.value[full] = np.maximum.reduceat(self.open, self.cut[full])
+            hit = np.flatnonzero(self.open == np.repeat(self.value, near))[::-1]
+            owner = np.searchsorted(self.cut, hit, "right") - 1
+            self.place[owner] = hit - self.cut[owner] + low[owner]
+        for d in np.flatnonzero(self.value < self.ceiling).tolist():
+            self._settle(d)
+
+    def _drawn(self, docs, n):
+        """Open values of the first n decisions of each of the documents, one document after another."""
+        import numpy as np
+
+        at, doc = _ranges(self.start[docs], n), np.repeat(docs, n)
+        own = self.begin.searchsorted(at, "right") - 1
+        step = at - self.begin[own] + (0 if self.first_step is None else self.first_step[own])
+        noise = _spread(_place(self.sample, self.chunk[own], step) ^ self.seeds[doc])[1]
+        lp = self.lattice.logp[self.option[at]]
+        sure = lp > -1e-15
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.negative(np.expm1(lp, out=lp), out=lp), out=lp)
+        rest[sure] = -np.inf
+        rest += self.run[at] - self.run[self.start[doc]] + self.before[doc]
+        return _truncated(rest, self.bound[doc], noise)
+
+    def prefix(self, doc: int, at: int) -> float:
+        """The log-probability of a document's path before the decision at a place."""
+        return self.run[at] - self.run[self.start[doc]] + self.before[doc]
 
     def decision(self, at: int) -> tuple[int, int, int]:
         """The state, chunk and step of the decision at a place."""
@@ -387,23 +425,36 @@ class _Walk:
         step = at - int(self.begin[own]) + (0 if self.first_step is None else int(self.first_step[own]))
         return int(self.lattice.first.searchsorted(self.option[at], "right")) - 1, int(self.chunk[own]), step
 
+    def _own(self, doc: int):
+        """A document's open values, of all its decisions or of the first ones."""
+        return self.whole[doc] if doc in self.whole else self.open[self.cut[doc] : self.cut[doc + 1]]
+
+    def _settle(self, doc: int) -> None:
+        """A document's largest open value: drawn further where one that is not drawn yet may be larger."""
+        import numpy as np
+
+        own = self._own(doc)
+        if own.max() < self.ceiling[doc]:
+            self.whole[doc] = self._drawn(np.array([doc]), self.start[doc + 1 : doc + 2] - self.start[doc])
+            self.whole[doc][: len(own)] = own
+            own, self.ceiling[doc] = self.whole[doc], -np.inf
+        best = int(own.argmax())
+        self.place[doc], self.value[doc] = int(self.start[doc]) + best, own[best]
+
     def redraw(self, doc: int, at: int, drawn: float) -> None:
         """A new value for the decision at a place of a document."""
-        self.open[at] = drawn
-        low, high = int(self.start[doc]), int(self.start[doc + 1])
-        self.place[doc] = best = low + int(self.open[low:high].argmax())
-        self.value[doc] = self.open[best]
+        self._own(doc)[at - int(self.start[doc])] = drawn
+        self._settle(doc)
 
     @staticmethod
     def _alone(lattice, doc, chunk, state, step, seeds, sample):
-        """The same decisions for the rest of one chunk, one after another: options and noise."""
+        """The same decisions for the rest of one chunk, one after another."""
         import numpy as np
 
         cum, to, first = lattice.cum, lattice.to, lattice.first
-        options, noises = [], []
+        options = []
         while state >= 0:
-            u, noise = _uniforms(seeds[doc], sample, np.full(TOGETHER, chunk), np.arange(step, step + TOGETHER))
-            noises.append(noise)
+            u, _ = _uniforms(seeds[doc], sample, np.full(TOGETHER, chunk), np.arange(step, step + TOGETHER))
             for x in u.tolist():
                 option = int(first[state])
                 while cum[option] <= state + x:
@@ -413,7 +464,7 @@ class _Walk:
                 if state < 0:
                     break
             step += TOGETHER
-        return np.array(options), np.concatenate(noises)[: len(options)]
+        return np.array(options)
 
 
 def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int = SEED) -> list[tuple]:
@@ -450,9 +501,8 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             kappa = np.where(alive, value, -np.inf)
             break
         before, head = np.zeros(n), [None] * n
-        docs2, chunks2, states2, steps2 = [], [], [], []
         u, again = _uniforms(seeds, j, nil, nil)
-        split, rests = [], []
+        split, rests, turns = [], [], []
         for d in np.flatnonzero(alive).tolist():
             w = walks[source[d]]
             at = int(w.place[d])
@@ -470,26 +520,27 @@ def sample_batch(lattice: Lattice, ids: list, texts: list, k: int = K, seed: int
             gone.append(pick)
             rest = sum(m for o, m in zip(left, mass, strict=True) if o != pick)
             split.append((w, at, d))
-            rests.append(w.prefix[at] + math.log(rest) if rest > 0 and len(left) > 1 else -math.inf)
+            prefix = w.prefix(d, at)
+            rests.append(prefix + math.log(rest) if rest > 0 and len(left) > 1 else -math.inf)
             lo = int(w.start[d])
             head[d] = np.concatenate([heads[source[d]][d], w.code[lo:at], piece[pick : pick + 1]])
-            before[d] = w.prefix[at] + logp[pick]
-            if to[pick] >= 0:
-                docs2.append([d])
-                chunks2.append([place])
-                states2.append([int(to[pick])])
-                steps2.append([step + 1])
-            later = slice(begin[d] + place + 1, begin[d + 1])
-            docs2.append(doc[later])
-            chunks2.append(chunk[later])
-            states2.append(all_states[later])
-            steps2.append(np.zeros(len(states2[-1]), np.int32))
+            before[d] = prefix + logp[pick]
+            turns.append((place, int(to[pick]), step + 1))
         if split:
             docs = np.array([d for *_, d in split])
             for (w, at, d), drawn in zip(split, _truncated(np.array(rests), value[docs], again[docs]).tolist(), strict=True):
                 w.redraw(d, at, drawn)
-        join = lambda xs: np.concatenate([np.asarray(x, np.int32) for x in xs]) if xs else np.zeros(0, np.int32)
-        walks.append(_Walk(lattice, join(docs2), join(chunks2), join(states2), seeds, j, value, before, join(steps2)))
+        # each document's rest: the chunk of the decision, if it goes on, and all later ones
+        owners = np.array([d for *_, d in split], np.int64)
+        places, entries, steps = np.array(turns, np.int64).reshape(-1, 3).T
+        goes = entries >= 0
+        low = begin[owners] + places + ~goes
+        count = begin[owners + 1] - low
+        rest = _ranges(low, count)
+        states, stepped = all_states[rest], np.zeros(len(rest), np.int32)
+        entered = (np.cumsum(count) - count)[goes]
+        states[entered], stepped[entered] = entries[goes], steps[goes]
+        walks.append(_Walk(lattice, doc[rest], chunk[rest], states, seeds, j, value, before, stepped))
         heads.append(head)
         values.append(value)
         found.append((alive.copy(), walks[-1].total))
