@@ -19,18 +19,21 @@ GRID, DETERMINED = 90 * DAY, 60 * DAY
 LIFT = 3e-9
 
 
+#: A market's order of fills; columns with _ are needed for nothing else.
+ORDER = ["ms", "_order_id", "_line", "price", "signed_qty", "_discount"]
+
+
 def _fills(spark: SparkSession, d: str) -> DataFrame:
-    """Fills in a market's order; no fee is known of those returned as N."""
-    rows = view(spark, d, "fills")
+    """Fills with what orders a market's; no fee is known of those returned as N."""
     signed = F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty")).cast("decimal(24,6)")
-    order = Window.partitionBy("market").orderBy("ms", "order_id", "line", "price", signed, "discount")
     fee = F.when(F.col("l_returnflag") != "N", F.col("discount"))
-    return rows.select("market", "ms", signed.alias("signed_qty"), F.col("price").cast("decimal(12,6)").alias("price"), fee.alias("fee"), F.row_number().over(order).cast("long").alias("place"))
+    return view(spark, d, "fills").select("market", "ms", signed.alias("signed_qty"), F.col("price").cast("decimal(12,6)").alias("price"), fee.alias("fee"),
+                                          F.col("order_id").alias("_order_id"), F.col("line").alias("_line"), F.col("discount").alias("_discount"))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
     _shipped()
-    return accounts.positions(_fills(spark, d))
+    return accounts.positions(_fills(spark, d), order=ORDER)
 
 
 def _near(c: Column, n: int = 4) -> Column:
@@ -74,6 +77,49 @@ def settlement(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Sums of the account on the equity grid, the grid, and an instant after it, at which the sums tell of every market.
+
+    A market's last price is its mark, some have none. A determined market pays out late: its end goes along with its fills, as one of no
+    contracts at its payout, or at none where it is void, and stands behind them all.
+    """
+    _shipped()
+    fills = _fills(spark, d)
+    first, stop = fills.agg(F.min("ms"), F.max("ms")).first()
+    first, stop = first or 0, (stop or 0) + DETERMINED
+    closing = (stop // GRID + 1) * GRID
+    known = _determined(spark, d).where("state = 'VOIDED' OR payout IS NOT NULL")
+    zero = F.lit(0)
+    ends = known.select("market", F.lit(None).cast("long").alias("ms"), zero.cast("decimal(24,6)").alias("signed_qty"), F.when(F.col("state") == "VOIDED", None).otherwise(F.col("payout")).cast("decimal(12,6)").alias("price"),
+                        zero.cast("decimal(12,6)").alias("fee"), F.lit(True).alias("over"))
+    both = fills.withColumn("over", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+
+    order = ["over", *ORDER]
+    w, late = accounts.in_order(order), F.lit(DETERMINED)
+    times = {
+        "since": F.when(F.col("over"), F.lag("ms").over(w) + late).otherwise(F.col("ms")),
+        "until": F.when(F.lead("over").over(w), F.col("ms") + late).otherwise(F.lead("ms").over(w)),
+    }
+    states = accounts.positions(both, order=order, beside=times)
+    spans = states.withColumn("_to", F.coalesce(F.col("until") - 1, F.lit(closing)))
+    over, void = F.col("over"), F.col("price").isNull()
+    (cash, gain), (back, none) = accounts.settled(F.col("qty"), F.col("mean"), F.col("price")), accounts.voided(F.col("qty"), F.col("mean"))
+    cells = temporal.grid(spans, "since", "_to", GRID, "at_ms").select(
+        "at_ms", "market", F.when(over, zero).otherwise(F.col("qty")).cast(accounts.QTY).alias("qty"), F.when(over, zero).otherwise(F.col("mean")).cast(accounts.MEAN).alias("mean"),
+        F.when(F.col("market") % 6 > 0, F.col("price")).alias("mark"), F.col("realised_so_far").alias("realised"), F.when(over, F.when(void, none).otherwise(gain)).otherwise(zero).cast(accounts.MONEY).alias("settled"),
+        (F.col("cash_so_far") + F.when(over, F.when(void, back).otherwise(cash)).otherwise(zero)).cast(accounts.MONEY).alias("cash"), F.col("fees_so_far").alias("fees"), F.col("unknown_so_far").alias("unknown"),
+    )
+    grid = temporal.grid(spark.range(1).select((F.lit(first) - GRID).alias("a"), F.lit(stop).alias("b")), "a", "b", GRID, "at_ms")
+    return accounts.equity_sums(cells), grid, closing
+
+
+def equity_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The account on a 90-day grid: cash, profit by kind, inventory and collateral; positions without a mark counted apart."""
+    sums, grid, _ = _cells(spark, d)
+    return accounts.equity_curve(sums, grid).select("at_ms", *[_rounded(c) for c in ("cash", "realised", "settlement", "unrealised", "gross", "net", "fees", "collateral", "equity")],
+                                                    "fee_verified", "net_inventory", "abs_inventory", "positions", "unmarked_positions", "unmarked_quantity")
+
+
 def _curve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The equity grid and the fills' states; a market's last price is its mark, some have none; determined markets pay out late."""
     states = stage_table(_states(spark, d).drop("fee", "before", "closed", "realised", "cash"), "positions")
@@ -98,13 +144,6 @@ def _curve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return accounts.equity_rows(marked, grid), states
 
 
-def equity_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The account on a 90-day grid: cash, profit by kind, inventory and collateral; positions without a mark counted apart."""
-    curve, _ = _curve(spark, d)
-    return curve.select("at_ms", *[_rounded(c) for c in ("cash", "realised", "settlement", "unrealised", "gross", "net", "fees", "collateral", "equity")],
-                        "fee_verified", "net_inventory", "abs_inventory", "positions", "unmarked_positions", "unmarked_quantity")
-
-
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     """One row on the whole run: inventory over time, collateral, drawdown, profit by day, market and fill."""
     curve, states = _curve(spark, d)
