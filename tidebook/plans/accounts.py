@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar as S
@@ -120,34 +120,13 @@ def equity_grid(spark: SparkSession, d: str) -> DataFrame:
                                                     "fee_verified", "net_inventory", "abs_inventory", "positions", "unmarked_positions", "unmarked_quantity")
 
 
-def _curve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The equity grid and the fills' states; a market's last price is its mark, some have none; determined markets pay out late."""
-    states = stage_table(_states(spark, d).drop("fee", "before", "closed", "realised", "cash"), "positions")
-    daily = states.groupBy("market", "ms").agg(F.max_by(F.struct("qty", "mean", "realised_so_far", "cash_so_far", "fees_so_far", "unknown_so_far", "price"), "place").alias("s")).select("market", "ms", "s.*")
-    daily = daily.withColumn("settled", F.lit(0).cast(accounts.MONEY))
-    last = daily.groupBy("market").agg(F.max_by(F.struct("ms", "qty", "mean", "realised_so_far", "cash_so_far", "fees_so_far", "unknown_so_far", "price"), "ms").alias("s")).select("market", "s.*")
-    known = last.join(_determined(spark, d).where("state = 'VOIDED' OR payout IS NOT NULL"), "market")
-    paid, void = accounts.settled(F.col("qty"), F.col("mean"), F.col("payout")), accounts.voided(F.col("qty"), F.col("mean"))
-    cash, gain = (F.when(F.col("state") == "VOIDED", b).otherwise(a) for a, b in zip(paid, void, strict=True))
-    over = known.select(
-        "market", (F.col("ms") + DETERMINED).alias("ms"), F.lit(0).cast(accounts.QTY).alias("qty"), F.lit(0).cast(accounts.MEAN).alias("mean"), "realised_so_far",
-        (F.col("cash_so_far") + cash).cast(accounts.MONEY).alias("cash_so_far"), "fees_so_far", "unknown_so_far", "price", gain.cast(accounts.MONEY).alias("settled"),
-    )
-    rows = daily.unionByName(over).withColumn("until", F.lead("ms").over(Window.partitionBy("market").orderBy("ms")))
-    ends = stage_table(states.agg(F.min("ms").alias("first"), F.max("ms").alias("last")), "ends")
-    first, stop = ends.first() or (0, 0)
-    first, stop = first or 0, (stop or 0) + DETERMINED
-    cells = temporal.grid(rows.withColumn("_to", F.coalesce("until", F.lit(stop + 1)) - 1), "ms", "_to", GRID, "at_ms")
-    marked = cells.select("at_ms", "market", "qty", "mean", F.when(F.col("market") % 6 > 0, F.col("price")).alias("mark"), F.col("realised_so_far").alias("realised"), "settled",
-                          F.col("cash_so_far").alias("cash"), F.col("fees_so_far").alias("fees"), F.col("unknown_so_far").alias("unknown"))
-    grid = temporal.grid(spark.range(1).select((F.lit(first) - GRID).alias("a"), F.lit(stop).alias("b")), "a", "b", GRID, "at_ms")
-    return accounts.equity_rows(marked, grid), states
-
-
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     """One row on the whole run: inventory over time, collateral, drawdown, profit by day, market and fill."""
-    curve, states = _curve(spark, d)
-    span = states.agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.countDistinct("market").alias("markets"), F.count("*").alias("fills"), F.sum(F.abs("signed_qty")).cast("decimal(28,6)").alias("contracts"), F.sum(F.abs("signed_qty") * F.col("price")).cast("decimal(28,6)").alias("notional"))
+    sums, grid, closing = _cells(spark, d)
+    sums = stage_table(sums, "account")  # a row for each instant
+    span = _fills(spark, d).agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("fills"), F.sum(F.abs("signed_qty")).cast("decimal(28,6)").alias("contracts"), F.sum(F.abs("signed_qty") * F.col("price")).cast("decimal(28,6)").alias("notional"))
+    span = stage_table(span.crossJoin(sums.where(F.col("at_ms") == closing).agg(F.coalesce(F.sum("markets"), F.lit(0)).alias("markets"))), "span")
+    curve = accounts.equity_curve(sums, grid)
     both = curve.crossJoin(span)  # one row
     out = accounts.run_figures(both, F.col("first_ms"), F.col("last_ms")).crossJoin(span)
     gross = F.col("final_gross").cast("double")
